@@ -1 +1,172 @@
-"""todo"""
+"""Metric series, alert rules, drift and decisions (L, M14-M16)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import alerts, drift, features, metrics
+from ..operators.ordered import index_percentiles
+from .catalog import query
+from .joins import _SEVERE_SQL, severe
+from .monitoring_sql import ALERTS_SQL
+from .tables import events, samples, table
+
+
+def metric_frame(spark, sf):
+    """Hourly metrics per event type, long form."""
+    v = F.col("value")
+    hourly = events(spark, sf).groupBy(metrics.step_of("ts", 3600).alias("ts"), F.col("event_type").alias("series")).agg(
+        F.count("*").cast("double").alias("n"), F.max(v).alias("mx"), F.count(F.when(v > 40, 1)).alias("err"), S.exact_avg(v).alias("mean"))
+    off = F.abs(F.col("mean") - 50) / 100
+    values = {
+        "prediction_p99_seconds": F.col("mx") / 50, "prediction_error_ratio": F.col("err") / F.col("n"), "model_drift_score": off,
+        "feature_drift_score": off, "consumer_lag": F.col("n") * 3000, "up": F.when(F.col("n") < 2, 0.0).otherwise(1.0),
+        "memory_ratio": F.col("mx") / 100, "restarts_1h": F.col("n"), "agent_p95_seconds": F.col("mx"),
+    }
+    job = F.when(F.col("series").isin("purchase", "view"), "predict-service").when(F.col("series") == "click", "rag-service").otherwise("mlflow")
+    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), c.alias("value")) for k, c in values.items()])
+    return hourly.select("series", job.alias("job"), "ts", F.inline(pairs))
+
+
+def alert_evaluations(spark, sf):
+    return alerts.evaluations(metric_frame(spark, sf))
+
+
+def alert_states(spark, sf):
+    return alerts.alert_instances(alert_evaluations(spark, sf))
+
+
+@query("l1_instant_value", """SELECT event_type AS series, ts, value AS gauge FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-15 10:00:00'
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def l1_instant_value(spark, sf):
+    return metrics.instant(samples(spark, sf), F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'"), 7200).select("series", "ts", "gauge")
+
+
+@query("l2_range_values", """WITH g AS (SELECT series, unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12', INTERVAL 10 MINUTE)) AS step FROM (SELECT DISTINCT event_type AS series FROM events))
+SELECT g.series, step, CASE WHEN step - ts <= INTERVAL 1 HOUR THEN value END AS gauge FROM g ASOF LEFT JOIN events e ON g.series = e.event_type AND g.step >= e.ts""")
+def l2_range_values(spark, sf):
+    at = lambda d: F.expr(f"TIMESTAMP_NTZ '{d}'")
+    return metrics.range_grid(samples(spark, sf), at("2024-01-10"), at("2024-01-12"), 600, "gauge", staleness_seconds=3600)
+
+
+_BUCKETS = metrics.DURATION_BUCKETS
+
+
+@query("l3_histogram_quantile", f"""WITH b AS (SELECT event_type AS series, le, lo, count(*) FILTER (value / 50 <= le) AS cum, count(*) FILTER (value / 50 <= lo) AS before, count(value) AS n
+  FROM events, (VALUES {', '.join(f'({hi}::DOUBLE, {lo}::DOUBLE)' for lo, hi in zip((-1.0,) + _BUCKETS[:-1], _BUCKETS))}) v(le, lo) GROUP BY 1, 2, 3),
+h AS (SELECT series, n, min(le) FILTER (cum >= CAST(0.95 AS DOUBLE) * n) AS le FROM b GROUP BY 1, 2)
+SELECT h.series, CASE WHEN h.le IS NULL THEN {_BUCKETS[-1]} ELSE greatest(lo, 0) + (h.le - greatest(lo, 0)) * ((CAST(0.95 AS DOUBLE) * h.n - before) / (cum - before)) END AS quantile
+FROM h LEFT JOIN b ON h.series = b.series AND h.le = b.le""")
+def l3_histogram_quantile(spark, sf):
+    durations = events(spark, sf).select(F.col("event_type").alias("series"), (F.col("value") / 50).alias("seconds"))
+    return metrics.histogram_quantile(durations, "seconds", 0.95, ["series"])
+
+
+@query("l4_threshold_alerts", f"WITH {ALERTS_SQL} SELECT alertname, series, job, severity, team, active_at, last_ts, value, state FROM alerts")
+def l4_threshold_alerts(spark, sf):
+    return alert_states(spark, sf)
+
+
+@query("l5_freshness", """SELECT 'events' AS source, max(ts) AS last_update, datesub('second', max(ts), TIMESTAMP '2024-02-01') AS age_seconds FROM events
+UNION ALL SELECT 'orders', max(o_orderdate), datesub('second', max(o_orderdate), TIMESTAMP '2024-02-01') FROM orders
+UNION ALL SELECT 'lineitem', max(l_shipdate), datesub('second', max(l_shipdate), TIMESTAMP '2024-02-01') FROM lineitem""")
+def l5_freshness(spark, sf):
+    as_of = F.expr("TIMESTAMP_NTZ '2024-02-01'")
+    out = metrics.freshness(events(spark, sf), "events", "ts", as_of)
+    for name, ts in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
+        out = out.unionByName(metrics.freshness(table(spark, sf, name), name, ts, as_of))
+    return out
+
+
+@query("l6_notifications", f"""WITH {ALERTS_SQL}, s AS {_SEVERE_SQL}, k AS (
+  SELECT * FROM s WHERE NOT (severity = 'warning' AND EXISTS (SELECT 1 FROM s c WHERE c.severity = 'critical' AND c.alertname = s.alertname AND c.job = s.job AND c.ts = s.ts))
+  AND NOT (alertname <> 'ServiceDown' AND EXISTS (SELECT 1 FROM s d WHERE d.alertname = 'ServiceDown' AND d.job = s.job AND d.ts = s.ts))),
+g AS (SELECT alertname, job, severity, ts, count(*) AS n FROM k GROUP BY ALL),
+f AS (SELECT *, CAST(floor((epoch(ts) - epoch(min(ts) OVER (PARTITION BY alertname, job, severity))) / 14400) AS BIGINT) AS slot FROM g)
+SELECT alertname, job, severity, slot, min(ts) AS sent_at, max(n) AS alerts FROM f GROUP BY ALL""")
+def l6_notifications(spark, sf):
+    return alerts.notifications(alerts.inhibit(severe(spark, sf)))
+
+
+@query("l7_panels", """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def l7_panels(spark, sf):
+    return metrics.panel_counts(events(spark, sf), "ts", "event_type")
+
+
+@query("l8_report_text", f"""WITH {ALERTS_SQL} SELECT alertname, '**Severity:** ' || any_value(severity) || chr(10) || '**Firing:** ' || count(*) FILTER (state = 'firing') AS message FROM alerts GROUP BY 1""")
+def l8_report_text(spark, sf):
+    counted = alert_states(spark, sf).groupBy("alertname").agg(
+        F.first("severity").alias("severity"), F.count(F.when(F.col("state") == "firing", 1)).cast("string").alias("firing"))
+    section = lambda t, c: F.struct(F.lit(t).alias("title"), F.col(c).alias("value"))
+    return counted.select("alertname", alerts.report_message(F.array(section("Severity", "severity"), section("Firing", "firing"))).alias("message"))
+
+
+HALF = "2024-01-15"
+_PSI_SQL = f"""ref AS (SELECT event_type AS feature, value FROM events WHERE ts < TIMESTAMP '{HALF}'), cur AS (SELECT event_type AS feature, value FROM events WHERE ts >= TIMESTAMP '{HALF}'),
+e AS (SELECT feature, {', '.join(f'quantile_cont(value, {i / 10}) AS c{i}' for i in range(1, 10))} FROM ref GROUP BY 1),
+rb AS (SELECT feature, {' + '.join(f'CAST(value > c{i} AS INTEGER)' for i in range(1, 10))} AS bin, count(*) AS n FROM ref JOIN e USING (feature) GROUP BY 1, 2),
+cb AS (SELECT feature, {' + '.join(f'CAST(value > c{i} AS INTEGER)' for i in range(1, 10))} AS bin, count(*) AS n FROM cur JOIN e USING (feature) GROUP BY 1, 2),
+q AS (SELECT feature, bin, n / CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS q FROM rb), p AS (SELECT feature, bin, n / CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS p FROM cb),
+j AS (SELECT feature, greatest(coalesce(p, 0), 0.0001) AS p, greatest(coalesce(q, 0), 0.0001) AS q FROM q FULL JOIN p USING (feature, bin)),
+psi AS (SELECT feature, sum((p - q) * ln(p / q)) AS psi FROM j GROUP BY 1)"""
+
+
+def drift_scores(spark, sf):
+    half = F.expr(f"TIMESTAMP_NTZ '{HALF}'")
+    e = events(spark, sf).select(F.col("event_type").alias("feature"), "value", "ts")
+    return drift.psi(e.filter(F.col("ts") < half), e.filter(F.col("ts") >= half), "value", ["feature"])
+
+
+_LEVEL = "CASE WHEN psi > 0.2 THEN 'critical' WHEN psi > 0.1 THEN 'drift' WHEN psi > 0.08 THEN 'warning' ELSE 'ok' END"
+
+
+@query("m14_drift_psi", f"WITH {_PSI_SQL} SELECT feature, round(psi, 9) AS psi, {_LEVEL} AS level, psi > 0.15 AS feature_drift FROM psi")
+def m14_drift_psi(spark, sf):
+    s = F.col("psi")
+    return drift_scores(spark, sf).select(
+        "feature", F.round("psi", 9).alias("psi"), drift.drift_level(s).alias("level"), (s > drift.FEATURE_DRIFT).alias("feature_drift"))
+
+
+_DAILY_DRIFT_SQL = """d AS (SELECT event_type AS feature, date_trunc('day', ts) AS ts, abs(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) - 50) / 100 AS drift FROM events GROUP BY 1, 2)"""
+
+
+def daily_drift(spark, sf):
+    return events(spark, sf).groupBy(F.col("event_type").alias("feature"), metrics.step_of("ts", 86400).alias("ts")).agg(
+        (F.abs(S.exact_avg(F.col("value")) - 50) / 100).alias("drift"))
+
+
+@query("m15_retrain_decision", f"""WITH {_DAILY_DRIFT_SQL}, a AS (SELECT *, CASE WHEN drift > 0.02 THEN 'retrain' ELSE 'skip' END AS action FROM d),
+c AS (SELECT *, coalesce(sum(CAST(action = 'retrain' AS INTEGER)) OVER (PARTITION BY feature, CAST(ts AS DATE) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS today,
+  coalesce(sum(CAST(action = 'retrain' AS INTEGER)) OVER (PARTITION BY feature ORDER BY ts RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND INTERVAL 1 SECOND PRECEDING), 0) AS cooling FROM a)
+SELECT feature, ts, action, format('Drift {{:.4f}} {{}} 0.02', drift, CASE WHEN drift > 0.02 THEN '>' ELSE '<=' END) AS reason, action = 'retrain' AND today < 2 AND cooling = 0 AS allowed FROM c""")
+def m15_retrain_decision(spark, sf):
+    decided = drift.retrain_decision(daily_drift(spark, sf), "drift", 0.02)
+    return drift.apply_limits(decided, ["feature"], "ts").select("feature", "ts", "action", "reason", "allowed")
+
+
+@query("m15_metric_gates", """SELECT 'run_' || o_orderkey AS run_id, 1 / (1 + o_totalprice / 262144) >= 0.85 AS accuracy_ok, o_totalprice / 16384 <= 15 AS mape_ok,
+  1 / (1 + o_totalprice / 262144) >= 0.85 AND o_totalprice / 16384 <= 15 AS passed FROM orders""")
+def m15_metric_gates(spark, sf):
+    from .tables import runs
+
+    flat = runs(spark, sf).select("run_id", F.col("metrics")["auc"].alias("accuracy"), F.col("metrics")["mape"].alias("mape"))
+    return drift.metric_gates(flat, "accuracy", "mape").select("run_id", "accuracy_ok", "mape_ok", "passed")
+
+
+@query("m16_kpi_gates", """WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events), o(kpi, value) AS (
+  SELECT 'ingest_p99_ms', max(value) FROM r WHERE i = floor(n * 0.99) UNION ALL SELECT 'prediction_p99_ms', max(value) FROM r WHERE i = floor(n * 0.99)
+  UNION ALL SELECT 'error_rate', count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE) FROM events
+  UNION ALL SELECT 'throughput', count(*) / CAST(datesub('second', min(ts), max(ts)) AS DOUBLE) FROM events),
+t(kpi, op, threshold) AS (VALUES ('ingest_p99_ms', '<', 500.0::DOUBLE), ('prediction_p99_ms', '<', 200.0::DOUBLE), ('error_rate', '<', 0.01::DOUBLE), ('throughput', '>', 100.0::DOUBLE), ('accuracy', '>=', 0.85::DOUBLE))
+SELECT kpi, op, threshold, value, coalesce(CASE op WHEN '<' THEN value < threshold WHEN '>' THEN value > threshold ELSE value >= threshold END, false) AS passed FROM t LEFT JOIN o USING (kpi)""")
+def m16_kpi_gates(spark, sf):
+    e = events(spark, sf)
+    p99 = index_percentiles(e, "value", {"value": 0.99})
+    rates = e.agg(
+        F.try_divide(F.count(F.when(F.col("event_type") == "error", 1)), F.count("*")).alias("error_rate"),
+        (F.count("*") / F.timestamp_diff("SECOND", F.min("ts"), F.max("ts"))).alias("throughput"))
+    observed = p99.select(F.lit("ingest_p99_ms").alias("kpi"), "value").unionByName(p99.select(F.lit("prediction_p99_ms").alias("kpi"), "value"))
+    for kpi in ("error_rate", "throughput"):
+        observed = observed.unionByName(rates.select(F.lit(kpi).alias("kpi"), F.col(kpi).alias("value")))
+    return drift.kpi_gates(observed)

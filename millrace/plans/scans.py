@@ -133,7 +133,7 @@ def s9_geo_dimension(spark, sf):
         city_rows.select(F.lit("city").alias("kind"), F.col("city").alias("name"), F.col("region").alias("code"), "lat", "lon"))
 
 
-_VIOLATIONS_SQL = """concat_ws('; ',
+VIOLATIONS_SQL = """concat_ws('; ',
     CASE WHEN user_id IS NULL THEN 'Missing required field: user_id' END,
     CASE WHEN price < 0 THEN 'Invalid price' END,
     CASE WHEN quantity < 1 THEN 'Invalid quantity: ' || quantity END,
@@ -141,7 +141,7 @@ _VIOLATIONS_SQL = """concat_ws('; ',
 
 
 @query("s10_contract_check", f"""WITH {RAW_SQL}
-SELECT id, product_id, {_VIOLATIONS_SQL}, 'Unknown channel: ' || channel) AS violations FROM raw""")
+SELECT id, product_id, {VIOLATIONS_SQL}, 'Unknown channel: ' || channel) AS violations FROM raw""")
 def s10_contract_check(spark, sf):
     return raw_transactions(spark, sf).select(
         "id", "product_id",

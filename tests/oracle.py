@@ -57,7 +57,8 @@ def compare(spark, con, q, sf_dir: str) -> str | None:
     if not want:
         return "oracle has no rows"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lost = [r for r in want if r not in set(got)][:3]
+        got_set, want_set = set(got), set(want)
+        extra = [r for r in got if r not in want_set][:3]
+        lost = [r for r in want if r not in got_set][:3]
         return f"rows {len(got)} vs {len(want)}; only spark {extra}; only sql {lost}"
     return None
