@@ -11,7 +11,7 @@ MASK_TYPES = ("email", "ssn", "phone", "name", "address", "text")
 PRIVILEGED_ROLES = ("admin", "compliance", "data_protection")
 
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-LONG_DIGITS_PATTERN = r"\b\d{9,19}\b"
+LONG_DIGITS_PATTERN = r"[0-9]{9,}"
 
 
 def mask_email(value: Column) -> Column:

@@ -64,7 +64,7 @@ def quantiles(df: DataFrame, value: str, qs: dict[str, float], keys: Sequence[st
         position = (F.col("total__n") - 1) * F.lit(float(q))
         low, high = _value_at(F.floor(position)), _value_at(F.ceil(position))
         share = F.max(position - F.floor(position))
-        aggregates.append((low + (high - low) * share).alias(name))
+        aggregates.append((low * (1 - share) + high * share).alias(name))
     ranked = _ranked(df, value, keys)
     return ranked.groupBy(*keys).agg(*aggregates)
 

@@ -161,14 +161,14 @@ def s11_partitioned_write(spark, sf):
     return lake.read_table(spark, path, merge_schema=True).select("event_id", "dt", "value", "note")
 
 
-_NORMALIZED_SQL = f"""{ENVELOPE_SQL}, good AS (
+NORMALIZED_SQL = f"""{ENVELOPE_SQL}, good AS (
   SELECT id, 'usr_' || user_id AS user_id, 'prod_' || product_id AS product_id, price, quantity,
     CAST(round(CAST(price AS DECIMAL(18,2)) * quantity, 2) AS DOUBLE) AS total_amount, city, country, channel,
     CASE WHEN city = 'London' THEN 'EU' ELSE 'UNKNOWN' END AS region, strftime(ts, '%Y-%m-%d') AS dt, ts
   FROM env WHERE quantity >= 1 AND price >= 0)"""
 
 
-@query("s12_dual_sink", f"""WITH {_NORMALIZED_SQL}
+@query("s12_dual_sink", f"""WITH {NORMALIZED_SQL}
 SELECT 'table' AS sink, id, user_id, total_amount, region FROM good UNION ALL SELECT 'topic', id, user_id, total_amount, region FROM good""")
 def s12_dual_sink(spark, sf):
     topic, out, mirror = (scratch_dir(spark, n) for n in ("topic", "table", "mirror"))
