@@ -16,10 +16,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """Unit length; the zero vector stays as it is."""
-    return F.when(norm(a) == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(
-        F.transform(a, lambda x: x.cast("double") / norm(a))
-    )
+    """Unit length; the zero vector stays as it is. The length is bound once, not recomputed per element."""
+    scaled = lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -82,13 +82,17 @@ def by_state(alerts: DataFrame, state: str) -> DataFrame:
 
 
 def inhibit(alerts: DataFrame) -> DataFrame:
-    """Drop warnings next to a critical of the same name and job, and everything of a job whose service is down."""
-    critical = alerts.filter("severity = 'critical'").select("ts", "alertname", "job").distinct()
-    down = alerts.filter("alertname = 'ServiceDown'").select("ts", "job").distinct()
-    kept = alerts.filter("severity <> 'warning'").unionByName(
-        alerts.filter("severity = 'warning'").join(critical, ["ts", "alertname", "job"], "left_anti"))
-    return kept.filter("alertname = 'ServiceDown'").unionByName(
-        kept.filter("alertname <> 'ServiceDown'").join(down, ["ts", "job"], "left_anti"))
+    """Drop warnings next to a critical of the same name and job, and everything of a job whose service is down.
+
+    Both conditions are flags over the alerts of one job at one time, so the frame is read and shuffled once.
+    """
+    same_job = Window.partitionBy("ts", "job")
+    same_alert = Window.partitionBy("ts", "job", "alertname")
+    is_down = F.col("alertname") == "ServiceDown"
+    flagged = alerts.withColumns({
+        "_down": F.bool_or(is_down).over(same_job), "_critical": F.bool_or(F.col("severity") == "critical").over(same_alert)})
+    kept = ~((F.col("severity") == "warning") & F.col("_critical")) & (is_down | ~F.col("_down"))
+    return flagged.filter(kept).drop("_down", "_critical")
 
 
 def _matches(severity, team, pattern) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -82,9 +82,8 @@ def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def with_share(df: DataFrame, by: str) -> DataFrame:
-    """Share of total per value; the window sees one row per value."""
-    counted = df.groupBy(by).agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    """Count and share of the total per value."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / df.agg(F.count("*")).scalar())
 
 
 def live_kpis(events: DataFrame, as_of: Column, newest: int = 100) -> DataFrame:

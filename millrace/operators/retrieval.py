@@ -11,17 +11,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml import Pipeline
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_normalize
 from .ordered import top_per_group
 
 MAX_QUERY_BLOCK = 4096
+MAX_SCORES = 4_000_000  # scores held at once by a task
 TOP_K = 10
 # Cells of the approximate index and cells probed per query.
 NLIST = 128
@@ -69,6 +70,25 @@ def _similarity(metric: str, index: np.ndarray, queries: np.ndarray) -> np.ndarr
     raise ValueError(f"unknown metric: {metric}")
 
 
+def _row_blocks(batch: pd.DataFrame, queries: int) -> Iterator[pd.DataFrame]:
+    """Pieces of a batch whose score matrix stays within ``MAX_SCORES``."""
+    step = max(1, MAX_SCORES // max(1, queries))
+    for start in range(0, len(batch), step):
+        yield batch.iloc[start:start + step]
+
+
+def _best_per_query(best: pd.DataFrame | None, scores: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """Running top ``k`` per query. Everything at or above the k-th score is kept until ties are settled by id."""
+    if len(items) > k:
+        floor = np.partition(scores, len(items) - k, axis=0)[len(items) - k]
+        rows, cols = np.nonzero((scores >= floor[None, :]) & np.isfinite(scores))
+    else:
+        rows, cols = np.nonzero(np.isfinite(scores))
+    found = pd.DataFrame({"q": ids[cols], "i": items[rows], "s": scores[rows, cols]})
+    merged = found if best is None else pd.concat([best, found])
+    return merged.sort_values(["s", "i"], ascending=[False, True]).groupby("q", sort=False).head(k)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = "cosine", item_id: str = "vec_id",
            query_id: str = "query_id", vector: str = "embedding", filter_on: str | None = None) -> DataFrame:
     """Exact top ``k`` per query: ``query_id, item_id, score, rank``. Score ties go to the smaller id.
@@ -89,19 +109,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = "
         def partial(batches: Iterator[pd.DataFrame], ids_array=ids_array, matrix=matrix, wanted=wanted) -> Iterator[pd.DataFrame]:
             best: pd.DataFrame | None = None
             for batch in batches:
-                if batch.empty:
-                    continue
-                scores = _similarity(metric, np.stack(batch[vector].to_numpy()).astype(np.float64), matrix)
-                if wanted is not None:
-                    scores = np.where(batch[filter_on].to_numpy()[:, None] == wanted[None, :], scores, -np.inf)
-                items = batch[item_id].to_numpy()
-                order = np.lexsort((np.broadcast_to(items[:, None], scores.shape), -scores), axis=0)[:k]
-                picked = np.take_along_axis(scores, order, axis=0)
-                frame = pd.DataFrame({"q": np.broadcast_to(ids_array[None, :], order.shape).ravel(),
-                                      "i": items[order].ravel(), "s": picked.ravel()})
-                frame = frame[np.isfinite(frame["s"])]
-                best = frame if best is None else pd.concat([best, frame])
-                best = best.sort_values(["s", "i"], ascending=[False, True]).groupby("q", sort=False).head(k)
+                for rows in _row_blocks(batch, len(ids_array)):
+                    scores = _similarity(metric, np.stack(rows[vector].to_numpy()).astype(np.float64), matrix)
+                    if wanted is not None:
+                        scores = np.where(rows[filter_on].to_numpy()[:, None] == wanted[None, :], scores, -np.inf)
+                    best = _best_per_query(best, scores, rows[item_id].to_numpy(), ids_array, k)
             if best is not None and not best.empty:
                 yield best
 
@@ -125,11 +137,10 @@ def nearest_query(index: DataFrame, queries: DataFrame, item_id: str = "vec_id",
 
         def best(batches: Iterator[pd.DataFrame], ids_array=ids_array, sorted_matrix=sorted_matrix) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if batch.empty:
-                    continue
-                scores = _similarity("cosine", np.stack(batch[vector].to_numpy()).astype(np.float64), sorted_matrix)
-                top = scores.argmax(axis=1)
-                yield pd.DataFrame({"i": batch[item_id], "q": ids_array[top], "s": scores[np.arange(len(top)), top]})
+                for rows in _row_blocks(batch, len(ids_array)):
+                    scores = _similarity("cosine", np.stack(rows[vector].to_numpy()).astype(np.float64), sorted_matrix)
+                    top = scores.argmax(axis=1)
+                    yield pd.DataFrame({"i": rows[item_id], "q": ids_array[top], "s": scores[np.arange(len(top)), top]})
 
         blocks.append(index.select(item_id, vector).mapInPandas(best, f"i {item_type}, q {query_type}, s double"))
     if len(blocks) == 1:
@@ -143,21 +154,19 @@ def nearest_query(index: DataFrame, queries: DataFrame, item_id: str = "vec_id",
 
 
 def centroids(index: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
-    """Mean vector per group, from partial sums per (group, position)."""
-    return (
-        index.select(group, F.posexplode(vector).alias("pos", "x"))
-        .groupBy(group, "pos").agg((F.sum(F.col("x").cast("decimal(28,18)")).cast("double") / F.count("x")).alias("m"))
-        .groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias(vector))
-    )
+    """Mean vector per group, from partial vector sums."""
+    mean = Summarizer.metrics("mean").summary(array_to_vector(vector))["mean"]
+    return index.groupBy(group).agg(vector_to_array(mean).alias(vector))
 
 
 # ---------------------------------------------------------------- approximate search
 
 def build_cells(index: DataFrame, nlist: int = NLIST, vector: str = "embedding", seed: int = 42):
     """Index rows with their k-means cell, and the fitted model (its centres are ``nlist`` vectors)."""
-    prepared = index.withColumn("_v", array_to_vector(l2_normalize(F.col(vector))))
+    raw = index.withColumn("_raw", array_to_vector(vector))
+    prepared = Normalizer(inputCol="_raw", outputCol="_v", p=2.0).transform(raw)
     model = KMeans(k=nlist, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=20).fit(prepared)
-    return model.transform(prepared).drop("_v"), model
+    return model.transform(prepared).drop("_raw", "_v"), model
 
 
 def probe_search(celled: DataFrame, model, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE, item_id: str = "vec_id",
@@ -177,19 +186,17 @@ def probe_search(celled: DataFrame, model, queries: DataFrame, k: int = TOP_K, n
         ids_array = np.array(ids)
 
         def partial(batches: Iterator[pd.DataFrame], ids_array=ids_array, unit=unit, by_cell=by_cell) -> Iterator[pd.DataFrame]:
+            best: pd.DataFrame | None = None
             for batch in batches:
-                frames = []
-                for cell, rows in batch.groupby("cell"):
+                for cell, in_cell in batch.groupby("cell"):
                     members = by_cell.get(int(cell))
                     if members is None:
                         continue
-                    scores = _unit_rows(np.stack(rows[vector].to_numpy()).astype(np.float64)) @ unit[members].T
-                    top = np.argsort(-scores, axis=0, kind="stable")[:k]
-                    frames.append(pd.DataFrame({
-                        "q": np.broadcast_to(ids_array[members][None, :], top.shape).ravel(),
-                        "i": rows[item_id].to_numpy()[top].ravel(), "s": np.take_along_axis(scores, top, axis=0).ravel()}))
-                if frames:
-                    yield pd.concat(frames).sort_values(["s", "i"], ascending=[False, True]).groupby("q", sort=False).head(k)
+                    for rows in _row_blocks(in_cell, len(members)):
+                        scores = _unit_rows(np.stack(rows[vector].to_numpy()).astype(np.float64)) @ unit[members].T
+                        best = _best_per_query(best, scores, rows[item_id].to_numpy(), ids_array[members], k)
+            if best is not None and not best.empty:
+                yield best
 
         pruned = celled.filter(F.col("cell").isin(sorted(by_cell))).select(item_id, vector, "cell")
         hits = pruned.mapInPandas(partial, f"q {query_type}, i {item_type}, s double")
@@ -216,12 +223,13 @@ def fit_lexical_embedder(texts: DataFrame, text: str = "content", dim: int = 384
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\W+", toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim),
         IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
     ]).fit(texts)
 
 
 def embed(texts: DataFrame, embedder, vector: str = "embedding") -> DataFrame:
     out = embedder.transform(texts)
-    return out.withColumn(vector, l2_normalize(vector_to_array("_tfidf")).cast("array<float>")).drop("_tokens", "_tf", "_tfidf")
+    return out.withColumn(vector, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_tfidf", "_unit")
 
 
 # ---------------------------------------------------------------- prompt assembly
@@ -238,8 +246,6 @@ def context_budget(hits: DataFrame, query_id: str = "query_id", rank: str = "ran
 
     ``hits`` holds at most top-k rows per query.
     """
-    from pyspark.sql import Window
-
     before = Window.partitionBy(query_id).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.length(content)).over(before), F.lit(0))
     return (

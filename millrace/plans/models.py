@@ -1 +1,223 @@
-"""todo"""
+"""Models, forecasts and decisions (M), scoring exports (S17, S20), inference (X7)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.feature import IndexToString
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import churn, evaluate, events as E
+from ..operators import forecast, ml, registry
+from ..session import checkpointed, scratch_dir
+from ..sources import files
+from .catalog import query
+from .evaluation import CONTRIB_SQL, contributions, predictions
+from .tables import RUNS_SQL, VERSIONS_SQL, events, model_versions, runs, table, transactions
+from .windows import DAILY_SQL, daily
+from .joins import _BASELINE_SQL
+
+EVENT_FEATURES = ("f_price", "f_quantity", "f_hour", "f_weekday", "user_bucket")
+CHURN_FEATURES = ("transaction_count", "total_revenue", "avg_revenue", "std_revenue", "avg_price", "max_price", "min_price", "total_quantity",
+                  "avg_quantity", "days_since_first", "days_since_last", "avg_days_between")
+
+
+def event_features(spark, sf):
+    rows = E.model_features(events(spark, sf), price="value")
+    rows = rows.withColumn("user_bucket", S.hash_bucket(F.col("user_id").cast("string"), 1000).cast("double"))
+    return ml.hash_split(rows, "event_id")
+
+
+def event_rows(spark, sf):
+    """Features of all events and the trained split, materialised once for iterative training."""
+    rows = checkpointed(event_features(spark, sf).select("event_id", "event_type", "split", *EVENT_FEATURES))
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+
+
+@query("m1_label_encoding", """SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS code, event_type AS decoded FROM events""")
+def m1_label_encoding(spark, sf):
+    e = events(spark, sf).select("event_id", "event_type")
+    model = ml.label_encoder("event_type", "code").fit(e)
+    back = IndexToString(inputCol="code", outputCol="decoded", labels=model.labels)
+    return back.transform(model.transform(e)).select("event_id", "code", "decoded")
+
+
+@query("m2_standardize", """WITH s AS (SELECT avg(value) FILTER (event_id % 5 <> 0) AS m, stddev_pop(value) FILTER (event_id % 5 <> 0) AS d FROM events)
+SELECT event_id, round((value - m) / d, 6) AS z_value FROM events, s""")
+def m2_standardize(spark, sf):
+    return ml.standardize(events(spark, sf), ["value"], F.col("event_id") % 5 != 0).select("event_id", F.round("z_value", 6).alias("z_value"))
+
+
+@query("m3_hash_split")
+def m3_hash_split(spark, sf):
+    return ml.hash_split(table(spark, sf, "labels"), "doc_id").groupBy("split").agg(F.count("*").alias("n"), F.avg("quality").alias("rate"))
+
+
+@query("m3_stratified_split", """WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1)
+SELECT quality, 'train' AS split, CAST(floor(n * 0.8) AS BIGINT) AS n FROM n UNION ALL SELECT quality, 'test', n - CAST(floor(n * 0.8) AS BIGINT) FROM n""")
+def m3_stratified_split(spark, sf):
+    return ml.stratified_split(table(spark, sf, "labels"), "doc_id", "quality").groupBy("quality", "split").agg(F.count("*").alias("n"))
+
+
+def _classifier_metrics(spark, sf, model_types, iterations=None):
+    train, test = event_rows(spark, sf)
+    parts = []
+    for kind in model_types:
+        model = ml.train_event_classifier(train, EVENT_FEATURES, "event_type", kind, iterations)
+        scored = model.transform(test)
+        parts.append(evaluate.weighted_metrics(scored).withColumn("model_type", F.lit(kind)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("m4_event_classifier")
+def m4_event_classifier(spark, sf):
+    return _classifier_metrics(spark, sf, ("random_forest", "logistic_regression"))
+
+
+@query("m4_boosted_classifier")
+def m4_boosted_classifier(spark, sf):
+    """One boosted model per class; ten rounds each here, a hundred by default."""
+    return _classifier_metrics(spark, sf, ("gradient_boosting",), iterations=10)
+
+
+def churn_rows(spark, sf):
+    behaviour = churn.churn_labels(transactions(spark, sf), 180)
+    return checkpointed(ml.hash_split(behaviour.select("user_id", *CHURN_FEATURES, "churned"), "user_id"))
+
+
+@query("m5_churn_search")
+def m5_churn_search(spark, sf):
+    """Four regularisations by five folds, ranked by area under ROC."""
+    search = ml.search_churn_model(churn_rows(spark, sf).filter("split = 'train'"), CHURN_FEATURES, "churned")
+    rows = [(i, float(auc)) for i, auc in enumerate(search.avgMetrics)]
+    return spark.createDataFrame(rows, "trial int, auc double").orderBy(F.desc("auc"), "trial")
+
+
+@query("m5_boosted_search")
+def m5_boosted_search(spark, sf):
+    """Random draws of boosted trees; three draws by two folds here, twenty by five by default."""
+    search = ml.search_churn_model(churn_rows(spark, sf).filter("split = 'train'"), CHURN_FEATURES, "churned", "boosted", folds=2, draws=3)
+    return spark.createDataFrame([(i, float(a)) for i, a in enumerate(search.avgMetrics)], "trial int, auc double")
+
+
+@query("m6_batch_scoring")
+def m6_batch_scoring(spark, sf):
+    train, test = event_rows(spark, sf)
+    model = ml.train_event_classifier(train, EVENT_FEATURES, "event_type", "logistic_regression")
+    return ml.score(model, test).select("event_id", "predicted", F.round("confidence", 6).alias("confidence"), F.size("probabilities").alias("classes"))
+
+
+_TREND_SQL = f"""{DAILY_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ds DESC) AS back FROM daily), train AS (SELECT * FROM ranked WHERE back > 7),
+o AS (SELECT series, min(ds) AS origin FROM train GROUP BY 1), timed AS (SELECT train.*, CAST(ds - origin AS DOUBLE) AS t, origin FROM train JOIN o USING (series)),
+fit AS (SELECT series, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept FROM timed GROUP BY 1),
+trended AS (SELECT timed.*, intercept + slope * t AS trend, isodow(ds) - 1 AS wd FROM timed JOIN fit USING (series)),
+weekly AS (SELECT series, wd, avg(y / trend) AS idx FROM trended GROUP BY 1, 2),
+spread AS (SELECT series, stddev_samp(y - trend * idx) AS sigma FROM trended JOIN weekly USING (series, wd) GROUP BY 1)"""
+
+
+def trend_model(spark, sf):
+    split = forecast.time_split(daily(spark, sf), ["series"])
+    return forecast.fit_trend(split.filter("split = 'train'"), ["series"])
+
+
+@query("m7_trend_forecast", f"""WITH {_TREND_SQL}, l AS (SELECT series, max(ds) AS last_ds FROM train GROUP BY 1),
+days AS (SELECT series, CAST(unnest(generate_series(last_ds + 1, last_ds + 7, INTERVAL 1 DAY)) AS DATE) AS ds FROM l)
+SELECT days.series, days.ds, round((intercept + slope * (ds - origin)) * idx, 2) AS forecast, round((intercept + slope * (ds - origin)) * idx - 1.28 * sigma, 2) AS lower_bound
+FROM days JOIN o USING (series) JOIN fit USING (series) JOIN spread USING (series) JOIN weekly ON weekly.series = days.series AND weekly.wd = isodow(days.ds) - 1""")
+def m7_trend_forecast(spark, sf):
+    out = forecast.forecast_range(trend_model(spark, sf), ["series"], F.date_add("last_ds", 1), F.date_add("last_ds", 7))
+    return out.select("series", "ds", F.round("forecast", 2).alias("forecast"), F.round("lower_bound", 2).alias("lower_bound"))
+
+
+@query("m8_smoothing_forecast")
+def m8_smoothing_forecast(spark, sf):
+    return forecast.fit_smoothing(daily(spark, sf), ["series"])
+
+
+@query("m8_mean_forecast", f"""WITH {DAILY_SQL} SELECT series, round(avg(y), 4) AS forecast FROM daily GROUP BY 1""")
+def m8_mean_forecast(spark, sf):
+    return forecast.mean_forecast(daily(spark, sf), ["series"]).withColumn("forecast", F.round("forecast", 4))
+
+
+@query("m9_autoregression_forecast")
+def m9_autoregression_forecast(spark, sf):
+    split = forecast.time_split(daily(spark, sf), ["series"])
+    return forecast.fit_autoregression(split.filter("split = 'train'").select("series", "ds", "y"), ["series"])
+
+
+@query("m10_parameter_search")
+def m10_parameter_search(spark, sf):
+    _, best = forecast.search_parameters(daily(spark, sf), ["series"])
+    return best
+
+
+@query("m11_forecast_range", f"""WITH {_TREND_SQL}, days AS (SELECT series, CAST(unnest(generate_series(DATE '2001-09-01', DATE '2001-09-30', INTERVAL 1 DAY)) AS DATE) AS ds FROM o)
+SELECT days.series, days.ds, round((intercept + slope * (ds - origin)) * idx, 2) AS forecast FROM days JOIN o USING (series) JOIN fit USING (series)
+JOIN weekly ON weekly.series = days.series AND weekly.wd = isodow(days.ds) - 1""")
+def m11_forecast_range(spark, sf):
+    day = lambda d: F.lit(d).cast("date")
+    out = forecast.forecast_range(trend_model(spark, sf), ["series"], day("2001-09-01"), day("2001-09-30"))
+    return out.select("series", "ds", F.round("forecast", 2).alias("forecast"))
+
+
+@query("m12_permutation_importance")
+def m12_permutation_importance(spark, sf):
+    train, test = event_rows(spark, sf)
+    model = ml.train_event_classifier(train, EVENT_FEATURES, "event_type", "random_forest", iterations=20)
+    return ml.permutation_importance(model, test, "event_id", EVENT_FEATURES, ml.accuracy)
+
+
+@query("m12_split_importance")
+def m12_split_importance(spark, sf):
+    train, _ = event_rows(spark, sf)
+    forest = ml.train_event_classifier(train, EVENT_FEATURES, "event_type", "random_forest", iterations=20).stages[-1]
+    rows = [(f, float(v)) for f, v in zip(EVENT_FEATURES, forest.featureImportances.toArray())]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+@query("m13_stage_transitions", f"""WITH {_BASELINE_SQL}, c AS (
+  SELECT run_id, runs.model_name, b_mape IS NULL OR coalesce((b_mape - mape) / nullif(b_mape, 0) * 100 >= 5, false) OR coalesce((b_mse - mse) / nullif(b_mse, 0) * 100 >= 10, false) AS promote
+  FROM runs LEFT JOIN base USING (model_name) WHERE status = 'FINISHED'),
+w AS (SELECT v.model_name, v.version FROM versions v JOIN c ON v.run_id = c.run_id AND v.model_name = c.model_name WHERE promote
+  QUALIFY row_number() OVER (PARTITION BY v.model_name ORDER BY v.version DESC) = 1)
+SELECT v.model_name, v.version, CASE WHEN w.version = v.version THEN 'Staging' WHEN w.version IS NOT NULL AND stage = 'Staging' THEN 'Archived' ELSE stage END AS stage
+FROM versions v LEFT JOIN w ON v.model_name = w.model_name""")
+def m13_stage_transitions(spark, sf):
+    """The newest promoted version of each model moves to staging, what was there is archived."""
+    versions, all_runs = model_versions(spark, sf), runs(spark, sf)
+    decided = registry.promotion_decisions(all_runs.filter("status = 'FINISHED'"), registry.production_baseline(versions, all_runs))
+    winners = versions.join(decided.filter("promote").select("run_id", "model_name"), ["run_id", "model_name"])
+    newest = registry.best_by(winners, ["model_name"], "run_id", "version", largest=True)
+    moves = newest.select("model_name", "version", F.lit("Staging").alias("to_stage"))
+    return registry.transition(versions, moves).select("model_name", "version", "stage")
+
+
+@query("x7_frame_inference", "SELECT event_id, round(0.5 * value - 0.25 * hour(ts) + 1.5, 6) AS prediction FROM events")
+def x7_frame_inference(spark, sf):
+    predict = ml.linear_scorer([0.5, -0.25], 1.5)
+    return events(spark, sf).select("event_id", F.round(predict(F.col("value"), F.hour("ts").cast("double")), 6).alias("prediction"))
+
+
+@query("s17_prediction_export", "SELECT event_id, value, round(0.5 * value + 1.5, 6) AS prediction FROM events")
+def s17_prediction_export(spark, sf):
+    path = scratch_dir(spark, "scored")
+    predict = ml.linear_scorer([0.5], 1.5)
+    events(spark, sf).select("event_id", "value").withColumn("prediction", F.round(predict(F.col("value")), 6)).write.csv(path, header=True)
+    return files.read_csv(spark, path, "event_id long, value double, prediction double")
+
+
+@query("s20_explanation_export", f"""WITH {CONTRIB_SQL} SELECT 'pred_' || doc_id AS prediction_id, any_value(prediction) AS predicted_class, count(*) AS features, round(sum(contribution), 9) AS total
+FROM contrib JOIN p USING (doc_id) GROUP BY doc_id""")
+def s20_explanation_export(spark, sf):
+    """One JSON document per prediction with its contributions, read back."""
+    path = scratch_dir(spark, "explanations")
+    # A row has a fixed, small number of features.
+    items = contributions(spark, sf).groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("feature", "value", F.col("contribution").alias("shap")))).alias("shap_values"))
+    docs = items.join(predictions(spark, sf), "doc_id").select(
+        F.concat(F.lit("pred_"), "doc_id").alias("prediction_id"), F.col("prediction").alias("predicted_class"), "shap_values")
+    docs.write.json(path)
+    stored = spark.read.schema("prediction_id string, predicted_class int, shap_values array<struct<feature:string,value:double,shap:double>>").json(path)
+    total = F.aggregate("shap_values", F.lit(0.0), lambda acc, x: acc + x["shap"])
+    return stored.select("prediction_id", "predicted_class", F.size("shap_values").cast("long").alias("features"), F.round(total, 9).alias("total"))

@@ -65,7 +65,7 @@ def v2_embeddings(spark, sf):
 
 
 @query("v3_l2_normalize", """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 7)) AS v FROM embeddings)
-SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS before, CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE 1.0 END AS after FROM s""")
+SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS before, CAST(CASE WHEN vec_id % 7 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS after FROM s""")
 def v3_l2_normalize(spark, sf):
     """Every seventh vector is the zero vector and stays zero."""
     scaled = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7)).alias("v"))

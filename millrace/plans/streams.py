@@ -65,11 +65,12 @@ def r2_sessions_by_id(spark, sf):
 FROM events GROUP BY 1, 2 HAVING "end" <= {_CLOSED}""")
 def r3_late_records(spark, sf):
     """The same events arrive a second time, behind the watermark, and change no closed window."""
-    folder = scratch_dir(spark, "late")
+    folder, out, checkpoint = (scratch_dir(spark, n) for n in ("late", "late-windows", "late-offsets"))
     for _ in range(2):
         events(spark, sf).coalesce(1).write.mode("append").parquet(folder)
-    stream = stateful.read_event_files(spark, folder, events(spark, sf).schema, "*.parquet", 1)
-    return drained(spark, stateful.windowed_counts(stream, "1 hour"), "late-windows")
+        counts = stateful.windowed_counts(stateful.read_event_files(spark, folder, events(spark, sf).schema, "*.parquet"), "1 hour")
+        sinks.drain(counts.writeStream.format("parquet").outputMode("append").option("path", out), checkpoint)
+    return spark.read.parquet(out).withColumns({c: F.col(c).cast(_NTZ) for c in ("start", "end")})
 
 
 @query("r4_stream_dedupe", "SELECT event_id, user_id, value FROM events")

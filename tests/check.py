@@ -19,23 +19,23 @@ def main() -> int:
     spark = build_session("check", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     prefixes = sys.argv[1:]
     bad = 0
     for name, q in load_all().items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
-        start = time.time()
+        start, notes = time.time(), []
         try:
-            problem = compare(spark, con, q, sf_dir)
+            problem = compare(spark, con, q, sf_dir, notes)
         except Exception as e:  # noqa: BLE001
             problem = f"{type(e).__name__}: {str(e)[:900]}"
             if os.environ.get("TRACE"):
                 traceback.print_exc()
         bad += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {'' if q.oracle else '(rows)'} "
-              f"{problem or ''}", flush=True)
+              f"{problem or ''}{' '.join(notes)}", flush=True)
     print("failures:", bad)
     return bad
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import glob
 import math
-import os
 
 import duckdb
 
@@ -39,19 +37,28 @@ def _cell(v):
     return str(v)
 
 
-def rows_of(columns, rows):
+def rows_of(columns, rows, cell=_cell):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(columns), sorted(tuple(_cell(r[i]) for i in order) for r in rows)
+    return sorted(columns), sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, q, sf_dir: str) -> str | None:
+def _typed(v):
+    """Exact value and type family, to see what only a tolerant comparison hides."""
+    if isinstance(v, dt.datetime):
+        return "ts:" + v.replace(tzinfo=None).isoformat()
+    return f"{type(v).__name__}:{v!r}"
+
+
+def compare(spark, con, q, sf_dir: str, notes: list | None = None) -> str | None:
     """None when equal, else what differs."""
     df = q.run(spark, sf_dir)
-    got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    got_rows = [tuple(r) for r in df.collect()]
+    got_cols, got = rows_of(df.columns, got_rows)
     if q.oracle is None:
         return None if got else "no rows"
     cur = con.execute(q.oracle)
-    want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    want_rows = cur.fetchall()
+    want_cols, want = rows_of([d[0] for d in cur.description], want_rows)
     if got_cols != want_cols:
         return f"columns {got_cols} vs {want_cols}"
     if not want:
@@ -61,4 +68,10 @@ def compare(spark, con, q, sf_dir: str) -> str | None:
         extra = [r for r in got if r not in want_set][:3]
         lost = [r for r in want if r not in got_set][:3]
         return f"rows {len(got)} vs {len(want)}; only spark {extra}; only sql {lost}"
+    if notes is not None:
+        _, g = rows_of(df.columns, got_rows, _typed)
+        _, w = rows_of([d[0] for d in cur.description], want_rows, _typed)
+        if g != w:
+            i = next(i for i, (a, b) in enumerate(zip(g, w)) if a != b)
+            notes.append(f"inexact {sum(a != b for a, b in zip(g, w))}/{len(g)}: {g[i]} vs {w[i]}")
     return None
