@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import checkpointed
 from .ordered import quantiles
 
 # Quantiles of the synthetic rule, the share of returning users below which it applies, cohort names.
@@ -69,6 +70,8 @@ def churn_labels(tx: DataFrame, window_days: int = 7) -> DataFrame:
 
 
 def synthetic_labels(behaviour: DataFrame) -> DataFrame:
+    """Labels by the quantile rule. The per-user table is stored once, as each threshold reads it again."""
+    behaviour = checkpointed(behaviour)
     revenue = quantiles(behaviour, "total_revenue", {"low": LOW_REVENUE_Q, "mid": MID_REVENUE_Q})
     recency = quantiles(behaviour, "days_since_last", {"late": RECENCY_Q})
     cuts = revenue.select(F.struct("low", "mid")).scalar()

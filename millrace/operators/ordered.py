@@ -11,23 +11,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 64
+SPLITS_PER_GROUP = 64
+HOT_GROUP_WEIGHT = 1_000_000  # groups heavier than this are cut
+
+
+def _slice_number(value: Column, cuts: Column, width: int) -> Column:
+    """Number of cuts below a value, by two short scans: over every ``width``-th cut, then inside one stretch."""
+    below = lambda cs: F.size(F.filter(cs, lambda c: c < value))
+    coarse = F.filter(cuts, lambda c, i: (i + 1) % width == 0)
+    found = F.transform(F.array(below(coarse)), lambda n: n * width + below(F.slice(cuts, n * width + 1, width - 1)))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(0))
 
 
 def running_totals(
-    df: DataFrame, order: str, measures: Sequence[str], keys: Sequence[str] = (), splits: int = SPLITS
+    df: DataFrame, order: str, measures: Sequence[str], keys: Sequence[str] = (), splits: int | None = None,
+    hot_weight: int = HOT_GROUP_WEIGHT,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<m>`` by ascending ``order`` and group totals ``total_<m>``.
 
-    ``df`` holds one row per (keys, order): aggregate to distinct order values first.
+    ``df`` holds one row per (keys, order) with non-negative measures: aggregate to distinct order values first. Groups
+    whose measures sum to more than ``hot_weight`` are cut into ``splits`` slices; without keys everything is one group and
+    is always cut, into as many slices as there are shuffle partitions.
     """
     keys = list(keys)
-    cuts = F.percentile_approx(order, [i / splits for i in range(1, splits)], 2000).alias("_cuts")
+    if splits is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        splits = SPLITS_PER_GROUP if keys else min(4096, max(16, partitions))
+    width = max(2, round(splits ** 0.5))
+    # The filter holds for every row. It keeps the measures in all branches, so they share one shuffle of ``df``.
+    for m in measures:
+        df = df.filter(F.col(m) >= 0)
+    cuts = F.percentile_approx(order, [i / splits for i in range(1, splits)], max(2000, 10 * splits)).alias("_cuts")
     if keys:
-        with_cuts = df.join(df.groupBy(*keys).agg(cuts), keys)
+        weight = sum((F.col(f"_w_{m}") for m in measures), F.lit(0))
+        hot = df.groupBy(*keys).agg(*[F.sum(m).alias(f"_w_{m}") for m in measures]).filter(weight > hot_weight).select(*keys)
+        hot_cuts = df.join(hot, keys, "left_semi").groupBy(*keys).agg(cuts)
+        with_cuts = df.join(hot_cuts, keys, "left")
     else:
         with_cuts = df.withColumn("_cuts", df.agg(cuts).scalar())
-    sliced = with_cuts.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    sliced = with_cuts.withColumn("_slice", _slice_number(F.col(order), F.col("_cuts"), width)).drop("_cuts")
 
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

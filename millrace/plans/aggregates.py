@@ -117,10 +117,11 @@ def a13_user_behavior(spark, sf):
 
 
 @query("a14_quantile_thresholds", f"""WITH {TX_SQL}, u AS (SELECT user_id, {esum('total_amount')} AS revenue FROM tx GROUP BY 1)
-SELECT quantile_cont(revenue, 0.35) AS q35, quantile_cont(revenue, 0.5) AS q50, quantile_cont(revenue, 0.65) AS q65 FROM u""")
+SELECT round(quantile_cont(revenue, 0.35), 6) AS q35, round(quantile_cont(revenue, 0.5), 6) AS q50, round(quantile_cont(revenue, 0.65), 6) AS q65 FROM u""")
 def a14_quantile_thresholds(spark, sf):
     per_user = transactions(spark, sf).groupBy("user_id").agg(S.exact_sum(F.col("total_amount")).alias("revenue"))
-    return quantiles(per_user, "revenue", {"q35": 0.35, "q50": 0.5, "q65": 0.65})
+    cuts = quantiles(per_user, "revenue", {"q35": 0.35, "q50": 0.5, "q65": 0.65})
+    return cuts.select(*[F.round(c, 6).alias(c) for c in cuts.columns])
 
 
 @query("a15_value_cohorts", f"""WITH {TX_SQL}, u AS (SELECT user_id, {esum('total_amount')} AS total_revenue FROM tx GROUP BY 1),
