@@ -25,7 +25,7 @@ def _slice_number(value: Column, cuts: Column, width: int) -> Column:
 
 def running_totals(
     df: DataFrame, order: str, measures: Sequence[str], keys: Sequence[str] = (), splits: int | None = None,
-    hot_weight: int = HOT_GROUP_WEIGHT,
+    hot_weight: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<m>`` by ascending ``order`` and group totals ``total_<m>``.
 
@@ -34,6 +34,7 @@ def running_totals(
     is always cut, into as many slices as there are shuffle partitions.
     """
     keys = list(keys)
+    hot_weight = HOT_GROUP_WEIGHT if hot_weight is None else hot_weight
     if splits is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         splits = SPLITS_PER_GROUP if keys else min(4096, max(16, partitions))

@@ -49,19 +49,19 @@ def _typed(v):
     return f"{type(v).__name__}:{v!r}"
 
 
-def compare(spark, con, q, sf_dir: str, notes: list | None = None) -> str | None:
+def compare(spark, con, q, sf_dir: str, notes: list | None = None, allow_empty: bool = False) -> str | None:
     """None when equal, else what differs."""
     df = q.run(spark, sf_dir)
     got_rows = [tuple(r) for r in df.collect()]
     got_cols, got = rows_of(df.columns, got_rows)
     if q.oracle is None:
-        return None if got else "no rows"
+        return None if got or allow_empty else "no rows"
     cur = con.execute(q.oracle)
     want_rows = cur.fetchall()
     want_cols, want = rows_of([d[0] for d in cur.description], want_rows)
     if got_cols != want_cols:
         return f"columns {got_cols} vs {want_cols}"
-    if not want:
+    if not want and not allow_empty:
         return "oracle has no rows"
     if got != want:
         got_set, want_set = set(got), set(want)
