@@ -40,12 +40,9 @@ def unusual_access(audit: DataFrame, as_of: Column, hours: int = 1, limit: int =
 
 
 def write_audited(df: DataFrame, path: str, audit_path: str, actor: str, dataset: str, operation: str = "write") -> None:
-    """Write and append one audit record; the row count is observed on the same pass."""
-    from pyspark.sql import Observation
-
-    seen = Observation(f"rows_{dataset}")
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    record = [(actor, dataset, operation, int(seen.get["n"]), list(df.columns))]
+    """Write a table and append one audit record. The row count comes from the footers of the files just written."""
+    df.write.mode("overwrite").parquet(path)
+    record = [(actor, dataset, operation, df.sparkSession.read.parquet(path).count(), list(df.columns))]
     df.sparkSession.createDataFrame(
         record, "actor string, dataset string, operation string, row_count long, columns array<string>"
     ).write.mode("append").parquet(audit_path)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_half_up
 from .ordered import quantiles
 
 # Drift levels, retraining limits and validation gates.
@@ -48,7 +49,7 @@ def retrain_decision(scores: DataFrame, score: str, threshold: float = DRIFT_ALE
     above = F.col(score) > threshold
     return scores.withColumns({
         "action": F.when(above, "retrain").otherwise("skip"),
-        "reason": F.format_string(f"Drift %.4f %s {threshold}", F.col(score), F.when(above, ">").otherwise("<=")),
+        "reason": F.format_string(f"Drift %.4f %s {threshold}", round_half_up(F.col(score), 4), F.when(above, ">").otherwise("<=")),
         "confidence": F.lit(1.0),
     })
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import round_half_up
 from .ordered import top_per_group
 
 # Improvement in percent that promotes a candidate.
@@ -64,7 +65,7 @@ def promotion_decisions(candidates: DataFrame, baseline: DataFrame) -> DataFrame
     threshold = F.when(F.col("kind") == "mape", MAPE_IMPROVEMENT_PCT).when(F.col("kind") == "mse", MSE_IMPROVEMENT_PCT)
     better = F.coalesce(F.col("improvement") >= threshold, F.lit(False))
     verb = F.when(F.col("kind") == "mape", "improved").otherwise("reduced")
-    text = F.format_string("%s %s by %.2f%% (threshold: %.1f%%)", "key", verb, "improvement", threshold)
+    text = F.format_string("%s %s by %.2f%% (threshold: %.1f%%)", "key", verb, round_half_up(F.col("improvement")), threshold)
     per_run = compared.groupBy("run_id", "model_name").agg(
         F.bool_or(better).alias("_better"),
         F.count("baseline").alias("_known"),

@@ -9,7 +9,7 @@ from ..operators import access, churn, events as E
 from ..operators import features, metrics, offsets, profile, quality, registry
 from ..operators.ordered import index_percentiles, modal_value, quantiles
 from .catalog import query
-from .features_sql import PRODUCT_FEATURES_SQL, USER_FEATURES_SQL, eavg, esum, rnd
+from .features_sql import PRODUCT_FEATURES_SQL, USER_FEATURES_SQL, eavg, esum, r2
 from .joins import LAG_SQL, _BASELINE_SQL
 from .monitoring_sql import ALERTS_SQL
 from .tables import (OFFSETS_SQL, RAW_SQL, RUNS_SQL, TX_SQL, audit_log, committed_offsets, end_offsets, events, model_versions,
@@ -214,8 +214,8 @@ def a31_error_ratio(spark, sf):
     CASE WHEN b_mse > 0 THEN (b_mse - mse) / b_mse * 100 END AS i_mse FROM runs LEFT JOIN base USING (model_name) WHERE status = 'FINISHED')
 SELECT run_id, model_name, b_mape IS NULL OR coalesce(i_mape >= 5, false) OR coalesce(i_mse >= 10, false) AS promote,
   CASE WHEN b_mape IS NULL THEN 'No production baseline - first model' WHEN coalesce(i_mape >= 5, false) OR coalesce(i_mse >= 10, false) THEN
-    concat_ws('; ', CASE WHEN i_mape >= 5 THEN format('mape improved by {{:.2f}}% (threshold: 5.0%)', i_mape) END,
-      CASE WHEN i_mse >= 10 THEN format('mse reduced by {{:.2f}}% (threshold: 10.0%)', i_mse) END) ELSE 'No significant improvement' END AS reason FROM c""")
+    concat_ws('; ', CASE WHEN i_mape >= 5 THEN format('mape improved by {{:.2f}}% (threshold: 5.0%)', {r2('i_mape')}) END,
+      CASE WHEN i_mse >= 10 THEN format('mse reduced by {{:.2f}}% (threshold: 10.0%)', {r2('i_mse')}) END) ELSE 'No significant improvement' END AS reason FROM c""")
 def a32_promotion_decision(spark, sf):
     all_runs = runs(spark, sf)
     base = registry.production_baseline(model_versions(spark, sf), all_runs)

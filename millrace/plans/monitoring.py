@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import alerts, drift, features, metrics
 from ..operators.ordered import index_percentiles
 from .catalog import query
+from .features_sql import rnd
 from .joins import _SEVERE_SQL, severe
 from .monitoring_sql import ALERTS_SQL
 from .tables import events, samples, table
@@ -139,7 +140,7 @@ def daily_drift(spark, sf):
 @query("m15_retrain_decision", f"""WITH {_DAILY_DRIFT_SQL}, a AS (SELECT *, CASE WHEN drift > 0.02 THEN 'retrain' ELSE 'skip' END AS action FROM d),
 c AS (SELECT *, coalesce(sum(CAST(action = 'retrain' AS INTEGER)) OVER (PARTITION BY feature, CAST(ts AS DATE) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS today,
   coalesce(sum(CAST(action = 'retrain' AS INTEGER)) OVER (PARTITION BY feature ORDER BY ts RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND INTERVAL 1 SECOND PRECEDING), 0) AS cooling FROM a)
-SELECT feature, ts, action, format('Drift {{:.4f}} {{}} 0.02', drift, CASE WHEN drift > 0.02 THEN '>' ELSE '<=' END) AS reason, action = 'retrain' AND today < 2 AND cooling = 0 AS allowed FROM c""")
+SELECT feature, ts, action, format('Drift {{:.4f}} {{}} 0.02', {rnd('drift', 4)}, CASE WHEN drift > 0.02 THEN '>' ELSE '<=' END) AS reason, action = 'retrain' AND today < 2 AND cooling = 0 AS allowed FROM c""")
 def m15_retrain_decision(spark, sf):
     decided = drift.retrain_decision(daily_drift(spark, sf), "drift", 0.02)
     return drift.apply_limits(decided, ["feature"], "ts").select("feature", "ts", "action", "reason", "allowed")

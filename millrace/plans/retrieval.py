@@ -18,9 +18,10 @@ def centroid_queries(spark, sf):
 
 
 def document_hits(spark, sf, k):
-    """Top ``k`` documents per query with text and source."""
-    hits = retrieval.search(table(spark, sf, "embeddings"), centroid_queries(spark, sf), k)
+    """Top ``k`` documents per query with text and source. Vectors without a document are not part of the corpus."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), "source")
+    corpus = table(spark, sf, "embeddings").join(docs, "vec_id", "left_semi")
+    hits = retrieval.search(corpus, centroid_queries(spark, sf), k)
     return hits.join(docs, "vec_id").withColumn("query_text", F.concat(F.lit("label "), "query_id"))
 
 
