@@ -132,7 +132,7 @@ def _upserted(spark, stream, keys, name):
     out = scratch_dir(spark, name)
     sinks.drain(stream.writeStream.outputMode("update").foreachBatch(
         lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}")), scratch_dir(spark, f"{name}-offsets"), name)
-    return top_per_group(spark.read.parquet(out), keys, [F.desc("batch_id")], 1).drop("batch_id")
+    return top_per_group(spark.read.parquet(out), keys, [F.desc(F.col("batch_id").cast("int"))], 1).drop("batch_id")
 
 
 @query("r9_user_state", """WITH f AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)

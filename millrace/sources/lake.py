@@ -22,10 +22,11 @@ def write_table(df: DataFrame, path: str, partition_by: str = "dt", mode: str =
     (spread.write.mode(mode).partitionBy(partition_by).option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
-def read_table(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
-    """Partition values stay text. ``merge_schema`` reads tables whose columns grew over time."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
+def read_table(spark: SparkSession, path: str, merge_schema: bool = False, day: str = "dt") -> DataFrame:
+    """The day stays text, as it was written; filters on it still prune partitions. ``merge_schema`` reads tables whose
+    columns grew over time."""
+    df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
+    return df.withColumn(day, F.col(day).cast("string")) if day in df.columns else df
 
 
 def compact_partition(spark: SparkSession, path: str, column: str, value: str, files: int = 1) -> None:

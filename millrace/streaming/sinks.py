@@ -48,11 +48,19 @@ def publish(messages: DataFrame, path: str, files: int | None = None, key: str =
 
 
 def drain(writer, checkpoint: str, name: str | None = None) -> None:
-    """Process everything available, then stop. Offsets and commits live in ``checkpoint``."""
-    writer = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if name:
-        writer = writer.queryName(name)
-    query = writer.start()
+    """Process everything available, then stop. Offsets and commits live in ``checkpoint``.
+
+    A stateful query keeps one state store per shuffle partition and commits all of them in every batch, and the number is
+    fixed by its first run. It is therefore bounded by twice the cores of the cluster.
+    """
+    spark = SparkSession.getActiveSession()
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", min(configured, max(8, 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        writer = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query = (writer.queryName(name) if name else writer).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", configured)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
@@ -72,7 +80,8 @@ def write_batch(batch: DataFrame, batch_id: int, table_path: str, topic_path: st
     """Both sinks of one micro-batch, computed once. Replaying the batch replaces what it wrote before."""
     batch.persist()
     try:
-        (batch.select(*E.STREAM_COLUMNS, F.lit(batch_id).alias("batch_id")).write.mode("overwrite")
+        # One shuffle of the micro-batch by day instead of a small file per task and day.
+        (batch.select(*E.STREAM_COLUMNS, F.lit(batch_id).alias("batch_id")).hint("rebalance", "dt").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "dt").parquet(table_path))
         E.canonical_messages(batch).write.mode("overwrite").json(f"{topic_path}/batch_id={batch_id}")
     finally:
@@ -120,5 +129,5 @@ def run_recent_feed(stream: DataFrame, path: str, checkpoint: str, order: Sequen
 
 
 def read_latest_batch(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(path)
+    stored = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("int"))
     return stored.filter(F.col("batch_id") == stored.agg(F.max("batch_id")).scalar()).drop("batch_id")
