@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import quality
+from . import blockjoin, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,23 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op2_block_matrix_join", """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.embedding) = len(c.embedding))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
+""")
+def op2(spark, sf_dir):
+    vectors = blockjoin.usable(table(spark, sf_dir, "embeddings"))
+    return blockjoin.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op10_quality_rules")
 def op10(spark, sf_dir):
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
