@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a query group and of a candidate group: a tile holds this many vectors of each side, whatever the table's size.
-QUERY_ROWS, CANDIDATE_ROWS = 1024, 16_384
+QUERY_ROWS, CANDIDATE_ROWS = 1024, 8192
 #: Candidates multiplied at once inside a tile.
 BLOCK_ROWS = 2048
 #: Vector pairs computed again at once.
@@ -110,7 +110,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, query_rows: int
     q_groups, c_groups = max(1, -(-n_queries // query_rows)), max(1, -(-n // candidate_rows))
 
     def dealt(df, groups, other, mine, theirs):
-        group = F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).alias(mine)
+        group = F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias(mine)
         return df.select("dim", "vec_id", "v", group, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
 
     queries = dealt(vectors.filter(is_query), q_groups, c_groups, "qg", "cg")
