@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import blockjoin, quality
+from . import blockjoin, quality, simple8b
 from .common import table
+from .tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,7 +33,7 @@ def query(name: str, oracle: str | None = None):
 WITH v AS (
   SELECT DISTINCT vec_id, embedding FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
@@ -45,6 +46,11 @@ def op2(spark, sf_dir):
     return blockjoin.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op8_token_files")
+def op8(spark, sf_dir):
+    return simple8b.token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 @query("op10_quality_rules")
 def op10(spark, sf_dir):
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

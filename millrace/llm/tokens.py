@@ -17,6 +17,7 @@ from .common import SPACE, Texts
 #: Words kept by one worker: two generations, the older one is dropped when the newer one is full.
 CACHE_WORDS = 240_000
 _JOINED = 256
+_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -64,12 +65,19 @@ class Encoder:
     def has_special(self, text: bytes) -> bool:
         return any(s in text for s in self.special)
 
+    @staticmethod
+    def _apart(piece: bytes) -> bool:
+        """Whether a line feed before and after a piece leaves its pre-tokens alone."""
+        text = piece.decode("utf-8", "replace")
+        return not text[-1:].isspace() and not (text[:1].isspace() and (text[0] != " " or text[1:2].isspace()))
+
     def _encode(self, items: list[bytes], separator: bytes, sep_id: int | None) -> None:
         """Put the ids of new words into the cache. Plain ones are encoded many at a time around a separator of one known id."""
         plain, rest = [], items
         if sep_id is not None:
             mark = separator.strip(b" ")
-            plain = [w for w in items if mark not in w and w.isascii() and w[-1:].isalnum() and (len(w) < 2 or not w[1:2].isspace())]
+            alone = self._apart if self.by_pieces else (lambda w: True)
+            plain = [w for w in items if mark not in w and alone(w)]
             taken = set(plain)
             rest = [w for w in items if w not in taken]
         for at in range(0, len(plain), _JOINED):
@@ -103,7 +111,14 @@ class Encoder:
                 unknown.append(w)
             else:
                 self.new[w] = known
-        if unknown:
+        if unknown and self.by_words:
+            # A mark after a letter is a pre-token of its own.
+            ends = {w for w in unknown if w[-1:] in _MARKS and w[-2:-1].isalpha()}
+            parts = {w[:-1] for w in ends} | {w[-1:] for w in ends}
+            self._encode([w for w in parts.union(unknown) if w not in ends and w not in self.new], separator, sep_id)
+            for w in ends:
+                self.new[w] = self.new[w[:-1]] + self.new[w[-1:]]
+        elif unknown:
             self._encode(unknown, separator, sep_id)
         return self.new
 
@@ -146,7 +161,8 @@ def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inner = at < n - 1
         a = data[at[inner] + 1]
         after[inner] = _SAFE[a] | _LETTER_LEAD[a]
-        # Across a text's edge there is a cut anyway.
+        after &= ~cut[at + 1]  # so far, cuts are the texts' edges
+        before &= ~cut[at]
         cut[at[before | after]] = True
         cut[at[after & (data[at] != 32)] + 1] = True
     edges = np.flatnonzero(cut)
