@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import blockjoin, quality, simple8b
+from . import blockjoin, packing, quality, simple8b
 from .common import table
 from .tokens import tokenizer_path
 
@@ -46,6 +46,11 @@ def op2(spark, sf_dir):
     return blockjoin.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op5_cutting_stock_packing")
+def op5(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 @query("op8_token_files")
 def op8(spark, sf_dir):
     return simple8b.token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
