@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import blockjoin, packing, quality, simple8b
+from . import blockjoin, packing, quality, simple8b, tokencounts
 from .common import table
 from .tokens import tokenizer_path
 
@@ -51,6 +51,11 @@ def op5(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+@query("op7_two_tier_token_counts")
+def op7(spark, sf_dir):
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
 @query("op8_token_files")
 def op8(spark, sf_dir):
     return simple8b.token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)

@@ -62,6 +62,9 @@ class Encoder:
         """The library's ids of a text as little-endian unsigned 32-bit integers."""
         return np.array(self._ids(text.decode("utf-8", "replace")), "<u4").tobytes()
 
+    def count(self, text: bytes) -> int:
+        return len(self._ids(text.decode("utf-8", "replace")))
+
     def has_special(self, text: bytes) -> bool:
         return any(s in text for s in self.special)
 
