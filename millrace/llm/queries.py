@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import blockjoin, packing, quality, simple8b, tokencounts
+from . import blockjoin, packing, quality, sigtree, simple8b, tokencounts
 from .common import table
 from .tokens import tokenizer_path
 
@@ -29,6 +29,11 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_signature_tree_join")
+def op1(spark, sf_dir):
+    return sigtree.jaccard_components(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 @query("op2_block_matrix_join", """
 WITH v AS (
   SELECT DISTINCT vec_id, embedding FROM embeddings
