@@ -36,6 +36,7 @@ BLOCK_IDS = 1 << 16
 SELECTORS = [(1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNTS = np.array([n for n, _ in SELECTORS])
 _LIMITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_WIDTH = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
 
 def pack(values: np.ndarray) -> np.ndarray:
@@ -45,7 +46,7 @@ def pack(values: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     padded = np.zeros(n + 64, np.uint64)
     padded[:n] = values
-    width = np.searchsorted(_LIMITS, padded, side="right").astype(np.uint8)
+    width = _WIDTH[padded] if n and values.max() < len(_WIDTH) else np.searchsorted(_LIMITS, padded, side="right").astype(np.uint8)
     widest = {1: width}
     for k in (1, 2, 4, 8, 16):  # widest[k][i]: most bits among the k values from i on
         w = widest[k]
@@ -56,7 +57,7 @@ def pack(values: np.ndarray) -> np.ndarray:
         k = 1 << (count.bit_length() - 1)
         w = np.maximum(widest[k][:n], widest[k][count - k : count - k + n])
         selector[w <= bits] = s
-    steps, at, places = _COUNTS[selector].tolist(), 0, []
+    steps, at, places = _COUNTS[selector].astype(np.uint8).tobytes(), 0, []
     while at < n:
         places.append(at)
         at += steps[at]
@@ -108,14 +109,15 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def encode_block(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, null_ids: np.ndarray) -> bytes:
-    distinct, back, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank = np.empty(len(order), np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
-    words = pack(rank[back])
+    often = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)  # as long as the vocabulary at most
+    distinct = np.flatnonzero(often)
+    distinct = distinct[np.argsort(-often[distinct], kind="stable")]
+    rank = np.zeros(len(often), np.uint64)
+    rank[distinct] = np.arange(len(distinct), dtype=np.uint64)
+    words = pack(rank[ids])
     head = struct.pack("<4Q", len(doc_ids), len(ids), len(distinct), len(words))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), null_ids.astype("u1").tobytes(), lengths.astype("<u8").tobytes(),
-                     distinct[order].astype("<u8").tobytes(), words.astype("<u8").tobytes()])
+                     distinct.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
 
 
 def decode_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
