@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import blockjoin, packing, quality, sigtree, simple8b, tokencounts
+from . import blockjoin, packing, quality, recompression, sigtree, simple8b, tokencounts
 from .common import table
 from .tokens import tokenizer_path
 
@@ -66,6 +66,11 @@ def op8(spark, sf_dir):
     return simple8b.token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+@query("op9_recompression_dedup")
+def op9(spark, sf_dir):
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+
+
 @query("op10_quality_rules")
 def op10(spark, sf_dir):
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
