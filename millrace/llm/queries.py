@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import blockjoin, packing, quality, recompression, sigtree, simple8b, tokencounts
+from . import blockjoin, linededup, mixing, packing, quality, recompression, sigtree, simple8b, tokencounts
 from .common import table
 from .tokens import tokenizer_path
 
@@ -51,6 +51,18 @@ def op2(spark, sf_dir):
     return blockjoin.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op3_temperature_mixing", mixing.mixing_sql())
+def op3(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "mix_tokens", "mix_epoch", "mix_block", "mix_place")
+
+
+@query("op4_line_dedup", linededup.line_sql())
+def op4(spark, sf_dir):
+    cleaned = linededup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
 @query("op5_cutting_stock_packing")
 def op5(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
