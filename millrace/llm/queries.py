@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import blockjoin, linededup, mixing, packing, quality, recompression, sigtree, simple8b, tokencounts
+from . import blockjoin, linededup, mixing, packing, quality, recompression, sigtree, simple8b, tokencounts, urlfilter
 from .common import table
 from .tokens import tokenizer_path
 
@@ -68,6 +68,11 @@ def op5(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+@query("op6_redirect_equivalence")
+def op6(spark, sf_dir):
+    return urlfilter.judge_pages(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, urlfilter.RULES))
+
+
 @query("op7_two_tier_token_counts")
 def op7(spark, sf_dir):
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
