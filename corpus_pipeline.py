@@ -1,11 +1,17 @@
-"""A training-data pipeline over ``documents``: each stage takes (spark, docs, sf_dir) and works on what the last one wrote."""
+"""A training-data pipeline over ``documents``: quality rules, line dedup, near-duplicate removal, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on what the stage before wrote, and its decisions take effect; all but the last return
+the columns of ``documents``. ``n_chars`` is kept in step with the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import quality
+from millrace.llm import linededup, mixing, packing, quality, sigtree
 from millrace.llm.common import stored, table
+from millrace.llm.tokens import tokenizer_path
 from millrace.session import pin_utc
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -16,9 +22,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs.select(*COLUMNS), table(pin_utc(spark), sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their source's boilerplate lines; no document is dropped."""
+    cleaned = linededup.drop_boilerplate(docs.select(*COLUMNS))
+    changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", changed).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity 0.75, the smallest doc_id stays."""
+    return sigtree.one_of_each_group(docs.select(*COLUMNS))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, a row for each epoch a document takes part in."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("ngram_jaccard_join", near_duplicate_stage),
+          ("source_mixing", mixing_stage), ("packing", packing_stage)]
 
-#: No SQL: the quality rules fit a model. The tests compare the stages with brute force.
+#: No SQL: the quality rules fit a model and packing uses a tokenizer. The tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
