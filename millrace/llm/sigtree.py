@@ -15,7 +15,8 @@
 No step emits pairs within a group; only verified links of a spanning forest leave a task.
 
 Edge cases: null or empty texts, or texts without words, have an empty set and are linked with nothing; fewer words than a shingle
-give one shingle of all words; equal rows form one class; null doc_ids are kept with a null component and link nothing; an empty
+give one shingle of all words; equal rows form one class; a null doc_id is kept, gives no link and has the component of a
+class with an equal set, or null; an empty
 table gives no rows; other columns are ignored.
 """
 
