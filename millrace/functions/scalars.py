@@ -9,9 +9,13 @@ from pyspark.sql import types as T
 UUID_PATTERN = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
+# Fixed value: a full calendar day, and optionally a time of day with a zone.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+
+
 def iso_timestamp(text: Column) -> Column:
-    """ISO text -> timestamp; unparseable text is NULL instead of an ANSI error."""
-    return F.try_to_timestamp(text)
+    """Full ISO text -> timestamp. Unparseable or partial text ("12:30", "2024", "2024-1-5") is NULL, whatever the day of the run."""
+    return F.when(text.rlike(ISO_TIME), F.try_to_timestamp(text))
 
 
 def partition_day(ts: Column) -> Column:
@@ -36,17 +40,18 @@ def line_total(price: Column, quantity: Column) -> Column:
     return F.round(price * quantity, 2)
 
 
-def money(value: Column) -> Column:
-    """Exact addend: sums of it do not depend on the order of partitions."""
-    return value.cast("decimal(18,4)")
+def stable(result: Column) -> Column:
+    """A result in twelve significant digits: what is left of sums whose last bits depend on the order of partitions."""
+    return F.when(result.isNotNull(), F.format_string("%.11e", result).cast("double"))
 
 
-def exact_sum(value: Column) -> Column:
-    return F.sum(money(value)).cast("double")
+def stable_sum(value: Column) -> Column:
+    """Sum of doubles of any size; only the result is rounded."""
+    return stable(F.sum(value.cast("double")))
 
 
-def exact_avg(value: Column) -> Column:
-    return F.try_divide(exact_sum(value), F.count(value))
+def stable_avg(value: Column) -> Column:
+    return stable(F.avg(value.cast("double")))
 
 
 def round_half_up(value: Column, digits: int = 2) -> Column:

@@ -120,13 +120,19 @@ def route(alerts: DataFrame, routes=ROUTES) -> DataFrame:
     return alerts.withColumn("receiver", F.explode(F.array_distinct(receivers)))
 
 
-def notifications(alerts: DataFrame, repeat_seconds: int = REPEAT_SECONDS) -> DataFrame:
-    """Groups by name, job and severity, repeated at most every four hours from the first time of the group."""
+def notifications(alerts: DataFrame, repeat_seconds: int = REPEAT_SECONDS, step_seconds: int = 3600) -> DataFrame:
+    """Groups by name, job and severity, repeated at most every four hours within a run.
+
+    A step without an alert of the group ends the run; an alert after it is sent at once.
+    """
     groups = alerts.groupBy("alertname", "job", "severity", "ts").agg(F.count("*").alias("alerts"))
-    first = F.min("ts").over(Window.partitionBy("alertname", "job", "severity"))
+    by_time = Window.partitionBy("alertname", "job", "severity").orderBy("ts")
+    gap = F.timestamp_diff("SECOND", F.lag("ts").over(by_time), F.col("ts"))
+    runs = groups.withColumn("_new", F.when(gap <= step_seconds, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by_time))
+    first = F.min("ts").over(Window.partitionBy("alertname", "job", "severity", "_run"))
     slot = F.floor(F.timestamp_diff("SECOND", first, F.col("ts")) / repeat_seconds)
-    return groups.withColumn("slot", slot).groupBy("alertname", "job", "severity", "slot").agg(
-        F.min("ts").alias("sent_at"), F.max("alerts").alias("alerts"))
+    return runs.withColumn("slot", slot).groupBy("alertname", "job", "severity", "_run", "slot").agg(
+        F.min("ts").alias("sent_at"), F.max("alerts").alias("alerts")).drop("_run")
 
 
 def report_message(sections: Column) -> Column:

@@ -20,10 +20,10 @@ def user_behavior(tx: DataFrame, ref_date: Column, with_region: bool = False) ->
     first, last = F.min("event_timestamp"), F.max("event_timestamp")
     aggregates = [
         F.count("event_id").alias("transaction_count"),
-        S.exact_sum(F.col("total_amount")).alias("total_revenue"),
-        S.exact_avg(F.col("total_amount")).alias("avg_revenue"),
+        S.stable_sum(F.col("total_amount")).alias("total_revenue"),
+        S.stable_avg(F.col("total_amount")).alias("avg_revenue"),
         F.coalesce(F.stddev_samp("total_amount"), F.lit(0.0)).alias("std_revenue"),
-        S.exact_avg(F.col("price")).alias("avg_price"),
+        S.stable_avg(F.col("price")).alias("avg_price"),
         F.max("price").alias("max_price"), F.min("price").alias("min_price"),
         F.sum("quantity").alias("total_quantity"), F.avg("quantity").alias("avg_quantity"),
         F.timestamp_diff("DAY", first, ref_date).alias("days_since_first"),

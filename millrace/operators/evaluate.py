@@ -66,8 +66,10 @@ def binary_metrics(df: DataFrame, keys: Sequence[str] = (), label: str = "label"
 
 
 def _score_totals(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
-    per_score = df.groupBy(*keys, score).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
+    """Labels are 0 or 1; any other stops the job. Rows without a label or a score are not judged."""
+    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    y = F.when(F.col(label).isin(0, 1), F.col(label).cast("long")).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("long"))
+    per_score = known.groupBy(*keys, score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     return running_totals(per_score, score, ["pos", "neg"], keys)
 
 

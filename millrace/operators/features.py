@@ -29,8 +29,8 @@ def user_features(tx: DataFrame, as_of: Column, lookback_days: int = 30, fallbac
     window = lookback(tx, as_of, lookback_days, fallback=fallback).filter(F.col("user_id").isNotNull())
     since = F.timestamp_diff("DAY", F.max("event_timestamp"), as_of)
     return window.groupBy("user_id").agg(
-        S.round_half_up(S.exact_sum(F.col("total_amount"))).alias("user_total_spend_30d"),
-        S.round_half_up(S.exact_avg(F.col("total_amount"))).alias("user_avg_order_value"),
+        S.round_half_up(S.stable_sum(F.col("total_amount"))).alias("user_total_spend_30d"),
+        S.round_half_up(S.stable_avg(F.col("total_amount"))).alias("user_avg_order_value"),
         S.round_half_up(F.avg("quantity")).alias("user_avg_quantity"),
         F.sum("quantity").alias("user_total_quantity_30d"),
         F.count("event_id").alias("user_transaction_count_30d"),
@@ -45,11 +45,11 @@ def product_features(tx: DataFrame, as_of: Column, lookback_days: int = 30, fall
     window = lookback(tx, as_of, lookback_days, fallback=fallback).filter(F.col("product_id").isNotNull())
     window = window.withColumn("_region", S.region_of(F.col("location")))
     base = window.groupBy("product_id").agg(
-        S.round_half_up(S.exact_avg(F.col("price"))).alias("product_avg_price_30d"),
+        S.round_half_up(S.stable_avg(F.col("price"))).alias("product_avg_price_30d"),
         S.round_half_up(F.min("price")).alias("product_min_price_30d"),
         S.round_half_up(F.max("price")).alias("product_max_price_30d"),
         F.sum("quantity").alias("product_total_sales_30d"),
-        S.round_half_up(S.exact_sum(F.col("total_amount"))).alias("product_total_revenue_30d"),
+        S.round_half_up(S.stable_sum(F.col("total_amount"))).alias("product_total_revenue_30d"),
         F.countDistinct("user_id").alias("product_unique_buyers_30d"),
         S.round_half_up(F.avg("quantity")).alias("product_avg_quantity_per_order"),
         F.count("product_id").alias("product_transaction_count_30d"),

@@ -66,12 +66,17 @@ def distribution_shift(samples: DataFrame, value: str = "gauge", series: str = "
     hour = 3600
     v = F.col(value)
     per_hour = samples.groupBy(series, step_of(ts, hour).alias("step")).agg(
-        F.count(v).alias("n"), S.exact_sum(v).alias("s"), S.exact_sum(v * v).alias("ss"))
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"))
+    # Moments are taken from the series' least hourly mean, so large values with small spread keep their digits.
+    centred = F.col("mean") - F.min("mean").over(Window.partitionBy(series))
+    moments = per_hour.withColumn("c", centred).withColumns({
+        "s": F.col("n") * F.col("c"), "ss": F.col("n") * (F.col("variance") + F.col("c") * F.col("c"))})
     day_before = Window.partitionBy(series).orderBy(F.unix_seconds(F.col("step").cast("timestamp"))).rangeBetween(-24 * hour, -hour)
     n, s, ss = (F.sum(c).over(day_before) for c in ("n", "s", "ss"))
-    mean = s / n
-    deviation = F.sqrt(F.greatest(ss / n - mean * mean, F.lit(0.0)))
-    shift = F.try_divide(F.abs(F.col("s") / F.col("n") - mean), deviation)
+    before = s / n
+    deviation = F.sqrt(F.greatest(ss / n - before * before, F.lit(0.0)))
+    shift = F.try_divide(F.abs(F.col("c") - before), deviation)
+    per_hour = moments
     return per_hour.withColumn("shift", shift).select(series, "step", "shift", (F.coalesce(F.col("shift"), F.lit(0.0)) > SHIFT_THRESHOLD).alias("shifted"))
 
 

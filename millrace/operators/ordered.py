@@ -39,9 +39,11 @@ def running_totals(
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         splits = SPLITS_PER_GROUP if keys else min(4096, max(16, partitions))
     width = max(2, round(splits ** 0.5))
-    # The filter holds for every row. It keeps the measures in all branches, so they share one shuffle of ``df``.
+    # No row is dropped: a negative measure stops the job, a missing one counts as nothing. The check keeps the measures in all
+    # branches, so they share one shuffle of ``df``.
     for m in measures:
-        df = df.filter(F.col(m) >= 0)
+        df = df.withColumn(m, F.coalesce(m, F.lit(0))).filter(
+            F.when(F.col(m) < 0, F.raise_error(F.lit(f"negative measure {m}")).cast("boolean")).otherwise(True))
     cuts = F.percentile_approx(order, [i / splits for i in range(1, splits)], max(2000, 10 * splits)).alias("_cuts")
     if keys:
         weight = sum((F.col(f"_w_{m}") for m in measures), F.lit(0))

@@ -13,7 +13,7 @@ from .ordered import quantiles
 
 def daily_series(df: DataFrame, ts: str, amount: Column, keys: Sequence[str] = ()) -> DataFrame:
     """``ds, y, transaction_count`` per day (and series)."""
-    return df.groupBy(*keys, F.to_date(ts).alias("ds")).agg(S.exact_sum(amount).alias("y"), F.count("*").alias("transaction_count"))
+    return df.groupBy(*keys, F.to_date(ts).alias("ds")).agg(S.stable_sum(amount).alias("y"), F.count("*").alias("transaction_count"))
 
 
 def kpi_row(tx: DataFrame, approximate: bool = False) -> DataFrame:
@@ -21,8 +21,8 @@ def kpi_row(tx: DataFrame, approximate: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct if approximate else F.countDistinct
     median = quantiles(tx, "total_amount", {"m": 0.5}).scalar()
     base = tx.agg(
-        F.count("*").alias("total_transactions"), S.exact_sum(F.col("total_amount")).alias("total_revenue"),
-        S.exact_avg(F.col("total_amount")).alias("avg_revenue"), F.max("total_amount").alias("max_revenue"),
+        F.count("*").alias("total_transactions"), S.stable_sum(F.col("total_amount")).alias("total_revenue"),
+        S.stable_avg(F.col("total_amount")).alias("avg_revenue"), F.max("total_amount").alias("max_revenue"),
         distinct("user_id").alias("unique_users"), distinct("product_id").alias("unique_products"),
         distinct("location").alias("unique_locations"), F.avg("quantity").alias("avg_items"),
         F.min("event_timestamp").alias("first_event"), F.max("event_timestamp").alias("last_event"))
@@ -33,15 +33,15 @@ def kpi_row(tx: DataFrame, approximate: bool = False) -> DataFrame:
 def breakdown(tx: DataFrame, by: str) -> DataFrame:
     """Count, revenue and share of all rows per value, largest revenue first."""
     grouped = tx.groupBy(by).agg(
-        F.count("*").alias("transactions"), S.exact_sum(F.col("total_amount")).alias("revenue"),
-        S.exact_avg(F.col("total_amount")).alias("avg_revenue"))
+        F.count("*").alias("transactions"), S.stable_sum(F.col("total_amount")).alias("revenue"),
+        S.stable_avg(F.col("total_amount")).alias("avg_revenue"))
     share = F.col("transactions") / tx.agg(F.count("*")).scalar() * 100
     return grouped.withColumn("share_pct", share).orderBy(F.desc("revenue"), by)
 
 
 def daily_trends(tx: DataFrame, ts: str = "event_timestamp") -> DataFrame:
     return tx.groupBy(F.to_date(ts).alias("date")).agg(
-        F.count("*").alias("transactions"), S.exact_sum(F.col("total_amount")).alias("revenue"), F.countDistinct("user_id").alias("users"))
+        F.count("*").alias("transactions"), S.stable_sum(F.col("total_amount")).alias("revenue"), F.countDistinct("user_id").alias("users"))
 
 
 def value_counts(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def describe(df: DataFrame, value: str) -> DataFrame:
     quartiles = quantiles(df, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     q = quartiles.select(F.struct("p25", "p50", "p75")).scalar()
-    moments = df.agg(F.count(value).alias("count"), S.exact_avg(F.col(value)).alias("mean"), F.stddev_samp(value).alias("std"),
+    moments = df.agg(F.count(value).alias("count"), S.stable_avg(F.col(value)).alias("mean"), F.stddev_samp(value).alias("std"),
                      F.min(value).alias("min"), F.max(value).alias("max"))
     return moments.select("*", q["p25"].alias("p25"), q["p50"].alias("p50"), q["p75"].alias("p75"))
 
@@ -94,7 +94,7 @@ def live_kpis(events: DataFrame, as_of: Column, newest: int = 100) -> DataFrame:
     pairs = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
     pairs.append(F.struct(F.lit("events_per_sec").alias("metric"), (F.col("events_1m") / 60).alias("value")))
     recent = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(newest)
-    average = recent.agg(F.lit("avg_price").alias("metric"), S.exact_avg(F.nullif(F.col("value"), F.lit(0.0))).alias("value"))
+    average = recent.agg(F.lit("avg_price").alias("metric"), S.stable_avg(F.nullif(F.col("value"), F.lit(0.0))).alias("value"))
     types = recent.groupBy(F.concat(F.lit("type_"), "event_type").alias("metric")).agg(F.count("*").cast("double").alias("value"))
     return counts.select(F.inline(F.array(*pairs))).unionByName(average).unionByName(types)
 

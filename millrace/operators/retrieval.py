@@ -79,6 +79,7 @@ def _row_blocks(batch: pd.DataFrame, queries: int) -> Iterator[pd.DataFrame]:
 
 def _best_per_query(best: pd.DataFrame | None, scores: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """Running top ``k`` per query. Everything at or above the k-th score is kept until ties are settled by id."""
+    scores = np.where(np.isfinite(scores), scores, -np.inf)  # NaN must not take the place of a hit
     if len(items) > k:
         floor = np.partition(scores, len(items) - k, axis=0)[len(items) - k]
         rows, cols = np.nonzero((scores >= floor[None, :]) & np.isfinite(scores))

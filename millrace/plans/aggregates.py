@@ -119,7 +119,7 @@ def a13_user_behavior(spark, sf):
 @query("a14_quantile_thresholds", f"""WITH {TX_SQL}, u AS (SELECT user_id, {esum('total_amount')} AS revenue FROM tx GROUP BY 1)
 SELECT round(quantile_cont(revenue, 0.35), 6) AS q35, round(quantile_cont(revenue, 0.5), 6) AS q50, round(quantile_cont(revenue, 0.65), 6) AS q65 FROM u""")
 def a14_quantile_thresholds(spark, sf):
-    per_user = transactions(spark, sf).groupBy("user_id").agg(S.exact_sum(F.col("total_amount")).alias("revenue"))
+    per_user = transactions(spark, sf).groupBy("user_id").agg(S.stable_sum(F.col("total_amount")).alias("revenue"))
     cuts = quantiles(per_user, "revenue", {"q35": 0.35, "q50": 0.5, "q65": 0.65})
     return cuts.select(*[F.round(c, 6).alias(c) for c in cuts.columns])
 
@@ -128,7 +128,7 @@ def a14_quantile_thresholds(spark, sf):
 q AS (SELECT quantile_cont(total_revenue, 1.0 / 3) AS a, quantile_cont(total_revenue, 2.0 / 3) AS b FROM u)
 SELECT user_id, total_revenue, CASE WHEN total_revenue <= a THEN 'Low Value' WHEN total_revenue <= b THEN 'Medium Value' ELSE 'High Value' END AS user_cohort FROM u, q""")
 def a15_value_cohorts(spark, sf):
-    per_user = transactions(spark, sf).groupBy("user_id").agg(S.exact_sum(F.col("total_amount")).alias("total_revenue"))
+    per_user = transactions(spark, sf).groupBy("user_id").agg(S.stable_sum(F.col("total_amount")).alias("total_revenue"))
     return churn.value_cohorts(per_user, "total_revenue")
 
 

@@ -15,11 +15,11 @@ def rnd(x: str, digits: int) -> str:
 
 
 def esum(x: str) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,4))) AS DOUBLE)"
+    return f"CAST(printf('%.11e', CAST(sum(CAST({x} AS DOUBLE)) AS DOUBLE)) AS DOUBLE)"
 
 
 def eavg(x: str) -> str:
-    return f"({esum(x)} / count({x}))"
+    return f"CAST(printf('%.11e', CAST(avg(CAST({x} AS DOUBLE)) AS DOUBLE)) AS DOUBLE)"
 
 
 AS_OF = "(SELECT max(o_orderdate) FROM orders)"

@@ -78,7 +78,7 @@ fav AS (SELECT user_id, channel FROM (SELECT user_id, channel, count(*) AS n FRO
 SELECT user_id, spend, channel FROM agg LEFT JOIN fav USING (user_id)""")
 def j4_aggregate_with_mode(spark, sf):
     tx = transactions(spark, sf)
-    spend = tx.groupBy("user_id").agg(S.round_half_up(S.exact_sum(F.col("total_amount"))).alias("spend"))
+    spend = tx.groupBy("user_id").agg(S.round_half_up(S.stable_sum(F.col("total_amount"))).alias("spend"))
     return spend.join(modal_value(tx, ["user_id"], "channel").drop("n"), "user_id", "left")
 
 

@@ -18,7 +18,7 @@ def metric_frame(spark, sf):
     """Hourly metrics per event type, long form."""
     v = F.col("value")
     hourly = events(spark, sf).groupBy(metrics.step_of("ts", 3600).alias("ts"), F.col("event_type").alias("series")).agg(
-        F.count("*").cast("double").alias("n"), F.max(v).alias("mx"), F.count(F.when(v > 40, 1)).alias("err"), S.exact_avg(v).alias("mean"))
+        F.count("*").cast("double").alias("n"), F.max(v).alias("mx"), F.count(F.when(v > 40, 1)).alias("err"), S.stable_avg(v).alias("mean"))
     off = F.abs(F.col("mean") - 50) / 100
     values = {
         "prediction_p99_seconds": F.col("mx") / 50, "prediction_error_ratio": F.col("err") / F.col("n"), "model_drift_score": off,
@@ -84,8 +84,10 @@ def l5_freshness(spark, sf):
   SELECT * FROM s WHERE NOT (severity = 'warning' AND EXISTS (SELECT 1 FROM s c WHERE c.severity = 'critical' AND c.alertname = s.alertname AND c.job = s.job AND c.ts = s.ts))
   AND NOT (alertname <> 'ServiceDown' AND EXISTS (SELECT 1 FROM s d WHERE d.alertname = 'ServiceDown' AND d.job = s.job AND d.ts = s.ts))),
 g AS (SELECT alertname, job, severity, ts, count(*) AS n FROM k GROUP BY ALL),
-f AS (SELECT *, CAST(floor((epoch(ts) - epoch(min(ts) OVER (PARTITION BY alertname, job, severity))) / 14400) AS BIGINT) AS slot FROM g)
-SELECT alertname, job, severity, slot, min(ts) AS sent_at, max(n) AS alerts FROM f GROUP BY ALL""")
+e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY alertname, job, severity ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM g),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY alertname, job, severity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e),
+f AS (SELECT *, CAST(floor((epoch(ts) - epoch(min(ts) OVER (PARTITION BY alertname, job, severity, run))) / 14400) AS BIGINT) AS slot FROM r)
+SELECT alertname, job, severity, slot, min(ts) AS sent_at, max(n) AS alerts FROM f GROUP BY alertname, job, severity, run, slot""")
 def l6_notifications(spark, sf):
     return alerts.notifications(alerts.inhibit(severe(spark, sf)))
 
@@ -134,7 +136,7 @@ _DAILY_DRIFT_SQL = """d AS (SELECT event_type AS feature, date_trunc('day', ts)
 
 def daily_drift(spark, sf):
     return events(spark, sf).groupBy(F.col("event_type").alias("feature"), metrics.step_of("ts", 86400).alias("ts")).agg(
-        (F.abs(S.exact_avg(F.col("value")) - 50) / 100).alias("drift"))
+        (F.abs(S.stable_avg(F.col("value")) - 50) / 100).alias("drift"))
 
 
 @query("m15_retrain_decision", f"""WITH {_DAILY_DRIFT_SQL}, a AS (SELECT *, CASE WHEN drift > 0.02 THEN 'retrain' ELSE 'skip' END AS action FROM d),

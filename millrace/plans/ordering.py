@@ -39,13 +39,19 @@ def t4_page(spark, sf):
     return page.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / 50))
 
 
-@query("t4_keyset_page", """WITH page AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50)
-SELECT event_id, ts FROM events, (SELECT min(ts) AS lts FROM page) WHERE ts < lts ORDER BY ts DESC, event_id DESC LIMIT 50""")
+@query("t4_keyset_page", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 50")
 def t4_keyset_page(spark, sf):
-    """The page after a known last row: a filter that the scan can use, and one top-n."""
+    """The page after a known last row (ts, event_id): a filter that the scan can use, and one top-n. Tied times lose no row."""
     e = events(spark, sf).select("event_id", "ts")
-    first = e.orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
-    return e.filter(F.col("ts") < first.agg(F.min("ts")).scalar()).orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    newest = [F.desc("ts"), F.desc("event_id")]
+    last = e.orderBy(*newest).limit(50).agg(F.min(F.struct("ts", "event_id")).alias("last"))
+    return keyset_page(e, last.select("last.ts").scalar(), last.select("last.event_id").scalar(), 50)
+
+
+def keyset_page(rows, ts, event_id, size):
+    """The ``size`` newest rows after the row (ts, event_id)."""
+    after = (F.col("ts") <= ts) & ((F.col("ts") < ts) | (F.col("event_id") < event_id))
+    return rows.filter(after).orderBy(F.desc("ts"), F.desc("event_id")).limit(size)
 
 
 @query("t5_invalid_sample")

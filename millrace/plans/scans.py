@@ -15,6 +15,11 @@ from .features_sql import USER_FEATURES_SQL
 from .tables import ENVELOPE_SQL, RAW_SQL, envelope, events, raw_transactions, table, transactions
 
 
+def _spread(spark) -> int:
+    """Files of a topic: as many as a shuffle has partitions, several at least."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query("s1_jsonl_scan", f"""WITH {RAW_SQL}
 SELECT id, "timestamp", user_id, product_id, price, quantity, location, channel FROM raw""")
 def s1_jsonl_scan(spark, sf):
@@ -72,7 +77,7 @@ def s4_lake_or_raw(spark, sf):
 SELECT id, user_id, price, quantity, kafka_partition, kafka_offset, ts AS kafka_timestamp FROM env""")
 def s5_stream_source(spark, sf):
     topic, out = scratch_dir(spark, "topic"), scratch_dir(spark, "decoded")
-    sinks.publish(envelope(spark, sf), topic, files=6)
+    sinks.publish(envelope(spark, sf), topic, files=_spread(spark))
     stream = E.decode_envelope(sinks.read_topic(spark, topic, max_files_per_trigger=2))
     sinks.drain(stream.writeStream.format("parquet").option("path", out), scratch_dir(spark, "offsets"))
     return spark.read.parquet(out).select(
@@ -84,7 +89,7 @@ def s5_stream_source(spark, sf):
 SELECT CAST(user_id AS VARCHAR) AS key, event_id, user_id, event_type, value, props FROM events""")
 def s6_publish_keyed(spark, sf):
     topic = scratch_dir(spark, "topic")
-    sinks.publish(E.keyed_messages(events(spark, sf), "user_id"), topic, files=4)
+    sinks.publish(E.keyed_messages(events(spark, sf), "user_id"), topic, files=_spread(spark))
     stored = spark.read.schema("key string, value string").json(topic)
     return stored.select("key", F.from_json("value", "event_id long, user_id long, event_type string, value double, props string").alias("v")).select(
         "key", "v.*")
@@ -172,7 +177,7 @@ NORMALIZED_SQL = f"""{ENVELOPE_SQL}, good AS (
 SELECT 'table' AS sink, id, user_id, total_amount, region FROM good UNION ALL SELECT 'topic', id, user_id, total_amount, region FROM good""")
 def s12_dual_sink(spark, sf):
     topic, out, mirror = (scratch_dir(spark, n) for n in ("topic", "table", "mirror"))
-    sinks.publish(envelope(spark, sf), topic, files=4)
+    sinks.publish(envelope(spark, sf), topic, files=_spread(spark))
     sinks.run_dual_sink(sinks.ingest(sinks.read_topic(spark, topic, 2)), out, mirror, scratch_dir(spark, "offsets"))
     fields = "event_id string, user struct<id:string>, transaction struct<total:double>, location struct<region:string>"
     sent = sinks.read_messages(spark, mirror).select(F.from_json("value", fields).alias("v"))
@@ -234,7 +239,7 @@ def s18_compaction_retention(spark, sf):
 SELECT id, user_id, price, ts FROM env ORDER BY ts DESC, event_id DESC LIMIT 1000""")
 def s19_live_feed(spark, sf):
     topic, out = scratch_dir(spark, "topic"), scratch_dir(spark, "recent")
-    sinks.publish(envelope(spark, sf), topic, files=4)
+    sinks.publish(envelope(spark, sf), topic, files=_spread(spark))
     stream = E.decode_envelope(sinks.read_topic(spark, topic, 2)).filter(F.col("id").isNotNull())
     sinks.run_recent_feed(stream, out, scratch_dir(spark, "offsets"), order=["kafka_timestamp", "kafka_offset", "kafka_partition"], keep=1000)
     return sinks.read_latest_batch(spark, out).select("id", "user_id", "price", F.col("kafka_timestamp").cast("timestamp_ntz").alias("ts"))
@@ -254,7 +259,7 @@ def s21_layered_flow(spark, sf):
     counts = stored.groupBy("layer").agg(F.count("*").alias("n"))
     total = stored.agg(F.lit("bronze").alias("layer"), F.count("*").alias("n"))
     silver = E.normalize(stored.filter("layer = 'silver'"))
-    gold = silver.groupBy("dt").agg(F.count("*").alias("n"), S.exact_sum(F.col("price") * F.col("quantity")).alias("revenue"))
+    gold = silver.groupBy("dt").agg(F.count("*").alias("n"), S.stable_sum(F.col("price") * F.col("quantity")).alias("revenue"))
     none = lambda t: F.lit(None).cast(t)
     wide = total.unionByName(counts).select("layer", none("string").alias("dt"), "n", none("double").alias("revenue"))
     return wide.unionByName(gold.select(F.lit("gold").alias("layer"), "dt", "n", "revenue"))

@@ -31,6 +31,11 @@ def drained(spark, stream, name, mode="append"):
     return stored.withColumns({c: F.col(c).cast(_NTZ) for c, t in stored.dtypes if t == "timestamp"})
 
 
+def publish_spread(spark, records, topic):
+    """Keyed messages in as many files as the cluster has partitions for a shuffle, several at least."""
+    sinks.publish(records, topic, files=max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
@@ -58,7 +63,7 @@ SELECT 's' || l_orderkey AS session_id, count(*) AS n, {esum('amount')} AS total
 def r2_sessions_by_id(spark, sf):
     amount = F.col("l_extendedprice") * F.col("l_quantity").cast("int")
     return table(spark, sf, "lineitem").groupBy(F.concat(F.lit("s"), "l_orderkey").alias("session_id")).agg(
-        F.count("*").alias("n"), S.exact_sum(amount).alias("total"))
+        F.count("*").alias("n"), S.stable_sum(amount).alias("total"))
 
 
 @query("r3_late_records", f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", count(*) AS n, {esum('value')} AS total
@@ -67,7 +72,7 @@ def r3_late_records(spark, sf):
     """The same events arrive a second time, behind the watermark, and change no closed window."""
     folder, out, checkpoint = (scratch_dir(spark, n) for n in ("late", "late-windows", "late-offsets"))
     for _ in range(2):
-        events(spark, sf).coalesce(1).write.mode("append").parquet(folder)
+        events(spark, sf).write.mode("append").parquet(folder)
         counts = stateful.windowed_counts(stateful.read_event_files(spark, folder, events(spark, sf).schema, "*.parquet"), "1 hour")
         sinks.drain(counts.writeStream.format("parquet").outputMode("append").option("path", out), checkpoint)
     return spark.read.parquet(out).withColumns({c: F.col(c).cast(_NTZ) for c in ("start", "end")})
@@ -77,16 +82,16 @@ def r3_late_records(spark, sf):
 def r4_stream_dedupe(spark, sf):
     folder = scratch_dir(spark, "twice")
     twice = events(spark, sf).unionByName(events(spark, sf))
-    twice.coalesce(1).write.parquet(folder)
+    twice.write.parquet(folder)
     stream = stateful.read_event_files(spark, folder, events(spark, sf).schema, "*.parquet")
     return drained(spark, stateful.dedupe(stream, ["event_id"]), "deduped").select("event_id", "user_id", "value")
 
 
 @query("r5_capped_batches", "SELECT count(*) AS records, true AS within_cap, true AS several_batches FROM events")
 def r5_capped_batches(spark, sf):
-    """Each trigger takes at most two of eight files."""
+    """Each trigger takes at most two files."""
     topic, out = scratch_dir(spark, "topic"), scratch_dir(spark, "counts")
-    sinks.publish(envelope(spark, sf), topic, files=8)
+    publish_spread(spark, envelope(spark, sf), topic)
     stream = sinks.read_topic(spark, topic, 2).withColumn("file", F.input_file_name())
 
     def count(batch, batch_id):
@@ -102,7 +107,7 @@ def r6_resume(spark, sf):
     topic, out, checkpoint = (scratch_dir(spark, n) for n in ("topic", "resumed", "offsets"))
     records, half = envelope(spark, sf), F.expr("TIMESTAMP '2024-01-15'")
     for part in (records.filter(F.col("timestamp") < half), records.filter(F.col("timestamp") >= half)):
-        sinks.publish(part, topic, files=2)
+        publish_spread(spark, part, topic)
         stream = E.decode_envelope(sinks.read_topic(spark, topic)).select("id", "price")
         sinks.drain(stream.writeStream.format("parquet").option("path", out), checkpoint)
     return spark.read.parquet(out)
@@ -111,9 +116,9 @@ def r6_resume(spark, sf):
 @query("r7_ingest_stream", f"WITH {NORMALIZED_SQL} SELECT id, dt, user_id, product_id, price, quantity, total_amount, city, country, region, channel FROM good")
 def r7_ingest_stream(spark, sf):
     topic, out, mirror = (scratch_dir(spark, n) for n in ("topic", "table", "mirror"))
-    # Every record twice in one file: the dedup state removes the copy.
+    # Every record twice: the dedup state removes the copy. Without a cap all files are one batch.
     records = envelope(spark, sf)
-    sinks.publish(records.unionByName(records), topic, files=1)
+    sinks.publish(records.unionByName(records), topic)
     sinks.run_dual_sink(sinks.ingest(sinks.read_topic(spark, topic), stateful.WATERMARK, ["id"]), out, mirror, scratch_dir(spark, "offsets"))
     return lake.read_table(spark, out).select(
         "id", "dt", "user_id", "product_id", "price", "quantity", "total_amount", "city", "country", "region", "channel")
@@ -162,7 +167,7 @@ def r10_drift_sensor(spark, sf):
 UNION ALL SELECT 'table', id, NULL FROM env WHERE quantity >= 1""")
 def r11_dead_letters(spark, sf):
     topic, out, dead = (scratch_dir(spark, n) for n in ("topic", "table", "dead"))
-    sinks.publish(envelope(spark, sf), topic, files=4)
+    publish_spread(spark, envelope(spark, sf), topic)
     sinks.run_split_sink(sinks.read_topic(spark, topic, 2), out, dead, scratch_dir(spark, "offsets"))
     rejected = spark.read.schema("id string, errors array<string>").json(dead)
     return rejected.select(F.lit("dead").alias("sink"), "id", F.array_join("errors", "; ").alias("errors")).unionByName(
@@ -172,7 +177,7 @@ def r11_dead_letters(spark, sf):
 @query("x5_micro_batch_function", f"WITH {ENVELOPE_SQL} SELECT id, CASE WHEN city = 'London' THEN 'EU' ELSE 'UNKNOWN' END AS region FROM env")
 def x5_micro_batch_function(spark, sf):
     topic, out = scratch_dir(spark, "topic"), scratch_dir(spark, "batches")
-    sinks.publish(envelope(spark, sf), topic, files=4)
+    publish_spread(spark, envelope(spark, sf), topic)
 
     def enrich(batch, batch_id):
         geo.enrich_region(E.normalize(batch)).select("id", "region").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")

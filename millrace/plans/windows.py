@@ -73,7 +73,7 @@ def w8_latest_version(spark, sf):
     return registry.latest_versions(model_versions(spark, sf)).select("model_name", "stage", "version", "run_id")
 
 
-@query("w10_distribution_shift", f"""WITH h AS (SELECT event_type AS series, date_trunc('hour', ts) AS step, count(value) AS n, {esum('value')} AS s, {esum('value * value')} AS ss FROM events GROUP BY 1, 2),
+@query("w10_distribution_shift", f"""WITH h AS (SELECT event_type AS series, date_trunc('hour', ts) AS step, count(value) AS n, sum(value) AS s, sum(value * value) AS ss FROM events GROUP BY 1, 2),
 b AS (SELECT *, sum(n) OVER w AS bn, sum(s) OVER w AS bs, sum(ss) OVER w AS bss FROM h
   WINDOW w AS (PARTITION BY series ORDER BY step RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING)),
 d AS (SELECT series, step, abs(s / n - bs / bn) / nullif(sqrt(greatest(bss / bn - (bs / bn) * (bs / bn), 0)), 0) AS shift FROM b)

@@ -77,18 +77,30 @@ def json_document_text(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Recursive scan of ``.txt``, ``.md`` and ``.json`` files as (doc_id, content, source, timestamp, metadata)."""
+    """Recursive scan of ``.txt``, ``.md`` and ``.json`` files as (doc_id, content, source, timestamp, metadata).
+
+    Files that are not UTF-8 and broken JSON files are skipped; ``unreadable_documents`` lists them.
+    """
+    return _scan_documents(spark, root).filter("content is not null")
+
+
+def unreadable_documents(spark: SparkSession, root: str) -> DataFrame:
+    """The files that ``read_documents`` skips: (doc_id, source)."""
+    return _scan_documents(spark, root).filter("content is null").select("doc_id", "source")
+
+
+def _scan_documents(spark: SparkSession, root: str) -> DataFrame:
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
         .option("pathGlobFilter", "*.{txt,md,json,TXT,MD,JSON}").load(root)
     )
     scheme_free = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     relative = F.regexp_replace(scheme_free, "^.*?" + F_quote(root) + "/+", "")
-    text = F.decode("content", "UTF-8")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     extension = F.regexp_extract(F.lower("path"), r"\.([a-z]+)$", 1)
     return raw.select(
         F.substring(F.md5(scheme_free), 1, 12).alias("doc_id"),
-        F.when(extension == "json", json_document_text(text)).otherwise(text).alias("content"),
+        F.when(extension != "json", text).when(F.get_json_object(text, "$").isNotNull(), json_document_text(text)).alias("content"),
         relative.alias("source"),
         F.col("modificationTime").alias("timestamp"),
         F.create_map(

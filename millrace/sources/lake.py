@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +31,32 @@ def read_table(spark: SparkSession, path: str, merge_schema: bool = False, day:
     return df.withColumn(day, F.col(day).cast("string")) if day in df.columns else df
 
 
-def compact_partition(spark: SparkSession, path: str, column: str, value: str, files: int = 1) -> None:
-    """Rewrite one partition into ``files`` files. The staged copy keeps the rewrite from reading what it replaces."""
+def compact_partition(spark: SparkSession, path: str, column: str, value: str, files: int | None = None) -> None:
+    """Rewrite one partition into few files: as many as its size asks for, or ``files``.
+
+    The staged copy keeps the rewrite from reading what it replaces.
+    """
     from ..session import scratch_dir
 
     staged = scratch_dir(spark, "compact")
     read_table(spark, path).filter(F.col(column) == value).write.parquet(staged)
-    (spark.read.parquet(staged).coalesce(files).write.mode("overwrite").partitionBy(column)
-     .option("partitionOverwriteMode", "dynamic").parquet(path))
+    stored = spark.read.parquet(staged)
+    (stored.repartition(files) if files else stored.hint("rebalance")).write.mode("overwrite").partitionBy(column).option(
+        "partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def drop_expired(spark: SparkSession, path: str, as_of: str, days: int, column: str = "dt") -> list[str]:
+    """Delete the day folders of a table that are older than the retention period; returns the days dropped."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = (dt.date.fromisoformat(as_of) - dt.timedelta(days=days)).isoformat()
+    dropped = []
+    for status in store.listStatus(root):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith(f"{column}=") and name.split("=", 1)[1] < first:
+            store.delete(status.getPath(), True)
+            dropped.append(name.split("=", 1)[1])
+    return sorted(dropped)
 
 
 def retain(df: DataFrame, as_of: str, days: int, column: str = "dt") -> DataFrame:

@@ -1,7 +1,7 @@
 """Stream sources and sinks: file topics, idempotent dual sink, recent-rows feed.
 
 A topic is a folder of JSON files with the broker columns; with a broker connector on the class path the same records come
-from ``read_broker``. Sinks are keyed by ``batch_id``: a replayed batch overwrites its own output, so both sinks hold each
+from ``read_stream``. Sinks are keyed by ``batch_id``: a replayed batch overwrites its own output, so both sinks hold each
 record once.
 """
 
@@ -29,13 +29,14 @@ def read_topic(spark: SparkSession, path: str, max_files_per_trigger: int | None
     return reader.json(path)
 
 
-def read_broker(spark: SparkSession, servers: str, topic: str, starting_offsets: str = "earliest",
-                max_offsets_per_trigger: int = MAX_OFFSETS_PER_TRIGGER, fail_on_data_loss: bool = False) -> DataFrame:
-    return (
-        spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-        .option("startingOffsets", starting_offsets).option("maxOffsetsPerTrigger", max_offsets_per_trigger)
-        .option("failOnDataLoss", str(fail_on_data_loss).lower()).load()
-    )
+def read_stream(spark: SparkSession, settings: dict[str, str]) -> DataFrame:
+    """The source a configuration names: a folder of record files, or a broker topic if its connector is on the class path.
+
+    ``settings`` holds ``path`` (and ``maxFilesPerTrigger``), or the connector's own options, which are passed on as they are.
+    """
+    if "path" in settings:
+        return read_topic(spark, settings["path"], int(settings["maxFilesPerTrigger"]) if "maxFilesPerTrigger" in settings else None)
+    return spark.readStream.format("kafka").options(**{"maxOffsetsPerTrigger": str(MAX_OFFSETS_PER_TRIGGER), **settings}).load()
 
 
 def publish(messages: DataFrame, path: str, files: int | None = None, key: str = "key", limit: int | None = None) -> None:
@@ -50,22 +51,24 @@ def publish(messages: DataFrame, path: str, files: int | None = None, key: str =
 def drain(writer, checkpoint: str, name: str | None = None) -> None:
     """Process everything available, then stop. Offsets and commits live in ``checkpoint``.
 
-    A stateful query keeps one state store per shuffle partition and commits all of them in every batch, and the number is
-    fixed by its first run. It is therefore bounded by twice the cores of the cluster.
+    A stateful query keeps one state store per shuffle partition, as configured when it first runs on ``checkpoint``.
     """
-    spark = SparkSession.getActiveSession()
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.shuffle.partitions", min(configured, max(8, 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        writer = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        query = (writer.queryName(name) if name else writer).start()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", configured)
+    query = run(writer, checkpoint, name, trigger=None)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
 
 
+def run(writer, checkpoint: str, name: str | None = None, trigger: str | None = TRIGGER):
+    """Start a stream and return its query: a micro-batch every ``trigger``, or all that is available without one.
+
+    The record cap per trigger belongs to the source: ``read_stream`` caps files or offsets.
+    """
+    writer = writer.option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)
+    return (writer.queryName(name) if name else writer).start()
+
+
 def ingest(records: DataFrame, watermark: str | None = None, dedupe: Sequence[str] = ()) -> DataFrame:
     """decode -> validate -> normalise -> region, all on the stream itself, so watermark and dedup apply."""
     out = geo.enrich_region(E.normalize(E.drop_malformed(E.decode_envelope(records))))
@@ -82,7 +85,7 @@ def write_batch(batch: DataFrame, batch_id: int, table_path: str, topic_path: st
     try:
         # One shuffle of the micro-batch by day instead of a small file per task and day.
         (batch.select(*E.STREAM_COLUMNS, F.lit(batch_id).alias("batch_id")).hint("rebalance", "dt").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "dt").parquet(table_path))
+         .option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(table_path))
         E.canonical_messages(batch).write.mode("overwrite").json(f"{topic_path}/batch_id={batch_id}")
     finally:
         batch.unpersist()

@@ -28,7 +28,7 @@ def windowed_counts(stream: DataFrame, width: str, slide: str | None = None, by:
     """Counts and exact value sums per event-time window; a window is emitted once the watermark passed its end."""
     return (
         stream.withWatermark("ts", watermark).groupBy(F.window("ts", width, slide) if slide else F.window("ts", width), *by)
-        .agg(F.count("*").alias("n"), S.exact_sum(F.col("value")).alias("total"))
+        .agg(F.count("*").alias("n"), S.stable_sum(F.col("value")).alias("total"))
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "total")
     )
 
