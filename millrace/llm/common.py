@@ -132,3 +132,12 @@ def bounded(table: DataFrame, row_bytes: int, limit: int | None = None) -> DataF
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_lists(docs: DataFrame, rows: DataFrame, item: F.Column, how: str, broadcast_bytes: int | None = None) -> DataFrame:
+    """doc_id, text and ``items``: the list of a document's rows. Lists are as long as the document at most."""
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    lists = stored(rows.groupBy("doc_id").agg(F.collect_list(item).alias("items")), "lists")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    documents, items = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    return docs.join(F.broadcast(lists) if 64 * documents + 40 * items <= limit else lists, "doc_id", how)

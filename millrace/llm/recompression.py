@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Texts, mix, owners, small_batches, stored
+from .common import BROADCAST_BYTES, Texts, mix, owners, small_batches, stored, with_lists
 
 WINDOW = 50
 LEVELS = 3
@@ -183,15 +183,6 @@ def stretches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             .mapInArrow(run, "doc_id long, symbol long, print long, first_window int, windows int"))
 
 
-def _with_lists(docs: DataFrame, rows: DataFrame, item: F.Column, how: str, broadcast_bytes: int) -> DataFrame:
-    """doc_id, text and the list of a document's rows (as many as the document's words at most)."""
-    lists = stored(rows.groupBy("doc_id").agg(F.collect_list(item).alias("items")), "lists")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    documents, items = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
-    small = 64 * documents + 40 * items <= broadcast_bytes
-    return docs.join(F.broadcast(lists) if small else lists, "doc_id", how)
-
-
 def window_prints(docs: DataFrame, wanted: DataFrame, window: int, broadcast_bytes: int) -> DataFrame:
     """(symbol, print, doc_id, at) of every single window of the wanted stretches."""
 
@@ -213,7 +204,7 @@ def window_prints(docs: DataFrame, wanted: DataFrame, window: int, broadcast_byt
                 [flat.field("symbol").take(pa.array(each)), pa.array(ranges.of(p, p + window).view(np.int64)),
                  b.column("doc_id").take(pa.array(owner[each])), pa.array(at.astype(np.int32))], ["symbol", "print", "doc_id", "at"])
 
-    listed = _with_lists(docs, wanted, F.struct("symbol", "first_window", "windows"), "inner", broadcast_bytes)
+    listed = with_lists(docs, wanted, F.struct("symbol", "first_window", "windows"), "inner", broadcast_bytes)
     return listed.mapInArrow(run, "symbol long, print long, doc_id long, at int")
 
 
@@ -270,5 +261,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, broadcast_bytes: int =
                 columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    listed = _with_lists(docs, ranges, F.struct("begin", "end"), "left", broadcast_bytes)
+    listed = with_lists(docs, ranges, F.struct("begin", "end"), "left", broadcast_bytes)
     return listed.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

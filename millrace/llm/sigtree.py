@@ -9,8 +9,8 @@
    node pairs whose greatest possible overlap is too small. Members left with a partner are live.
 4. The sets of live members are sent to their blocks, and the same traversal verifies surviving pairs exactly. It keeps components
    while it runs: node pairs inside one component need no more work, so a group of copies costs no square. A first run over one block
-   per document joins most of each group; a second one visits just the blocks that still hold several components, in pairs of
-   chunks when they are large. Components of the verified links are found in Spark.
+   per document joins most of each group; a second one takes just the members that may link different components, again by their
+   bitmaps, in pairs of chunks where a block is large. Components of the verified links are found in Spark.
 
 No step emits pairs within a group; only verified links of a spanning forest leave a task.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, bounded, mix, small_batches, stored
+from .common import Texts, bounded, mix, small_batches, stored, with_lists
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -128,20 +128,23 @@ class Block:
         self.checked = 0
 
     def _levels(self, at: np.ndarray, words: int):
-        """Node arrays from leaves up: (bitmaps, least size, greatest size, begin, end, spare) with members ``at[begin:end]``.
+        """Node arrays from leaves up: (bitmaps, least size, greatest size, begin, end, spare, least and greatest component)
+        with members ``at[begin:end]``.
 
         ``spare`` is the most by which a member's size exceeds the bits it sets.
         """
         maps = np.stack([folded(self.maps[i], words) for i in at.tolist()])
         sizes = self.sizes[at]
         levels, begin = [], np.arange(len(at))
-        level = (maps, sizes, sizes, begin, begin + 1, sizes - np.bitwise_count(maps).sum(1, dtype=np.int64))
+        comp = self.comp[at]
+        level = (maps, sizes, sizes, begin, begin + 1, sizes - np.bitwise_count(maps).sum(1, dtype=np.int64), comp, comp)
         levels.append(level)
         while len(level[1]) > 1:
             cut = np.arange(0, len(level[1]), self.fanout)
             last = np.minimum(cut + self.fanout, len(level[1])) - 1
             level = (np.bitwise_or.reduceat(level[0], cut, axis=0), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut),
-                     level[3][cut], level[4][last], np.maximum.reduceat(level[5], cut))
+                     level[3][cut], level[4][last], np.maximum.reduceat(level[5], cut), np.minimum.reduceat(level[6], cut),
+                     np.maximum.reduceat(level[7], cut))
             levels.append(level)
         return levels
 
@@ -149,13 +152,15 @@ class Block:
         """Whether nodes ``i`` and ``j`` (arrays) may hold a linked pair, by sizes and by the greatest possible overlap."""
         p = self.percent
         low_a, high_a, low_b, high_b = la[1][i], la[2][i], lb[1][j], lb[2][j]
-        ok = (100 * high_a >= p * low_b) & (100 * high_b >= p * low_a)
+        low, high = np.minimum(la[6][i], lb[6][j]), np.maximum(la[7][i], lb[7][j])
+        # Nodes of one component, known from before, need no work; a member meets itself only at the leaves.
+        ok = (100 * high_a >= p * low_b) & (100 * high_b >= p * low_a) & (low < high)
         at = np.flatnonzero(ok)
         if len(at):
             # Shared shingles lie on shared bits: one on each, and as many more as a member has shingles beyond its bits.
             bits = np.bitwise_count(la[0][i[at]] & lb[0][j[at]]).sum(1, dtype=np.int64)
-            high = np.minimum(np.minimum(high_a[at], high_b[at]), bits + np.minimum(la[5][i[at]], lb[5][j[at]]))
-            ok[at] = (100 + p) * high >= p * (low_a[at] + low_b[at])
+            overlap = np.minimum(np.minimum(high_a[at], high_b[at]), bits + np.minimum(la[5][i[at]], lb[5][j[at]]))
+            ok[at] = (100 + p) * overlap >= p * (low_a[at] + low_b[at])
         return ok
 
     def _same(self, at_a, begin_a, end_a, at_b, begin_b, end_b) -> bool:
@@ -280,7 +285,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
 
 
 def memberships(prefix: DataFrame, classes: DataFrame) -> DataFrame:
-    """(leader, rep, members): every class in the blocks of its prefix shingles, without blocks of one class."""
+    """(leader, rep): every class in the blocks of its prefix shingles, without blocks of one class."""
     group = Window.partitionBy("shingle", "salt")
     frequent = F.when(F.col("salt") > 0, F.col("shingle"))
     led = (prefix.select("salt", "doc_id", frequent.alias("frequent"), F.min("doc_id").over(group).alias("leader"), F.max("doc_id").over(group).alias("top"))
@@ -292,17 +297,18 @@ def memberships(prefix: DataFrame, classes: DataFrame) -> DataFrame:
     all_led = (led.filter("frequent is null").select("leader", "doc_id")
                .unionByName(hot.join(F.broadcast(least), "frequent").select(F.col("least").alias("leader"), "doc_id").distinct()))
     named = stored(all_led.join(classes.select("doc_id", "rep"), "doc_id").select("leader", "rep").distinct(), "memberships")
-    several = named.groupBy("leader").agg(F.count("*").alias("members")).filter("members > 1")
+    several = named.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1").select("leader")
     return stored(named.join(several, "leader"), "blocks")
 
 
-def _chunked(blocks: DataFrame, chunk: int) -> DataFrame:
+def _chunked(members: DataFrame, chunk: int) -> DataFrame:
     """Blocks as units of bounded size: (leader, a, b) with every pair of chunks of a large block; ``side`` tells the two apart."""
-    chunks = F.ceil(F.col("members") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    return (blocks.withColumn("c", mine).withColumn("o", other)
-            .withColumns({"a": F.least("c", "o"), "b": F.greatest("c", "o"), "side": (F.col("c") > F.col("o")).cast("int")}))
+    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    return (members.join(sizes, "leader").withColumn("c", mine).withColumn("o", other)
+            .withColumns({"a": F.least("c", "o"), "b": F.greatest("c", "o"), "side": (F.col("c") > F.col("o")).cast("int")})
+            .drop("c", "o", "chunks"))
 
 
 def _units(df: DataFrame) -> DataFrame:
@@ -337,47 +343,51 @@ def _side(t: pa.Table) -> np.ndarray | None:
     return t["side"].to_numpy() if t["a"][0] != t["b"][0] else None
 
 
-def live_members(blocks: DataFrame, classes: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """(leader, rep, members) of the members that have a possible partner in their block, by bitmaps alone."""
+def live_members(members: DataFrame, classes: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """The members (leader, rep, comp) that may be near a member of another component in their block, by bitmaps alone."""
 
     def run(batches):
         for t in _grouped(batches):
             maps = [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
-            block = Block(t["n"].to_numpy(), maps, None, t["rep"].to_numpy(), percent, side=_side(t)).run()
+            block = Block(t["n"].to_numpy(), maps, None, t["comp"].to_numpy(), percent, side=_side(t)).run()
             live = pa.array(np.sort(block.order[block.live]))
-            yield from t.select(["leader", "rep", "members"]).take(live).to_batches()
+            yield from t.select(["leader", "rep", "comp"]).take(live).to_batches()
 
-    signed = blocks.join(classes.filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bits"), "rep")
-    return _units(_chunked(signed, chunk)).mapInArrow(run, "leader long, rep long, members long").distinct()
+    bits = classes.filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bits")
+    units = _chunked(members, 4 * chunk).join(bits, "rep")  # bitmaps are small next to sets
+    return _units(units).mapInArrow(run, "leader long, rep long, comp long").distinct()
 
 
-def live_sets(docs: DataFrame, live: DataFrame, words: int, broadcast_bytes: int | None = None) -> DataFrame:
-    """(rep, set) of the live classes, from their representative's text."""
-    ids = stored(live.select(F.col("rep").alias("doc_id")).distinct(), "live-ids")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
-        bounded(ids, 16, broadcast_bytes), "doc_id", "left_semi")
-
-    def run(batches):
-        for b in batches:
-            sets = shingle_sets(Texts(b.column("text"), lower=True), words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "tokens"])
-
-    # Rows that share a doc_id but not a set: the class's representative is any one of them, chosen by content.
-    return stored(picked.mapInArrow(run, "rep long, tokens binary"), "live-sets")
+def verified_links(docs: DataFrame, units: DataFrame, words: int, percent: int, broadcast_bytes: int | None = None) -> DataFrame:
+    """(u, v): links of a spanning forest of every unit (leader, a, b), on top of the components the members already have.
 
+    The sets of a unit's members come straight from the representatives' texts, one shuffle for each member of a unit.
+    """
 
-def verified_links(units: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links of a spanning forest of every unit (leader, a, b), on top of the components the members already have."""
+    def sets(batches):
+        for b in batches:
+            items = b.column("items")
+            owner = np.repeat(np.arange(b.num_rows), np.diff(items.offsets.to_numpy()))
+            tokens = pa.array([s.tobytes() for s in shingle_sets(Texts(b.column("text"), lower=True), words)], pa.binary())
+            flat = items.flatten()
+            columns = [flat.field(c) for c in ("leader", "a", "b", "side", "comp")]
+            for at in range(0, len(owner), 64):  # a text in many units is copied in small batches
+                some = pa.array(owner[at : at + 64])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, 64) for c in columns], b.column("doc_id").take(some), tokens.take(some)],
+                                                 ["leader", "a", "b", "side", "comp", "rep", "tokens"])
 
     def run(batches):
         for t in _grouped(batches):
-            sets = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
-            block = Block(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], sets, t["comp"].to_numpy(), percent, side=_side(t)).run()
+            members = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
+            block = Block(np.array([len(s) for s in members]), [bitmap(s) for s in members], members, t["comp"].to_numpy(), percent, side=_side(t)).run()
             if block.links:
                 rep, pairs = t["rep"].to_numpy(), np.array(block.links)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], ["u", "v"])
 
-    return _units(units).mapInArrow(run, "u long, v long")
+    named = units.select(F.col("rep").alias("doc_id"), "leader", "a", "b", "side", "comp")
+    listed = with_lists(docs, named, F.struct("leader", "a", "b", "side", "comp"), "inner", broadcast_bytes)
+    placed = listed.mapInArrow(sets, "leader long, a int, b int, side int, comp long, rep long, tokens binary")
+    return _units(placed).mapInArrow(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, frequent_size: int = FREQUENT,
@@ -392,21 +402,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     hot = np.array([r["shingle"] for r in frequent.collect()], np.int64).view(np.uint64)  # frequent_size rows at most
     prefix = prefixes(docs, hot, words, percent)
     blocks = memberships(prefix, classes.filter("rep is not null"))
-    live = stored(live_members(blocks, classes, percent, chunk), "live")
-    sets = live_sets(docs, live, words, broadcast_bytes)
+    live = stored(live_members(blocks.withColumn("comp", F.col("rep")), classes, percent, chunk), "live")
 
     # First run: one block per class, the one of its smallest leader, each chunk for itself.
-    main = live.groupBy("rep").agg(F.min("leader").alias("leader"), F.max("members").alias("members"))
-    unit = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / chunk)).cast("int")
-    first = (main.withColumns({"a": unit, "b": unit, "side": F.lit(0), "comp": F.col("rep")}).join(sets, "rep"))
-    links = stored(verified_links(first, percent), "links")
+    main = stored(live.groupBy("rep").agg(F.min("leader").alias("leader")).withColumn("comp", F.col("rep")), "main-blocks")
+    alone = _chunked(main, chunk).filter("a = b").distinct()
+    links = stored(verified_links(docs, alone, words, percent, broadcast_bytes), "links")
     joined = components(links)
 
-    # Second run: blocks that still hold several components, every pair of chunks.
-    placed = stored(live.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")), "placed")
+    # Second run: what may still link different components, every pair of chunks.
+    placed = stored(live.select("leader", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+                    .select("leader", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
     mixed = placed.groupBy("leader").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("leader")
-    second = _chunked(placed.join(mixed, "leader").select("leader", "rep", "members", "comp"), chunk).join(sets, "rep")
-    more = stored(links.unionByName(verified_links(second, percent)), "links")
+    still = stored(live_members(placed.join(mixed, "leader"), classes, percent, chunk), "still-live")
+    more = stored(links.unionByName(verified_links(docs, _chunked(still, chunk), words, percent, broadcast_bytes)), "all-links")
     final = components(more)
     found = (classes.join(final.withColumnRenamed("node", "rep"), "rep", "left")
              .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")))
