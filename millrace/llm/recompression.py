@@ -163,7 +163,13 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW, levels:
     # The words a symbol's derivation looked at are in every window it anchors: they make its name rare.
     seen = ranges.of(np.maximum(s.low[symbol], 0), np.minimum(s.high[symbol], len(words)))
     key = np.where(chosen[at] < 0, mix(prints), _name(s.name[symbol], seen))
-    return doc[at], key, _name(prints, offset.astype(np.uint64)), begin - first[doc[at]], count
+    prints = _name(prints, offset.astype(np.uint64))
+    # Equal windows in a row, as in a run of one word, are one stretch.
+    owner = doc[at]
+    again = np.zeros(len(at), bool)
+    again[1:] = ((key[1:] == key[:-1]) & (prints[1:] == prints[:-1]) & (owner[1:] == owner[:-1]) & (count[1:] == 1) & (count[:-1] == 1))
+    head = np.flatnonzero(~again)
+    return owner[head], key[head], prints[head], (begin - first[owner])[head], np.add.reduceat(count, head)
 
 
 def stretches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
