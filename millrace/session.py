@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -21,13 +23,30 @@ def build_session(app_name: str = "millrace", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so they find it wherever they run."""
+    context, package = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_millrace_shipped", False) or not os.path.isdir(package):
+        return spark
+    # The driver's own folder will do: Spark fetches the file from the driver.
+    archive = os.path.join(tempfile.mkdtemp(prefix="millrace-code-"), "millrace-code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._millrace_shipped = True
+    return spark
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
-    """All day and hour arithmetic is defined in UTC."""
+    """All day and hour arithmetic is defined in UTC. Queries start here, so workers get the package as well."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    return ship(spark)
 
 
 def scratch_root(spark: SparkSession) -> str:
