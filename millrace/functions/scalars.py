@@ -51,7 +51,7 @@ def stable_sum(value: Column) -> Column:
 
 
 def stable_avg(value: Column) -> Column:
-    return stable(F.avg(value.cast("double")))
+    return F.try_divide(stable_sum(value), F.count(value))
 
 
 def round_half_up(value: Column, digits: int = 2) -> Column:

@@ -15,25 +15,30 @@ MIN_OVERLAP = 0.05
 COHORTS = ("Low Value", "Medium Value", "High Value")
 
 
+def _behaviour(ref_date: Column, only: Column | None = None, with_region: bool = False) -> dict[str, Column]:
+    """Aggregates of one user's rows, or of those rows for which ``only`` holds."""
+    of = lambda c: F.col(c) if only is None else F.when(only, F.col(c))
+    first, last = F.min(of("event_timestamp")), F.max(of("event_timestamp"))
+    days_since_first = F.timestamp_diff("DAY", first, ref_date)
+    aggregates = {
+        "transaction_count": F.count(of("event_id")),
+        "total_revenue": S.stable_sum(of("total_amount")), "avg_revenue": S.stable_avg(of("total_amount")),
+        "std_revenue": F.coalesce(F.stddev_samp(of("total_amount")), F.lit(0.0)),
+        "avg_price": S.stable_avg(of("price")), "max_price": F.max(of("price")), "min_price": F.min(of("price")),
+        "total_quantity": F.sum(of("quantity")), "avg_quantity": F.avg(of("quantity")),
+        "days_since_first": days_since_first, "days_since_last": F.timestamp_diff("DAY", last, ref_date),
+        "primary_channel": F.mode(of("channel"), True),
+        "avg_days_between": days_since_first / F.greatest(F.count(of("event_id")), F.lit(1)),
+    }
+    if with_region:
+        aggregates["primary_region"] = F.mode(S.region_of(of("location")), True)
+    return aggregates
+
+
 def user_behavior(tx: DataFrame, ref_date: Column, with_region: bool = False) -> DataFrame:
     """Counts, revenue, price and quantity moments, recency and the modal channel per user, in one aggregation."""
-    first, last = F.min("event_timestamp"), F.max("event_timestamp")
-    aggregates = [
-        F.count("event_id").alias("transaction_count"),
-        S.stable_sum(F.col("total_amount")).alias("total_revenue"),
-        S.stable_avg(F.col("total_amount")).alias("avg_revenue"),
-        F.coalesce(F.stddev_samp("total_amount"), F.lit(0.0)).alias("std_revenue"),
-        S.stable_avg(F.col("price")).alias("avg_price"),
-        F.max("price").alias("max_price"), F.min("price").alias("min_price"),
-        F.sum("quantity").alias("total_quantity"), F.avg("quantity").alias("avg_quantity"),
-        F.timestamp_diff("DAY", first, ref_date).alias("days_since_first"),
-        F.timestamp_diff("DAY", last, ref_date).alias("days_since_last"),
-        F.mode("channel", True).alias("primary_channel"),
-    ]
-    if with_region:
-        aggregates.append(F.mode(S.region_of(F.col("location")), True).alias("primary_region"))
-    return tx.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(*aggregates).withColumn(
-        "avg_days_between", F.col("days_since_first") / F.greatest(F.col("transaction_count"), F.lit(1)))
+    aggregates = _behaviour(ref_date, with_region=with_region)
+    return tx.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
 def activity_after_cutoff(df: DataFrame, user: str, ts: str, window_days: int) -> DataFrame:
@@ -59,19 +64,22 @@ def churn_labels(tx: DataFrame, window_days: int = 7) -> DataFrame:
     True mode labels users without activity after the cutoff and learns from the time before it. When fewer than 5 % of
     the train users return, the rule on revenue and recency quantiles is used instead.
     """
-    found = overlap(tx, "user_id", "event_timestamp", window_days).first()
-    last = tx.agg(F.max("event_timestamp")).scalar()
-    if not found["train_users"] or found["both"] < MIN_OVERLAP * found["train_users"]:
-        return synthetic_labels(user_behavior(tx, last))
-    cutoff = tx.agg(F.max("event_timestamp") - F.expr(f"INTERVAL '{window_days}' DAY")).scalar()
-    behaviour = user_behavior(tx.filter(F.col("event_timestamp") < cutoff), cutoff)
-    labels = activity_after_cutoff(tx, "user_id", "event_timestamp", window_days)
-    return behaviour.join(labels.withColumn("churned", F.col("churned").cast("int")), "user_id")
+    newest = tx.agg(F.max("event_timestamp")).scalar()
+    cutoff = newest - F.expr(f"INTERVAL '{window_days}' DAY")
+    # One pass over the transactions: both sets of features and each user's first and last time, one row per user.
+    whole, early = _behaviour(newest), _behaviour(cutoff, F.col("event_timestamp") < cutoff)
+    users = checkpointed(tx.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        *[c.alias(n) for n, c in whole.items()], *[c.alias(f"early_{n}") for n, c in early.items()],
+        (F.min("event_timestamp") < cutoff).alias("_trained"), (F.max("event_timestamp") >= cutoff).alias("_returned")))
+    trained, both = users.agg(F.count(F.when(F.col("_trained"), 1)), F.count(F.when(F.col("_trained") & F.col("_returned"), 1))).first()
+    if not trained or both < MIN_OVERLAP * trained:
+        return synthetic_labels(users.select("user_id", *whole))
+    return users.filter("_trained").select("user_id", *[F.col(f"early_{n}").alias(n) for n in early],
+                                           (~F.col("_returned")).cast("int").alias("churned"))
 
 
 def synthetic_labels(behaviour: DataFrame) -> DataFrame:
-    """Labels by the quantile rule. The per-user table is stored once, as each threshold reads it again."""
-    behaviour = checkpointed(behaviour)
+    """Labels by the quantile rule. Each threshold reads the per-user table again, so it should be a stored one."""
     revenue = quantiles(behaviour, "total_revenue", {"low": LOW_REVENUE_Q, "mid": MID_REVENUE_Q})
     recency = quantiles(behaviour, "days_since_last", {"late": RECENCY_Q})
     cuts = revenue.select(F.struct("low", "mid")).scalar()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import stored
 from .ordered import modal_value, quantiles
 
 NEVER_PURCHASED_DAYS = 999
@@ -43,7 +44,8 @@ def user_features(tx: DataFrame, as_of: Column, lookback_days: int = 30, fallbac
 def product_features(tx: DataFrame, as_of: Column, lookback_days: int = 30, fallback: bool = False) -> DataFrame:
     """One row per product; the exact median comes from the sliced order statistics, not from one task per product."""
     window = lookback(tx, as_of, lookback_days, fallback=fallback).filter(F.col("product_id").isNotNull())
-    window = window.withColumn("_region", S.region_of(F.col("location")))
+    # Three aggregates read the window; it is joined and filtered once.
+    window = stored(window.select("product_id", "price", "quantity", "total_amount", "user_id", S.region_of(F.col("location")).alias("_region")), "product-window")
     base = window.groupBy("product_id").agg(
         S.round_half_up(S.stable_avg(F.col("price"))).alias("product_avg_price_30d"),
         S.round_half_up(F.min("price")).alias("product_min_price_30d"),

@@ -7,7 +7,7 @@ _VALUES = ",\n  ".join(
 
 METRICS_SQL = """hourly AS (
   SELECT date_trunc('hour', ts) AS ts, event_type AS series, count(*) AS n, max(value) AS mx, count(*) FILTER (value > 40) AS err,
-    CAST(printf('%.11e', avg(value)) AS DOUBLE) AS mean FROM events GROUP BY 1, 2),
+    CAST(printf('%.11e', sum(value)) AS DOUBLE) / count(value) AS mean FROM events GROUP BY 1, 2),
 metrics AS (
   SELECT unnest(['prediction_p99_seconds', 'prediction_error_ratio', 'model_drift_score', 'feature_drift_score', 'consumer_lag', 'up',
       'memory_ratio', 'restarts_1h', 'agent_p95_seconds']) AS metric,

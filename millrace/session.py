@@ -69,6 +69,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str = "stored"):
+    """Write a frame that several branches read to the shared folder, once, and read it back: readers prune its columns."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df, eager: bool = True):
     """Cut lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
