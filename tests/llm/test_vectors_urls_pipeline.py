@@ -132,7 +132,7 @@ def test_aliases_share_blocks_and_allow_wins(spark):
         rows = {r.page_id: (r.rule, r.verdict) for r in got.collect()}
         assert got.count() == 13 and rows == {
             1: ("example.com/de/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"),
-            7: ("org/fr/", "allow"), 8: ("net/", "block"), 9: (None, "allow"), 10: (None, "block"), 11: ("net/", "block"), 12: (None, "allow")}
+            7: ("org/fr/", "allow"), 8: ("net/", "block"), 9: (None, "allow"), 10: (None, "block"), 11: ("net/", "block"), 12: (None, "block")}
     assert urlfilter.judge_pages(pages.limit(0), urlfilter.rule_table(spark, urlfilter.RULES)).count() == 0
 
 
