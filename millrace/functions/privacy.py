@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK_TYPES = ("email", "ssn", "phone", "name", "address", "text")
 PRIVILEGED_ROLES = ("admin", "compliance", "data_protection")
 
+#: Setting that names the folder of the one-row key table.
+KEY_PATH = "millrace.privacy.key_path"
+
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 LONG_DIGITS_PATTERN = r"[0-9]{9,}"
 
@@ -53,29 +54,35 @@ def salted_md5(value: Column, salt: str) -> Column:
     return F.md5(F.concat(value, F.lit(salt)))
 
 
-def hmac_sha256(value: Column, key: bytes) -> Column:
-    """RFC 2104 over ``sha2``: H((K ^ opad) || H((K ^ ipad) || m))."""
-    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner = F.lit(bytearray(b ^ 0x36 for b in block))
-    outer = F.lit(bytearray(b ^ 0x5C for b in block))
-    inner_hash = F.unhex(F.sha2(F.concat(inner, F.encode(value, "UTF-8")), 256))
-    return F.sha2(F.concat(outer, inner_hash), 256)
+def key_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The one-row key table (key binary) in ``path`` or where the session's configuration says; never in code, never in a plan."""
+    path = path or spark.conf.get(KEY_PATH, None)
+    if not path:
+        raise RuntimeError(f"set {KEY_PATH} before using keyed masking")
+    return spark.read.schema("key binary").parquet(path)
+
+
+def hmac_pads(keys: DataFrame) -> Column:
+    """The inner and outer pad of a key as a scalar subquery: plans and event logs show only the read of the key table."""
+    key = F.when(F.octet_length("key") > 64, F.unhex(F.sha2("key", 256))).otherwise(F.col("key"))
+    byte = lambda i: F.when(i <= F.octet_length(key), F.conv(F.hex(F.substring(key, i, F.lit(1))), 16, 10).cast("int")).otherwise(0)
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(64)), byte)
+    pad = lambda x: F.unhex(F.array_join(F.transform(numbers, lambda b: F.lpad(F.hex(b.bitwiseXOR(F.lit(x)).cast("long")), 2, "0")), ""))
+    return keys.select(F.struct(pad(0x36).alias("inner"), pad(0x5C).alias("outer"))).scalar()
 
 
-def secret(spark: SparkSession, name: str) -> str:
-    """Keys come from the session configuration, never from code."""
-    value = spark.conf.get(name, None)
-    if not value:
-        raise RuntimeError(f"set {name} before using keyed masking")
-    return value
+def hmac_sha256(value: Column, pads: Column) -> Column:
+    """RFC 2104 over ``sha2``: H((K ^ opad) || H((K ^ ipad) || m)). ``pads`` comes from ``hmac_pads``."""
+    inner_hash = F.unhex(F.sha2(F.concat(pads["inner"], F.encode(value, "UTF-8")), 256))
+    return F.sha2(F.concat(pads["outer"], inner_hash), 256)
 
 
-def pseudonymize(value: Column, key: str) -> Column:
-    return F.base64(F.aes_encrypt(value, F.lit(key), F.lit("GCM")))
+def pseudonymize(value: Column, keys: DataFrame) -> Column:
+    return F.base64(F.aes_encrypt(value, keys.select("key").scalar(), F.lit("GCM")))
 
 
-def depseudonymize(token: Column, key: str) -> Column:
-    return F.aes_decrypt(F.unbase64(token), F.lit(key), F.lit("GCM")).cast("string")
+def depseudonymize(token: Column, keys: DataFrame) -> Column:
+    return F.aes_decrypt(F.unbase64(token), keys.select("key").scalar(), F.lit("GCM")).cast("string")
 
 
 SQL_FUNCTIONS = {

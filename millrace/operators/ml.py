@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -101,16 +100,8 @@ def search_churn_model(train: DataFrame, features: Sequence[str], label: str, ki
 
 
 def linear_scorer(coefficients: Sequence[float], intercept: float):
-    """Batch inference as an Arrow function over an iterator of batches; the model is set up once per task."""
-
-    @F.pandas_udf("double")
-    def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        weights = np.asarray(coefficients, dtype=np.float64)
-        for batch in batches:
-            columns = (batch,) if isinstance(batch, pd.Series) else batch  # one input column comes without its tuple
-            yield pd.Series(sum(w * c.to_numpy(dtype=np.float64) for w, c in zip(weights, columns)) + intercept)
-
-    return predict
+    """Inference of a linear model as a native expression over its feature columns."""
+    return lambda *features: sum((F.lit(float(w)) * c.cast("double") for w, c in zip(coefficients, features)), F.lit(0.0)) + F.lit(float(intercept))
 
 
 def shuffled_column(df: DataFrame, row_id: str, column: str, rows_per_bucket: int = 100_000, seed: int = 7) -> DataFrame:

@@ -124,21 +124,49 @@ def test_paths(spark):
     assert [r[0] for r in df.select(S.normalize_path(F.col("p"))).collect()] == ["/users/{id}/items", "/x/{id}"]
 
 
-def test_hmac_matches_the_standard(spark):
+def test_hmac_matches_the_standard(spark, tmp_path):
     import hashlib
     import hmac
 
-    for key in (b"short", b"k" * 100):
-        got = spark.createDataFrame([("value é",)], "v string").select(P.hmac_sha256(F.col("v"), key)).first()[0]
-        assert got == hmac.new(key, "value é".encode(), hashlib.sha256).hexdigest()
+    for i, key in enumerate((b"short", b"k" * 64, b"k" * 100)):
+        path = str(tmp_path / str(i))
+        spark.createDataFrame([(bytearray(key),)], "key binary").write.parquet(path)
+        df = spark.createDataFrame([("value é",)], "v string").select(P.hmac_sha256(F.col("v"), P.hmac_pads(P.key_table(spark, path))).alias("t"))
+        assert df.first()[0] == hmac.new(key, "value é".encode(), hashlib.sha256).hexdigest()
+        plan = df._jdf.queryExecution().toString()
+        assert key.decode() not in plan and key.hex() not in plan.lower()
+
+
+def test_keys_must_be_configured(spark):
+    with pytest.raises(RuntimeError):
+        P.key_table(spark)
+
+
+@pytest.mark.parametrize("text", ["12:30", "T10:00", "2024", "2024-1-5", "2024-01", "now", ""])
+def test_partial_times_are_no_times(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(S.iso_timestamp(F.col("t"))).first()[0] is None
+
+
+def test_region_expression_agrees_with_a_row_function(spark):
+    cities = {name: spec[0] for name, spec in geo.CITIES.items()}
+
+    def one(city, lat, lon):
+        known = cities.get(city.strip().title()) if city else None
+        if known:
+            return known
+        if lat is None or lon is None:
+            return geo.DEFAULT_REGION
+        return next((b.code for b in geo.BOXES if b.min_lat <= lat <= b.max_lat and b.min_lon <= lon <= b.max_lon), geo.DEFAULT_REGION)
+
+    rows = [(c, la, lo) for c in (None, "London", " tokyo ", "Nowhere") for la in (None, -85.0, 10.0, 40.0, 51.0) for lo in (-100.0, 0.0, 30.0, 139.0)]
+    got = geo.enrich_region(spark.createDataFrame(rows, "city string, lat double, lon double")).select("city", "lat", "lon", "region").collect()
+    assert [r.region for r in got] == [one(r.city, r.lat, r.lon) for r in got]
 
 
 def test_masks(spark):
     df = spark.createDataFrame([("ann@x.org",), ("nothing",), (None,)], "e string")
     assert [r[0] for r in df.select(P.mask_email(F.col("e"))).collect()] == ["a***@x.org", "***@***.***", "***@***.***"]
     assert df.select(P.mask_value(F.col("e"), "email", "admin")).first()[0] == "ann@x.org"
-    with pytest.raises(RuntimeError):
-        P.secret(spark, "millrace.test.missing")
 
 
 def test_document_files(spark, tmp_path):
@@ -150,6 +178,9 @@ def test_document_files(spark, tmp_path):
     (tmp_path / "e.json").write_text('["one", "two"]')
     (tmp_path / "f.json").write_text('{"x": 1}')
     (tmp_path / "skip.csv").write_text("no")
+    (tmp_path / "bytes.txt").write_bytes(b"\xff\xfe bad")
+    (tmp_path / "broken.json").write_text('{"content": ')
+    assert {r.source for r in files.unreadable_documents(spark, str(tmp_path)).collect()} == {"bytes.txt", "broken.json"}
     got = {r.source: r for r in files.read_documents(spark, str(tmp_path)).collect()}
     assert {k: v.content for k, v in got.items()} == {
         "a.md": "# head\n\nbody", "sub/b.txt": "plain é", "c.json": "inside", "d.json": "other", "e.json": "one\ntwo", "f.json": '{"x": 1}'}
