@@ -1,8 +1,8 @@
 """Vector index tables, exact and cell-pruned similarity search, prompt assembly.
 
-The exact search scores each Arrow batch of the index against the whole query matrix as one matrix product and keeps ``k``
-hits per query and task, so only ``k`` rows per query and task are shuffled. The query matrix is broadcast, and its size is
-checked: more queries than ``MAX_QUERY_BLOCK`` are searched block by block.
+A search is a join of blocks: index rows and queries are dealt by hash into groups of bounded bytes, and each pair of groups is a tile
+with a task of its own, one matrix product at a time. A tile gives at most ``k`` hits per query, so only those are merged by Spark.
+Neither side passes through the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .ordered import top_per_group
 
-MAX_QUERY_BLOCK = 4096
+TILE_BYTES = 16 << 20  # vectors of one side of a tile
 MAX_SCORES = 4_000_000  # scores held at once by a task
 TOP_K = 10
 # Cells of the approximate index and cells probed per query.
@@ -29,9 +29,15 @@ NLIST = 128
 NPROBE = 10
 
 
-def save_index(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One Parquet table partitioned by cell; vectors and chunk metadata stay together."""
+def save_index(df: DataFrame, path: str, mode: str = "overwrite", model=None, metric: str = "cosine") -> None:
+    """One Parquet table partitioned by cell; vectors and chunk metadata stay together.
+
+    With the fitted ``model`` its centres, the metric and the dimension are stored beside the rows, so a reload can probe.
+    """
     df.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(path)
+    if model is not None:
+        centres = [(i, [float(x) for x in c], metric, len(c)) for i, c in enumerate(model.clusterCenters())]
+        df.sparkSession.createDataFrame(centres, "cell int, centre array<double>, metric string, dim int").write.mode(mode).parquet(f"{path}/_centres")
 
 
 def load_index(spark: SparkSession, path: str, cells: Sequence[int] | None = None) -> DataFrame:
@@ -39,18 +45,45 @@ def load_index(spark: SparkSession, path: str, cells: Sequence[int] | None = Non
     return index.filter(F.col("cell").isin([int(c) for c in cells])) if cells is not None else index
 
 
-def _query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Query matrices of checked size. Usually one block; more queries mean more passes over the index."""
-    rows = queries.select(query_id, vector)
-    total = rows.count()
-    blocks = max(1, -(-total // (MAX_QUERY_BLOCK // 2))) if total > MAX_QUERY_BLOCK else 1
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        collected = part.collect()
-        if not collected:
-            continue
-        matrix = np.array([r[1] for r in collected], dtype=np.float64)
-        yield [r[0] for r in collected], matrix
+def load_centres(spark: SparkSession, path: str) -> np.ndarray:
+    """The stored centres, one row per cell: as many as the index was built with."""
+    rows = spark.read.parquet(f"{path}/_centres").orderBy("cell").collect()
+    if any(r["metric"] != "cosine" or r["dim"] != len(r["centre"]) for r in rows):
+        raise ValueError(f"index at {path} cannot be probed by cosine")
+    return np.array([r["centre"] for r in rows])
+
+
+def _tiles(index: DataFrame, queries: DataFrame, score, schema: str, item_id: str, query_id: str, vector: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``score(index frame, query frame)`` for every pair of groups, within equal ``keys``."""
+    spark = index.sparkSession
+    n, width = index.agg(F.count("*"), F.max(F.size(vector))).first()
+    q, distinct = queries.agg(F.count("*"), F.countDistinct(query_id, *keys)).first()
+    if q == 0:
+        raise ValueError("no queries")
+    if q != distinct:
+        raise ValueError("query ids must be unique")
+    rows = max(1, TILE_BYTES // (8 * max(1, width or 1)))
+    index_groups, query_groups = max(1, -(-n // rows)), max(1, -(-q // rows))
+
+    def dealt(df, row_id, mine, groups, theirs, others):
+        return df.withColumn(mine, F.pmod(F.xxhash64(row_id), F.lit(groups)).cast("int")).withColumn(
+            theirs, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    tile = [*keys, "_ig", "_qg"]
+    left = dealt(index, item_id, "_ig", index_groups, "_qg", query_groups)
+    right = dealt(queries, query_id, "_qg", query_groups, "_ig", index_groups)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def both(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if items.empty or asked.empty:
+            return pd.DataFrame()
+        return score(items, asked)
+
+    return left.repartition(parts, *tile).groupBy(*tile).cogroup(right.repartition(parts, *tile).groupBy(*tile)).applyInPandas(both, schema)
+
+
+def _stack(frame: pd.DataFrame, vector: str) -> np.ndarray:
+    return np.stack(frame[vector].to_numpy()).astype(np.float64)
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -90,68 +123,52 @@ def _best_per_query(best: pd.DataFrame | None, scores: np.ndarray, items: np.nda
     return merged.sort_values(["s", "i"], ascending=[False, True]).groupby("q", sort=False).head(k)
 
 
+def _ranked_hits(hits: DataFrame, item_id: str, query_id: str, k: int) -> DataFrame:
+    ranked = top_per_group(hits, ["q"], [F.desc("s"), F.asc("i")], k, rank="rank")
+    return ranked.select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, metric: str = "cosine", item_id: str = "vec_id",
            query_id: str = "query_id", vector: str = "embedding", filter_on: str | None = None) -> DataFrame:
     """Exact top ``k`` per query: ``query_id, item_id, score, rank``. Score ties go to the smaller id.
 
     ``filter_on`` names a column of both sides: a hit must carry the query's value (metadata filter before ranking).
     """
-    schema = index.schema
-    item_type, query_type = schema[item_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    columns = [item_id, vector] + ([filter_on] if filter_on else [])
-    results = None
-    for ids, matrix in _query_blocks(queries, query_id, vector):
-        wanted = None
-        if filter_on:
-            values = {r[0]: r[1] for r in queries.select(query_id, filter_on).filter(F.col(query_id).isin(ids)).collect()}
-            wanted = np.array([values[i] for i in ids])
-        ids_array = np.array(ids)
-
-        def partial(batches: Iterator[pd.DataFrame], ids_array=ids_array, matrix=matrix, wanted=wanted) -> Iterator[pd.DataFrame]:
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                for rows in _row_blocks(batch, len(ids_array)):
-                    scores = _similarity(metric, np.stack(rows[vector].to_numpy()).astype(np.float64), matrix)
-                    if wanted is not None:
-                        scores = np.where(rows[filter_on].to_numpy()[:, None] == wanted[None, :], scores, -np.inf)
-                    best = _best_per_query(best, scores, rows[item_id].to_numpy(), ids_array, k)
-            if best is not None and not best.empty:
-                yield best
-
-        hits = index.select(*columns).mapInPandas(partial, f"q {query_type}, i {item_type}, s double")
-        ranked = top_per_group(hits, ["q"], [F.desc("s"), F.asc("i")], k, rank="rank")
-        block = ranked.select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
-        results = block if results is None else results.unionByName(block)
-    if results is None:
-        raise ValueError("no queries")
-    return results
+    extra = [filter_on] if filter_on else []
+    item_type, query_type = index.schema[item_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+
+    def score(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        matrix, ids, best = _stack(asked, vector), asked[query_id].to_numpy(), None
+        for rows in _row_blocks(items, len(ids)):
+            scores = _similarity(metric, _stack(rows, vector), matrix)
+            if filter_on:
+                scores = np.where(rows[filter_on].to_numpy()[:, None] == asked[filter_on].to_numpy()[None, :], scores, -np.inf)
+            best = _best_per_query(best, scores, rows[item_id].to_numpy(), ids, k)
+        return best
+
+    hits = _tiles(index.select(item_id, vector, *extra), queries.select(query_id, vector, *extra), score,
+                  f"q {query_type}, i {item_type}, s double", item_id, query_id, vector)
+    return _ranked_hits(hits, item_id, query_id, k)
 
 
 def nearest_query(index: DataFrame, queries: DataFrame, item_id: str = "vec_id", query_id: str = "query_id",
                   vector: str = "embedding") -> DataFrame:
-    """For each index row the most similar query; one row out per row in, no shuffle. Ties go to the smaller query."""
+    """For each index row the most similar query, a row out per row in. Ties go to the smaller query."""
     item_type, query_type = index.schema[item_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    blocks = []
-    for ids, matrix in _query_blocks(queries, query_id, vector):
-        order = np.argsort(np.array(ids), kind="stable")
-        ids_array, sorted_matrix = np.array(ids)[order], matrix[order]
-
-        def best(batches: Iterator[pd.DataFrame], ids_array=ids_array, sorted_matrix=sorted_matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for rows in _row_blocks(batch, len(ids_array)):
-                    scores = _similarity("cosine", np.stack(rows[vector].to_numpy()).astype(np.float64), sorted_matrix)
-                    top = scores.argmax(axis=1)
-                    yield pd.DataFrame({"i": rows[item_id], "q": ids_array[top], "s": scores[np.arange(len(top)), top]})
-
-        blocks.append(index.select(item_id, vector).mapInPandas(best, f"i {item_type}, q {query_type}, s double"))
-    if len(blocks) == 1:
-        found = blocks[0]
-    else:
-        found = blocks[0]
-        for b in blocks[1:]:
-            found = found.unionByName(b)
-        found = top_per_group(found, ["i"], [F.desc("s"), F.asc("q")], 1)
-    return found.select(F.col("i").alias(item_id), F.col("q").alias(query_id), F.col("s").alias("score"))
+
+    def score(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values(query_id)
+        matrix, ids, out = _stack(asked, vector), asked[query_id].to_numpy(), []
+        for rows in _row_blocks(items, len(ids)):
+            scores = _similarity("cosine", _stack(rows, vector), matrix)
+            top = scores.argmax(axis=1)
+            out.append(pd.DataFrame({"i": rows[item_id].to_numpy(), "q": ids[top], "s": scores[np.arange(len(top)), top]}))
+        return pd.concat(out)
+
+    found = _tiles(index.select(item_id, vector), queries.select(query_id, vector), score, f"i {item_type}, q {query_type}, s double",
+                   item_id, query_id, vector)
+    best = top_per_group(found, ["i"], [F.desc("s"), F.asc("q")], 1)
+    return best.select(F.col("i").alias(item_id), F.col("q").alias(query_id), F.col("s").alias("score"))
 
 
 def centroids(index: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
@@ -170,43 +187,33 @@ def build_cells(index: DataFrame, nlist: int = NLIST, vector: str = "embedding",
     return model.transform(prepared).drop("_raw", "_v"), model
 
 
-def probe_search(celled: DataFrame, model, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE, item_id: str = "vec_id",
+def probe_search(celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE, item_id: str = "vec_id",
                  query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """Search only the ``nprobe`` cells whose centres are nearest to each query.
 
-    Queries are grouped by cell, so each cell scores its rows against its own query matrix. A cell is split over the Arrow
-    batches of the index side, and partial top ``k`` lists are merged per query.
+    ``centres`` holds one vector per cell. A query goes to its cells, and tiles are formed within a cell.
     """
-    centres = _unit_rows(np.array(model.clusterCenters(), dtype=np.float64))
+    unit_centres = _unit_rows(np.asarray(centres, dtype=np.float64))
     item_type, query_type = celled.schema[item_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    results = None
-    for ids, matrix in _query_blocks(queries, query_id, vector):
-        unit = _unit_rows(matrix)
-        probes = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :nprobe]
-        by_cell = {int(c): np.where((probes == c).any(axis=1))[0] for c in np.unique(probes)}
-        ids_array = np.array(ids)
-
-        def partial(batches: Iterator[pd.DataFrame], ids_array=ids_array, unit=unit, by_cell=by_cell) -> Iterator[pd.DataFrame]:
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                for cell, in_cell in batch.groupby("cell"):
-                    members = by_cell.get(int(cell))
-                    if members is None:
-                        continue
-                    for rows in _row_blocks(in_cell, len(members)):
-                        scores = _unit_rows(np.stack(rows[vector].to_numpy()).astype(np.float64)) @ unit[members].T
-                        best = _best_per_query(best, scores, rows[item_id].to_numpy(), ids_array[members], k)
-            if best is not None and not best.empty:
-                yield best
-
-        pruned = celled.filter(F.col("cell").isin(sorted(by_cell))).select(item_id, vector, "cell")
-        hits = pruned.mapInPandas(partial, f"q {query_type}, i {item_type}, s double")
-        ranked = top_per_group(hits, ["q"], [F.desc("s"), F.asc("i")], k, rank="rank")
-        block = ranked.select(F.col("q").alias(query_id), F.col("i").alias(item_id), F.col("s").alias("score"), "rank")
-        results = block if results is None else results.unionByName(block)
-    if results is None:
-        raise ValueError("no queries")
-    return results
+    vector_type = queries.schema[vector].dataType.simpleString()
+
+    def probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                cells = np.argsort(-(_unit_rows(_stack(frame, vector)) @ unit_centres.T), axis=1, kind="stable")[:, :nprobe]
+                yield frame.assign(cell=list(cells.astype(np.int32))).explode("cell").astype({"cell": "int32"})
+
+    asked = queries.select(query_id, vector).mapInPandas(probes, f"{query_id} {query_type}, {vector} {vector_type}, cell int")
+
+    def score(items: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        unit, ids, best = _unit_rows(_stack(wanted, vector)), wanted[query_id].to_numpy(), None
+        for rows in _row_blocks(items, len(ids)):
+            best = _best_per_query(best, _unit_rows(_stack(rows, vector)) @ unit.T, rows[item_id].to_numpy(), ids, k)
+        return best
+
+    hits = _tiles(celled.select(item_id, vector, F.col("cell").cast("int").alias("cell")), asked, score, f"q {query_type}, i {item_type}, s double",
+                  item_id, query_id, vector, ["cell"])
+    return _ranked_hits(hits, item_id, query_id, k)
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id", item_id: str = "vec_id") -> DataFrame:

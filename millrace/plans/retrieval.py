@@ -85,11 +85,11 @@ def v4_exact_search(spark, sf):
 def v5_cell_search(spark, sf):
     """Approximate search over k-means cells with its recall against the exact search."""
     index = table(spark, sf, "embeddings")
-    celled, model = retrieval.build_cells(index, nlist=16)
+    celled, model = retrieval.build_cells(index)
     path = scratch_dir(spark, "cells")
-    retrieval.save_index(celled, path)
+    retrieval.save_index(celled, path, model=model)
     queries = centroid_queries(spark, sf)
-    found = retrieval.probe_search(retrieval.load_index(spark, path), model, queries, 10, nprobe=4)
+    found = retrieval.probe_search(retrieval.load_index(spark, path), retrieval.load_centres(spark, path), queries, 10)
     return retrieval.recall(found, retrieval.search(index, queries, 10))
 
 

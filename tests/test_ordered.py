@@ -134,3 +134,42 @@ def test_missing_metric_does_not_pass_a_gate(spark):
     df = spark.createDataFrame([(None, 10.0), (float("nan"), 10.0), (0.9, 10.0)], "a double, m double").withColumn(
         "a", F.nanvl("a", F.lit(None).cast("double")))
     assert [r.passed for r in drift.metric_gates(df, "a", "m").collect()] == [False, False, True]
+
+
+def test_no_row_is_dropped_unseen(spark):
+    """A missing label is no label, any other than 0 and 1 stops the job."""
+    rows = spark.createDataFrame([(1, 0.9), (0, 0.4), (None, 0.5)], "label int, score double")
+    assert evaluate.roc_auc(rows).first()["auc"] == 1.0
+    with pytest.raises(Exception, match="labels must be 0 or 1"):
+        evaluate.roc_auc(rows.unionByName(spark.createDataFrame([(2, 0.7)], "label int, score double"))).collect()
+    with pytest.raises(Exception, match="negative measure"):
+        ordered.running_totals(spark.createDataFrame([(1.0, -1)], "v double, n long"), "v", ["n"]).collect()
+
+
+def test_small_and_large_values_keep_their_digits(spark):
+    from millrace.functions import scalars as S
+
+    small = spark.createDataFrame([(1e-5,), (3e-5,)], "v double").agg(S.stable_sum(F.col("v")).alias("s"), S.stable_avg(F.col("v")).alias("m")).first()
+    assert (small.s, small.m) == (4e-5, 2e-5)
+    large = spark.createDataFrame([(2.0e10,), (1e10,)], "v double").agg(S.stable_sum(F.col("v")).alias("s")).first()
+    assert large.s == 3e10
+
+
+def test_tied_times_lose_no_row_between_pages(spark):
+    from millrace.plans.ordering import keyset_page
+
+    rows = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, 0, 0, i // 40)) for i in range(200)], "event_id long, ts timestamp_ntz")
+    seen, last = [], (F.lit(dt.datetime(2030, 1, 1)).cast("timestamp_ntz"), F.lit(10**9))
+    while page := keyset_page(rows, *last, 50).collect():
+        seen += [r.event_id for r in page]
+        last = (F.lit(page[-1].ts), F.lit(page[-1].event_id))
+    assert seen == list(range(199, -1, -1))
+
+
+def test_an_alert_that_comes_back_is_sent_again(spark):
+    from millrace.operators import alerts
+
+    times = [0, 3600, 7200, 14400 + 3600, 14400 + 7200]
+    rows = [("A", "j", "warning", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t)) for t in times]
+    sent = alerts.notifications(spark.createDataFrame(rows, "alertname string, job string, severity string, ts timestamp")).orderBy("sent_at").collect()
+    assert [(r.sent_at - dt.datetime(2024, 1, 1)).total_seconds() for r in sent] == [0.0, 18000.0]

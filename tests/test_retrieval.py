@@ -49,10 +49,10 @@ def vectors_frame(spark, n=300, dim=8, name="vec_id"):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
-@pytest.mark.parametrize("block", [4096, 3])
+@pytest.mark.parametrize("block", [1 << 20, 200])
 def test_search_equals_brute_force(spark, metric, block, monkeypatch):
-    """Small integer vectors give many tied scores; small blocks force several passes and many pieces."""
-    monkeypatch.setattr(retrieval, "MAX_QUERY_BLOCK", block)
+    """Small integer vectors give many tied scores; small blocks force many tiles and many pieces."""
+    monkeypatch.setattr(retrieval, "TILE_BYTES", block)
     monkeypatch.setattr(retrieval, "MAX_SCORES", 64)
     rows, index = vectors_frame(spark)
     queries, query_frame = vectors_frame(spark, 7, name="query_id")
@@ -66,6 +66,32 @@ def test_search_equals_brute_force(spark, metric, block, monkeypatch):
         assert [round(got[qid][k][1], 9) for k in range(1, 11)] == pytest.approx([s for s, _ in want])
 
 
+def test_bad_vectors_take_no_place(spark):
+    good = [(i, [1.0, float(i)]) for i in range(20)]
+    bad = [(100 + i, [float("nan"), 1.0]) for i in range(4)]
+    index = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(0, [1.0, 1.0])], "query_id long, embedding array<float>")
+    for k in (3, 10):
+        assert retrieval.search(index, queries, k).count() == k
+    with pytest.raises(ValueError, match="unique"):
+        retrieval.search(index, queries.unionByName(queries), 3)
+
+
+def test_a_stored_index_can_be_probed_after_a_reload(spark, tmp_path):
+    _, index = vectors_frame(spark)
+    _, queries = vectors_frame(spark, 5, name="query_id")
+    celled, model = retrieval.build_cells(index, nlist=6)
+    path = str(tmp_path / "index")
+    retrieval.save_index(celled, path, model=model)
+    centres = retrieval.load_centres(spark, path)
+    assert centres.shape == (6, 8)
+    stored = retrieval.load_index(spark, path)
+    assert stored.count() == index.count()
+    found = retrieval.probe_search(stored, centres, queries, 5, nprobe=6)
+    exact = retrieval.search(index, queries, 5)
+    assert retrieval.recall(found, exact).agg(F.min("recall")).first()[0] > 0.5
+
+
 def test_search_returns_all_rows_of_a_short_index(spark):
     _, index = vectors_frame(spark, 4)
     _, queries = vectors_frame(spark, 2, name="query_id")
@@ -77,9 +103,9 @@ def test_all_cells_give_the_exact_result(spark):
     _, queries = vectors_frame(spark, 5, name="query_id")
     celled, model = retrieval.build_cells(index, nlist=6)
     exact = retrieval.search(index, queries, 5).select("query_id", F.round("score", 9).alias("score"), "rank").collect()
-    probed = retrieval.probe_search(celled, model, queries, 5, nprobe=6).select("query_id", F.round("score", 9).alias("score"), "rank").collect()
+    probed = retrieval.probe_search(celled, np.array(model.clusterCenters()), queries, 5, nprobe=6).select("query_id", F.round("score", 9).alias("score"), "rank").collect()
     assert sorted(exact) == sorted(probed)
-    assert retrieval.probe_search(celled, model, queries, 5, nprobe=1).count() > 0
+    assert retrieval.probe_search(celled, np.array(model.clusterCenters()), queries, 5, nprobe=1).count() > 0
 
 
 def test_index_round_trip(spark, tmp_path):
