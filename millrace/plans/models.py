@@ -164,14 +164,14 @@ def m11_forecast_range(spark, sf):
 @query("m12_permutation_importance")
 def m12_permutation_importance(spark, sf):
     train, test = event_rows(spark, sf)
-    model = ml.train_event_classifier(train, EVENT_FEATURES, "event_type", "random_forest", iterations=20)
+    model = ml.train_event_classifier(train, EVENT_FEATURES, "event_type", "random_forest")
     return ml.permutation_importance(model, test, "event_id", EVENT_FEATURES, ml.accuracy)
 
 
 @query("m12_split_importance")
 def m12_split_importance(spark, sf):
     train, _ = event_rows(spark, sf)
-    forest = ml.train_event_classifier(train, EVENT_FEATURES, "event_type", "random_forest", iterations=20).stages[-1]
+    forest = ml.train_event_classifier(train, EVENT_FEATURES, "event_type", "random_forest").stages[-1]
     rows = [(f, float(v)) for f, v in zip(EVENT_FEATURES, forest.featureImportances.toArray())]
     return spark.createDataFrame(rows, "feature string, importance double")
 

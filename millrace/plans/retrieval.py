@@ -124,8 +124,8 @@ def v7_document_ingest(spark, sf):
     """documents -> chunks -> embeddings -> cells -> stored index, read back."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), "source")
     chunks = checkpointed(chunking.chunk_documents(docs, separator="\n"))
-    embedded = retrieval.embed(chunks, retrieval.fit_lexical_embedder(chunks, dim=128))
-    celled, _ = retrieval.build_cells(embedded, nlist=8)
+    embedded = retrieval.embed(chunks, retrieval.fit_lexical_embedder(chunks))
+    celled, _ = retrieval.build_cells(embedded)
     path = scratch_dir(spark, "index")
     retrieval.save_index(celled, path)
     length = vectors.norm(F.col("embedding"))
