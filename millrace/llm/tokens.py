@@ -15,7 +15,7 @@ import numpy as np
 from .common import SPACE, Texts
 
 #: Words kept by one worker: two generations, the older one is dropped when the newer one is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _JOINED = 256
 _MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 _LOADED: dict[str, "Encoder"] = {}
