@@ -23,7 +23,7 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     """A batch that died between its two sinks is run again under the same id."""
     table, topic = str(tmp_path / "table"), str(tmp_path / "topic")
     batch = sinks.ingest(records(spark, range(9)))
-    batch.select(*E.STREAM_COLUMNS, F.lit(0).alias("batch_id")).write.partitionBy("batch_id", "dt").parquet(table)
+    batch.select(*E.STREAM_COLUMNS, F.lit(0).alias("batch_id")).write.partitionBy("dt", "batch_id").parquet(table)
     sinks.write_batch(batch, 0, table, topic)
     sinks.write_batch(batch, 0, table, topic)
     assert spark.read.parquet(table).count() == 9
