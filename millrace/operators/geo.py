@@ -79,8 +79,10 @@ def enrich_region_from_table(df: DataFrame, boxes: DataFrame, lat: str, lon: str
     """First matching box when the boxes are a table (``ord, code, min_lat, max_lat, min_lon, max_lon``).
 
     Boxes are indexed by grid cell, with the ordered candidates of a cell in one array. The point side needs one equi-join
-    on its cell and no aggregation, whatever the number of boxes that overlap.
+    on its cell and no aggregation, whatever the number of boxes that overlap. A missing bound is the world's edge.
     """
+    edges = {"min_lat": -90.0, "max_lat": 90.0, "min_lon": -180.0, "max_lon": 180.0}
+    boxes = boxes.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in edges.items()})
     cell = lambda c: F.floor(c / cell_degrees)
     index = (
         boxes.withColumn("_cy", F.explode(F.sequence(cell(F.col("min_lat")), cell(F.col("max_lat")))))

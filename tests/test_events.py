@@ -206,3 +206,5 @@ def test_geo_dimension_defaults(spark, tmp_path):
     assert boxes.first()[["max_lat"][0]] == 90.0 and cities.first()["region"] == "N1"
     points = spark.createDataFrame([(1.0, 1.0), (-1.0, 1.0)], "lat double, lon double")
     assert [r.region for r in geo.enrich_region_from_table(points, boxes, "lat", "lon").orderBy("lat").collect()] == ["UNKNOWN", "N1"]
+    open_box = spark.createDataFrame([(0, "X", None, 0.0, None, None)], "ord int, code string, min_lat double, max_lat double, min_lon double, max_lon double")
+    assert [r.region for r in geo.enrich_region_from_table(points, open_box, "lat", "lon").orderBy("lat").collect()] == ["X", "UNKNOWN"]
