@@ -4,7 +4,8 @@ Rules name a host, with all its subdomains, and a path prefix; the longest rule
 lead to the same page share decisions: redirects, canonical links and refresh headers found in the pages, and the step from a url to
 its plain form (no scheme, ``www.`` or ``m.``, fragment, tracking parameters, index page or closing slash) are edges of a graph whose
 connected components are found in Spark. A page without a rule of its own is blocked if its component holds a blocked url and no
-allowed one: an explicit allow takes precedence over what aliases bring along. Everything else is allowed.
+allowed one: an explicit allow takes precedence over what aliases bring along. Everything else is allowed. Urls that are only linked
+or redirected to, and are no page themselves, count like pages: a blocked page is often never fetched.
 
 Rules are matched once per distinct host, so their number does not multiply the pages; a host's rules are as many as fit it.
 
@@ -83,15 +84,21 @@ def judge_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     """page_id, host, path, rule, verdict and component of every page. ``redirects`` holds (url, target)."""
     url = F.col("url")
     named = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    found = stored(host_rules(named.select("host").distinct(), rules), "host-rules")
-    best = F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"]))
-    ruled = (named.join(bounded(found, 512, broadcast_bytes), "host", "left").withColumn("_best", F.get(best, F.lit(0)))
-             .select("page_id", "url", "host", "path", F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("own")))
-
     links = links_of(pages) if "html" in pages.columns else None
     if redirects is not None:
         more = redirects.select("url", "target").filter("url is not null and target is not null")
         links = more if links is None else links.unionByName(more)
+    hosts = named.select("host")
+    if links is not None:
+        links = stored(links, "links")
+        linked = (links.select("url").unionByName(links.select(F.col("target").alias("url"))).distinct()
+                  .select("url", host_of(url).alias("host"), path_of(url).alias("path")))
+        hosts = hosts.unionByName(linked.select("host"))
+    found = bounded(stored(host_rules(hosts.distinct(), rules), "host-rules"), 512, broadcast_bytes)
+    best = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"])), F.lit(0))
+    ruled = (named.join(found, "host", "left").withColumn("_best", best)
+             .select("page_id", "url", "host", "path", F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("own")))
+
     # A url's node is its plain form; the raw url is tied to it, so links may name either.
     edges = named.filter("host <> ''").select(url.alias("u"), plain_form(url).alias("v"))
     if links is not None:
@@ -101,7 +108,11 @@ def judge_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
         edges = edges.unionByName(forms).unionByName(sources).unionByName(targets)
     member = components(edges).withColumnRenamed("node", "url")
     judged = stored(ruled.join(member, "url", "left"), "ruled-pages")
-    spread = (judged.filter("component is not null and own is not null").groupBy("component")
+    decided = judged.select("component", "own")
+    if links is not None:
+        others = linked.join(found, "host").select("url", best["verdict"].alias("own")).filter("own is not null")
+        decided = decided.unionByName(others.join(member, "url").select("component", "own"))
+    spread = (decided.filter("component is not null and own is not null").groupBy("component")
               .agg(F.max(F.col("own") == "block").alias("blocked"), F.max(F.col("own") == "allow").alias("allowed"))
               .filter("blocked and not allowed").select("component", F.lit("block").alias("shared")))
     spread = stored(spread, "blocked-components")

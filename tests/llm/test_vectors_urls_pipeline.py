@@ -136,6 +136,25 @@ def test_aliases_share_blocks_and_allow_wins(spark):
     assert urlfilter.judge_pages(pages.limit(0), urlfilter.rule_table(spark, urlfilter.RULES)).count() == 0
 
 
+def test_targets_that_are_no_pages_decide(spark):
+    pages = spark.createDataFrame([
+        (1, "http://x.org/a", '<link rel="canonical" href="http://b.net/2">'),  # blocked, never crawled
+        (2, "http://y.org/a", '<meta http-equiv=refresh content="0; url=http://c.org/t">'), (3, "http://z.org/a", '<link rel=canonical href="//c.org/t">'),
+        (4, "http://p.org/a", '<link rel=canonical href="http://q.org/fr/1">'), (5, "http://r.org/a", ""), (6, "http://s.org/a", ""),
+        (7, "http://u.org/a", "<link rel=canonical href='http://v.org/?to=http://b.net/2'>")], "page_id long, url string, html string")
+    moved = spark.createDataFrame([
+        ("http://c.org/t", "http://d.net/"), ("http://q.org/fr/1", "http://b.net/3"), ("http://r.org/a", "http://w.org/1"), ("http://example.com/de/9", "http://w.org/1"),
+        ("http://s.org/a", "nowhere")], "url string, target string")
+    rules = urlfilter.rule_table(spark, urlfilter.RULES)
+    for size in (None, 0):
+        got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_pages(pages, rules, moved, size).collect()}
+        assert got == {i: (None, "block" if i in (1, 2, 3, 5) else "allow") for i in range(1, 8)}
+    got = {r.page_id: r.verdict for r in urlfilter.judge_pages(pages, rules).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
+    got = {r.page_id: r.verdict for r in urlfilter.judge_pages(pages.drop("html"), rules, moved).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "allow", 7: "allow"}
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------------------------
 
 
