@@ -82,6 +82,13 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out
 
 
+def boosted_draws(model: GBTClassifier, draws: int = DRAWS, seed: int = 42) -> list[dict]:
+    """Different points of the search space of boosted trees, drawn without replacement."""
+    grid = (ParamGridBuilder().addGrid(model.maxIter, [100, 200]).addGrid(model.maxDepth, [3, 5, 7]).addGrid(model.stepSize, [0.01, 0.1])
+            .addGrid(model.subsamplingRate, [0.8, 1.0]).addGrid(model.featureSubsetStrategy, ["0.8", "all"]).build())
+    return [grid[i] for i in np.random.default_rng(seed).permutation(len(grid))[:draws]]
+
+
 def search_churn_model(train: DataFrame, features: Sequence[str], label: str, kind: str = "logistic_regression", folds: int = FOLDS,
                        draws: int = DRAWS, parallelism: int = 4, seed: int = 42):
     """Cross-validated search by area under ROC; the trials run in parallel as Spark jobs."""
@@ -91,9 +98,7 @@ def search_churn_model(train: DataFrame, features: Sequence[str], label: str, ki
         grid = ParamGridBuilder().addGrid(model.regParam, [1.0, 0.1, 0.01, 0.001]).build()
     else:
         model = GBTClassifier(labelCol=label, seed=seed)
-        rng = np.random.default_rng(seed)
-        grid = [{model.maxDepth: int(rng.integers(2, 6)), model.maxIter: int(rng.integers(5, 30)), model.stepSize: float(rng.uniform(0.05, 0.3))}
-                for _ in range(draws)]
+        grid = boosted_draws(model, draws, seed)
     pipeline = Pipeline(stages=[*stages, model])
     return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label),
                           numFolds=folds, parallelism=parallelism, seed=seed).fit(train)

@@ -77,8 +77,8 @@ def m4_event_classifier(spark, sf):
 
 @query("m4_boosted_classifier")
 def m4_boosted_classifier(spark, sf):
-    """One boosted model per class; ten rounds each here, a hundred by default."""
-    return _classifier_metrics(spark, sf, ("gradient_boosting",), iterations=10)
+    """One boosted model per class, a hundred rounds each."""
+    return _classifier_metrics(spark, sf, ("gradient_boosting",))
 
 
 def churn_rows(spark, sf):
@@ -96,8 +96,8 @@ def m5_churn_search(spark, sf):
 
 @query("m5_boosted_search")
 def m5_boosted_search(spark, sf):
-    """Random draws of boosted trees; three draws by two folds here, twenty by five by default."""
-    search = ml.search_churn_model(churn_rows(spark, sf).filter("split = 'train'"), CHURN_FEATURES, "churned", "boosted", folds=2, draws=3)
+    """Twenty random draws of boosted trees by five folds."""
+    search = ml.search_churn_model(churn_rows(spark, sf).filter("split = 'train'"), CHURN_FEATURES, "churned", "boosted")
     return spark.createDataFrame([(i, float(a)) for i, a in enumerate(search.avgMetrics)], "trial int, auc double")
 
 
