@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; no document is dropped."""
-    cleaned = linededup.drop_boilerplate(docs.select(*COLUMNS))
+    """Documents without the lines on more than a tenth of their source's documents, three at least; no document is dropped."""
+    cleaned = linededup.drop_boilerplate(docs.select(*COLUMNS), min_pages=linededup.LEAST_PAGES)
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed).select(*COLUMNS)
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, stored
 
 RATIO, MIN_PAGES = 0.1, 10
+#: For hosts of every size the ratio alone decides, but for lines that hardly repeat.
+LEAST_PAGES = 3
 SALTS = 64
 
 

@@ -176,6 +176,17 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == packed[1].count()
 
 
+def test_lines_of_small_hosts_are_decided_by_the_ratio(spark):
+    own = lambda h, i: f"{h} {i}\nfoot\n" + ("pair" if i < 2 else "few" if i < 5 else "")
+    rows = [(1000 * len(h) + i, own(h, i), "en", h, 1) for h, n in (("a", 3), ("bb", 9), ("ccc", 40), ("dddd", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, SF).collect()}
+    assert got[1000] == "a 0\npair" and got[1002] == "a 2\nfew"  # three documents
+    assert got[2000] == "bb 0\npair" and got[2003] == "bb 3" and got[2008] == "bb 8\n"  # few: three of nine
+    assert got[3000] == "ccc 0\npair" and got[3003] == "ccc 3\nfew"  # three of forty
+    assert got[4000] == "dddd 0\nfoot\npair"
+
+
 @pytest.mark.parametrize("position", range(5))
 def test_pipeline_stages_take_no_rows(spark, position):
     docs = table(spark, SF, "documents").limit(0)
