@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin_utc
-from . import blockjoin, linededup, mixing, packing, quality, recompression, sigtree, simple8b, tokencounts, urlfilter
+from . import blockjoin, fim, licenses, linededup, merkle, mixing, packing, quality, recompression, sigtree, simple8b, tokencounts, urlfilter
 from .common import table
 from .tokens import tokenizer_path
 
@@ -92,3 +92,20 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "score")
+
+
+@query("op11_prefix_filter_licenses", licenses.scan_sql())
+def op11(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op12_displacement_fim", fim.fim_sql())
+def op12(spark, sf_dir):
+    outputs = fim.restore(fim.rearrange(table(spark, sf_dir, "documents")))
+    return outputs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                          F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op13_interval_merkle", merkle.merkle_sql())
+def op13(spark, sf_dir):
+    return merkle.verify(table(spark, sf_dir, "documents"))
