@@ -107,18 +107,17 @@ def _with_words(docs: DataFrame, text: str) -> DataFrame:
             .select("digest", "plain", _words_of("plain").alias("words")))
 
 
-def word_order(docs: DataFrame, vocabulary: list[str], text: str = "text") -> list[str]:
+def word_order(measured: DataFrame, vocabulary: list[str]) -> list[str]:
     """The vocabulary by the number of documents that hold each word, rarest first; ties by the word."""
-    held = _with_words(docs, text).select(F.explode(F.array_intersect(_strings(vocabulary), "words")).alias("word"))
-    counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row per template word
+    held = measured.select(F.explode_outer("held").alias("word"))
+    counts = {r["word"]: r["n"] for r in held.filter("word is not null").groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row per template word
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """(digest, template, label, block, shared, score): every block of a distinct text that meets a template."""
+def template_matches(docs: DataFrame, parsed: list[tuple[int, str, list[str], int]], order: list[str], percent: int = PERCENT,
+                     text: str = "text") -> DataFrame:
+    """(digest, template, label, block, shared, score): every block of a distinct text that meets a template; ``order`` is global."""
     spark = docs.sparkSession
-    parsed = _parsed(templates)
-    order = word_order(docs, sorted({w for t in parsed for w in t[2]}), text) if parsed else []
     place = {w: i for i, w in enumerate(order)}
     prefixes, classes = [], {}
     for i, label, words, half in parsed:
@@ -147,9 +146,9 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
         return spark.createDataFrame([], "digest string, template int, label string, block int, shared int, score double")
     kind = "array<struct<half:int,block:int,held:array<string>>>"
     found = F.concat(*[F.coalesce(blocks(h), F.array().cast(kind)) for h in sorted(classes)])
-    # Only small structs are exploded: the words of the text stay behind.
-    cut = (_with_words(docs, text).select("digest", found.alias("found")).filter(F.size("found") > 0)
-           .select("digest", F.explode("found").alias("b")).select("digest", "b.half", "b.block", "b.held"))
+    # Only small structs are exploded: the words of the text stay behind. The outer form keeps Spark from testing for empty lists below
+    # the projections, where it would split the text again for every word.
+    cut = (_with_words(docs, text).select("digest", F.explode_outer(found).alias("b")).select("digest", "b.half", "b.block", "b.held"))
     size = F.size("held")
     candidates = (cut.select("*", F.posexplode("held").alias("j", "word")).join(F.broadcast(table), ["half", "word"])
                   .filter((size >= F.col("need"))
@@ -174,13 +173,16 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     ``score`` is the greatest share of a template that one block holds, among those that meet the threshold; a phrase counts as whole.
     """
-    matches = stored(template_matches(docs, templates, percent, text), "license-blocks")
-    # A text has as many labels as there are templates at most.
-    per_text = stored(matches.groupBy("digest").agg(F.collect_set("label").alias("found"), F.max("score").alias("best")), "license-texts")
-
+    parsed = _parsed(templates)
+    vocabulary = sorted({w for t in parsed for w in t[2]})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("digest"),
                        _plain(text).alias("plain")).select("*", _words_of("plain").alias("words"))
-    placed = rows.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), F.array(*[_places(p) for p, _ in phrases]).alias("places"))
+    placed = stored(rows.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"),
+                                F.array(*[_places(p) for p, _ in phrases]).alias("places"),
+                                F.array_intersect(_strings(vocabulary), "words").alias("held")), "license-words")
+    matches = stored(template_matches(docs, parsed, word_order(placed, vocabulary), percent, text), "license-blocks")
+    # A text has as many labels as there are templates at most.
+    per_text = stored(matches.groupBy("digest").agg(F.collect_set("label").alias("found"), F.max("score").alias("best")), "license-texts")
     every = F.flatten("places")
     names = F.array_sort(F.array_distinct(F.filter(F.transform("places", lambda p, i: F.when(F.size(p) > 0, F.get(_strings([n for _, n in phrases]), i))),
                                                    lambda n: n.isNotNull())))
