@@ -3,7 +3,8 @@
 Queries and candidates are dealt into groups of bounded rows. Every pair of a query group and a candidate group is one tile, a
 task of its own: the stated query set meets all rows in blocks. In a tile, int8 products give each inner product with a bound on
 its quantisation error; pairs whose upper bound reaches the query's k-th best lower bound are computed again in double precision
-and kept in a heap of k per query. The heaps of all tiles of a query are merged by (score, vec_id). The result is exact.
+and kept in a heap of k per query. The heaps of all tiles of a query are merged by (score, vec_id). The result is exact: a score is the
+sum, from left to right, of the products of components, every step rounded to double precision.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of one dimension
 are compared; a row repeated with the same vec_id and vector counts once; a row never finds its own vec_id; ties go to the smaller
@@ -44,8 +45,12 @@ def int_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Inner products of the given pairs of rows in double precision, in bounded memory."""
-    return np.concatenate([(a[i[s : s + EXACT_PAIRS]] * b[j[s : s + EXACT_PAIRS]]).sum(1) for s in range(0, len(i), EXACT_PAIRS)] or [np.zeros(0)])
+    """Inner products of the given pairs of rows: every product rounded to double precision, the products summed from left to right.
+
+    The order of the sum is part of the measure: scores that tie in exact arithmetic, or nearly so, rank alike wherever they are computed.
+    """
+    parts = [np.add.accumulate(a[i[s : s + EXACT_PAIRS]] * b[j[s : s + EXACT_PAIRS]], axis=1)[:, -1] for s in range(0, len(i), EXACT_PAIRS)]
+    return np.concatenate(parts or [np.zeros(0)])
 
 
 def search_tile(q_ids, q, c_ids, c, k: int):

@@ -99,21 +99,27 @@ def _attached(nodes: DataFrame, parents: DataFrame, width: int, keep: list[str])
     return joined.select(*keep, F.concat(F.array(own), "p_path").cast(_PATH).alias("path"), "top")
 
 
-def descend(nodes: DataFrame, levels: list[DataFrame], above: DataFrame, keep: list[str]) -> DataFrame:
+def descend(nodes: DataFrame, levels: list[DataFrame], above: DataFrame | str | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``nodes`` with ``path``, from their own siblings up, and the digest ``top`` of their tree.
 
-    ``above`` holds (tree, path, top): what lies over the top of each tree, a row per tree.
+    ``above`` holds (tree, path, top): what lies over the top of each tree, a row per tree; or it is the digest of the only tree.
     """
+
+    def below(df: DataFrame) -> DataFrame:
+        if isinstance(above, DataFrame):
+            return df.join(above, "tree")
+        return df.withColumns({"path": F.array().cast(_PATH), "top": F.lit(above).cast("string")})
+
     columns = ["tree", "n", "lo", "hi", "children"]
     parents = None
     for i in range(len(levels) - 1, -1, -1):
         width = FAN_OUT ** (i + 1)
-        highest = levels[i].filter(F.col("n") <= width).select(*columns).join(above, "tree")
+        highest = below(levels[i].filter(F.col("n") <= width).select(*columns))
         if parents is not None:
             lower = levels[i].filter(F.col("n") > width).select(*columns)
             highest = highest.unionByName(_attached(lower, parents, width * FAN_OUT, columns))
         parents = stored(highest, "paths")
-    single = nodes.filter("n = 1").join(above, "tree").select(*keep, "path", "top")
+    single = below(nodes.filter("n = 1")).select(*keep, "path", "top")
     return single if parents is None else _attached(nodes.filter("n > 1"), parents, FAN_OUT, keep).unionByName(single)
 
 
@@ -127,8 +133,7 @@ def manifest(docs: DataFrame, broadcast_bytes: int | None = None) -> tuple[DataF
     heads = stored(ranked(subroots, ["name"], broadcast_bytes), "subroots")
     upper = grow(heads)
     root = tops(heads, upper).first()
-    none = docs.sparkSession.range(1).select(F.lit("").alias("tree"), F.array().cast(_PATH).alias("path"), F.lit(root and root["digest"]).cast("string").alias("top"))
-    above = stored(descend(heads, upper, none, ["name", "digest"]).select(F.col("name").alias("tree"), "path", F.col("digest").alias("top")), "above")
+    above = stored(descend(heads, upper, root and root["digest"], ["name", "digest"]).select(F.col("name").alias("tree"), "path", F.col("digest").alias("top")), "above")
     rows = descend(placed, levels, above, ["doc_id", "leaf", "tampered"])
     return rows.withColumnRenamed("top", "subroot"), root and root["digest"]
 
