@@ -6,8 +6,9 @@ a third of all rows costs one row per task. The lines above the ratio number les
 ratio, so they go back as one array per host, and pages filter their own lines: texts are not exploded, sorted or regrouped.
 
 Edge cases: lines are compared without white space at their ends; lines without other characters are never counted or dropped; a null
-host counts as the host ''; a null text has no lines and stays null; hosts where a line is on fewer than ``min_pages`` pages keep
-it; repeated rows are pages of their own; an empty table gives no rows; other columns pass through.
+host counts as the host ''; a null text has no lines and stays null; a line on fewer than ``MIN_PAGES`` pages of its host is no
+boilerplate, whatever the ratio; repeated rows are pages of their own; an empty table gives no rows; other columns pass through, but
+for input columns named ``n_lines`` or ``n_dropped``, which the counts replace.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, stored
+from .common import BROADCAST_BYTES, renamed_apart, renamed_back, stored
 
-RATIO, MIN_PAGES = 0.1, 10
 #: For hosts of every size the ratio alone decides, but for lines that hardly repeat.
-LEAST_PAGES = 3
+RATIO, MIN_PAGES = 0.1, 3
 SALTS = 64
+_OWN = ("_host", "_lines", "_salt", "_split", "_gone", "_kept")
 
 
 def _key(line: F.Column) -> F.Column:
@@ -45,6 +46,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     common = stored(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     hosts, lines = common.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     right = common.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
+    pages, moved = renamed_apart(pages, _OWN)
+    host, text = moved.get(host, host), moved.get(text, text)
     left = pages.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
     if 64 * hosts + 8 * lines <= broadcast_bytes:
         joined = left.join(F.broadcast(right), "_host", "left")
@@ -53,12 +56,15 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         joined = (left.withColumn("_salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
                   .join(right.select("_host", "_lines", salts), ["_host", "_salt"], "left").drop("_salt"))
     split = F.split(F.col(text), "\n")
-    kept = F.filter("_split", lambda line: ~F.coalesce(F.array_contains("_lines", _key(line)), F.lit(False)))
-    return (joined.withColumn("_split", split).withColumn("_kept", F.when(F.col("_lines").isNull(), F.col("_split")).otherwise(kept))
-            .withColumn(text, F.array_join("_kept", "\n"))
-            .withColumns({"n_lines": F.coalesce(F.size("_split"), F.lit(0)), "n_dropped": F.coalesce(F.size("_split") - F.size("_kept"), F.lit(0))})
-            .withColumns({c: F.when(F.col(text).isNull(), 0).otherwise(F.col(c)) for c in ("n_lines", "n_dropped")})
-            .drop("_host", "_lines", "_split", "_kept"))
+    # What of the page is boilerplate, by a hash set; lines are then compared with those few only.
+    gone = F.array_intersect(F.transform("_split", _key), "_lines")
+    kept = F.filter("_split", lambda line: ~F.coalesce(F.array_contains("_gone", _key(line)), F.lit(False)))
+    out = (joined.withColumn("_split", split).withColumn("_gone", gone)
+           .withColumn("_kept", F.when(F.coalesce(F.size("_gone"), F.lit(0)) <= 0, F.col("_split")).otherwise(kept))
+           .withColumn(text, F.array_join("_kept", "\n"))
+           .withColumns({"n_lines": F.coalesce(F.size("_split"), F.lit(0)), "n_dropped": F.coalesce(F.size("_split") - F.size("_kept"), F.lit(0))})
+           .withColumns({c: F.when(F.col(text).isNull(), 0).otherwise(F.col(c)) for c in ("n_lines", "n_dropped")}))
+    return renamed_back(out.drop(*_OWN), moved)
 
 
 def line_sql(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:

@@ -10,8 +10,8 @@ budget is met, and the block it falls into gives its documents in hash order whi
 cut in its table of blocks, never sorted by document in one task.
 
 Edge cases: tokens are words; null and empty texts have none and ride along with their block; a source without tokens takes part in
-whole epochs never and is dropped; a null source counts as ''; a null doc_id hashes like ''; repeated rows are documents of their own;
-an empty table gives no rows. If not even the natural mix keeps the limit, the budget is cut to what the limit allows.
+whole epochs never and is dropped; a null source counts as ''; a null doc_id hashes like its text; repeated rows are documents of their own;
+an empty table gives no rows; other columns pass through, but for input columns named like the four outputs, which are replaced. If not even the natural mix keeps the limit, the budget is cut to what the limit allows.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, stored
+from .common import BROADCAST_BYTES, renamed_apart, renamed_back, stored
 
 #: Steps of the exponent between 0 and 1.
 GRID = 4096
 ENTROPY, REPEATS = 0.9, 2.0
 BLOCK_DOCS = 2048
 SEED = "mix"
+_OWN = ("_source", "_hash", "_blocks", "_room", "_sum")
 
 
 def _words(text: str) -> F.Column:
@@ -89,8 +90,11 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", entropy: fl
 
     Blocks in the order of (epoch, place) are the permutation; ``budget`` defaults to the tokens of the input.
     """
+    docs, moved = renamed_apart(docs, _OWN)
+    source, text = moved.get(source, source), moved.get(text, text)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.col(text).cast("string"))
     counted = (docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-               .withColumn("_hash", _dealt(seed, F.col("doc_id"))).withColumn("mix_tokens", _words(text)))
+               .withColumn("_hash", _dealt(seed, name)).withColumn("mix_tokens", _words(text)))
     sizes = stored(counted.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("docs")), "source-docs")
     # Sources number far fewer than documents; their size is checked like any other.
     small = sizes.count() * 64 <= broadcast_bytes
@@ -100,23 +104,25 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", entropy: fl
     measured = stored(dealt.select(F.col("_source").alias("source"), F.col("mix_block").alias("block"), F.col("mix_tokens").alias("tokens")), "measured")
     plan = block_plan(measured, entropy, repeats, budget, block_docs, seed)
     if plan is None:
-        return dealt.withColumns({"mix_epoch": F.lit(0), "mix_place": F.lit(0)}).filter(F.lit(False)).drop("_source", "_hash", "_blocks")
+        none = dealt.withColumns({"mix_epoch": F.lit(0), "mix_place": F.lit(0)}).filter(F.lit(False))
+        return renamed_back(none.drop("_source", "_hash", "_blocks"), moved)
     plan = stored(plan.select(F.col("source").alias("_source"), F.col("block").alias("mix_block"), F.col("epoch").alias("mix_epoch"),
                               F.col("place").alias("mix_place"), F.col("room").alias("_room")), "mix-plan")
     right = F.broadcast(plan) if plan.count() * 96 <= broadcast_bytes else plan
     chosen = dealt.join(right, ["_source", "mix_block"])
     whole = chosen.filter("_room is null")
-    inside = (Window.partitionBy("_source", "mix_block", "mix_epoch").orderBy(_dealt(seed, F.col("doc_id"), F.col("mix_epoch")), "mix_tokens")
+    inside = (Window.partitionBy("_source", "mix_block", "mix_epoch").orderBy(_dealt(seed, name, F.col("mix_epoch")), "mix_tokens")
               .rowsBetween(Window.unboundedPreceding, 0))
     cut = chosen.filter("_room is not null").withColumn("_sum", F.sum("mix_tokens").over(inside)).filter("_sum <= _room").drop("_sum")
-    return whole.unionByName(cut).drop("_source", "_hash", "_blocks", "_room")
+    return renamed_back(whole.unionByName(cut).drop("_source", "_hash", "_blocks", "_room"), moved)
 
 
 def mixing_sql(entropy: float = ENTROPY, repeats: float = REPEATS, block_docs: int = BLOCK_DOCS, seed: str = SEED) -> str:
     """The same as SQL over ``documents``: every exponent of the grid is tried instead of bisecting."""
     return rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS source, md5(concat('{seed}:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h,
+  SELECT doc_id, coalesce(source, '') AS source, md5(concat('{seed}:', coalesce(CAST(doc_id AS VARCHAR), text, ''))) AS h,
+         coalesce(CAST(doc_id AS VARCHAR), text, '') AS name,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents),
 c AS (SELECT source, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS all_tokens FROM d GROUP BY ALL),
 s AS (SELECT source, all_tokens, all_tokens / (SELECT sum(all_tokens) FROM c) AS share, (SELECT sum(all_tokens) FROM c) AS budget FROM c WHERE all_tokens > 0),
@@ -135,7 +141,7 @@ p AS (SELECT *, row_number() OVER w AS place,
       FROM e WINDOW w AS (PARTITION BY source, epoch ORDER BY md5(concat('{seed}:', source, ':', block, ':', epoch)), block)),
 o AS (SELECT m.doc_id, m.source, m.tokens, p.epoch, m.block, p.place, p.epoch < p.whole OR p.room >= p.tokens AS entire, p.room,
              sum(m.tokens) OVER (PARTITION BY m.source, m.block, p.epoch
-                                 ORDER BY md5(concat('{seed}:', coalesce(CAST(m.doc_id AS VARCHAR), ''), ':', p.epoch)), m.tokens
+                                 ORDER BY md5(concat('{seed}:', m.name, ':', p.epoch)), m.tokens
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sofar
       FROM m JOIN p ON m.source = p.source AND m.block = p.block WHERE p.epoch < p.whole OR p.room > 0)
 SELECT doc_id, source, tokens AS mix_tokens, CAST(epoch AS INTEGER) AS mix_epoch, block AS mix_block, CAST(place AS INTEGER) AS mix_place

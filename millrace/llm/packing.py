@@ -125,9 +125,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     def run(batches):
         encoder = load(tokenizer)
         for b in batches:
-            texts, rows = Texts(b.column("text")), []
-            for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                raw = encoder.ids(texts.text(i)) + end
+            coded, rows = encoder.ids_of(Texts(b.column("text"))), []
+            for doc, raw in zip(b.column("doc_id").to_pylist(), coded):
+                raw += end
                 n = len(raw) // 4
                 for s in range(0, n, capacity):
                     part = raw[4 * s : 4 * (s + capacity)]

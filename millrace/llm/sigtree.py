@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, bounded, mix, small_batches, stored, with_lists
+from .common import Texts, bounded, mix, renamed_apart, renamed_back, small_batches, stored, with_lists
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -423,7 +423,27 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, broadcast_bytes: int | None = None) -> DataFrame:
-    """The documents without near copies, and of each group the one with the smallest doc_id."""
+    """The documents without near copies, and of each group the one with the smallest doc_id.
+
+    Rows that share their doc_id, and rows without one, are told apart by their text: they go by negative numbers made of a hash of
+    doc_id and text, which come before the doc_ids of others. Of rows with equal doc_id and text one stays.
+    """
+    repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select("doc_id"), "repeated-ids")
+    if not repeated.count():
+        return _without_copies(docs, words, percent, broadcast_bytes)
+    docs, moved = renamed_apart(docs, ("_id", "_again", "_hit"))
+    again = bounded(repeated.select(F.col("doc_id").alias("_again"), F.lit(True).alias("_hit")), 16, broadcast_bytes)
+    rows = docs.join(again, docs["doc_id"].eqNullSafe(again["_again"]), "left").drop("_again")
+    number = -F.abs(F.shiftright(F.xxhash64("doc_id", "text"), 1)) - 1
+    named = rows.withColumn("_id", F.when(F.col("_hit"), number).otherwise(F.col("doc_id")))
+    # Only the rows of repeated ids are shuffled with their texts.
+    once = named.filter("_hit").dropDuplicates(["_id"]).unionByName(named.filter("_hit is null")).drop("_hit")
+    once = stored(once.withColumnsRenamed({"doc_id": "_again", "_id": "doc_id"}), "numbered")
+    left = _without_copies(once, words, percent, broadcast_bytes)
+    return renamed_back(left.drop("doc_id").withColumnRenamed("_again", "doc_id").select(*docs.columns), moved)
+
+
+def _without_copies(docs: DataFrame, words: int, percent: int, broadcast_bytes: int | None) -> DataFrame:
     found = stored(jaccard_components(docs, words, percent, broadcast_bytes=broadcast_bytes), "near")
     gone = stored(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(bounded(gone, 16, broadcast_bytes), "doc_id", "left_anti")
+    return docs.join(bounded(gone, 16, broadcast_bytes), "doc_id", "left_anti").select(*docs.columns)

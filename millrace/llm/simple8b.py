@@ -197,11 +197,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                          np.array([d is None for d, _ in held]))
 
         for b in batches:
-            texts = Texts(b.column("text"))
-            for i, (p, doc) in enumerate(zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist())):
+            coded = encoder.ids_of(Texts(b.column("text")))
+            for p, doc, raw in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), coded):
                 if writer is None:
                     writer, part = Writer(uri), p
-                raw = encoder.ids(texts.text(i)) + end
+                raw += end
                 held.append((doc, raw))
                 size += len(raw) // 4
                 n_docs, n_ids = n_docs + 1, n_ids + len(raw) // 4

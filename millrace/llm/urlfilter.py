@@ -1,9 +1,9 @@
 """URL filters with redirect equivalence.
 
 Rules name a host, with all its subdomains, and a path prefix; the longest rule that fits decides, an allow rule wins a tie. Urls that
-lead to the same page share decisions: redirects, canonical links and refresh headers found in the pages, and the step from a url to
-its plain form (no scheme, ``www.`` or ``m.``, fragment, tracking parameters, index page or closing slash) are edges of a graph whose
-connected components are found in Spark. A page without a rule of its own is blocked if its component holds a blocked url and no
+lead to the same page share decisions: redirects, canonical links and refresh headers found in the pages are edges of a graph whose
+connected components are found in Spark. With ``plain_forms`` a url is also tied to its plain form (no scheme, ``www.`` or ``m.``,
+fragment, tracking parameters, index page or closing slash), so links may name either. A page without a rule of its own is blocked if its component holds a blocked url and no
 allowed one: an explicit allow takes precedence over what aliases bring along. Everything else is allowed. Urls that are only linked
 or redirected to, and are no page themselves, count like pages: a blocked page is often never fetched.
 
@@ -80,7 +80,8 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_host string, prefix string, verdict string, rule string")
 
 
-def judge_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, broadcast_bytes: int | None = None) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, broadcast_bytes: int | None = None,
+                plain_forms: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict and component of every page. ``redirects`` holds (url, target)."""
     url = F.col("url")
     named = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -99,13 +100,10 @@ def judge_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     ruled = (named.join(found, "host", "left").withColumn("_best", best)
              .select("page_id", "url", "host", "path", F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("own")))
 
-    # A url's node is its plain form; the raw url is tied to it, so links may name either.
-    edges = named.filter("host <> ''").select(url.alias("u"), plain_form(url).alias("v"))
-    if links is not None:
-        forms = links.select(F.col("url").alias("u"), plain_form(F.col("target")).alias("v")).filter("v is not null")
-        sources = links.select(F.col("url").alias("u"), plain_form(url).alias("v")).filter("v is not null")
-        targets = links.select(F.col("target").alias("u"), plain_form(F.col("target")).alias("v")).filter("v is not null")
-        edges = edges.unionByName(forms).unionByName(sources).unionByName(targets)
+    edges = pages.sparkSession.createDataFrame([], "u string, v string") if links is None else links.select(F.col("url").alias("u"), F.col("target").alias("v"))
+    if plain_forms:  # a url's node is its plain form; the raw url is tied to it
+        urls = named.select("url") if links is None else named.select("url").unionByName(linked.select("url"))
+        edges = edges.unionByName(urls.select(url.alias("u"), plain_form(url).alias("v")).filter("v is not null"))
     member = components(edges).withColumnRenamed("node", "url")
     judged = stored(ruled.join(member, "url", "left"), "ruled-pages")
     decided = judged.select("component", "own")

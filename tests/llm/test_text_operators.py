@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -204,7 +205,10 @@ def mixed_texts(seed=2):
 def test_encoder_equals_the_library(cache):
     texts = [t for t in ODD + mixed_texts() if t]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        e = Encoder(tokenizer_path(name), cache)
+        e = Encoder(tokenizer_path(name), cache, cache)
+        for at in range(0, len(texts), 7):  # small batches, so tables are dropped and filled again
+            some = Texts(pa.array([t.encode() for t in texts[at : at + 7]]))
+            assert [np.frombuffer(raw, "<u4").tolist() for raw in e.ids_of(some)] == library(name, texts[at : at + 7])
         assert [np.frombuffer(e.ids(t.encode()), "<u4").tolist() for t in texts] == library(name, texts)
 
 

@@ -4,13 +4,14 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import blockjoin, urlfilter
-from millrace.llm.common import stored, table
+from millrace.llm import blockjoin, linededup, mixing, sigtree, urlfilter
+from millrace.llm.common import Texts, stored, table
 from millrace.llm.components import components
 from millrace.llm.queries import ORACLE, QUERIES
 
@@ -136,7 +137,7 @@ def test_aliases_share_blocks_and_allow_wins(spark):
         (12, "x://NET", "")], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("rule", F.lit(2))
     moved = spark.createDataFrame([("http://h.com/i", "http://a.example.com/de/x"), (None, "x"), ("http://e.com/", None)], "url string, target string")
     for size in (None, 0):
-        got = urlfilter.judge_pages(pages, urlfilter.rule_table(spark, urlfilter.RULES), moved, size)
+        got = urlfilter.judge_pages(pages, urlfilter.rule_table(spark, urlfilter.RULES), moved, size, plain_forms=True)
         rows = {r.page_id: (r.rule, r.verdict) for r in got.collect()}
         assert got.count() == 13 and rows == {
             1: ("example.com/de/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"),
@@ -163,6 +164,42 @@ def test_targets_that_are_no_pages_decide(spark):
     assert got == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "allow", 7: "allow"}
 
 
+@pytest.mark.parametrize("seed, size", [(1, None), (2, 0)])
+def test_verdicts_equal_a_search_of_the_link_graph(spark, seed, size):
+    """Random links between urls with and without rules: a page without a rule is blocked if it can reach a blocked url and no allowed one."""
+    rng = random.Random(seed)
+    hosts = ["a.net", "example.com", "www.example.net", "b.org", "c.io", "d.io", "e.io", "f.io", "g.io", "h.io"]
+    urls = sorted({f"http://{rng.choice(hosts)}/{rng.choice(['de', 'en', 'fr', 'x'])}/{rng.randrange(30)}" for _ in range(400)})
+    pages, edges = [], []
+    for i, u in enumerate(rng.choices(urls, k=250)):
+        to = rng.choice(urls) if rng.random() < 0.5 else None
+        pages.append((i if i % 50 else None, u, to and f'<link rel="canonical" href="{to}">'))
+        edges += [(u, to)] if to else []
+    moved = [(rng.choice(urls), rng.choice(urls)) for _ in range(60)]
+    around = {}
+    for a, b in edges + moved:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    verdicts = {r: v for v, r in urlfilter.RULES}
+
+    def verdict(url):
+        own = own_rule(url)[2]
+        if own:
+            return verdicts[own]
+        seen, todo = {url}, [url]
+        while todo:
+            todo += (new := around.get(todo.pop(), set()) - seen)
+            seen |= new
+        found = {verdicts[r] for u in seen if (r := own_rule(u)[2])}
+        return "block" if found == {"block"} else "allow"
+
+    got = urlfilter.judge_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), urlfilter.rule_table(spark, urlfilter.RULES),
+                                spark.createDataFrame(moved, "url string, target string"), size)
+    want = [(i, *own_rule(u), verdict(u)) for i, u, _ in pages]
+    assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert {"block", "allow"} == {v for *_, rule, v in want if rule is None}
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -199,3 +236,57 @@ def test_lines_of_small_hosts_are_decided_by_the_ratio(spark):
 def test_pipeline_stages_take_no_rows(spark, position):
     docs = table(spark, SF, "documents").limit(0)
     assert corpus_pipeline.STAGES[position][1](spark, docs, SF).count() == 0
+
+
+ODD_ROWS = [(6, "clean text of its own with many words in it"), (6, "one two three four five six seven"), (5, "one two three four five six seven"),
+            (5, "one two three four five six seven"), (None, "null copy of words that stand here twice"), (None, "null copy of words that stand here twice"),
+            (None, "another text without a number at all"), (None, None), (8, None), (9, ""), (9, ""), (10, "short")]
+
+
+def odd_rows(spark):
+    return spark.createDataFrame([(i, t, "en", s, None) for i, t in ODD_ROWS for s in (None,)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, odd_rows(spark), SF).collect()]
+    assert sorted(left, key=str) == sorted([
+        (6, ODD_ROWS[0][1]), next(x for x in left if x[1] == ODD_ROWS[1][1]), ODD_ROWS[4], ODD_ROWS[6], (None, None), (8, None), (9, ""), (10, "short")], key=str)
+    assert sum(t == ODD_ROWS[1][1] for _, t in left) == 1
+
+
+@pytest.mark.parametrize("position", range(1, 5))
+def test_pipeline_stages_take_nulls_and_repeated_rows(spark, position):
+    docs = odd_rows(spark)
+    out = corpus_pipeline.STAGES[position][1](spark, docs, SF)
+    if position == 1:
+        assert out.count() == len(ODD_ROWS)
+    elif position == 3:
+        assert {r.text for r in out.collect()} <= {t for _, t in ODD_ROWS} and out.count() > 0
+    elif position == 4:
+        assert out.filter("start = 0").count() == len(ODD_ROWS)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_internal_names_may_clash_with_columns(spark, broadcast):
+    names = ["_host", "_lines", "_salt", "_split", "_gone", "_kept", "_source", "_hash", "_blocks", "_room", "_sum", "_id", "_again", "_hit"]
+    rows = [(i % 6, f"foot\nline {i} of many words here", "s", *(str(k) + n for k, n in enumerate(names))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    extra = [tuple(r[3:]) for r in rows]
+    for out in (linededup.drop_boilerplate(df, broadcast_bytes=broadcast), mixing.mix(df, broadcast_bytes=broadcast), sigtree.one_of_each_group(df, broadcast_bytes=broadcast)):
+        got = out.select(*df.columns).collect()
+        assert got and all(tuple(r[3:]) in extra for r in got)
+    assert {r.text for r in linededup.drop_boilerplate(df, broadcast_bytes=broadcast).collect()} == {r[1].split("\n")[1] for r in rows}
+
+
+def test_hashes_tell_regular_words_apart():
+    """Complementary sequences of a and b, on which sums of powers collide, and ranges around the sizes of lanes and chunks."""
+    word, other = "a", "b"
+    while len(word) < 2048:
+        word, other = word + other, other + word
+    texts = [word, other, *("x" * n for n in range(300)), *("x" * n + "y" for n in range(300)), "z" * 5000, "z" * 4999 + "w"]
+    t = Texts(pa.array([s + " " for s in texts]))
+    starts, ends = t.offsets[:-1], t.offsets[1:] - 1
+    assert len(np.unique(t.hashes(starts, ends))) == len(set(texts))
+    shifted = Texts(pa.array(["q" * (i % 11) + s for i, s in enumerate(texts)]))
+    begin = shifted.offsets[:-1] + np.arange(len(texts)) % 11
+    assert (shifted.hashes(begin, shifted.offsets[1:]) == t.hashes(starts, ends)).all()
