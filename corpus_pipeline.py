@@ -24,13 +24,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines on more than a tenth of their source's documents, three at least; no document is dropped."""
-    cleaned = linededup.drop_boilerplate(docs.select(*COLUMNS), min_pages=linededup.LEAST_PAGES)
+    cleaned = linededup.drop_boilerplate(docs.select(*COLUMNS))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.75, the smallest doc_id stays."""
+    """One document of each group of near copies: five words, similarity 0.75, the smallest doc_id stays.
+
+    Rows with one doc_id and different texts, or without doc_id, are documents of their own; of equal rows one stays.
+    """
     return sigtree.one_of_each_group(docs.select(*COLUMNS))
 
 
