@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .ordered import index_percentiles
 
-# Trees, iterations, folds and draws of the trainers.
-TREES, GBT_ITERATIONS, LR_ITERATIONS, FOLDS, DRAWS = 100, 100, 200, 5, 20
+# Trees, iterations and folds of the trainers.
+TREES, GBT_ITERATIONS, LR_ITERATIONS, FOLDS = 100, 100, 200, 5
 MODEL_TYPES = ("random_forest", "gradient_boosting", "logistic_regression")
 
 
@@ -82,23 +81,11 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out
 
 
-def boosted_draws(model: GBTClassifier, draws: int = DRAWS, seed: int = 42) -> list[dict]:
-    """Different points of the search space of boosted trees, drawn without replacement."""
-    grid = (ParamGridBuilder().addGrid(model.maxIter, [100, 200]).addGrid(model.maxDepth, [3, 5, 7]).addGrid(model.stepSize, [0.01, 0.1])
-            .addGrid(model.subsamplingRate, [0.8, 1.0]).addGrid(model.featureSubsetStrategy, ["0.8", "all"]).build())
-    return [grid[i] for i in np.random.default_rng(seed).permutation(len(grid))[:draws]]
-
-
-def search_churn_model(train: DataFrame, features: Sequence[str], label: str, kind: str = "logistic_regression", folds: int = FOLDS,
-                       draws: int = DRAWS, parallelism: int = 4, seed: int = 42):
-    """Cross-validated search by area under ROC; the trials run in parallel as Spark jobs."""
+def search_churn_model(train: DataFrame, features: Sequence[str], label: str, folds: int = FOLDS, parallelism: int = 4, seed: int = 42):
+    """Cross-validated search of logistic regressions by area under ROC; the trials run in parallel as Spark jobs."""
     stages = [VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    if kind == "logistic_regression":
-        model = LogisticRegression(labelCol=label, maxIter=LR_ITERATIONS)
-        grid = ParamGridBuilder().addGrid(model.regParam, [1.0, 0.1, 0.01, 0.001]).build()
-    else:
-        model = GBTClassifier(labelCol=label, seed=seed)
-        grid = boosted_draws(model, draws, seed)
+    model = LogisticRegression(labelCol=label, maxIter=LR_ITERATIONS)
+    grid = ParamGridBuilder().addGrid(model.regParam, [1.0, 0.1, 0.01, 0.001]).build()
     pipeline = Pipeline(stages=[*stages, model])
     return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label),
                           numFolds=folds, parallelism=parallelism, seed=seed).fit(train)

@@ -3,13 +3,10 @@
 import datetime as dt
 
 import pytest
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from millrace.operators import access, alerts, churn, features, forecast, metrics, ml, registry
 from millrace.operators import events as E
-from millrace.plans import load_all
 from millrace.session import scratch_root
 from millrace.sources import lake
 from millrace.streaming import sinks
@@ -196,25 +193,3 @@ def test_unusual_access(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
-
-
-def test_boosted_queries_use_the_whole_space(spark, monkeypatch):
-    model = GBTClassifier()
-    draws = [{p.name: v for p, v in d.items()} for d in ml.boosted_draws(model)]
-    assert len(draws) == 20 and len({tuple(sorted(d.items())) for d in draws}) == 20
-    values = {name: {d[name] for d in draws} for name in draws[0]}
-    assert values == {"maxIter": {100, 200}, "maxDepth": {3, 5, 7}, "stepSize": {0.01, 0.1}, "subsamplingRate": {0.8, 1.0}, "featureSubsetStrategy": {"0.8", "all"}}
-    fitted = []
-
-    def stop(self, df):
-        fitted.append(self)
-        raise InterruptedError
-
-    monkeypatch.setattr(CrossValidator, "fit", stop)
-    monkeypatch.setattr(OneVsRest, "fit", stop)
-    for name in ("m4_boosted_classifier", "m5_boosted_search"):
-        with pytest.raises(InterruptedError):
-            load_all()[name].run(spark, "/root/testdata/sf0.001")
-    boosted, search = fitted
-    assert boosted.getClassifier().getMaxIter() == 100
-    assert search.getNumFolds() == 5 and len(search.getEstimatorParamMaps()) == 20
