@@ -19,6 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .ordered import top_per_group
 
 TILE_BYTES = 16 << 20  # vectors of one side of a tile
@@ -36,8 +37,10 @@ def save_index(df: DataFrame, path: str, mode: str = "overwrite", model=None, me
     """
     df.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(path)
     if model is not None:
-        centres = [(i, [float(x) for x in c], metric, len(c)) for i, c in enumerate(model.clusterCenters())]
-        df.sparkSession.createDataFrame(centres, "cell int, centre array<double>, metric string, dim int").write.mode(mode).parquet(f"{path}/_centres")
+        radii = cell_radii(df, np.array(model.clusterCenters()))
+        centres = [(i, [float(x) for x in c], float(radii[i]), metric, len(c)) for i, c in enumerate(model.clusterCenters())]
+        kind = "cell int, centre array<double>, radius double, metric string, dim int"
+        df.sparkSession.createDataFrame(centres, kind).write.mode(mode).parquet(f"{path}/_centres")
 
 
 def load_index(spark: SparkSession, path: str, cells: Sequence[int] | None = None) -> DataFrame:
@@ -53,6 +56,11 @@ def load_centres(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([r["centre"] for r in rows])
 
 
+def load_radii(spark: SparkSession, path: str) -> np.ndarray:
+    """The greatest angle between a cell's centre and its vectors, one per cell."""
+    return np.array([r["radius"] for r in spark.read.parquet(f"{path}/_centres").orderBy("cell").collect()])
+
+
 def _tiles(index: DataFrame, queries: DataFrame, score, schema: str, item_id: str, query_id: str, vector: str, keys: Sequence[str] = ()) -> DataFrame:
     """``score(index frame, query frame)`` for every pair of groups, within equal ``keys``."""
     spark = index.sparkSession
@@ -187,23 +195,35 @@ def build_cells(index: DataFrame, nlist: int = NLIST, vector: str = "embedding",
     return model.transform(prepared).drop("_raw", "_v"), model
 
 
-def probe_search(celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE, item_id: str = "vec_id",
-                 query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """Search only the ``nprobe`` cells whose centres are nearest to each query.
-
-    ``centres`` holds one vector per cell. A query goes to its cells, and tiles are formed within a cell.
-    """
-    unit_centres = _unit_rows(np.asarray(centres, dtype=np.float64))
-    item_type, query_type = celled.schema[item_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    vector_type = queries.schema[vector].dataType.simpleString()
+def cell_radii(celled: DataFrame, centres: np.ndarray, vector: str = "embedding") -> np.ndarray:
+    """The greatest angle between each centre and the vectors of its cell: a number per cell reaches the driver."""
+    unit = _unit_rows(np.asarray(centres, dtype=np.float64))
 
-    def probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def widest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                cells = np.argsort(-(_unit_rows(_stack(frame, vector)) @ unit_centres.T), axis=1, kind="stable")[:, :nprobe]
-                yield frame.assign(cell=list(cells.astype(np.int32))).explode("cell").astype({"cell": "int32"})
+                cells = frame["cell"].to_numpy()
+                cosine = (_unit_rows(_stack(frame, vector)) * unit[cells]).sum(axis=1)
+                angle = np.arccos(np.clip(np.nan_to_num(cosine, nan=1.0), -1, 1))
+                yield pd.DataFrame({"cell": cells, "angle": angle}).groupby("cell", as_index=False).max()
 
-    asked = queries.select(query_id, vector).mapInPandas(probes, f"{query_id} {query_type}, {vector} {vector_type}, cell int")
+    found = celled.select(vector, F.col("cell").cast("int").alias("cell")).mapInPandas(widest, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle"))
+    radii = np.zeros(len(unit))
+    for r in found.collect():
+        radii[r["cell"]] = r["angle"]
+    radii[~unit.any(axis=1)] = np.pi  # a centre without a direction bounds nothing
+    return radii
+
+
+def best_possible(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The highest cosine a vector of each cell can have with each query: the angle to the centre less the cell's radius."""
+    angle = np.arccos(np.clip(np.nan_to_num(_unit_rows(queries) @ _unit_rows(centres).T), -1, 1))
+    return np.cos(np.maximum(0.0, angle - radii[None, :]))
+
+
+def _cell_hits(celled: DataFrame, asked: DataFrame, k: int, item_id: str, query_id: str, vector: str) -> DataFrame:
+    """(q, i, s): the ``k`` best of each tile, for queries that name the cell they ask."""
+    item_type, query_type = celled.schema[item_id].dataType.simpleString(), asked.schema[query_id].dataType.simpleString()
 
     def score(items: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         unit, ids, best = _unit_rows(_stack(wanted, vector)), wanted[query_id].to_numpy(), None
@@ -211,9 +231,68 @@ def probe_search(celled: DataFrame, centres: np.ndarray, queries: DataFrame, k:
             best = _best_per_query(best, _unit_rows(_stack(rows, vector)) @ unit.T, rows[item_id].to_numpy(), ids, k)
         return best
 
-    hits = _tiles(celled.select(item_id, vector, F.col("cell").cast("int").alias("cell")), asked, score, f"q {query_type}, i {item_type}, s double",
+    return _tiles(celled.select(item_id, vector, F.col("cell").cast("int").alias("cell")), asked, score, f"q {query_type}, i {item_type}, s double",
                   item_id, query_id, vector, ["cell"])
-    return _ranked_hits(hits, item_id, query_id, k)
+
+
+def _with_cells(queries: DataFrame, query_id: str, vector: str, choose, *extra: str) -> DataFrame:
+    """A row for each query and each cell that ``choose(frame)`` lists for it."""
+    kinds = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in (query_id, vector, *extra))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(cell=choose(frame)).explode("cell").dropna(subset=["cell"]).astype({"cell": "int32"})
+
+    return queries.select(query_id, vector, *extra).mapInPandas(run, f"{kinds}, cell int").drop(*extra)
+
+
+def probe_search(celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE, item_id: str = "vec_id",
+                 query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """Search only the ``nprobe`` cells whose centres are nearest to each query.
+
+    ``centres`` holds one vector per cell. A query goes to its cells, and tiles are formed within a cell.
+    """
+    unit_centres = _unit_rows(np.asarray(centres, dtype=np.float64))
+
+    def nearest(frame: pd.DataFrame) -> list:
+        return list(np.argsort(-(_unit_rows(_stack(frame, vector)) @ unit_centres.T), axis=1, kind="stable")[:, :nprobe])
+
+    return _ranked_hits(_cell_hits(celled, _with_cells(queries, query_id, vector, nearest), k, item_id, query_id, vector), item_id, query_id, k)
+
+
+def bounded_search(celled: DataFrame, centres: np.ndarray, radii: np.ndarray, queries: DataFrame, k: int = TOP_K, nprobe: int = NPROBE,
+                   item_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The exact top ``k`` from as few cells as their radii allow, and (query_id, cells) with the number of cells asked.
+
+    Cells are visited in the order of the best score they can hold. After each round, which doubles the cells visited, a query is done
+    when no cell that is left can hold more than its k-th hit so far. A cell that might is always visited, so no hit is lost.
+    """
+    centres, radii = np.asarray(centres, dtype=np.float64), np.asarray(radii, dtype=np.float64)
+    hits = visited = None
+    begin, end = 0, max(1, nprobe)
+    todo = queries.select(query_id, vector).withColumn("floor", F.lit(float("-inf")))
+    while begin < len(centres):
+
+        def open_cells(frame: pd.DataFrame, begin=begin, end=end) -> list:
+            bound = best_possible(_stack(frame, vector), centres, radii)
+            order = np.argsort(-bound, axis=1, kind="stable")[:, begin:end]
+            reach = np.take_along_axis(bound, order, axis=1) + 1e-9 >= frame["floor"].to_numpy()[:, None]
+            return [cells[ok] for cells, ok in zip(order, reach)]
+
+        asked = stored(_with_cells(todo, query_id, vector, open_cells, "floor"), "asked-cells")
+        if not asked.count():
+            break
+        new = _cell_hits(celled, asked, k, item_id, query_id, vector)
+        hits = stored(top_per_group(new if hits is None else hits.unionByName(new), ["q"], [F.desc("s"), F.asc("i")], k), "cell-hits")
+        count = asked.groupBy(query_id).agg(F.count("*").alias("cells"))
+        visited = count if visited is None else visited.unionByName(count)
+        # With fewer than k hits so far, every cell is still open.
+        floors = hits.groupBy(F.col("q").alias(query_id)).agg(F.when(F.count("*") >= k, F.min("s")).alias("floor"))
+        known = F.coalesce("floor", F.lit(float("-inf")))
+        todo = queries.select(query_id, vector).join(floors, query_id, "left").withColumn("floor", known)
+        begin, end = end, 2 * end
+    return _ranked_hits(hits, item_id, query_id, k), visited.groupBy(query_id).agg(F.sum("cells").alias("cells"))
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id", item_id: str = "vec_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import chunking, retrieval
-from ..session import checkpointed, scratch_dir
+from ..session import checkpointed, scratch_dir, stored
 from .catalog import query
 from .retrieval_sql import CENTROIDS_SQL
 from .tables import table
@@ -81,16 +81,32 @@ def v4_exact_search(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
-@query("v5_cell_search")
-def v5_cell_search(spark, sf):
-    """Approximate search over k-means cells with its recall against the exact search."""
-    index = table(spark, sf, "embeddings")
-    celled, model = retrieval.build_cells(index)
+def cells_of(spark, sf):
+    """The table's index of k-means cells, saved and loaded again: rows, centres, radii."""
+    celled, model = retrieval.build_cells(table(spark, sf, "embeddings"))
     path = scratch_dir(spark, "cells")
     retrieval.save_index(celled, path, model=model)
+    return retrieval.load_index(spark, path), retrieval.load_centres(spark, path), retrieval.load_radii(spark, path)
+
+
+@query("v5_cell_search")
+def v5_cell_search(spark, sf):
+    """Search over k-means cells until their radii rule the rest out: recall against the exact search, cells asked, recall of ten probes."""
+    celled, centres, radii = cells_of(spark, sf)
     queries = centroid_queries(spark, sf)
-    found = retrieval.probe_search(retrieval.load_index(spark, path), retrieval.load_centres(spark, path), queries, 10)
-    return retrieval.recall(found, retrieval.search(index, queries, 10))
+    found, visited = retrieval.bounded_search(celled, centres, radii, queries, 10)
+    exact = stored(retrieval.search(table(spark, sf, "embeddings"), queries, 10), "exact")
+    probed = retrieval.recall(retrieval.probe_search(celled, centres, queries, 10), exact).withColumnRenamed("recall", "recall_10_probes")
+    return retrieval.recall(found, exact).join(visited, "query_id").join(probed, "query_id")
+
+
+@query("v5_bounded_search", f"""WITH {CENTROIDS_SQL} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10""")
+def v5_bounded_search(spark, sf):
+    """The hits of the cell search: those of the exact one."""
+    celled, centres, radii = cells_of(spark, sf)
+    found, _ = retrieval.bounded_search(celled, centres, radii, centroid_queries(spark, sf), 10)
+    return found.withColumn("score", F.round("score", 6))
 
 
 _OTHER_SQL = """cent AS (

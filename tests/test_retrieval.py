@@ -126,3 +126,35 @@ def test_prompt_budget(spark):
     prompt = retrieval.build_prompts(hits).first()["prompt"]
     assert prompt.count("b") >= 500 and "b" * 501 not in prompt and "s3" not in prompt and prompt.endswith("USER QUESTION: q\n\nANSWER:")
     assert "**Finding 1** (Score: 0.90, Source: s1)" in retrieval.template_answers(hits).first()["answer"]
+
+
+@pytest.mark.parametrize("nprobe, spread", [(1, 0.05), (2, 0.3), (6, 2.0)])
+def test_bounded_cells_lose_no_hit(spark, nprobe, spread):
+    """Tight and loose clusters, zero vectors, ties; what is visited depends on the radii, the hits do not."""
+    rng = np.random.default_rng(7)
+    heads = rng.normal(size=(12, 8))
+    rows = [(i, [float(x) for x in heads[i % 12] * (1 + i % 3) + spread * rng.normal(size=8)]) for i in range(240)]
+    rows += [(300 + i, [0.0] * 8) for i in range(3)] + [(400 + i, rows[5][1]) for i in range(4)]
+    index = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in heads[i] + 0.1 * rng.normal(size=8)]) for i in range(6)] + [(9, [0.0] * 8)],
+                                    "query_id int, embedding array<double>")
+    celled, model = retrieval.build_cells(index, nlist=12)
+    celled = celled.cache()
+    centres = np.array(model.clusterCenters())
+    found, visited = retrieval.bounded_search(celled, centres, retrieval.cell_radii(celled, centres), queries, 7, nprobe)
+    exact = retrieval.search(index, queries, 7)
+    rounded = lambda df: sorted((r.query_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    assert rounded(found) == rounded(exact)
+    cells = {r.query_id: r.cells for r in visited.collect()}
+    assert set(cells) == {0, 1, 2, 3, 4, 5, 9} and max(cells.values()) <= len(centres)
+    if spread < 0.1:
+        assert sum(cells[i] for i in range(6)) < 6 * len(centres) / 2
+
+
+def test_best_possible_score_bounds_every_member():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(200, 5)), rng.normal(size=(20, 5))
+    centre = x.mean(0, keepdims=True)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    radius = np.arccos(unit(x) @ unit(centre)[0]).max()
+    assert ((unit(q) @ unit(x).T).max(1) <= retrieval.best_possible(q, centre, np.array([radius]))[:, 0] + 1e-12).all()
