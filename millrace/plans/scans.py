@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -9,7 +12,7 @@ from ..operators import events as E
 from ..operators import features, geo, retrieval
 from ..session import scratch_dir
 from ..sources import files, lake
-from ..streaming import sinks
+from ..streaming import log_source, sinks
 from .catalog import query
 from .features_sql import USER_FEATURES_SQL
 from .tables import ENVELOPE_SQL, RAW_SQL, envelope, events, raw_transactions, table, transactions
@@ -85,6 +88,52 @@ def s5_stream_source(spark, sf):
         F.col("kafka_timestamp").cast("timestamp_ntz").alias("kafka_timestamp"))
 
 
+def _segment_size(records) -> int:
+    """About ten segments a partition, as the query has three of them."""
+    return max(1, records.count() // 30)
+
+
+def _log_rows(spark, path):
+    return spark.read.parquet(path).select(
+        "key", F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.col("timestamp").cast("timestamp_ntz").alias("kafka_timestamp"))
+
+
+@query("s5_log_offsets", f"""WITH {ENVELOPE_SQL}, m AS (SELECT kafka_partition AS p, max(kafka_offset) // 2 AS half FROM env GROUP BY 1)
+SELECT user_id AS key, kafka_partition, kafka_offset, ts AS kafka_timestamp FROM env JOIN m ON kafka_partition = p WHERE p = 1 OR kafka_offset >= half""")
+def s5_log_offsets(spark, sf):
+    """A log read from given offsets, the middle of two partitions and the beginning of the third, 10,000 records a trigger."""
+    records = envelope(spark, sf)
+    log, out, checkpoint = (scratch_dir(spark, n) for n in ("log", "read", "offsets"))
+    size = _segment_size(records)
+    log_source.publish_log(records, log, size)
+    half = {str(r["partition"]): r["half"] for r in records.groupBy("partition").agg(F.floor(F.max("offset") / 2).alias("half")).collect()}  # a row a partition
+    half.pop("1", None)
+    stream = log_source.read_log(spark, log, checkpoint, segmentRecords=size, startingOffsets=json.dumps(half))
+    sinks.run_to_end(stream.writeStream.format("parquet").option("path", out), checkpoint)
+    return _log_rows(spark, out)
+
+
+@query("s5_data_loss", f"""WITH {ENVELOPE_SQL}, z AS (SELECT greatest(1, count(*) // 30) AS size FROM env),
+left_over AS (SELECT count(*) AS n FROM env, z WHERE NOT (kafka_partition = 2 AND kafka_offset // size = 1))
+SELECT 'tolerated' AS mode, n AS records, false AS stopped FROM left_over UNION ALL SELECT 'strict', NULL, true""")
+def s5_data_loss(spark, sf):
+    """A log that lost a segment in its middle: the records that are left, or a stream that stops."""
+    records = envelope(spark, sf)
+    log, size = scratch_dir(spark, "log"), _segment_size(records)
+    lost = (F.col("partition") == 2) & (F.floor(F.col("offset") / size) == 1)
+    log_source.publish_log(records.filter(~lost), log, size)
+    rows = []
+    for mode in ("tolerated", "strict"):
+        out, checkpoint, stopped = scratch_dir(spark, mode), scratch_dir(spark, "offsets"), False
+        stream = log_source.read_log(spark, log, checkpoint, segmentRecords=size, failOnDataLoss=mode == "strict")
+        try:
+            sinks.run_to_end(stream.writeStream.format("parquet").option("path", out), checkpoint)
+        except StreamingQueryException as e:
+            stopped = "data loss" in str(e)
+        rows.append((mode, None if stopped else spark.read.parquet(out).count(), stopped))
+    return spark.createDataFrame(rows, "mode string, records long, stopped boolean")
+
+
 @query("s6_publish_keyed", """
 SELECT CAST(user_id AS VARCHAR) AS key, event_id, user_id, event_type, value, props FROM events""")
 def s6_publish_keyed(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -10,7 +11,7 @@ from ..operators import geo
 from ..operators.ordered import top_per_group
 from ..session import scratch_dir
 from ..sources import lake
-from ..streaming import sinks, stateful
+from ..streaming import log_source, sinks, stateful
 from .catalog import query
 from .features_sql import esum
 from .scans import NORMALIZED_SQL
@@ -101,6 +102,48 @@ def r5_capped_batches(spark, sf):
     return spark.read.parquet(out).agg(F.sum("n").alias("records"), (F.max("files") <= 2).alias("within_cap"), (F.count("*") > 1).alias("several_batches"))
 
 
+@query("r5_record_cap", """SELECT count(*) AS records, greatest(1, count(*) // 4) AS largest_batch, ceil(count(*) / greatest(1, count(*) // 4))::BIGINT AS batches FROM events""")
+def r5_record_cap(spark, sf):
+    """A trigger takes a quarter of the records at most; the query is stopped after its first trigger and taken up again."""
+    records = envelope(spark, sf)
+    log, out, checkpoint = (scratch_dir(spark, n) for n in ("log", "counts", "offsets"))
+    cap = max(1, records.count() // 4)
+    log_source.publish_log(records, log)
+
+    def count(batch, batch_id):
+        batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if batch_id == 0 and not stopped:
+            stopped.append(True)
+            raise InterruptedError("stopped on purpose after the first batch was written")
+
+    stopped: list[bool] = []
+    for _ in range(2):
+        stream = log_source.read_log(spark, log, checkpoint, maxOffsetsPerTrigger=cap)
+        try:
+            sinks.run_to_end(stream.writeStream.foreachBatch(count), checkpoint, "record_cap")
+        except StreamingQueryException as e:
+            if "on purpose" not in str(e):
+                raise
+    counts = spark.read.parquet(out).filter("n > 0")
+    return counts.agg(F.sum("n").alias("records"), F.max("n").alias("largest_batch"), F.count("*").alias("batches"))
+
+
+@query("r5_trigger_interval", "SELECT count(*) AS records, true AS on_the_interval, 2 AS batches FROM events")
+def r5_trigger_interval(spark, sf):
+    """A named query with a trigger every ten seconds; half of the records a trigger."""
+    records = envelope(spark, sf)
+    log, out, checkpoint = (scratch_dir(spark, n) for n in ("log", "read", "offsets"))
+    log_source.publish_log(records, log)
+    stream = log_source.read_log(spark, log, checkpoint, maxOffsetsPerTrigger=max(1, -(-records.count() // 2)))
+    ended = sinks.run_to_end(stream.writeStream.format("parquet").option("path", out), checkpoint, "ten_seconds", sinks.TRIGGER)
+    full = [p for p in ended.recentProgress if p.numInputRows > 0]
+    starts = [p.timestamp for p in full]
+    # After the first, a trigger starts on a multiple of the interval.
+    late = [float(t[17:23]) % 10 for t in starts[1:]]
+    row = (spark.read.parquet(out).count(), all(x < 3 for x in late), len(full))
+    return spark.createDataFrame([row], "records long, on_the_interval boolean, batches int")
+
+
 @query("r6_resume", f"WITH {ENVELOPE_SQL} SELECT id, price FROM env")
 def r6_resume(spark, sf):
     """A second run on the same checkpoint reads only what arrived since; nothing is lost or doubled."""

@@ -69,6 +69,16 @@ def run(writer, checkpoint: str, name: str | None = None, trigger: str | None =
     return (writer.queryName(name) if name else writer).start()
 
 
+def run_to_end(writer, checkpoint: str, name: str | None = None, trigger: str = "0 seconds"):
+    """Run triggers until a source that caps its own records has no more, stop, and return the ended query."""
+    query = run(writer, checkpoint, name, trigger)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
+
+
 def ingest(records: DataFrame, watermark: str | None = None, dedupe: Sequence[str] = ()) -> DataFrame:
     """decode -> validate -> normalise -> region, all on the stream itself, so watermark and dedup apply."""
     out = geo.enrich_region(E.normalize(E.drop_malformed(E.decode_envelope(records))))
