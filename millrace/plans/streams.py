@@ -191,7 +191,15 @@ def r9_user_state(spark, sf):
 
 @query("r9_recent_buffer", """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS INTEGER) AS position, event_id FROM events QUALIFY position <= 5""")
 def r9_recent_buffer(spark, sf):
-    return _upserted(spark, stateful.recent_rows(event_stream(spark, sf), "user_id", 5), ["user_id", "position"], "recent_buffer")
+    rows = _upserted(spark, stateful.recent_rows(event_stream(spark, sf), "user_id", 5), ["user_id", "position"], "recent_buffer")
+    return rows.filter("not expired").drop("expired")
+
+
+@query("r9_idle_users", f"""SELECT user_id, arg_max(event_id, ts) AS last_event FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 12 HOUR <= {_CLOSED}""")
+def r9_idle_users(spark, sf):
+    """Users whose state a timer has ended: idle for twelve hours of event time when the stream is at its end."""
+    rows = _upserted(spark, stateful.recent_rows(event_stream(spark, sf), "user_id", 5, "12 hours"), ["user_id", "position"], "idle_users")
+    return rows.filter("expired").select("user_id", F.col("event_id").alias("last_event"))
 
 
 @query("r10_drift_sensor", f"""WITH h AS (SELECT event_type AS series, time_bucket(INTERVAL 1 HOUR, ts) AS ts, abs({esum('value')} / count(*) - 50) / 100 AS drift FROM events GROUP BY 1, 2
@@ -200,10 +208,15 @@ m AS (SELECT *, CASE WHEN drift > 0.1 AND ts - lag(ts) OVER (PARTITION BY series
 r AS (SELECT *, sum(b) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT series, ts, row_number() OVER (PARTITION BY series, run ORDER BY ts) AS breaches FROM r WHERE drift > 0.1 QUALIFY breaches >= 3""")
 def r10_drift_sensor(spark, sf):
-    """Drift per hour from the stream; three breaches in a row raise the sensor."""
-    hourly = drained(spark, stateful.windowed_counts(event_stream(spark, sf), "1 hour", by=("event_type",)), "drift")
-    scores = hourly.select(F.col("event_type").alias("series"), F.col("start").alias("ts"), (F.abs(F.col("total") / F.col("n") - 50) / 100).alias("drift"))
-    return stateful.consecutive_breaches(scores, F.col("drift"), 0.1).select("series", "ts", "breaches")
+    """Drift per hour; three breaches in a row raise the sensor while the stream runs. It is stopped half-way: the count goes on."""
+    folder, out, checkpoint = (scratch_dir(spark, n) for n in ("halves", "sensor", "sensor-offsets"))
+    rows = events(spark, sf)
+    half = rows.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2")).first()[0]
+    for part in (F.col("ts") < F.lit(half), F.col("ts") >= F.lit(half)):
+        rows.filter(part).write.mode("append").parquet(folder)
+        sensor = stateful.breach_sensor(stateful.read_event_files(spark, folder, rows.schema), 50, 0.1)
+        sinks.drain(sensor.writeStream.format("parquet").option("path", out), checkpoint, "drift_sensor")
+    return spark.read.schema("series string, ts timestamp, breaches int").parquet(out).withColumn("ts", F.col("ts").cast(_NTZ))
 
 
 @query("r11_dead_letters", f"""WITH {ENVELOPE_SQL} SELECT 'dead' AS sink, id, 'Invalid quantity: ' || quantity AS errors FROM env WHERE quantity < 1

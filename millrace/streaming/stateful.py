@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scalars as S
 
 # How late a record may be, and the inactivity that ends a session.
 WATERMARK = "10 minutes"
 SESSION_GAP = "30 minutes"
+#: Event time after which the state of an idle key is given up.
+IDLE = "7 days"
 
 
 def read_event_files(spark: SparkSession, folder: str, schema, glob: str = "*", max_files_per_trigger: int | None = None) -> DataFrame:
@@ -50,20 +52,95 @@ def latest_state(stream: DataFrame, key: str) -> DataFrame:
         F.max_by("event_id", "ts").alias("last_event"), F.count("*").alias("events"), F.mode("event_type", True).alias("favourite"))
 
 
-def recent_rows(stream: DataFrame, key: str, keep: int) -> DataFrame:
-    """The newest ``keep`` rows per key. Aggregates cannot hold an ordered buffer, so this is keyed state of fixed size."""
+class RecentRows(StatefulProcessor):
+    """The newest ``keep`` rows of a key as list state. A timer ends the state of a key that has been idle for ``idle_ms`` of event time."""
 
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
-        for batch in batches:
-            held += list(zip(batch["micros"].tolist(), batch["event_id"].tolist()))
-            held = sorted(held, reverse=True)[:keep]
-        state.update(([int(m) for m, _ in held], [int(e) for _, e in held]))
-        yield pd.DataFrame({key: [group[0]] * len(held), "position": range(1, len(held) + 1), "event_id": [e for _, e in held]})
+    def __init__(self, key: str, keep: int, idle_ms: int):
+        self.key, self.keep, self.idle_ms = key, keep, idle_ms
 
-    prepared = stream.select(key, "event_id", F.unix_micros("ts").alias("micros"))
-    return prepared.groupBy(key).applyInPandasWithState(
-        update, f"{key} long, position int, event_id long", "micros array<long>, ids array<long>", "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "micros long, event_id long")
+
+    def _out(self, key: tuple, ids: list[int], first: int, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(ids), "position": range(first, first + len(ids)), "event_id": ids, "expired": [expired] * len(ids)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.rows.get()]
+        for batch in rows:
+            micros = batch["ts"].astype("datetime64[us]").astype("int64")
+            held = sorted([*held, *zip(micros.tolist(), batch["event_id"].tolist())], reverse=True)[: self.keep]
+        self.rows.put([(int(m), int(e)) for m, e in held])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(held[0][0] // 1000 + self.idle_ms)
+        yield self._out(key, [e for _, e in held], 1, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = max((tuple(r) for r in self.rows.get()), default=None)
+        self.rows.clear()
+        yield self._out(key, [] if last is None else [last[1]], 0, True)
+
+    def close(self) -> None:
+        pass
+
+
+class Breaches(StatefulProcessor):
+    """How many windows in a row were above a threshold, per series; the count lives in state, so it goes on over batches and restarts."""
+
+    def __init__(self, threshold: float, minimum: int, step_ms: int):
+        self.threshold, self.minimum, self.step_us = threshold, minimum, 1000 * step_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("run", "last long, count int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, count = self.state.get() or (None, 0)
+        # The windows of one series that were closed in one batch; windows close in the order of time.
+        closed = pd.concat(list(rows)).sort_values("ts")
+        micros = closed["ts"].astype("datetime64[us]").astype("int64").tolist()
+        out = []
+        for ts, at, drift in zip(closed["ts"], micros, closed["drift"].tolist()):
+            near = last is not None and at - last <= self.step_us
+            count = (count if near else 0) + 1 if drift > self.threshold else 0
+            last = at
+            if count >= self.minimum:
+                out.append((key[0], ts, count))
+        self.state.update((int(last), int(count)))
+        yield pd.DataFrame(out, columns=["series", "ts", "breaches"])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Processors with timers and lists need this state store. A query keeps the one it started with."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+def recent_rows(stream: DataFrame, key: str, keep: int, idle: str = IDLE, watermark: str = WATERMARK) -> DataFrame:
+    """Changes of the newest ``keep`` rows per key: (key, position, event_id, expired).
+
+    A key whose newest row is older than the watermark by ``idle`` gives one row of position 0 with ``expired``, and its state is gone.
+    """
+    keyed_state(stream.sparkSession)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    kind = stream.schema[key].dataType.simpleString()
+    return (stream.select(key, "event_id", "ts").withWatermark("ts", watermark).groupBy(key)
+            .transformWithStateInPandas(RecentRows(key, keep, idle_ms), f"{key} {kind}, position int, event_id long, expired boolean", "update", "eventTime"))
+
+
+def breach_sensor(stream: DataFrame, target: float, threshold: float, minimum: int = 3, width: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
+    """(series, ts, breaches) as soon as a window closes whose mean value is off its target for the ``minimum``-th time in a row, or longer."""
+    keyed_state(stream.sparkSession)
+    scores = windowed_counts(stream, width, by=("event_type",), watermark=watermark).select(
+        F.col("event_type").alias("series"), F.col("start").alias("ts"), (F.abs(F.col("total") / F.col("n") - target) / 100).alias("drift"))
+    step_ms = int(pd.Timedelta(width).total_seconds() * 1000)
+    return scores.groupBy("series").transformWithStateInPandas(
+        Breaches(threshold, minimum, step_ms), "series string, ts timestamp, breaches int", "append", "none")
 
 
 def consecutive_breaches(scores: DataFrame, score: Column, threshold: float, minimum: int = 3, step_seconds: int = 3600) -> DataFrame:
