@@ -45,20 +45,26 @@ def range_grid(samples: DataFrame, start: Column, end: Column, step_seconds: int
                      ttl_seconds=staleness_seconds, slice_seconds=max(3600, step_seconds)).drop("matched_ts")
 
 
-def counter_deltas(samples: DataFrame, counter: str = "counter", series: str = "series", ts: str = "ts", tie: str = "seq") -> DataFrame:
+def _names(series: str | Sequence[str]) -> list[str]:
+    return [series] if isinstance(series, str) else list(series)
+
+
+def counter_deltas(samples: DataFrame, counter: str = "counter", series: str | Sequence[str] = "series", ts: str = "ts", tie: str = "seq") -> DataFrame:
     """Increase against the previous sample; after a reset the new value itself. The first sample adds nothing."""
-    paired = previous_row(samples, [series], [ts, tie], [counter], ts)
+    paired = previous_row(samples, _names(series), [ts, tie], [counter], ts)
     value, before = F.col(counter), F.col(f"prev_{counter}")
     return paired.withColumn("delta", F.when(before.isNull(), 0).when(value < before, value).otherwise(value - before)).drop(f"prev_{counter}")
 
 
-def increase(samples: DataFrame, range_seconds: int, step_seconds: int = 300, counter: str = "counter", series: str = "series", ts: str = "ts") -> DataFrame:
+def increase(samples: DataFrame, range_seconds: int, step_seconds: int = 300, counter: str = "counter", series: str | Sequence[str] = "series",
+             ts: str = "ts") -> DataFrame:
     """``increase`` and per-second ``rate`` over a range ending with each step that has samples; no extrapolation to the edges."""
-    per_step = counter_deltas(samples, counter, series, ts).groupBy(series, step_of(ts, step_seconds).alias("step")).agg(F.sum("delta").alias("delta"))
+    names = _names(series)
+    per_step = counter_deltas(samples, counter, names, ts).groupBy(*names, step_of(ts, step_seconds).alias("step")).agg(F.sum("delta").alias("delta"))
     seconds = F.unix_seconds(F.col("step").cast("timestamp"))
-    window = Window.partitionBy(series).orderBy(seconds).rangeBetween(-(range_seconds - step_seconds), 0)
+    window = Window.partitionBy(*names).orderBy(seconds).rangeBetween(-(range_seconds - step_seconds), 0)
     total = F.sum("delta").over(window)
-    return per_step.select(series, "step", total.alias("increase"), (total / range_seconds).alias("rate"))
+    return per_step.select(*names, "step", total.alias("increase"), (total / range_seconds).alias("rate"))
 
 
 def distribution_shift(samples: DataFrame, value: str = "gauge", series: str = "series", ts: str = "ts") -> DataFrame:
@@ -99,6 +105,36 @@ def histogram_quantile(df: DataFrame, value: str, q: float, keys: Sequence[str]
     return counted.select(*keys, F.when(at > len(buckets), F.lit(float(buckets[-1]))).otherwise(estimate).alias("quantile"))
 
 
+def bucket_rates(samples: DataFrame, range_seconds: int, step_seconds: int, keys: Sequence[str], instances: Sequence[str], le: str = "le") -> DataFrame:
+    """(keys, step, le, rate): rates of cumulative bucket counters, resets included, summed over instances by upper edge."""
+    per_bucket = increase(samples, range_seconds, step_seconds, series=[*keys, *instances, le])
+    return per_bucket.groupBy(*keys, "step", le).agg((F.sum("increase") / range_seconds).alias("rate"))
+
+
+def quantile_of_rates(rates: DataFrame, q: float, keys: Sequence[str], le: str = "le", rate: str = "rate") -> DataFrame:
+    """(keys, quantile) from cumulative rates by upper edge, linear inside a bucket.
+
+    Instances need not expose the same buckets, so the sums may fall from one edge to the next: they are made monotone by their running
+    maximum. The quantile is null without an infinite bucket, with no other bucket, or with nothing counted; in the infinite bucket it is
+    the highest finite edge, in a first bucket with an edge of at most 0 that edge.
+    """
+    edges, sums = F.transform("_b", lambda b: b[le]), F.transform("_b", lambda b: b["_rate"])
+    # A group has as many rows as there are edges.
+    grouped = rates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(le).cast("double").alias(le), F.col(rate).cast("double").alias("_rate")))).alias("_b"))
+    cumulative = F.transform("_sums", lambda x, i: F.array_max(F.slice("_sums", 1, i + 1)))
+    shaped = grouped.select(*keys, edges.alias("_edges"), sums.alias("_sums")).select(*keys, "_edges", cumulative.alias("_cum"))
+    size, total = F.size("_edges"), F.element_at("_cum", -1)
+    rank = F.lit(float(q)) * total
+    found = shaped.withColumn("_at", F.array_position(F.transform("_cum", lambda c: c >= rank), True).cast("int"))
+    at = F.col("_at")
+    upper, before = F.get("_edges", at - 1), F.coalesce(F.get("_cum", at - 2), F.lit(0.0))
+    lower = F.coalesce(F.get("_edges", at - 2), F.lit(0.0))
+    share = F.coalesce(F.try_divide(rank - before, F.get("_cum", at - 1) - before), F.lit(0.0))
+    known = (F.element_at("_edges", -1) == float("inf")) & (size > 1) & (total > 0)
+    value = (F.when(at == size, F.get("_edges", size - 2)).when((at == 1) & (upper <= 0), upper).otherwise(lower + (upper - lower) * share))
+    return found.select(*keys, F.when(known, value).alias("quantile"))
+
+
 def freshness(df: DataFrame, name: str, ts: str, as_of: Column) -> DataFrame:
     return df.agg(F.max(ts).alias("last_update")).select(
         F.lit(name).alias("source"), "last_update", F.timestamp_diff("SECOND", F.col("last_update"), as_of).alias("age_seconds"))

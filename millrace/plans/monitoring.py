@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -64,6 +65,41 @@ def l3_histogram_quantile(spark, sf):
     return metrics.histogram_quantile(durations, "seconds", 0.95, ["series"])
 
 
+_EDGES = [*_BUCKETS, float("inf")]
+
+
+def bucket_counters(spark, sf):
+    """Hourly scrapes of cumulative bucket counters: two instances a series, restarted every five days; one does not expose an edge."""
+    edges = F.array(*[F.lit(x) for x in _EDGES])
+    seen = events(spark, sf).select(F.col("event_type").alias("series"), (F.col("user_id") % 2).cast("int").alias("instance"),
+                                    metrics.step_of("ts", 3600).alias("ts"), (F.col("value") / 50).alias("seconds"), F.explode(edges).alias("le"))
+    hourly = seen.groupBy("series", "instance", "le", "ts").agg(F.count(F.when(F.col("seconds") <= F.col("le"), 1)).alias("n"))
+    life = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (5 * 86400))
+    since = Window.partitionBy("series", "instance", "le", life).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # a row an hour
+    counters = hourly.withColumns({"counter": F.sum("n").over(since), "seq": F.lit(0)}).drop("n")
+    return counters.filter((F.col("instance") != 1) | (F.col("le") != 0.5))
+
+
+_L3_SQL = f"""h AS (SELECT event_type AS series, CAST(user_id % 2 AS INTEGER) AS instance, date_trunc('hour', ts) AS ts, le, count(*) FILTER (value / 50 <= le) AS n
+  FROM events, (SELECT unnest([{', '.join(f'{x}::DOUBLE' if x != float('inf') else "'inf'::DOUBLE" for x in _EDGES)}]) AS le) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY series, instance, le, floor(epoch(ts) / 432000) ORDER BY ts) AS counter FROM h WHERE instance <> 1 OR le <> 0.5),
+d AS (SELECT *, CASE WHEN lag(counter) OVER w IS NULL THEN 0 WHEN counter < lag(counter) OVER w THEN counter ELSE counter - lag(counter) OVER w END AS delta
+  FROM c WINDOW w AS (PARTITION BY series, instance, le ORDER BY ts)),
+i AS (SELECT series, instance, le, ts, sum(delta) OVER (PARTITION BY series, instance, le ORDER BY ts RANGE BETWEEN INTERVAL 5 HOUR PRECEDING AND CURRENT ROW) AS inc FROM d),
+r AS (SELECT series, ts, le, CAST(sum(inc) AS DOUBLE) / 21600 AS rate FROM i GROUP BY ALL),
+m AS (SELECT *, max(rate) OVER (PARTITION BY series, ts ORDER BY le) AS cum, CAST(0.95 AS DOUBLE) * max(rate) OVER (PARTITION BY series, ts) AS rank FROM r),
+p AS (SELECT *, coalesce(lag(cum) OVER w, 0) AS before, coalesce(lag(le) OVER w, 0) AS lower FROM m WINDOW w AS (PARTITION BY series, ts ORDER BY le)),
+f AS (SELECT * FROM p WHERE cum >= rank QUALIFY row_number() OVER (PARTITION BY series, ts ORDER BY le) = 1)"""
+
+
+@query("l3_bucket_counters", f"""WITH {_L3_SQL} SELECT series, ts AS step, round(CASE WHEN rank = 0 THEN NULL WHEN isinf(le) THEN lower
+  ELSE lower + (le - lower) * CASE WHEN cum = before THEN 0 ELSE (rank - before) / (cum - before) END END, 9) AS quantile FROM f""")
+def l3_bucket_counters(spark, sf):
+    """The 0.95 quantile of request durations per series and hour, from six-hour rates of bucket counters."""
+    rates = metrics.bucket_rates(bucket_counters(spark, sf), 21600, 3600, ["series"], ["instance"])
+    return metrics.quantile_of_rates(rates, 0.95, ["series", "step"]).withColumn("quantile", F.round("quantile", 9))
+
+
 @query("l4_threshold_alerts", f"WITH {ALERTS_SQL} SELECT alertname, series, job, severity, team, active_at, last_ts, value, state FROM alerts")
 def l4_threshold_alerts(spark, sf):
     return alert_states(spark, sf)
