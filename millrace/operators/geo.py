@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 DEFAULT_REGION = "UNKNOWN"
 
 
@@ -74,30 +77,115 @@ def enrich_region(df: DataFrame, city: str = "city", lat: str = "lat", lon: str
     return df.withColumn(out, F.coalesce(by_city, region_by_box(column(lat, "double"), column(lon, "double"), boxes, default)))
 
 
+_EDGES = {"min_lat": -90.0, "max_lat": 90.0, "min_lon": -180.0, "max_lon": 180.0}
+#: Boxes of a leaf, cuts of a cell along each axis, and the depth at which cells are no longer cut.
+LEAF_BOXES, CUTS, MAX_DEPTH = 32, 4, 10
+
+
+class BoxTree:
+    """A quadtree over boxes: cells are cut until at most ``LEAF_BOXES`` boxes can be the first match of a point in them.
+
+    In a cell that one box covers, later boxes never win, and of boxes that look alike inside a cell only the first can. What is left
+    above the limit at ``MAX_DEPTH``, where cells are less than 0.0004 degrees wide, stays a table of boxes per cell (``rest``).
+    ``leaves`` holds (depth, cy, cx, boxes) and covers the whole of the boxes' extent.
+    """
+
+    def __init__(self, boxes: DataFrame, leaf_boxes: int = LEAF_BOXES, max_depth: int = MAX_DEPTH):
+        self.spark, self.leaf_boxes = boxes.sparkSession, leaf_boxes
+        rows = stored(boxes.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in _EDGES.items()}).select("ord", "code", *_EDGES)
+                      .filter("min_lat <= max_lat and min_lon <= max_lon"), "boxes")  # others hold no point
+        extent = rows.agg(F.min("min_lat"), F.max("max_lat"), F.min("min_lon"), F.max("max_lon")).first()
+        self.south, self.north, self.west, self.east = (0.0, 0.0, 0.0, 0.0) if extent[0] is None else extent
+        cells = self.spark.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("cy"), F.lit(0).cast("long").alias("cx"))
+        held = rows.select(F.lit(0).cast("long").alias("cy"), F.lit(0).cast("long").alias("cx"), "*")
+        leaves, depth = [], 0
+        self.rest: DataFrame | None = None
+        item = F.struct("ord", "code", *_EDGES)
+        while True:
+            held = stored(self._candidates(held, depth), "cell-boxes")
+            sizes = held.groupBy("cy", "cx").agg(F.count("*").alias("n"))
+            full = stored(sizes.filter(F.col("n") > leaf_boxes).select("cy", "cx"), "full-cells")
+            last = depth == max_depth or not full.count()
+            small = held if full.isEmpty() else held.join(full, ["cy", "cx"], "left_anti")
+            lists = small.groupBy("cy", "cx").agg(F.array_sort(F.collect_list(item)).alias("boxes"))  # leaf_boxes at most
+            # Cells without boxes are leaves as well; at the last depth those above the limit keep an empty list and a mark.
+            open_cells = cells if last else cells.join(full, ["cy", "cx"], "left_anti")
+            leaves.append(open_cells.join(lists, ["cy", "cx"], "left").select("depth", "cy", "cx", "boxes"))
+            if last:
+                if not full.isEmpty():
+                    self.rest = held.join(full, ["cy", "cx"])
+                break
+            depth += 1
+            part = F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1)))
+            down = (full.withColumn("py", part).withColumn("px", part)
+                    .select((F.col("cy") * CUTS + F.col("py")).alias("cy"), (F.col("cx") * CUTS + F.col("px")).alias("cx")))
+            cells = stored(down.select(F.lit(depth).alias("depth"), "cy", "cx"), "cells")
+            # A box goes to the children it touches.
+            reach = lambda low, high, at, axis: F.sequence(
+                F.greatest(self.cell(F.col(low), depth, axis), F.col(at) * CUTS), F.least(self.cell(F.col(high), depth, axis), F.col(at) * CUTS + CUTS - 1))
+            held = (held.join(full, ["cy", "cx"]).withColumn("ny", F.explode(reach("min_lat", "max_lat", "cy", 0)))
+                    .withColumn("nx", F.explode(reach("min_lon", "max_lon", "cx", 1)))
+                    .select(F.col("ny").alias("cy"), F.col("nx").alias("cx"), "ord", "code", *_EDGES))
+        self.depths, self.last = list(range(depth + 1)), depth
+        self.leaves = stored(reduce(DataFrame.unionByName, leaves), "box-leaves")
+
+    def _share(self, value: Column, axis: int) -> Column:
+        low, high = ((self.south, self.north), (self.west, self.east))[axis]
+        return (value - F.lit(low)) / F.lit((high - low) or 1.0)
+
+    def cell(self, value: Column, depth: int, axis: int) -> Column:
+        """Number of the cell along an axis. Cells divide by powers of two, so those of one depth nest in those of the one above exactly."""
+        count = CUTS ** depth
+        return F.least(F.floor(self._share(value, axis) * count), F.lit(count - 1)).cast("long")
+
+    def _candidates(self, held: DataFrame, depth: int) -> DataFrame:
+        """The boxes that can be first in their cell."""
+        top = CUTS ** depth - 1
+
+        def covers(low: str, high: str, at: str, axis: int) -> Column:
+            first, last = self.cell(F.col(low), depth, axis), self.cell(F.col(high), depth, axis)
+            return (((first < F.col(at)) | (self._share(F.col(low), axis) <= 0))
+                    & ((last > F.col(at)) | ((F.col(at) == top) & (self._share(F.col(high), axis) >= 1))))
+
+        marked = held.withColumn("_cover", covers("min_lat", "max_lat", "cy", 0) & covers("min_lon", "max_lon", "cx", 1))
+        first = marked.groupBy("cy", "cx").agg(F.min(F.when(F.col("_cover"), F.col("ord"))).alias("_first"))
+        live = marked.join(first, ["cy", "cx"]).filter(F.col("_first").isNull() | (F.col("ord") <= F.col("_first")))
+        # The part of a box inside its cell; a bound beyond the cell is no bound there.
+        inside = lambda c, at, axis, low: F.when(
+            (self.cell(F.col(c), depth, axis) >= F.col(at)) if low else (self.cell(F.col(c), depth, axis) <= F.col(at)), F.col(c))
+        alike = {"_a": inside("min_lat", "cy", 0, True), "_b": inside("max_lat", "cy", 0, False), "_c": inside("min_lon", "cx", 1, True),
+                 "_d": inside("max_lon", "cx", 1, False)}
+        return (live.withColumns(alike).groupBy("cy", "cx", *alike).agg(F.min(F.struct("ord", "code", *_EDGES)).alias("_box"))
+                .select("cy", "cx", "_box.*"))
+
+    def locate(self, df: DataFrame, lat: str, lon: str, out: str, default: str) -> DataFrame:
+        """``df`` with the code of the first box that holds each point. A point lies in one leaf; one outside the extent in none."""
+        y, x = F.col(lat), F.col(lon)
+        within = F.coalesce(y.between(self.south, self.north) & x.between(self.west, self.east), F.lit(False))
+        places = F.array(*[F.struct(F.lit(d).alias("depth"), self.cell(y, d, 0).alias("cy"), self.cell(x, d, 1).alias("cx")) for d in self.depths])
+        nowhere = F.array(F.struct(F.lit(-1).alias("depth"), F.lit(0).cast("long").alias("cy"), F.lit(0).cast("long").alias("cx")))
+        outside = self.spark.range(1).select(F.lit(-1).alias("depth"), F.lit(0).cast("long").alias("cy"), F.lit(0).cast("long").alias("cx"))
+        leaves = self.leaves.unionByName(outside, allowMissingColumns=True).withColumnsRenamed({c: f"_{c}" for c in ("depth", "cy", "cx", "boxes")})
+        hit = F.filter("_boxes", lambda b: y.between(b["min_lat"], b["max_lat"]) & x.between(b["min_lon"], b["max_lon"]))
+        asked = df.withColumn("_at", F.explode(F.when(within, places).otherwise(nowhere))).withColumns({f"_{c}": F.col(f"_at.{c}") for c in ("depth", "cy", "cx")})
+        found = asked.join(leaves, ["_depth", "_cy", "_cx"]).withColumn("_code", F.get(hit, F.lit(0))["code"])
+        if self.rest is not None:
+            # Points of cells above the limit meet their boxes one by one, each distinct point once.
+            r = self.rest.select(F.lit(self.last).alias("_depth"), F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), "ord", F.col("code").alias("_more"), *_EDGES)
+            points = asked.filter(F.col("_depth") == self.last).select("_depth", "_cy", "_cx", y.alias("_y"), x.alias("_x")).distinct()
+            more = (points.join(r, ["_depth", "_cy", "_cx"]).filter("_y between min_lat and max_lat and _x between min_lon and max_lon")
+                    .groupBy("_y", "_x").agg(F.min_by("_more", "ord").alias("_more")))
+            found = found.join(more, (y == F.col("_y")) & (x == F.col("_x")), "left").withColumn("_code", F.coalesce("_code", "_more")).drop("_y", "_x", "_more")
+        return found.withColumn(out, F.coalesce("_code", F.lit(default))).drop("_at", "_depth", "_cy", "_cx", "_boxes", "_code")
+
+
 def enrich_region_from_table(df: DataFrame, boxes: DataFrame, lat: str, lon: str, out: str = "region",
-                             cell_degrees: float = 5.0, default: str = DEFAULT_REGION) -> DataFrame:
-    """First matching box when the boxes are a table (``ord, code, min_lat, max_lat, min_lon, max_lon``).
+                             leaf_boxes: int = LEAF_BOXES, default: str = DEFAULT_REGION) -> DataFrame:
+    """First matching box when the boxes are a table (``ord, code, min_lat, max_lat, min_lon, max_lon``) of any size.
 
-    Boxes are indexed by grid cell, with the ordered candidates of a cell in one array. The point side needs one equi-join
-    on its cell and no aggregation, whatever the number of boxes that overlap. A missing bound is the world's edge.
+    Boxes are indexed by a quadtree whose leaves hold a bounded number of them. A missing bound is the world's edge.
     """
-    edges = {"min_lat": -90.0, "max_lat": 90.0, "min_lon": -180.0, "max_lon": 180.0}
-    boxes = boxes.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in edges.items()})
-    cell = lambda c: F.floor(c / cell_degrees)
-    index = (
-        boxes.withColumn("_cy", F.explode(F.sequence(cell(F.col("min_lat")), cell(F.col("max_lat")))))
-        .withColumn("_cx", F.explode(F.sequence(cell(F.col("min_lon")), cell(F.col("max_lon")))))
-        .groupBy("_cy", "_cx")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "code", "min_lat", "max_lat", "min_lon", "max_lon"))).alias("_boxes"))
-    )
-    y, x = F.col(lat), F.col(lon)
-    hit = F.filter("_boxes", lambda b: y.between(b["min_lat"], b["max_lat"]) & x.between(b["min_lon"], b["max_lon"]))
-    return (
-        df.withColumns({"_cy": cell(y), "_cx": cell(x)})
-        .join(index, ["_cy", "_cx"], "left")
-        .withColumn(out, F.coalesce(F.get(hit, F.lit(0))["code"], F.lit(default)))
-        .drop("_cy", "_cx", "_boxes")
-    )
+    return BoxTree(boxes, leaf_boxes).locate(df, lat, lon, out, default)
 
 
 def load_dimension(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
