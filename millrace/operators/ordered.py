@@ -115,15 +115,38 @@ def modal_value(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return top_per_group(counted, keys, [F.desc("n"), F.asc(value)])
 
 
+def hot_cuts(times: DataFrame, keys: Sequence[str], ts: str, slice_seconds: int, hot_rows: int | None = None) -> DataFrame:
+    """(keys, _slice, _cuts): for slices of more than ``hot_rows`` rows, the times at which they are cut further, at quantiles of their rows."""
+    hot_rows = HOT_GROUP_WEIGHT if hot_rows is None else hot_rows
+    sliced = times.select(*keys, _time_slice(ts, slice_seconds).alias("_slice"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+    hot = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys, "_slice")
+    shares = [i / SPLITS_PER_GROUP for i in range(1, SPLITS_PER_GROUP)]
+    return sliced.join(hot, [*keys, "_slice"], "left_semi").groupBy(*keys, "_slice").agg(F.percentile_approx("_at", shares, 10_000).alias("_cuts"))
+
+
+def _time_slice(ts: str, slice_seconds: int) -> Column:
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds)
+
+
+def with_time_slice(df: DataFrame, cuts: DataFrame, keys: Sequence[str], ts: str, slice_seconds: int) -> DataFrame:
+    """``df`` with ``_slice``, rising with time: the slice of ``slice_seconds`` and the stretch inside it. Rows of one time share a slice."""
+    sliced = df.withColumn("_slice", _time_slice(ts, slice_seconds)).join(cuts, [*keys, "_slice"], "left")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    inside = F.when(F.col("_cuts").isNull(), 0).otherwise(_slice_number(at, F.col("_cuts"), max(2, round(SPLITS_PER_GROUP ** 0.5))))
+    return sliced.withColumn("_slice", F.col("_slice") * SPLITS_PER_GROUP + inside).select(*df.columns, "_slice")
+
+
 def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], ts: str, slice_seconds: int = 3600
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], ts: str, slice_seconds: int = 3600,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``prev_<c>`` of the preceding row of the series, computed per time slice.
 
-    Only the last row of each slice is carried into the next one, so a hot series is spread over its slices.
+    Only the last row of each slice is carried into the next one, so a hot series is spread over its slices, and a slice with
+    too many rows over stretches of it.
     """
     keys, order = list(keys), list(order)
-    sliced = df.withColumn("_slice", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / slice_seconds))
+    sliced = with_time_slice(df, hot_cuts(df, keys, ts, slice_seconds, hot_rows), keys, ts, slice_seconds)
     packed = F.struct(*columns)
     tail = top_per_group(sliced, [*keys, "_slice"], [F.desc(c) for c in order]).select(
         *keys, "_slice", packed.alias("_tail"))

@@ -54,22 +54,22 @@ def test_modal_value_takes_the_smallest_on_a_tie(spark):
     assert {r.k: r.v for r in ordered.modal_value(df, ["k"], "v").collect()} == {1: "a", 2: "c"}
 
 
-@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**7])
-def test_previous_row_crosses_slices(spark, slice_seconds):
+@pytest.mark.parametrize("slice_seconds, hot_rows", [(60, None), (3600, 5), (10**7, None), (10**7, 40)])
+def test_previous_row_crosses_slices(spark, slice_seconds, hot_rows):
     rng = random.Random(2)
     start = dt.datetime(2024, 1, 1)
     rows = [("hot" if i % 3 else "cold", start + dt.timedelta(seconds=rng.randrange(200000)), i) for i in range(400)]
     pdf = pd.DataFrame(rows, columns=["k", "ts", "x"])
-    got = ordered.previous_row(spark.createDataFrame(pdf), ["k"], ["ts", "x"], ["x"], "ts", slice_seconds).toPandas()
+    got = ordered.previous_row(spark.createDataFrame(pdf), ["k"], ["ts", "x"], ["x"], "ts", slice_seconds, hot_rows).toPandas()
     pdf = pdf.sort_values(["ts", "x"])
     pdf["prev_x"] = pdf.groupby("k")["x"].shift()
     left = got.set_index("x")["prev_x"].sort_index()
     pd.testing.assert_series_equal(left, pdf.set_index("x")["prev_x"].sort_index(), check_dtype=False)
 
 
-@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**7])
+@pytest.mark.parametrize("slice_seconds, hot_rows", [(60, None), (3600, 4), (10**7, None), (10**7, 30)])
 @pytest.mark.parametrize("ttl", [None, 7200])
-def test_asof_join_equals_brute_force(spark, slice_seconds, ttl):
+def test_asof_join_equals_brute_force(spark, slice_seconds, hot_rows, ttl):
     rng = random.Random(3)
     start = dt.datetime(2024, 1, 1)
     at = lambda: start + dt.timedelta(seconds=rng.randrange(0, 100000, 50))
@@ -79,7 +79,7 @@ def test_asof_join_equals_brute_force(spark, slice_seconds, ttl):
     got = asof_join(
         spark.createDataFrame(requests, "u string, t timestamp_ntz, rid int"),
         spark.createDataFrame(features, "u string, ft timestamp_ntz, created timestamp_ntz, fid int"),
-        ["u"], "t", "ft", ["fid"], created="created", ttl_seconds=ttl, slice_seconds=slice_seconds).collect()
+        ["u"], "t", "ft", ["fid"], created="created", ttl_seconds=ttl, slice_seconds=slice_seconds, hot_rows=hot_rows).collect()
     assert len(got) == len(requests)
     for row in got:
         known = [f for f in features if f[0] == row.u and f[1] <= row.t]
@@ -92,6 +92,18 @@ def test_asof_join_equals_brute_force(spark, slice_seconds, ttl):
             assert row.fid in [f[3] for f in known if (f[1], f[2]) == (best[1], best[2])]
 
 
+def test_a_burst_inside_one_slice_is_spread(spark):
+    """One entity holds most rows, all within a few minutes of one hour."""
+    burst = spark.range(20_000).select(F.lit("hot").alias("k"), (F.lit(1_704_067_200_000_000) + F.col("id") * 10_007).alias("us"))
+    rows = burst.unionByName(spark.range(500).select(F.concat(F.lit("u"), (F.col("id") % 9).cast("string")).alias("k"), (F.lit(1_704_067_200_000_000) + F.col("id") * 10**7).alias("us")))
+    rows = rows.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
+    cuts = ordered.hot_cuts(rows, ["k"], "ts", 3600, 1000)
+    sizes = ordered.with_time_slice(rows, cuts, ["k"], "ts", 3600).groupBy("k", "_slice").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).collect()
+    assert max(r.n for r in sizes) < 700 and sum(r.n for r in sizes) == 20_500
+    hot = sorted((r._slice, r.a, r.b) for r in sizes if r.k == "hot")
+    assert len(hot) > 32 and all(x[2] < y[1] for x, y in zip(hot, hot[1:]))
+
+
 def auc_by_pairs(rows):
     pos, neg = [s for y, s in rows if y == 1], [s for y, s in rows if y == 0]
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
