@@ -1,7 +1,7 @@
 """Forecasts for many daily series at once.
 
-Inputs are daily rows, so a series holds one row per day whatever the volume of events; each series is fitted in its own
-group.
+Inputs are daily rows, so a series holds one row per day whatever the volume of events. Smoothing and the search over models work on
+a row per series, many series of an Arrow batch at once.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import top_per_group
-
 # Lags of the autoregression, days held out, width of the bounds in residual deviations.
 LAGS, HOLDOUT_DAYS, BOUND = 7, 7, 1.28
+# The grid of the smoothing: gains of level and trend, damping.
+ALPHAS, BETAS, DAMPINGS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.05, 0.2, 0.5), (0.8, 0.9, 0.98)
+MAX_CELLS = 4_000_000  # numbers of a matrix held at once by a task
 
 
 def sequences(daily: DataFrame, keys: Sequence[str], length: int = LAGS, ds: str = "ds", y: str = "y") -> DataFrame:
@@ -64,41 +65,92 @@ def mean_forecast(train: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- exponential smoothing
 
-def _smooth(y: np.ndarray, alpha: float, beta: float, phi: float) -> tuple[float, float, float]:
-    """(squared error, level, trend) of damped additive smoothing."""
-    level, trend, error = float(y[0]), float(y[1] - y[0]), 0.0
-    for value in y[1:]:
-        expected = level + phi * trend
-        miss = value - expected
-        error += miss * miss
-        level = expected + alpha * miss
-        trend = phi * trend + alpha * beta * miss
-    return error, level, trend
-
+def series_arrays(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per series: ``days`` (numbers of days) and ``values`` in the order of time, and the last day.
 
-def smoothing_forecast(y: np.ndarray, horizon: int, damped: bool = True, trend: bool = True) -> np.ndarray:
-    """Parameters from a grid on the one-step error; the mean when there is too little history."""
-    if len(y) < 3 or not np.isfinite(y).all():
-        return np.full(horizon, float(np.mean(y)) if len(y) else np.nan)
-    grid = [(a, b, p) for a in np.linspace(0.1, 0.9, 5) for b in ((0.05, 0.2, 0.5) if trend else (0.0,))
-            for p in (((0.8, 0.9, 0.98) if damped else (1.0,)) if trend else (0.0,))]
-    (_, level, slope), phi = min(((_smooth(y, a, b, p), p) for a, b, p in grid), key=lambda r: r[0][0])
-    return level + slope * np.cumsum(phi ** np.arange(1, horizon + 1))
+    A series has a row per day, so its arrays are short. Days without a finite value are left out of the arrays.
+    """
+    finite = F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") < float("inf"))
+    point = F.struct(F.unix_date("ds").alias("day"), F.col("y").cast("double").alias("y"))
+    rows = daily.groupBy(*keys).agg(F.max("ds").alias("last_ds"), F.array_sort(F.collect_list(F.when(finite, point))).alias("_points"))
+    return rows.select(*keys, "last_ds", F.col("_points.day").alias("days"), F.col("_points.y").alias("values"))
+
+
+def smoothing_grid(damped: bool = True, trend: bool = True) -> np.ndarray:
+    """The (alpha, beta, phi) that are tried."""
+    betas, phis = (BETAS, DAMPINGS if damped else (1.0,)) if trend else ((0.0,), (0.0,))
+    return np.array([(a, b, p) for a in ALPHAS for b in betas for p in phis])
+
+
+def slices(lengths: np.ndarray, width: int) -> list[np.ndarray]:
+    """Positions of series, longest first, in groups whose padded matrix holds ``MAX_CELLS`` numbers at most (one series at least)."""
+    order = np.argsort(-lengths, kind="stable")
+    groups, start = [], 0
+    while start < len(order):
+        rows = max(1, MAX_CELLS // (max(1, int(lengths[order[start]])) * width))
+        groups.append(order[start:start + rows])
+        start += rows
+    return groups
+
+
+def padded(values: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix with a row per series, 0 behind its end; lengths)."""
+    lengths = np.array([len(v) for v in values])
+    out = np.zeros((len(values), int(lengths.max(initial=0))))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.concatenate([np.zeros(0), *values])
+    return out, lengths
+
+
+def smooth(y: np.ndarray, lengths: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(squared error, level, trend) of every series, longest first, for every point of the grid."""
+    alpha, beta, phi = grid.T
+    gain = alpha * beta
+    level = np.repeat(y[:, :1], len(grid), axis=1)
+    slope = np.repeat(y[:, 1:2] - y[:, :1], len(grid), axis=1)
+    error = np.zeros_like(level)
+    for t in range(1, y.shape[1]):
+        n = int(np.searchsorted(-lengths, -t))  # the series that have a day t
+        expected = level[:n] + phi * slope[:n]
+        miss = y[:n, t, None] - expected
+        error[:n] += miss * miss
+        level[:n] = expected + alpha * miss
+        slope[:n] = phi * slope[:n] + gain * miss
+    return error, level, slope
+
+
+def smoothing_ahead(y: np.ndarray, lengths: np.ndarray, horizon: int, grid: np.ndarray) -> np.ndarray:
+    """The next values of every series, longest first, by the grid point of the least one-step error."""
+    error, level, slope = smooth(y, lengths, grid)
+    best = error.argmin(axis=1)
+    rows = np.arange(len(y))
+    return level[rows, best][:, None] + slope[rows, best][:, None] * np.cumsum(grid[best, 2][:, None] ** np.arange(1, horizon + 1), axis=1)
+
+
+def smoothing_forecast(values: Sequence[np.ndarray], horizon: int, damped: bool = True, trend: bool = True) -> list[np.ndarray]:
+    """Forecasts of many series at once; the mean where there are fewer than three values, NaN where there is none."""
+    grid = smoothing_grid(damped, trend)
+    out = [np.full(horizon, np.mean(v) if len(v) else np.nan) for v in values]
+    lengths = np.array([len(v) for v in values])
+    long = np.flatnonzero(lengths >= 3)
+    for group in slices(lengths[long], 1 + len(grid)):
+        rows = long[group]
+        for i, row in zip(rows, smoothing_ahead(*padded([values[r] for r in rows]), horizon, grid)):
+            out[i] = row
+    return out
 
 
 def fit_smoothing(daily: DataFrame, keys: Sequence[str], horizon: int = HOLDOUT_DAYS) -> DataFrame:
-    """Forecast of the days after each series, one group per series."""
-    keys = list(keys)
-    schema = ", ".join(f"{k} {daily.schema[k].dataType.simpleString()}" for k in keys) + ", ds date, forecast double"
+    """Forecast of the days after each series; NULL for a series without a finite value.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        last = pd.Timestamp(pdf["ds"].iloc[-1])
-        days = [(last + pd.Timedelta(days=i)).date() for i in range(1, horizon + 1)]
-        out = pd.DataFrame({"ds": days, "forecast": smoothing_forecast(pdf["y"].to_numpy(float), horizon)})
-        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "ds", "forecast"]]
+    The recursion runs once for all grid points and all series of an Arrow batch.
+    """
+    @F.pandas_udf("array<double>")
+    def ahead(values: pd.Series) -> pd.Series:
+        return pd.Series([None if np.isnan(f).any() else f for f in smoothing_forecast(list(values), horizon)], dtype=object)
 
-    return daily.groupBy(*keys).applyInPandas(run, schema)
+    found = series_arrays(daily, keys).select(*keys, "last_ds", ahead("values").alias("_ahead"))
+    steps = found.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return steps.select(*keys, F.date_add("last_ds", F.col("_step")).alias("ds"), F.element_at("_ahead", F.col("_step")).alias("forecast"))
 
 
 # ---------------------------------------------------------------- autoregression
@@ -136,26 +188,9 @@ def fit_autoregression(daily: DataFrame, keys: Sequence[str], horizon: int = HOL
 
 # ---------------------------------------------------------------- search
 
-# The smoothing choices that are searched: (trend, damped).
-TRIALS = ((True, True), (True, False), (False, False))
-
-
 def search_parameters(daily: DataFrame, keys: Sequence[str], holdout: int = HOLDOUT_DAYS) -> tuple[DataFrame, DataFrame]:
-    """(MAPE of every series and trial on its last days, best trial per series). A failed trial counts as infinite."""
-    keys = list(keys)
-    trials = daily.select(*keys, "ds", "y", F.posexplode(F.array(*[F.struct(F.lit(t).alias("trend"), F.lit(d).alias("damped")) for t, d in TRIALS])).alias("trial", "p"))
-    schema = ", ".join(f"{k} {daily.schema[k].dataType.simpleString()}" for k in keys) + ", trial int, trend boolean, damped boolean, mape double"
+    """(leaderboard of every series, best trial per series) of the search over model families."""
+    from .tuning import leaderboard
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        y, p = pdf["y"].to_numpy(float), pdf["p"].iloc[0]
-        train, actual = y[:-holdout], y[-holdout:]
-        mape = float("inf")
-        if len(train):
-            miss = np.abs((actual - smoothing_forecast(train, len(actual), bool(p["damped"]), bool(p["trend"])))[actual != 0] / actual[actual != 0])
-            mape = float(miss.mean() * 100) if len(miss) and np.isfinite(miss).all() else mape
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "trial": [int(pdf["trial"].iloc[0])], "trend": [bool(p["trend"])],
-                             "damped": [bool(p["damped"])], "mape": [mape]})
-
-    results = trials.groupBy(*keys, "trial").applyInPandas(run, schema)
-    return results, top_per_group(results, keys, [F.asc("mape"), F.asc("trial")], 1)
+    results = leaderboard(daily, keys, holdout)
+    return results, results.filter("rank = 1")

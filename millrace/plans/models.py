@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import boosting, churn, evaluate, events as E
-from ..operators import forecast, ml, registry
+from ..operators import forecast, ml, registry, tuning
 from ..session import checkpointed, scratch_dir
 from ..sources import files
 from .catalog import query
@@ -132,9 +132,26 @@ def m7_trend_forecast(spark, sf):
     return out.select("series", "ds", F.round("forecast", 2).alias("forecast"), F.round("lower_bound", 2).alias("lower_bound"))
 
 
-@query("m8_smoothing_forecast")
+def _values(xs):
+    return ", ".join(f"({x!r}::DOUBLE)" for x in xs)
+
+
+# The recursion over all grid points, a row per series and point; the least error wins, then the smaller parameters.
+_SMOOTHING_SQL = f"""WITH RECURSIVE {DAILY_SQL}, n AS (SELECT series, ds, y, row_number() OVER (PARTITION BY series ORDER BY ds) AS t FROM daily),
+grid AS (SELECT * FROM (VALUES {_values(forecast.ALPHAS)}) a(a), (VALUES {_values(forecast.BETAS)}) b(b), (VALUES {_values(forecast.DAMPINGS)}) p(p)),
+walk AS (SELECT f.series, a, b, p, CAST(2 AS BIGINT) AS t, CAST(0 AS DOUBLE) + (s.y - (f.y + p * (s.y - f.y))) * (s.y - (f.y + p * (s.y - f.y))) AS err,
+    f.y + p * (s.y - f.y) + a * (s.y - (f.y + p * (s.y - f.y))) AS level, p * (s.y - f.y) + a * b * (s.y - (f.y + p * (s.y - f.y))) AS slope
+  FROM n f JOIN n s ON f.series = s.series AND f.t = 1 AND s.t = 2, grid
+  UNION ALL SELECT w.series, a, b, p, n.t, err + (y - (level + p * slope)) * (y - (level + p * slope)), level + p * slope + a * (y - (level + p * slope)),
+    p * slope + a * b * (y - (level + p * slope)) FROM walk w JOIN n ON n.series = w.series AND n.t = w.t + 1),
+l AS (SELECT series, max(t) AS t, max(ds) AS last_ds FROM n GROUP BY 1),
+best AS (SELECT w.*, last_ds FROM walk w JOIN l ON w.series = l.series AND w.t = l.t QUALIFY row_number() OVER (PARTITION BY w.series ORDER BY err, a, b, p) = 1)
+SELECT series, CAST(last_ds + CAST(h AS INTEGER) AS DATE) AS ds, round(level + slope * p * (1 - p ** h) / (1 - p), 4) AS forecast FROM best, range(1, 8) r(h)"""
+
+
+@query("m8_smoothing_forecast", _SMOOTHING_SQL)
 def m8_smoothing_forecast(spark, sf):
-    return forecast.fit_smoothing(daily(spark, sf), ["series"])
+    return forecast.fit_smoothing(daily(spark, sf), ["series"]).withColumn("forecast", F.round("forecast", 4))
 
 
 @query("m8_mean_forecast", f"""WITH {DAILY_SQL} SELECT series, round(avg(y), 4) AS forecast FROM daily GROUP BY 1""")
@@ -150,8 +167,8 @@ def m9_autoregression_forecast(spark, sf):
 
 @query("m10_parameter_search")
 def m10_parameter_search(spark, sf):
-    _, best = forecast.search_parameters(daily(spark, sf), ["series"])
-    return best
+    """The leaderboard of every series: four families of models, halved on windows that double."""
+    return tuning.leaderboard(daily(spark, sf), ["series"])
 
 
 @query("m11_forecast_range", f"""WITH {_TREND_SQL}, days AS (SELECT series, CAST(unnest(generate_series(DATE '2001-09-01', DATE '2001-09-30', INTERVAL 1 DAY)) AS DATE) AS ds FROM o)
