@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..operators import events as E
 from ..operators import features, geo, retrieval
 from ..session import scratch_dir
-from ..sources import files, lake
+from ..sources import files, lake, snapshot
 from ..streaming import log_source, sinks
 from .catalog import query
 from .features_sql import USER_FEATURES_SQL
@@ -253,16 +253,30 @@ def s14_feature_table(spark, sf):
     return spark.read.parquet(path).drop("as_of", "event_timestamp", "created_timestamp")
 
 
-@query("s15_online_snapshot", """
-SELECT user_id, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1""")
-def s15_online_snapshot(spark, sf):
-    """A first load, then an increment that updates some users and adds others."""
+def _snapshot(spark, sf):
+    """A first load, an increment that updates some users and adds others, and the increment again: (path, changes of every merge)."""
     path = scratch_dir(spark, "online")
     rows = events(spark, sf).select("user_id", "event_id", "ts", "value")
     half = F.expr("TIMESTAMP_NTZ '2024-01-15'")
-    lake.merge_latest(spark, rows.filter(F.col("ts") < half), path, ["user_id"], "ts")
-    lake.merge_latest(spark, rows.filter(F.col("ts") >= half), path, ["user_id"], "ts")
-    return spark.read.parquet(path).drop("bucket")
+    later = rows.filter(F.col("ts") >= half)
+    return path, [snapshot.merge(spark, part, path, ["user_id"], "ts") for part in (rows.filter(F.col("ts") < half), later, later)]
+
+
+@query("s15_online_snapshot", """
+SELECT user_id, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def s15_online_snapshot(spark, sf):
+    path, _ = _snapshot(spark, sf)
+    return snapshot.read(spark, path, ["user_id"], "ts")
+
+
+@query("s15_merge_report", """WITH u AS (SELECT user_id, min(ts) < TIMESTAMP '2024-01-15' AS early, max(ts) >= TIMESTAMP '2024-01-15' AS late FROM events GROUP BY 1)
+SELECT 1 AS merge, count(*) AS rows_written FROM u WHERE early HAVING count(*) > 0
+UNION ALL SELECT 2, count(*) FILTER (early OR late) FROM u HAVING count(*) FILTER (late) > 0""")
+def s15_merge_report(spark, sf):
+    """Rows that each merge wrote; the increment touches most users, so the bucket is rewritten, and coming again it writes nothing."""
+    _, changes = _snapshot(spark, sf)
+    rows = [c.withColumn("merge", F.lit(i)) for i, c in enumerate(changes, 1)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("merge").agg(F.sum("rows").alias("rows_written"))
 
 
 @query("s16_vector_index", """
@@ -280,10 +294,26 @@ def s18_compaction_retention(spark, sf):
     path = scratch_dir(spark, "lake")
     daily = events(spark, sf).select("event_id", "value", S.partition_day(F.col("ts")).alias("dt"))
     lake.write_table(daily, path, files_per_partition=4)
-    lake.compact_partition(spark, path, "dt", "2024-01-25")
+    lake.compact_files(spark, path)
     return lake.retain(lake.read_table(spark, path), "2024-01-30", 10)
 
 
+@query("s18_layer_retention", """
+WITH d AS (SELECT max(o_orderdate) AS newest FROM orders), k AS (SELECT * FROM (VALUES ('bronze', 90), ('silver', 365), ('gold', 1095)) v(layer, days))
+SELECT layer, strftime(o_orderdate, '%Y-%m-01') AS dt, count(*) AS n FROM orders, d, k
+WHERE strftime(o_orderdate, '%Y-%m-01') >= strftime(CAST(newest AS DATE) - days::INTEGER, '%Y-%m-%d') GROUP BY ALL""")
+def s18_layer_retention(spark, sf):
+    """The folders of three layers that are past their time are deleted; what is left is read."""
+    root = scratch_dir(spark, "layers")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("dt"))
+    for layer in lake.RETENTION_DAYS:
+        lake.write_table(orders, f"{root}/{layer}")
+    newest = orders.agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd")).first()[0]
+    lake.apply_retention(spark, root, newest)
+    left = [lake.read_table(spark, f"{root}/{layer}").groupBy("dt").agg(F.count("*").alias("n")).withColumn("layer", F.lit(layer)) for layer in lake.RETENTION_DAYS]
+    return left[0].unionByName(left[1]).unionByName(left[2]).select("layer", "dt", "n")
+
+
 @query("s19_live_feed", f"""WITH {ENVELOPE_SQL}
 SELECT id, user_id, price, ts FROM env ORDER BY ts DESC, event_id DESC LIMIT 1000""")
 def s19_live_feed(spark, sf):

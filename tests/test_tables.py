@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import access, alerts, churn, features, forecast, metrics, ml, registry
 from millrace.operators import events as E
 from millrace.session import scratch_root
-from millrace.sources import lake
+from millrace.sources import lake, snapshot
 from millrace.streaming import sinks
 
 T0 = dt.datetime(2024, 1, 1)
@@ -46,7 +46,7 @@ def test_overwrite_touches_one_partition(spark, tmp_path):
     lake.write_table(spark.createDataFrame([(99, "2024-01-02")], "x int, dt string"), path, mode="overwrite")
     got = lake.read_table(spark, path)
     assert got.count() == 21 and [r.x for r in got.filter("dt = '2024-01-02'").collect()] == [99]
-    lake.compact_partition(spark, path, "dt", "2024-01-01")
+    lake.compact_files(spark, path)
     assert lake.read_table(spark, path).filter("dt = '2024-01-01'").count() == 10
     assert len(list((tmp_path / "lake" / "dt=2024-01-01").glob("*.parquet"))) == 1
     assert lake.retain(lake.read_table(spark, path), "2024-01-03", 1).select("dt").distinct().count() == 2
@@ -54,9 +54,9 @@ def test_overwrite_touches_one_partition(spark, tmp_path):
 
 def test_merge_latest_keeps_newer_rows(spark, tmp_path):
     path = str(tmp_path / "online")
-    lake.merge_latest(spark, spark.createDataFrame([(1, 10, "a"), (2, 10, "b")], "k int, ts int, v string"), path, ["k"], "ts", 4)
-    lake.merge_latest(spark, spark.createDataFrame([(1, 5, "old"), (2, 20, "new"), (3, 1, "c")], "k int, ts int, v string"), path, ["k"], "ts", 4)
-    assert {r.k: r.v for r in spark.read.parquet(path).collect()} == {1: "a", 2: "new", 3: "c"}
+    snapshot.merge(spark, spark.createDataFrame([(1, 10, "a"), (2, 10, "b")], "k int, ts int, v string"), path, ["k"], "ts")
+    snapshot.merge(spark, spark.createDataFrame([(1, 5, "old"), (2, 20, "new"), (3, 1, "c")], "k int, ts int, v string"), path, ["k"], "ts")
+    assert {r.k: r.v for r in snapshot.read(spark, path, ["k"], "ts").collect()} == {1: "a", 2: "new", 3: "c"}
 
 
 def runs_frame(spark, rows):
