@@ -68,9 +68,14 @@ def monday_weekday(ts: Column) -> Column:
     return F.weekday(ts)
 
 
+def md5_number(value: Column) -> Column:
+    """The first eight hex digits of the md5 of the value's text: the same number in every engine."""
+    return F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("long")
+
+
 def hash_bucket(value: Column, buckets: int) -> Column:
     """Stable across processes, unlike a salted in-process hash."""
-    return F.pmod(F.xxhash64(value), F.lit(buckets))
+    return F.pmod(md5_number(value), F.lit(buckets))
 
 
 def short_md5(value: Column, length: int = 12) -> Column:

@@ -9,10 +9,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .ordered import index_percentiles
 
 # Trees, iterations and folds of the trainers.
@@ -38,7 +40,7 @@ def standardize(df: DataFrame, columns: Sequence[str], is_train: Column) -> Data
 
 def hash_split(df: DataFrame, row_id: str, train_percent: int = 80) -> DataFrame:
     """Split by id hash: the same after any repartitioning, for train and serve alike."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(row_id), F.lit(100)) < train_percent, "train").otherwise("test"))
+    return df.withColumn("split", F.when(S.md5_number(F.col(row_id)) % 100 < train_percent, "train").otherwise("test"))
 
 
 def stratified_split(df: DataFrame, row_id: str, label: str, train_share: float = 0.8) -> DataFrame:
@@ -91,6 +93,13 @@ def search_churn_model(train: DataFrame, features: Sequence[str], label: str, fo
                           numFolds=folds, parallelism=parallelism, seed=seed).fit(train)
 
 
+def fit_linear(train: DataFrame, features: Sequence[str], label: str) -> tuple[list[float], float]:
+    """(coefficients, intercept) of a least-squares fit over all rows; the normal equations are aggregated by Spark."""
+    rows = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(train.filter(F.col(label).isNotNull()))
+    model = LinearRegression(labelCol=label, solver="normal").fit(rows)
+    return [float(w) for w in model.coefficients], float(model.intercept)
+
+
 def linear_scorer(coefficients: Sequence[float], intercept: float):
     """Inference of a linear model as a native expression over its feature columns."""
     return lambda *features: sum((F.lit(float(w)) * c.cast("double") for w, c in zip(coefficients, features)), F.lit(0.0)) + F.lit(float(intercept))

@@ -85,16 +85,29 @@ def best_by(df: DataFrame, keys: Sequence[str], name: str, metric: str, largest:
     return top_per_group(df, keys, [order, F.asc(name)], 1)
 
 
-def rollback_targets(versions: DataFrame) -> DataFrame:
-    """Previous version of each model in production, or why there is none."""
+def rollback_targets(versions: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """The version each model in production goes back to, or why it does not.
+
+    ``requested`` (``model_name, requested``; one row a model) names versions; without one it is the previous version. Refused are a model
+    without a production version, the first version without a request, a version that does not exist, and the one already in production.
+    """
     current = latest_versions(versions, ["Production"]).select("model_name", F.col("version").alias("current_version"))
-    older = F.max(F.when(F.col("version") < F.col("current_version"), F.col("version")))
-    return (
-        versions.join(current, "model_name", "left").groupBy("model_name")
-        .agg(F.max("current_version").alias("current_version"), older.alias("target_version"))
-        .withColumn("reason", F.when(F.col("current_version").isNull(), "no production version")
-                    .when(F.col("target_version").isNull(), "no previous version").otherwise("rollback"))
-    )
+    known = versions.join(current, "model_name", "left")
+    if requested is not None:
+        known = known.join(requested.select("model_name", "requested"), "model_name", "left")
+    else:
+        known = known.withColumn("requested", F.lit(None).cast("long"))
+    found = known.groupBy("model_name").agg(
+        F.max("current_version").alias("current_version"), F.max("requested").alias("_asked"),
+        F.max(F.when(F.col("version") < F.col("current_version"), F.col("version"))).alias("_older"),
+        F.coalesce(F.bool_or(F.col("version") == F.col("requested")), F.lit(False)).alias("_known"))
+    asked = F.col("_asked")
+    reason = (F.when(F.col("current_version").isNull(), "no production version")
+              .when(asked.isNull() & F.col("_older").isNull(), "no previous version")
+              .when(asked == F.col("current_version"), "already in production")
+              .when(asked.isNotNull() & ~F.col("_known"), "unknown version").otherwise("rollback"))
+    target = F.when(F.col("reason") == "rollback", F.coalesce(asked.cast(versions.schema["version"].dataType), "_older"))
+    return found.withColumn("reason", reason).select("model_name", "current_version", target.alias("target_version"), "reason")
 
 
 def transition(versions: DataFrame, moves: DataFrame, archive_current: bool = True) -> DataFrame:

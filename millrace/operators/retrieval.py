@@ -7,6 +7,8 @@ Neither side passes through the driver.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,10 +16,11 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
 from .ordered import top_per_group
@@ -319,6 +322,45 @@ def embed(texts: DataFrame, embedder, vector: str = "embedding") -> DataFrame:
     return out.withColumn(vector, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_tfidf", "_unit")
 
 
+def model_embedder(load_model, batch_size: int = 64):
+    """A column function for a model that embeds batches of texts.
+
+    ``load_model()`` runs once in each Python worker and returns ``encode(list of texts) -> matrix``, a row per text. Null texts count as
+    empty; vectors are float32.
+    """
+    def make():
+        encode = load_model()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return np.asarray(encode(list(texts)), dtype=np.float32)
+
+        return predict
+
+    predict = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return lambda text: predict(F.coalesce(text, F.lit("")))
+
+
+def embed_with_model(texts: DataFrame, embedder, text: str = "content", vector: str = "embedding") -> DataFrame:
+    return texts.withColumn(vector, embedder(F.col(text)))
+
+
+def sign_projection(dim: int = 8):
+    """A small model of fixed weights: every word (a run of a-z and 0-9) has +1 or -1 in each dimension, by the hex digits of its md5."""
+    def load():
+        known: dict[str, np.ndarray] = {}
+
+        def weights(word: str) -> np.ndarray:
+            if word not in known:
+                if len(known) >= 100_000:  # bounds the worker's memory
+                    known.clear()
+                known[word] = np.array([1.0 if c >= "8" else -1.0 for c in hashlib.md5(word.encode()).hexdigest()[:dim]])
+            return known[word]
+
+        return lambda texts: np.array([sum((weights(w) for w in re.findall("[a-z0-9]+", t)), np.zeros(dim)) for t in texts]).reshape(-1, dim)
+
+    return load
+
+
 # ---------------------------------------------------------------- prompt assembly
 
 PROMPT_HEAD = (

@@ -49,7 +49,8 @@ def m2_standardize(spark, sf):
     return ml.standardize(events(spark, sf), ["value"], F.col("event_id") % 5 != 0).select("event_id", F.round("z_value", 6).alias("z_value"))
 
 
-@query("m3_hash_split")
+@query("m3_hash_split", """SELECT CASE WHEN CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS split,
+  count(*) AS n, avg(quality) AS rate FROM labels GROUP BY 1""")
 def m3_hash_split(spark, sf):
     return ml.hash_split(table(spark, sf, "labels"), "doc_id").groupBy("split").agg(F.count("*").alias("n"), F.avg("quality").alias("rate"))
 
@@ -212,17 +213,27 @@ def m13_stage_transitions(spark, sf):
     return registry.transition(versions, moves).select("model_name", "version", "stage")
 
 
-@query("x7_frame_inference", "SELECT event_id, round(0.5 * value - 0.25 * hour(ts) + 1.5, 6) AS prediction FROM events")
+_LINE_SQL = "WITH m AS (SELECT regr_slope(value, hour(ts)) AS slope, regr_intercept(value, hour(ts)) AS start FROM events)"
+
+
+def fitted_line(spark, sf):
+    """Value of an event by its hour, fitted to all events: the rows and the model's column."""
+    rows = events(spark, sf).withColumn("hour", F.hour("ts").cast("double"))
+    return rows, F.round(ml.linear_scorer(*ml.fit_linear(rows.select("hour", "value"), ["hour"], "value"))(F.col("hour")), 6)
+
+
+@query("x7_frame_inference", f"{_LINE_SQL} SELECT event_id, round(start + slope * hour(ts), 6) AS prediction FROM events, m")
 def x7_frame_inference(spark, sf):
-    predict = ml.linear_scorer([0.5, -0.25], 1.5)
-    return events(spark, sf).select("event_id", F.round(predict(F.col("value"), F.hour("ts").cast("double")), 6).alias("prediction"))
+    rows, prediction = fitted_line(spark, sf)
+    return rows.select("event_id", prediction.alias("prediction"))
 
 
-@query("s17_prediction_export", "SELECT event_id, value, round(0.5 * value + 1.5, 6) AS prediction FROM events")
+@query("s17_prediction_export", f"{_LINE_SQL} SELECT event_id, value, round(start + slope * hour(ts), 6) AS prediction FROM events, m")
 def s17_prediction_export(spark, sf):
+    """The given columns with the fitted model's prediction appended, as CSV, read back."""
     path = scratch_dir(spark, "scored")
-    predict = ml.linear_scorer([0.5], 1.5)
-    events(spark, sf).select("event_id", "value").withColumn("prediction", F.round(predict(F.col("value")), 6)).write.csv(path, header=True)
+    rows, prediction = fitted_line(spark, sf)
+    rows.select("event_id", "value", prediction.alias("prediction")).write.csv(path, header=True)
     return files.read_csv(spark, path, "event_id long, value double, prediction double")
 
 

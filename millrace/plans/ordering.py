@@ -8,7 +8,8 @@ from ..operators import churn, events as E
 from ..operators import retrieval
 from .catalog import query
 from .retrieval_sql import CENTROIDS_SQL
-from .tables import ENVELOPE_SQL, events, raw_transactions, table
+from .scans import VIOLATIONS_SQL
+from .tables import ENVELOPE_SQL, RAW_SQL, events, raw_transactions, table
 
 
 @query("t1_time_sort", "SELECT event_id, ts, event_type FROM events ORDER BY ts, event_id")
@@ -54,15 +55,20 @@ def keyset_page(rows, ts, event_id, size):
     return rows.filter(after).orderBy(F.desc("ts"), F.desc("event_id")).limit(size)
 
 
-@query("t5_invalid_sample")
+@query("t5_invalid_sample", f"""WITH {RAW_SQL}, e AS (SELECT id, product_id, {VIOLATIONS_SQL}) AS errors FROM raw)
+SELECT * FROM e WHERE errors <> '' ORDER BY id, product_id LIMIT 5""")
 def t5_invalid_sample(spark, sf):
-    return E.with_validity(raw_transactions(spark, sf)).filter("NOT is_valid").limit(5).select("id", "product_id", F.array_join("errors", "; ").alias("errors"))
+    """The first five invalid rows by id."""
+    bad = E.with_validity(raw_transactions(spark, sf)).filter("NOT is_valid").orderBy("id", "product_id").limit(5)
+    return bad.select("id", "product_id", F.regexp_replace(F.array_join("errors", "; "), r"(Invalid price): [-0-9.E]+", "$1").alias("errors"))
 
 
-@query("t6_random_sample")
+@query("t6_random_sample", f"""WITH {RAW_SQL} SELECT id, "timestamp", user_id, product_id, price, quantity, location FROM raw
+ORDER BY md5(id || '/' || product_id || '/42'), id, product_id LIMIT 1000""")
 def t6_random_sample(spark, sf):
     """Reproducible sample without replacement: the smallest seeded hashes."""
-    return raw_transactions(spark, sf).withColumn("h", F.xxhash64("id", "product_id", F.lit(42))).orderBy("h", "id", "product_id").limit(1000).drop("h", "metadata")
+    seeded = raw_transactions(spark, sf).withColumn("_h", F.md5(F.concat_ws("/", "id", "product_id", F.lit("42"))))
+    return seeded.orderBy("_h", "id", "product_id").limit(1000).drop("_h", "metadata")
 
 
 @query("u1_user_overlap", """WITH c AS (SELECT max(o_orderdate) - INTERVAL 30 DAY AS cutoff FROM orders), u AS (SELECT o_custkey, min(o_orderdate) AS f, max(o_orderdate) AS l FROM orders GROUP BY 1),

@@ -157,7 +157,10 @@ def p17_model_features(spark, sf):
     return E.model_features(events(spark, sf), price="value").select("event_id", "f_price", "f_quantity", "f_hour", "f_weekday")
 
 
-@query("p18_hash_bucket")
+_MD5 = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
+
+
+@query("p18_hash_bucket", f"""SELECT {_MD5.format('CAST(user_id AS VARCHAR)')} % 1000 AS user_bucket, {_MD5.format('event_type')} % 500 AS type_bucket, count(*) AS n FROM events GROUP BY 1, 2""")
 def p18_hash_bucket(spark, sf):
     return events(spark, sf).select(
         S.hash_bucket(F.col("user_id").cast("string"), 1000).alias("user_bucket"),

@@ -65,6 +65,16 @@ def v2_embeddings(spark, sf):
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
 
 
+@query("v2_model_embeddings", """WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(text, '[a-z0-9]+'))) AS h FROM documents),
+s AS (SELECT doc_id, """ + ", ".join(f"CAST(sum(CASE WHEN substr(h, {i + 1}, 1) >= '8' THEN 1 ELSE -1 END) AS DOUBLE) AS x{i}" for i in range(8)) + """ FROM w GROUP BY 1)
+SELECT doc_id, """ + ", ".join(f"coalesce(x{i}, 0) AS x{i}" for i in range(8)) + """ FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN s USING (doc_id)""")
+def v2_model_embeddings(spark, sf):
+    """Batches of texts through a model that each worker loads once."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = retrieval.embed_with_model(docs, retrieval.model_embedder(retrieval.sign_projection(8)), "text")
+    return out.select("doc_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
+
+
 @query("v3_l2_normalize", """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 7)) AS v FROM embeddings)
 SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS before, CAST(CASE WHEN vec_id % 7 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS after FROM s""")
 def v3_l2_normalize(spark, sf):

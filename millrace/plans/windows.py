@@ -120,6 +120,23 @@ def w14_rollback_target(spark, sf):
     return registry.rollback_targets(model_versions(spark, sf))
 
 
+@query("w14_given_target", f"""WITH {VERSIONS_SQL}, cur AS (SELECT model_name, max(version) AS current_version FROM versions WHERE stage = 'Production' GROUP BY 1),
+asked AS (SELECT model_name, CASE CAST(substr(model_name, 7) AS INTEGER) % 4 WHEN 0 THEN max(version) FILTER (stage = 'Production') WHEN 1 THEN min(version) WHEN 2 THEN 0 END AS requested
+  FROM versions GROUP BY model_name),
+f AS (SELECT model_name, any_value(current_version) AS c, any_value(requested) AS r, max(version) FILTER (version < current_version) AS older, bool_or(coalesce(version = requested, false)) AS known
+  FROM versions LEFT JOIN cur USING (model_name) LEFT JOIN asked USING (model_name) GROUP BY 1),
+d AS (SELECT *, CASE WHEN c IS NULL THEN 'no production version' WHEN r IS NULL AND older IS NULL THEN 'no previous version' WHEN r = c THEN 'already in production'
+  WHEN r IS NOT NULL AND NOT known THEN 'unknown version' ELSE 'rollback' END AS reason FROM f)
+SELECT model_name, c AS current_version, CASE WHEN reason = 'rollback' THEN coalesce(r, older) END AS target_version, reason FROM d""")
+def w14_given_target(spark, sf):
+    """Given versions by turns: the one in production, the first one, one that does not exist, none."""
+    versions = model_versions(spark, sf)
+    turn = F.substring("model_name", 7, 10).cast("int") % 4
+    asked = versions.groupBy("model_name").agg(F.min("version").alias("first"), F.max(F.when(F.col("stage") == "Production", F.col("version"))).alias("live"))
+    requested = F.when(turn == 0, F.col("live")).when(turn == 1, F.col("first")).when(turn == 2, F.lit(0))
+    return registry.rollback_targets(versions, asked.select("model_name", requested.alias("requested")))
+
+
 @query("w15_share_of_total", """SELECT event_type, count(*) AS n, count(*) / CAST((SELECT count(*) FROM events) AS DOUBLE) AS share FROM events GROUP BY 1""")
 def w15_share_of_total(spark, sf):
     return profile.with_share(events(spark, sf), "event_type")

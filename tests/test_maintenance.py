@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import registry
 from millrace.sources import lake, snapshot
 
 KEYS = ["k"]
@@ -116,3 +117,13 @@ def test_empty_and_wider_merges(spark, tmp_path):
     snapshot.merge(spark, frame(spark, [(1, 1, "a"), (2, 1, "b")]), path, KEYS, "ts")
     snapshot.merge(spark, frame(spark, [(1, 2, "c")]).withColumn("w", F.lit(5)), path, KEYS, "ts")
     assert {(r.k, r.v, r.w) for r in snapshot.read(spark, path, KEYS, "ts").collect()} == {(1, "c", 5), (2, "b", None)}
+
+
+def test_rollback_to_a_given_version_and_its_refusals(spark):
+    rows = [(m, v, "Production" if v == live else "None") for m, live, all_v in
+            (("a", 3, (1, 2, 3, 5)), ("b", 3, (1, 2, 3)), ("c", 3, (2, 3)), ("first", 1, (1, 2)), ("up", 1, (1, 2)), ("none", 0, (1,))) for v in all_v]
+    versions = spark.createDataFrame(rows, "model_name string, version int, stage string")
+    asked = spark.createDataFrame([("a", 1), ("b", 3), ("c", 1), ("up", 2), ("none", 1), ("other", 4)], "model_name string, requested int")
+    got = {r.model_name: (r.target_version, r.reason) for r in registry.rollback_targets(versions, asked).collect()}
+    assert got == {"a": (1, "rollback"), "b": (None, "already in production"), "c": (None, "unknown version"), "first": (None, "no previous version"),
+                   "up": (2, "rollback"), "none": (None, "no production version")}
