@@ -16,7 +16,7 @@ MAX_RETRAINS_PER_DAY, COOLDOWN_HOURS = 2, 24
 MIN_ACCURACY, MAX_MAPE = 0.85, 15.0
 KPI_THRESHOLDS = (
     ("ingest_p99_ms", "<", 500.0), ("prediction_p99_ms", "<", 200.0), ("error_rate", "<", 0.01), ("throughput", ">", 100.0),
-    ("accuracy", ">=", 0.85),
+    ("accuracy", ">=", 0.85), ("feature_freshness_seconds", "<", 3600.0),
 )
 BINS, EPSILON = 10, 1e-4
 

@@ -144,6 +144,21 @@ def panel_counts(df: DataFrame, ts: str, by: str, width: str = "5 minutes") -> D
     return df.groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
+def rate_panels(samples: DataFrame, is_error: Column, range_seconds: int = 300, step_seconds: int = 300, series: str | Sequence[str] = "series") -> DataFrame:
+    """Per step the rate of all counters together and the share of it that errors have (NULL without any increase), resets included."""
+    per_series = increase(samples, range_seconds, step_seconds, series=series)
+    total = F.sum("increase")
+    return per_series.groupBy("step").agg((total / range_seconds).alias("request_rate"),
+                                          F.try_divide(F.coalesce(F.sum(F.when(is_error, F.col("increase"))), F.lit(0)), total).alias("error_rate"))
+
+
+def latest_increase(samples: DataFrame, as_of: Column, range_seconds: int = 86400, series: str | Sequence[str] = "series", ts: str = "ts") -> DataFrame:
+    """``sum by (series) (increase(counter[range]))`` at one time; a sample before the range gives the first one its increase."""
+    names = _names(series)
+    inside = (F.col(ts) > as_of - F.make_dt_interval(secs=F.lit(range_seconds))) & (F.col(ts) <= as_of)
+    return counter_deltas(samples, series=names, ts=ts).groupBy(*names).agg(F.coalesce(F.sum(F.when(inside, F.col("delta"))), F.lit(0)).alias("increase"))
+
+
 def stalled_consumers(commits: DataFrame, keys: Sequence[str], step_seconds: int = 3600) -> DataFrame:
     """Grid steps where a consumer committed nothing new although its lag is positive.
 

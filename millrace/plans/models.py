@@ -237,6 +237,21 @@ def s17_prediction_export(spark, sf):
     return files.read_csv(spark, path, "event_id long, value double, prediction double")
 
 
+@query("s20_importance_export", f"""WITH {CONTRIB_SQL}, i AS (SELECT feature, round(avg(abs(contribution)), 9) AS importance FROM contrib GROUP BY 1)
+SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, (SELECT count(DISTINCT doc_id) FROM contrib) AS samples FROM i""")
+def s20_importance_export(spark, sf):
+    """One JSON document with the ranked mean contributions of all features and the rows behind them, read back."""
+    path = scratch_dir(spark, "importance")
+    found = contributions(spark, sf)
+    # A row per feature.
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.round("importance", 9)).alias("minus"), "feature"))),
+                         lambda f, i: F.struct(f["feature"].alias("feature"), (-f["minus"]).alias("importance"), (i + 1).alias("rank")))
+    summary = evaluate.importance(found).agg(ranked.alias("features"))
+    summary.withColumn("samples", found.agg(F.countDistinct("doc_id")).scalar()).write.json(path)
+    stored = spark.read.schema("features array<struct<feature:string,importance:double,rank:int>>, samples long").json(path)
+    return stored.select(F.inline("features"), "samples")
+
+
 @query("s20_explanation_export", f"""WITH {CONTRIB_SQL} SELECT 'pred_' || doc_id AS prediction_id, any_value(prediction) AS predicted_class, count(*) AS features, round(sum(contribution), 9) AS total
 FROM contrib JOIN p USING (doc_id) GROUP BY doc_id""")
 def s20_explanation_export(spark, sf):

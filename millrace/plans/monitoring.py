@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import alerts, drift, features, metrics
 from ..operators.ordered import index_percentiles
 from .catalog import query
+from .evaluation import PRED_SQL, predictions
 from .features_sql import rnd
 from .joins import _SEVERE_SQL, severe
 from .monitoring_sql import ALERTS_SQL
@@ -133,6 +134,25 @@ def l7_panels(spark, sf):
     return metrics.panel_counts(events(spark, sf), "ts", "event_type")
 
 
+_COUNTER_SQL = """d AS (SELECT event_type AS series, ts, event_id % 1000 AS c, lag(event_id % 1000) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
+g AS (SELECT series, ts, CASE WHEN p IS NULL THEN 0 WHEN c < p THEN c ELSE c - p END AS delta FROM d)"""
+
+
+@query("l7_rate_panels", f"""WITH {_COUNTER_SQL}, s AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS step, CAST(sum(delta) AS BIGINT) AS n,
+  CAST(coalesce(sum(delta) FILTER (series = 'error'), 0) AS BIGINT) AS bad FROM g GROUP BY 1)
+SELECT step, round(n / 300.0, 9) AS request_rate, round(bad / CAST(nullif(n, 0) AS DOUBLE), 9) AS error_rate FROM s""")
+def l7_rate_panels(spark, sf):
+    out = metrics.rate_panels(samples(spark, sf), F.col("series") == "error")
+    return out.select("step", F.round("request_rate", 9).alias("request_rate"), F.round("error_rate", 9).alias("error_rate"))
+
+
+@query("l7_actions_24h", f"""WITH {_COUNTER_SQL}, m AS (SELECT max(ts) AS t FROM events)
+SELECT series, CAST(coalesce(sum(delta) FILTER (ts > t - INTERVAL 1 DAY), 0) AS BIGINT) AS increase FROM g, m GROUP BY 1""")
+def l7_actions_24h(spark, sf):
+    rows = samples(spark, sf)
+    return metrics.latest_increase(rows, rows.agg(F.max("ts")).scalar())
+
+
 @query("l8_report_text", f"""WITH {ALERTS_SQL} SELECT alertname, '**Severity:** ' || any_value(severity) || chr(10) || '**Firing:** ' || count(*) FILTER (state = 'firing') AS message FROM alerts GROUP BY 1""")
 def l8_report_text(spark, sf):
     counted = alert_states(spark, sf).groupBy("alertname").agg(
@@ -193,19 +213,28 @@ def m15_metric_gates(spark, sf):
     return drift.metric_gates(flat, "accuracy", "mape").select("run_id", "accuracy_ok", "mape_ok", "passed")
 
 
-@query("m16_kpi_gates", """WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events), o(kpi, value) AS (
-  SELECT 'ingest_p99_ms', max(value) FROM r WHERE i = floor(n * 0.99) UNION ALL SELECT 'prediction_p99_ms', max(value) FROM r WHERE i = floor(n * 0.99)
+@query("m16_kpi_gates", f"""WITH {PRED_SQL}, k AS (SELECT value, CASE WHEN event_type = 'purchase' THEN 'prediction_p99_ms' ELSE 'ingest_p99_ms' END AS kpi FROM events),
+r AS (SELECT kpi, value, row_number() OVER (PARTITION BY kpi ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY kpi) AS n FROM k), o(kpi, value) AS (
+  SELECT kpi, max(value) FROM r WHERE i = floor(n * 0.99) GROUP BY 1
+  UNION ALL SELECT 'accuracy', avg(CAST(label = prediction AS DOUBLE)) FROM p
+  UNION ALL SELECT 'feature_freshness_seconds', CAST(datesub('second', max(ts) FILTER (event_type = 'purchase'), max(ts)) AS DOUBLE) FROM events
   UNION ALL SELECT 'error_rate', count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE) FROM events
   UNION ALL SELECT 'throughput', count(*) / CAST(datesub('second', min(ts), max(ts)) AS DOUBLE) FROM events),
-t(kpi, op, threshold) AS (VALUES ('ingest_p99_ms', '<', 500.0::DOUBLE), ('prediction_p99_ms', '<', 200.0::DOUBLE), ('error_rate', '<', 0.01::DOUBLE), ('throughput', '>', 100.0::DOUBLE), ('accuracy', '>=', 0.85::DOUBLE))
+t(kpi, op, threshold) AS (VALUES ('ingest_p99_ms', '<', 500.0::DOUBLE), ('prediction_p99_ms', '<', 200.0::DOUBLE), ('error_rate', '<', 0.01::DOUBLE), ('throughput', '>', 100.0::DOUBLE), ('accuracy', '>=', 0.85::DOUBLE),
+  ('feature_freshness_seconds', '<', 3600.0::DOUBLE))
 SELECT kpi, op, threshold, value, coalesce(CASE op WHEN '<' THEN value < threshold WHEN '>' THEN value > threshold ELSE value >= threshold END, false) AS passed FROM t LEFT JOIN o USING (kpi)""")
 def m16_kpi_gates(spark, sf):
+    """Purchases stand for predictions, other events for ingest; features are as fresh as the newest purchase."""
     e = events(spark, sf)
-    p99 = index_percentiles(e, "value", {"value": 0.99})
+    bought = F.col("event_type") == "purchase"
+    timed = e.select("value", F.when(bought, "prediction_p99_ms").otherwise("ingest_p99_ms").alias("kpi"))
+    p99 = index_percentiles(timed, "value", {"p99": 0.99}, ["kpi"])
+    accuracy = predictions(spark, sf).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("value"))
     rates = e.agg(
+        F.timestamp_diff("SECOND", F.max(F.when(bought, F.col("ts"))), F.max("ts")).cast("double").alias("feature_freshness_seconds"),
         F.try_divide(F.count(F.when(F.col("event_type") == "error", 1)), F.count("*")).alias("error_rate"),
         (F.count("*") / F.timestamp_diff("SECOND", F.min("ts"), F.max("ts"))).alias("throughput"))
-    observed = p99.select(F.lit("ingest_p99_ms").alias("kpi"), "value").unionByName(p99.select(F.lit("prediction_p99_ms").alias("kpi"), "value"))
-    for kpi in ("error_rate", "throughput"):
+    observed = p99.select("kpi", F.col("p99").alias("value")).unionByName(accuracy.select(F.lit("accuracy").alias("kpi"), "value"))
+    for kpi in ("error_rate", "throughput", "feature_freshness_seconds"):
         observed = observed.unionByName(rates.select(F.lit(kpi).alias("kpi"), F.col(kpi).alias("value")))
     return drift.kpi_gates(observed)
