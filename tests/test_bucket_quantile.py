@@ -54,3 +54,22 @@ def test_rates_over_resets_and_missing_edges(spark):
     last = T0 + dt.timedelta(minutes=15)
     assert got[last, 1.0] == pytest.approx(4 + 2 + 2) and got[last, INF] == pytest.approx((6 + 3 + 5) + 30)
     assert got[T0, INF] == 0
+
+
+def test_rates_and_increases_over_resets(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, t0 + dt.timedelta(seconds=at), c, i) for s, points in {
+        "ok": [(0, 10), (60, 40), (200, 5), (400, 65)], "error": [(0, 1), (100, 31), (500, 31)], "lone": [(30, 7)]}.items()
+        for i, (at, c) in enumerate(points)]
+    samples = spark.createDataFrame(rows, "series string, ts timestamp_ntz, counter long, seq long")
+    got = {r.step: (r.request_rate, r.error_rate) for r in metrics.rate_panels(samples, F.col("series") == "error").collect()}
+    # 30 and, after a reset, 5 of the good ones with 30 errors; then 60 and none.
+    assert got == {t0: (65 / 300, 30 / 65), t0 + dt.timedelta(seconds=300): (60 / 300, 0.0)}
+    as_of = F.lit(t0 + dt.timedelta(seconds=450)).cast("timestamp_ntz")
+    assert {r.series: r.increase for r in metrics.latest_increase(samples, as_of, 300).collect()} == {"ok": 65, "error": 0, "lone": 0}
+    quiet = samples.filter("series = 'lone'")
+    assert [tuple(r)[1:] for r in metrics.rate_panels(quiet, F.col("series") == "error").collect()] == [(0.0, None)]
