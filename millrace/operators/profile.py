@@ -104,9 +104,13 @@ def live_kpis(events: DataFrame, as_of: Column, newest: int = 100) -> DataFrame:
     return counts.select(F.inline(F.array(*pairs))).unionByName(average).unionByName(types)
 
 
-def run_statistics(raw: DataFrame, valid: Column, day: Column) -> DataFrame:
-    """Input, output and invalid counts and the number of day partitions, in one pass."""
+def run_statistics(raw: DataFrame, valid: Column, day: Column, seconds: Column) -> DataFrame:
+    """Input, output and invalid counts, the number of day partitions and input records per second, in one pass.
+
+    ``seconds`` is the duration of the run, a literal or an aggregate; the rate is NULL where it is 0 or missing.
+    """
     ok = F.coalesce(valid, F.lit(False))
     return raw.agg(
+        F.try_divide(F.count("*"), seconds).alias("records_per_second"),
         F.count("*").alias("input_count"), F.count(F.when(ok, 1)).alias("output_count"), F.count(F.when(~ok, 1)).alias("invalid_count"),
         F.countDistinct(F.when(ok, day)).alias("partitions"))

@@ -162,10 +162,14 @@ def a17_quality_report(spark, sf):
 
 
 @query("a18_run_statistics", f"""WITH {RAW_SQL} SELECT (SELECT count(*) FROM raw) AS input_count, count(*) AS output_count,
-  (SELECT count(*) FROM raw) - count(*) AS invalid_count, count(DISTINCT strftime(parsed_ts, '%Y-%m-%d')) AS partitions FROM valid""")
+  (SELECT count(*) FROM raw) - count(*) AS invalid_count, count(DISTINCT strftime(parsed_ts, '%Y-%m-%d')) AS partitions,
+  (SELECT round(count(*) / CAST(datesub('second', min(parsed_ts), max(parsed_ts)) AS DOUBLE), 9) FROM raw) AS records_per_second FROM valid""")
 def a18_run_statistics(spark, sf):
-    day = S.partition_day(S.iso_timestamp(F.col("timestamp")))
-    return profile.run_statistics(raw_transactions(spark, sf), E.is_complete(), day)
+    """The records' own time span stands for the duration, so that the rate can be repeated."""
+    time = S.iso_timestamp(F.col("timestamp"))
+    span = F.timestamp_diff("SECOND", F.min(time), F.max(time))
+    out = profile.run_statistics(raw_transactions(spark, sf), E.is_complete(), S.partition_day(time), span)
+    return out.withColumn("records_per_second", F.round("records_per_second", 9))
 
 
 @query("a27_live_kpis", f"""WITH m AS (SELECT max(ts) AS t FROM events), newest AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100)
