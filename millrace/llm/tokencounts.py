@@ -1,9 +1,10 @@
 """Token counts by a two-tier lookup, without a shuffle of pre-tokens.
 
-Texts are cut into pieces at places no pre-token can span. Tier one is a compact hash table, the same for all tasks: hashes and
-token counts of the ``TABLE_PIECES`` most frequent pieces, found by a first pass in which every task counts its own pieces over all
-its texts and passes on its most frequent ones. Tier two encodes the pieces that miss through the cache of the Python worker.
-The table only saves work: counts are those of the library whatever it holds.
+Texts are cut into pieces at places no pre-token can span. Tier one is a compact hash table, broadcast to all tasks: hashes and token
+counts of the ``TABLE_PIECES`` pieces that the tokenizer's vocabulary names as the most frequent ones (entries are numbered in the order
+they were merged). So it needs no pass over the texts, and nothing of the corpus is shuffled or sent to the driver. Tier two counts the
+pieces that miss through the table of the Python worker, which asks the library once for each piece it has not met.
+The tables only save work: counts are those of the library whatever they hold.
 
 Edge cases: null and empty texts have no bytes and no tokens; texts with the tokenizer's special strings, and texts for a tokenizer
 of another kind, go through the library whole; rows with equal doc_id are counted row by row; other columns are ignored.
@@ -17,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Texts, owners, small_batches
-from .tokens import Encoder, load, pieces
+from .tokens import CACHE_WORDS, Encoder, WordTable, load, pieces
 
 #: Entries of tier one: 16 bytes each, so the table stays below 2 MB whatever the corpus.
 TABLE_PIECES = 1 << 16
-#: Pieces a task passes on, and those it keeps while counting.
-TASK_PIECES, TASK_KEEPS = 1 << 15, 1 << 18
+_TIERS: dict[str, "Met"] = {}
 
 
 class Lengths:
@@ -55,62 +55,63 @@ class Lengths:
         return out
 
 
-def frequent_pieces(docs: DataFrame, tokenizer: str, size: int = TABLE_PIECES) -> DataFrame:
-    """(piece, n): the pieces that tasks found most frequent, summed over tasks."""
+class Met:
+    """Tier two: token counts of the pieces a worker has met; a full table starts anew."""
 
-    def run(batches):
-        hashes, counts, samples = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
-        for b in batches:
-            texts = Texts(b.column("text"))
-            starts, ends, _ = pieces(texts)
-            short = ends - starts <= 64
-            starts, ends = starts[short], ends[short]
-            h, first, n = np.unique(texts.hashes(starts, ends), return_index=True, return_counts=True)
-            often = n > 1
-            h, first, n = h[often], first[often], n[often]
-            names = np.empty(len(h), object)
+    def __init__(self, encoder: Encoder, most: int = CACHE_WORDS):
+        self.encoder, self.table, self.most = encoder, WordTable(), most
+
+    def counts(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        if self.table.n > self.most:
+            self.table = WordTable()
+        entry = self.table.find(hashes)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new, where = np.unique(hashes[missing], return_index=True)
+            at = missing[where]
             raw = texts.data.tobytes()
-            names[:] = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-            hashes, counts, samples = np.concatenate([hashes, h]), np.concatenate([counts, n]), np.concatenate([samples, names])
-            if len(hashes) > TASK_KEEPS:
-                hashes, counts, samples = _merged(hashes, counts, samples, TASK_KEEPS // 2)
-        hashes, counts, samples = _merged(hashes, counts, samples, TASK_PIECES)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(samples.tolist(), pa.binary()), "n": pa.array(counts, pa.int64())})
+            names = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            known = self.encoder.fill(set(names), b"\n", self.encoder.feed)
+            self.table.add(new, np.ones(len(new), np.int32), np.array([len(known[w]) >> 2 for w in names], np.uint32))
+            entry[missing] = self.table.find(hashes[missing])
+        return self.table.gather(entry)[0].astype(np.int64)
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "piece").limit(size)
 
+def met(tokenizer: str) -> Met:
+    """Tier two of this worker process."""
+    if tokenizer not in _TIERS:
+        _TIERS[tokenizer] = Met(load(tokenizer))
+    return _TIERS[tokenizer]
 
-def _merged(hashes, counts, samples, most):
-    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    total = np.bincount(back, weights=counts, minlength=len(first)).astype(np.int64)
-    top = np.argsort(-total, kind="stable")[:most]
-    return hashes[first[top]], total[top], samples[first[top]]
 
+def vocabulary_pieces(encoder: Encoder, size: int = TABLE_PIECES) -> list[bytes]:
+    """The first ``size`` entries of the vocabulary that are whole characters and no special strings."""
+    ids = [[i] for i in range(encoder.tokenizer.get_vocab_size())]
+    names = encoder.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    found = dict.fromkeys(t.encode() for t in names if t and "\ufffd" not in t)
+    return [t for t in found if not encoder.has_special(t)][:size]
 
-def build_table(docs: DataFrame, tokenizer: str, size: int = TABLE_PIECES) -> Lengths:
-    """Tier one, built on the driver from at most ``size`` pieces."""
-    names = [bytes(r["piece"]) for r in frequent_pieces(docs, tokenizer, size).collect()]
-    texts = Texts(pa.array(names, pa.binary()))
+
+def build_table(tokenizer: str, size: int = TABLE_PIECES) -> Lengths:
+    """Tier one: at most ``size`` pieces; empty for a tokenizer that is not counted by pieces."""
     encoder = Encoder(tokenizer)
-    lengths = [encoder.count(n) for n in names]
-    keep = np.flatnonzero(np.diff(texts.offsets))
-    return Lengths(texts.hashes(texts.offsets[:-1][keep], texts.offsets[1:][keep]), np.array(lengths, np.int64)[keep])
+    names = vocabulary_pieces(encoder, size) if encoder.by_pieces else []
+    texts = Texts(pa.array(names, pa.binary()))
+    return Lengths(texts.hashes(texts.offsets[:-1], texts.offsets[1:]), np.array([encoder.count(n) for n in names], np.int64))
 
 
-def count_batch(texts: Texts, encoder: Encoder, table: Lengths) -> np.ndarray:
+def count_batch(texts: Texts, tier: Met, table: Lengths) -> np.ndarray:
     """Tokens of every text of a batch."""
+    encoder = tier.encoder
     if not encoder.by_pieces:
         return np.array([len(raw) // 4 for raw in encoder.ids_of(texts)], np.int64)
     starts, ends, first = pieces(texts)
-    n = table.find(texts.hashes(starts, ends)).astype(np.int64)
+    hashes = texts.hashes(starts, ends)
+    n = table.find(hashes).astype(np.int64)
     missing = np.flatnonzero(n < 0)
-    raw = texts.data.tobytes()
-    names = [raw[s:e] for s, e in zip(starts[missing].tolist(), ends[missing].tolist())]
-    known = encoder.fill(set(names), b"\n", encoder.feed)
-    n[missing] = [len(known[w]) >> 2 for w in names]
+    n[missing] = tier.counts(texts, starts[missing], ends[missing], hashes[missing])
     out = np.bincount(owners(first), weights=n, minlength=texts.n).astype(np.int64)
-    if encoder.has_special(raw):
+    if encoder.has_special(texts.data.tobytes()):
         for i in range(texts.n):
             text = texts.text(i)
             if encoder.has_special(text):
@@ -122,13 +123,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, table_piece
     """doc_id, n_bytes, n_tokens and over_limit of every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(build_table(docs, tokenizer, table_pieces))
+    shared = spark.sparkContext.broadcast(build_table(tokenizer, table_pieces))
 
     def run(batches):
-        encoder, table = load(tokenizer), shared.value
+        tier, table = met(tokenizer), shared.value
         for b in batches:
             texts = Texts(b.column("text"))
-            n = count_batch(texts, encoder, table)
+            n = count_batch(texts, tier, table)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(texts.offsets)), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
     counted = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
