@@ -171,6 +171,17 @@ def test_repeats_edge_cases(spark):
     assert sorted((r.doc_id, r.n_removed) for r in recompression.remove_repeats(twice).collect()) == [(1, 0), (1, 0), (2, 60)]
 
 
+def test_hot_groups_are_joined_in_parts(spark, tmp_path):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 900).alias("symbol"), F.col("id").alias("doc_id"),
+                                    (F.col("id") % 11).cast("int").alias("first_window"))
+    groups = recompression.shared_by(rows, ["symbol"])
+    got = recompression.joined_in_parts(rows, groups, ["symbol"], 5000, "first_window")
+    assert sorted(map(tuple, got.select("symbol", "doc_id", "first_window", "low").collect())) == sorted(
+        map(tuple, rows.join(groups, "symbol").select("symbol", "doc_id", "first_window", "low").collect()))
+    hot = groups.filter(F.col("n") * recompression.HOT_GROUPS > 5_000_000).count()
+    assert hot == 0 and recompression.joined_in_parts(rows, groups, ["symbol"], 5_000_000, "first_window").count() == got.count()
+
+
 @pytest.mark.parametrize("levels", [1, 2, 4])
 def test_equal_windows_have_equal_anchors(levels):
     rng = random.Random(levels)
@@ -222,6 +233,18 @@ def test_token_counts_equal_the_library(spark):
     assert tokencounts.count_tokens(empty(spark), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_counts_shuffle_nothing_and_survive_a_full_table(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    df = odd(spark, ODD + mixed_texts())
+    assert "Exchange" not in tokencounts.count_tokens(df, path)._jdf.queryExecution().executedPlan().toString()
+    tier, table = tokencounts.Met(Encoder(path), most=5), tokencounts.build_table(path, 100)
+    texts = [t for t in ODD + mixed_texts() if t]
+    for at in range(0, len(texts), 7):
+        some = texts[at : at + 7]
+        got = tokencounts.count_batch(Texts(pa.array([t.encode() for t in some])), tier, table)
+        assert got.tolist() == [len(i) for i in library("byte_bpe_50k.json", some)]
+
+
 def test_token_files_round_trip(spark, tmp_path):
     df = odd(spark, ODD + mixed_texts())
     manifest = simple8b.write_token_files(df, tokenizer_path("word_bpe_49k.json"), 1, str(tmp_path / "ids"), block_ids=500)
