@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import checkpointed
+from ..session import stored
 from .ordered import quantiles
 
 # Quantiles of the synthetic rule, the share of returning users below which it applies, cohort names.
@@ -64,18 +64,18 @@ def churn_labels(tx: DataFrame, window_days: int = 7) -> DataFrame:
     True mode labels users without activity after the cutoff and learns from the time before it. When fewer than 5 % of
     the train users return, the rule on revenue and recency quantiles is used instead.
     """
+    # The transactions may be a join of many tables: what is needed of it is written once and read three times.
+    tx = stored(tx.select("user_id", "event_id", "event_timestamp", "total_amount", "price", "quantity", "channel"), "churn")
     newest = tx.agg(F.max("event_timestamp")).scalar()
-    cutoff = newest - F.expr(f"INTERVAL '{window_days}' DAY")
-    # One pass over the transactions: both sets of features and each user's first and last time, one row per user.
-    whole, early = _behaviour(newest), _behaviour(cutoff, F.col("event_timestamp") < cutoff)
-    users = checkpointed(tx.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
-        *[c.alias(n) for n, c in whole.items()], *[c.alias(f"early_{n}") for n, c in early.items()],
-        (F.min("event_timestamp") < cutoff).alias("_trained"), (F.max("event_timestamp") >= cutoff).alias("_returned")))
-    trained, both = users.agg(F.count(F.when(F.col("_trained"), 1)), F.count(F.when(F.col("_trained") & F.col("_returned"), 1))).first()
+    trained, both = overlap(tx, "user_id", "event_timestamp", window_days).select("train_users", "both").first()
     if not trained or both < MIN_OVERLAP * trained:
-        return synthetic_labels(users.select("user_id", *whole))
-    return users.filter("_trained").select("user_id", *[F.col(f"early_{n}").alias(n) for n in early],
-                                           (~F.col("_returned")).cast("int").alias("churned"))
+        return synthetic_labels(stored(user_behavior(tx, newest), "behaviour"))
+    cutoff = newest - F.expr(f"INTERVAL '{window_days}' DAY")
+    early = _behaviour(cutoff, F.col("event_timestamp") < cutoff)
+    users = tx.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        *[c.alias(n) for n, c in early.items()],
+        (F.min("event_timestamp") < cutoff).alias("_trained"), (F.max("event_timestamp") >= cutoff).alias("_returned"))
+    return users.filter("_trained").select("user_id", *early, (~F.col("_returned")).cast("int").alias("churned"))
 
 
 def synthetic_labels(behaviour: DataFrame) -> DataFrame:
