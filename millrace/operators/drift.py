@@ -55,17 +55,25 @@ def retrain_decision(scores: DataFrame, score: str, threshold: float = DRIFT_ALE
 
 
 def apply_limits(decisions: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Retraining after the daily cap is reached or inside the cooldown of an earlier request is blocked.
+    """``in_cooldown``, ``granted_today`` and ``allowed`` of every decision.
 
-    ``decisions`` holds one row per key and evaluation time.
+    ``decisions`` holds one row per key and evaluation time. A request is in the cooldown if its key had one outside a cooldown less than
+    ``COOLDOWN_HOURS`` before. The others take the places of their day, by time and key, over all keys; the first
+    ``MAX_RETRAINS_PER_DAY`` are allowed, the rest wait for their next evaluation after the cooldown. Rows without a key or time are not allowed.
     """
-    wants = F.col("action") == "retrain"
+    keys = list(keys)
+    wants = F.coalesce(F.col("action") == "retrain", F.lit(False))
     seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
-    day = Window.partitionBy(*keys, F.to_date(ts)).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    cooldown = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-COOLDOWN_HOURS * 3600 + 1, -1)
-    count = lambda w: F.coalesce(F.sum(F.when(wants, 1).otherwise(0)).over(w), F.lit(0))
-    return decisions.withColumns({"earlier_today": count(day), "in_cooldown": count(cooldown)}).withColumn(
-        "allowed", wants & (F.col("earlier_today") < MAX_RETRAINS_PER_DAY) & (F.col("in_cooldown") == 0))
+    # A key has as many elements as evaluation times.
+    requests = decisions.filter(wants).groupBy(*keys).agg(F.sort_array(F.collect_list(seconds)).alias("_asked"))
+    ready = lambda done, t: (F.size(done) == 0) | (t >= F.element_at(done, -1) + COOLDOWN_HOURS * 3600)
+    step = lambda done, t: F.when(ready(done, t), F.concat(done, F.array(t))).otherwise(done)
+    kept = requests.select(*keys, F.explode(F.aggregate("_asked", F.array().cast("array<bigint>"), step)).alias("_seconds"), F.lit(True).alias("_open"))
+    marked = decisions.withColumn("_seconds", seconds).join(kept, [*keys, "_seconds"], "left").withColumn("_open", wants & F.col("_open").isNotNull())
+    day = Window.partitionBy(F.to_date(ts)).orderBy(ts, *keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("_open").cast("int")).over(day), F.lit(0))
+    return marked.withColumns({"granted_today": before, "in_cooldown": wants & ~F.col("_open")}).withColumn(
+        "allowed", F.col("_open") & (F.col("granted_today") < MAX_RETRAINS_PER_DAY)).drop("_seconds", "_open")
 
 
 def metric_gates(df: DataFrame, accuracy: str, mape: str) -> DataFrame:

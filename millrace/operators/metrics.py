@@ -16,6 +16,8 @@ from .ordered import previous_row, top_per_group
 
 # Request duration buckets in seconds.
 DURATION_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+#: Edges for the run time of agents in seconds.
+AGENT_BUCKETS = (1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
 SHIFT_THRESHOLD = 2.0
 
 
@@ -86,23 +88,36 @@ def distribution_shift(samples: DataFrame, value: str = "gauge", series: str = "
     return per_hour.withColumn("shift", shift).select(series, "step", "shift", (F.coalesce(F.col("shift"), F.lit(0.0)) > SHIFT_THRESHOLD).alias("shifted"))
 
 
-def histogram_quantile(df: DataFrame, value: str, q: float, keys: Sequence[str] = (), buckets: Sequence[float] = DURATION_BUCKETS) -> DataFrame:
-    """Quantile from cumulative buckets, linear inside a bucket; beyond the last bucket its upper edge.
+def cumulative_counts(value: Column, buckets: Sequence[float] = DURATION_BUCKETS) -> Column:
+    """Values up to each bucket's edge, and all values at the end: an aggregate."""
+    return F.array(*[F.count(F.when(value <= b, 1)) for b in buckets], F.count(value))
 
-    All cumulative counts come from one aggregation.
-    """
-    keys = list(keys)
-    counted = df.groupBy(*keys).agg(
-        F.array(*[F.count(F.when(F.col(value) <= b, 1)) for b in buckets], F.count(value)).alias("_cum"))
-    rank = F.lit(float(q)) * F.element_at("_cum", -1)
+
+def quantile_of_counts(counts: str, q: float, buckets: Sequence[float] = DURATION_BUCKETS) -> Column:
+    """Quantile from a column of ``cumulative_counts``, linear inside a bucket; beyond the last bucket its upper edge."""
+    rank = F.lit(float(q)) * F.element_at(counts, -1)
     edges = F.array(*[F.lit(float(b)) for b in buckets])
-    at = F.array_position(F.transform("_cum", lambda c: c >= rank), True).cast("int")
+    at = F.array_position(F.transform(counts, lambda c: c >= rank), True).cast("int")
     upper, lower = F.get(edges, at - 1), F.coalesce(F.get(edges, at - 2), F.lit(0.0))
-    before = F.coalesce(F.get("_cum", at - 2), F.lit(0))
-    inside = F.get("_cum", at - 1) - before
+    before = F.coalesce(F.get(counts, at - 2), F.lit(0))
+    inside = F.get(counts, at - 1) - before
     # With an empty bucket the rank sits on its lower edge.
     estimate = lower + (upper - lower) * F.coalesce(F.try_divide(rank - before, inside), F.lit(0.0))
-    return counted.select(*keys, F.when(at > len(buckets), F.lit(float(buckets[-1]))).otherwise(estimate).alias("quantile"))
+    return F.when(at > len(buckets), F.lit(float(buckets[-1]))).otherwise(estimate)
+
+
+def histogram_quantile(df: DataFrame, value: str, q: float, keys: Sequence[str] = (), buckets: Sequence[float] = DURATION_BUCKETS) -> DataFrame:
+    """Quantile from cumulative buckets. All cumulative counts come from one aggregation."""
+    keys = list(keys)
+    counted = df.groupBy(*keys).agg(cumulative_counts(F.col(value), buckets).alias("_cum"))
+    return counted.select(*keys, quantile_of_counts("_cum", q, buckets).alias("quantile"))
+
+
+def age_at_step(newest: str, step_seconds: int, series: str = "series", step: str = "ts") -> Column:
+    """Seconds from the newest update of a series to the end of a step; ``newest`` is the time of a step's last update. Null before the first."""
+    upto = Window.partitionBy(series).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col(step) + F.expr(f"INTERVAL '{step_seconds}' SECOND")
+    return F.timestamp_diff("SECOND", F.max(newest).over(upto), end).cast("double")
 
 
 def bucket_rates(samples: DataFrame, range_seconds: int, step_seconds: int, keys: Sequence[str], instances: Sequence[str], le: str = "le") -> DataFrame:

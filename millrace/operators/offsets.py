@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import step_of
+
 
 def visible_topics(df: DataFrame, include_internal: bool = False, only: Sequence[str] | None = None) -> DataFrame:
     if not include_internal:
@@ -31,3 +33,13 @@ def group_lag(lag: DataFrame) -> DataFrame:
 def topic_stats(ends: DataFrame) -> DataFrame:
     return ends.groupBy("topic").agg(
         F.sum(F.col("end_offset") - F.col("begin_offset")).alias("messages"), F.count("*").alias("partitions"))
+
+
+def under_replicated(heard: DataFrame, topic: Sequence[str], partition: str, replica: str, partitions: int, replicas: int, step_seconds: int = 3600) -> DataFrame:
+    """(topic, step, thin): partitions of a topic of which fewer than ``replicas`` replicas were heard in a step, those without any included.
+
+    ``heard`` holds a row with ``ts`` per sign of life of a replica. A step in which nothing of a topic is heard has no row.
+    """
+    per_partition = heard.groupBy(*topic, step_of("ts", step_seconds).alias("step"), partition).agg(F.count_distinct(replica).alias("_heard"))
+    whole = F.count(F.when(F.col("_heard") >= replicas, 1))
+    return per_partition.groupBy(*topic, "step").agg((F.lit(partitions) - whole).alias("thin"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import alerts, drift, features, metrics
+from ..operators.offsets import under_replicated
 from ..operators.ordered import index_percentiles
 from .catalog import query
 from .evaluation import PRED_SQL, predictions
@@ -17,19 +18,37 @@ from .tables import events, samples, table
 
 
 def metric_frame(spark, sf):
-    """Hourly metrics per event type, long form."""
-    v = F.col("value")
-    hourly = events(spark, sf).groupBy(metrics.step_of("ts", 3600).alias("ts"), F.col("event_type").alias("series")).agg(
-        F.count("*").cast("double").alias("n"), F.max(v).alias("mx"), F.count(F.when(v > 40, 1)).alias("err"), S.stable_avg(v).alias("mean"))
+    """Hourly metrics per event type, long form: what one aggregation of the events gives, and the shift, replica and consumer metrics."""
+    e, v = events(spark, sf), F.col("value")
+    hourly = e.groupBy(metrics.step_of("ts", 3600).alias("ts"), F.col("event_type").alias("series")).agg(
+        F.count("*").cast("double").alias("n"), F.max(v).alias("mx"), F.count(F.when(v > 40, 1)).alias("err"), F.count(F.when(v < 15, 1)).alias("failed"),
+        S.stable_avg(v).alias("mean"), metrics.cumulative_counts(v / 50).alias("latency"), metrics.cumulative_counts(v, metrics.AGENT_BUCKETS).alias("agent"),
+        F.max(F.when(v > 99, F.col("ts"))).alias("trained"), F.max(F.when(F.col("event_id") % 4 == 0, F.col("ts"))).alias("synced"))
+    hourly = hourly.withColumns({"trained_age": metrics.age_at_step("trained", 3600), "synced_age": metrics.age_at_step("synced", 3600)})
     off = F.abs(F.col("mean") - 50) / 100
     values = {
-        "prediction_p99_seconds": F.col("mx") / 50, "prediction_error_ratio": F.col("err") / F.col("n"), "model_drift_score": off,
-        "feature_drift_score": off, "consumer_lag": F.col("n") * 3000, "up": F.when(F.col("n") < 2, 0.0).otherwise(1.0),
-        "memory_ratio": F.col("mx") / 100, "restarts_1h": F.col("n"), "agent_p95_seconds": F.col("mx"),
+        "prediction_p99_seconds": metrics.quantile_of_counts("latency", 0.99), "prediction_error_ratio": F.col("err") / F.col("n"),
+        "model_drift_score": off, "feature_drift_score": off, "consumer_lag": F.col("n") * 3000, "up": F.when(F.col("n") < 2, 0.0).otherwise(1.0),
+        "memory_ratio": F.col("mx") / 100, "restarts_1h": F.col("n"), "training_data_age_seconds": F.col("trained_age"),
+        "feature_lag_seconds": F.col("synced_age"), "agent_failure_ratio": F.col("failed") / F.col("n"),
+        "agent_p95_seconds": metrics.quantile_of_counts("agent", 0.95, metrics.AGENT_BUCKETS),
     }
-    job = F.when(F.col("series").isin("purchase", "view"), "predict-service").when(F.col("series") == "click", "rag-service").otherwise("mlflow")
     pairs = F.array(*[F.struct(F.lit(k).alias("metric"), c.alias("value")) for k, c in values.items()])
-    return hourly.select("series", job.alias("job"), "ts", F.inline(pairs))
+    frame = hourly.select("series", "ts", F.inline(pairs))
+
+    def named(metric, df, value):
+        return df.select("series", F.col("step").alias("ts"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+    shift = metrics.distribution_shift(samples(spark, sf))
+    logs = e.select(F.col("event_type").alias("series"), (F.col("user_id") % 2).alias("partition"), (F.col("event_id") % 2).alias("replica"), "ts",
+                    (F.col("event_id") + 1).alias("end_offset"))
+    thin = under_replicated(logs, ["series"], "partition", "replica", partitions=2, replicas=2)
+    commits = logs.withColumn("committed", F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-20'"), F.col("end_offset")))
+    stalled = metrics.stalled_consumers(commits, ["series", "partition"]).groupBy("series", "step").agg(F.count("*").alias("n"))
+    frame = (frame.unionByName(named("prediction_shift", shift, F.round("shift", 6))).unionByName(named("under_replicated_partitions", thin, F.col("thin")))
+             .unionByName(named("consumer_stalled", stalled, F.col("n"))))
+    job = F.when(F.col("series").isin("purchase", "view"), "predict-service").when(F.col("series") == "click", "rag-service").otherwise("mlflow")
+    return frame.filter("value is not null").select("series", job.alias("job"), "ts", "metric", "value")
 
 
 def alert_evaluations(spark, sf):
@@ -187,21 +206,25 @@ def m14_drift_psi(spark, sf):
         "feature", F.round("psi", 9).alias("psi"), drift.drift_level(s).alias("level"), (s > drift.FEATURE_DRIFT).alias("feature_drift"))
 
 
-_DAILY_DRIFT_SQL = """d AS (SELECT event_type AS feature, date_trunc('day', ts) AS ts, abs(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) - 50) / 100 AS drift FROM events GROUP BY 1, 2)"""
+_DRIFT_SQL = """d AS (SELECT event_type AS feature, time_bucket(INTERVAL 6 HOUR, ts) AS ts, abs(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) - 50) / 100 AS drift FROM events GROUP BY 1, 2)"""
 
 
-def daily_drift(spark, sf):
-    return events(spark, sf).groupBy(F.col("event_type").alias("feature"), metrics.step_of("ts", 86400).alias("ts")).agg(
+def drift_evaluations(spark, sf):
+    """Four evaluations a day."""
+    return events(spark, sf).groupBy(F.col("event_type").alias("feature"), metrics.step_of("ts", 6 * 3600).alias("ts")).agg(
         (F.abs(S.stable_avg(F.col("value")) - 50) / 100).alias("drift"))
 
 
-@query("m15_retrain_decision", f"""WITH {_DAILY_DRIFT_SQL}, a AS (SELECT *, CASE WHEN drift > 0.02 THEN 'retrain' ELSE 'skip' END AS action FROM d),
-c AS (SELECT *, coalesce(sum(CAST(action = 'retrain' AS INTEGER)) OVER (PARTITION BY feature, CAST(ts AS DATE) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS today,
-  coalesce(sum(CAST(action = 'retrain' AS INTEGER)) OVER (PARTITION BY feature ORDER BY ts RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND INTERVAL 1 SECOND PRECEDING), 0) AS cooling FROM a)
-SELECT feature, ts, action, format('Drift {{:.4f}} {{}} 0.02', {rnd('drift', 4)}, CASE WHEN drift > 0.02 THEN '>' ELSE '<=' END) AS reason, action = 'retrain' AND today < 2 AND cooling = 0 AS allowed FROM c""")
+@query("m15_retrain_decision", f"""WITH RECURSIVE {_DRIFT_SQL}, a AS (SELECT *, CASE WHEN drift > 0.1 THEN 'retrain' ELSE 'skip' END AS action FROM d),
+kept AS (SELECT feature, min(ts) AS ts FROM a WHERE action = 'retrain' GROUP BY 1
+  UNION ALL SELECT k.feature, min(a.ts) FROM kept k JOIN a ON a.feature = k.feature AND a.action = 'retrain' AND a.ts >= k.ts + INTERVAL 24 HOUR GROUP BY 1),
+c AS (SELECT a.*, kept.ts IS NOT NULL AS free, coalesce(sum(CAST(kept.ts IS NOT NULL AS INTEGER)) OVER (PARTITION BY CAST(a.ts AS DATE) ORDER BY a.ts, a.feature
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM a LEFT JOIN kept ON a.feature = kept.feature AND a.ts = kept.ts)
+SELECT feature, ts, action, format('Drift {{:.4f}} {{}} 0.1', {rnd('drift', 4)}, CASE WHEN drift > 0.1 THEN '>' ELSE '<=' END) AS reason,
+  action = 'retrain' AND NOT free AS in_cooldown, CAST(taken AS BIGINT) AS granted_today, free AND taken < 2 AS allowed FROM c""")
 def m15_retrain_decision(spark, sf):
-    decided = drift.retrain_decision(daily_drift(spark, sf), "drift", 0.02)
-    return drift.apply_limits(decided, ["feature"], "ts").select("feature", "ts", "action", "reason", "allowed")
+    decided = drift.retrain_decision(drift_evaluations(spark, sf), "drift")
+    return drift.apply_limits(decided, ["feature"], "ts").select("feature", "ts", "action", "reason", "in_cooldown", "granted_today", "allowed")
 
 
 @query("m15_metric_gates", """SELECT 'run_' || o_orderkey AS run_id, 1 / (1 + o_totalprice / 262144) >= 0.85 AS accuracy_ok, o_totalprice / 16384 <= 15 AS mape_ok,
