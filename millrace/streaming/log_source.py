@@ -2,7 +2,8 @@
 
 A log is a folder ``partition=<p>/segment=<s>`` of Parquet files; segment ``s`` holds the records of offsets ``s * size`` up to
 ``(s + 1) * size``. Offsets of a partition rise by one without gaps, so a range of offsets names its folders and the number of records
-it must hold, and the newest segment alone tells where a partition ends.
+it must hold, and the newest segment alone tells where a partition ends. A trigger reads the
+footers of a few files to see where partitions end, however long a segment is.
 
 Options of the source (``format("millrace_log")``): ``path``; ``segmentRecords``, as published; ``startingOffsets``: ``earliest``,
 ``latest`` or JSON like ``{"0": 17}`` (other partitions from their beginning); ``maxOffsetsPerTrigger``: records a trigger takes at most,
@@ -43,11 +44,34 @@ def _numbers(files, path: str, name: str) -> list[int]:
     return sorted(int(f.base_name.split("=", 1)[1]) for f in found if f.base_name.startswith(f"{name}="))
 
 
+def _files(files, folder: str) -> list[str]:
+    """The files of a segment; one appended to in several runs has several."""
+    return [f.path for f in files.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
+
+
+def _bounds(files, folder: str, begin: int, end: int) -> tuple[int, int] | None:
+    """The least and the greatest offset of a segment within ``begin`` up to ``end``, from the footers of its files.
+
+    A row group without statistics, or with offsets outside, is looked at by its offsets alone.
+    """
+    found: list[int] = []
+    for name in _files(files, folder):
+        with files.open_input_file(name) as stream:
+            file = pq.ParquetFile(stream)
+            column = file.schema_arrow.names.index("offset")
+            for group in range(file.num_row_groups):
+                s = file.metadata.row_group(group).column(column).statistics
+                if s is not None and s.has_min_max and begin <= s.min and s.max < end:
+                    found += [s.min, s.max]
+                else:
+                    found += [o for o in file.read_row_group(group, ["offset"]).column(0).to_pylist() if o is not None and begin <= o < end]
+    return (min(found), max(found)) if found else None
+
+
 def _segment(files, folder: str, begin: int, end: int) -> pa.Table | None:
-    """The records of a segment from offset ``begin`` up to ``end``; a segment appended to in several runs has several files."""
-    found = [f.path for f in files.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
+    """The records of a segment from offset ``begin`` up to ``end``: only row groups that hold some are read."""
     parts = []
-    for name in found:
+    for name in _files(files, folder):
         t = pq.read_table(name, filesystem=files, partitioning=None, filters=[("offset", ">=", begin), ("offset", "<", end)])
         parts.append(t.rename_columns(["partition" if c == "partition_no" else c for c in t.column_names]).select(_COLUMNS).cast(_TYPES))
     return pa.concat_tables(parts).sort_by("offset") if parts else None
@@ -68,15 +92,14 @@ class LogReader(DataSourceStreamReader):
         self.now: dict[str, int] | None = None
 
     def _ends(self, newest: bool) -> dict[str, int]:
-        """Per partition, the offset after its newest record or that of its oldest one: one segment each is read."""
+        """Per partition, the offset after its newest record or that of its oldest one: the footers of one segment each are read."""
         files, root = pafs.FileSystem.from_uri(self.path)
         out = {}
         for p in _numbers(files, root, "partition"):
             for s in sorted(_numbers(files, f"{root}/partition={p}", "segment"), reverse=newest):
-                t = _segment(files, f"{root}/partition={p}/segment={s}", s * self.size, (s + 1) * self.size)
-                if t is not None and t.num_rows:
-                    offsets = t.column("offset").to_pylist()
-                    out[str(p)] = offsets[-1] + 1 if newest else offsets[0]
+                bounds = _bounds(files, f"{root}/partition={p}/segment={s}", s * self.size, (s + 1) * self.size)
+                if bounds:
+                    out[str(p)] = bounds[1] + 1 if newest else bounds[0]
                     break
         return out
 

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -71,3 +73,24 @@ def test_lost_records_stop_the_stream_or_are_passed_over(spark, tmp_path, lost):
     assert spark.read.parquet(str(tmp_path / "tolerant")).count() == left
     with pytest.raises(StreamingQueryException, match="data loss"):
         drained(spark, path, str(tmp_path / "b"), str(tmp_path / "strict"))
+
+
+def test_ends_come_from_footers(spark, tmp_path, monkeypatch):
+    """Where partitions begin and end is known without reading records, as a trigger asks that every time."""
+    path = str(tmp_path / "log")
+    log_source.publish_log(messages(spark, {0: 25, 1: 7}, 3), path, 10)
+    monkeypatch.setattr(log_source, "_segment", None)
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", None)
+    assert reader(path).initialOffset() == {"0": 3, "1": 3}
+    assert reader(path, startingOffsets="latest").initialOffset() == {"0": 28, "1": 10}
+
+
+def test_ends_without_statistics_and_with_foreign_offsets(tmp_path):
+    folder = tmp_path / "log" / "partition=0" / "segment=1"
+    folder.mkdir(parents=True)
+    pq.write_table(pa.table({"offset": pa.array([14, 12, None], pa.int64())}), folder / "a.parquet", write_statistics=False)
+    pq.write_table(pa.table({"offset": pa.array([99, 16, 11], pa.int64())}), folder / "b.parquet")
+    pq.write_table(pa.table({"offset": pa.array([], pa.int64())}), folder / "c.parquet")
+    path = str(tmp_path / "log")
+    assert reader(path).initialOffset() == {"0": 11}
+    assert reader(path, startingOffsets="latest").initialOffset() == {"0": 17}
