@@ -2,8 +2,8 @@
 
 A log is a folder ``partition=<p>/segment=<s>`` of Parquet files; segment ``s`` holds the records of offsets ``s * size`` up to
 ``(s + 1) * size``. Offsets of a partition rise by one without gaps, so a range of offsets names its folders and the number of records
-it must hold, and the newest segment alone tells where a partition ends. A trigger reads the
-footers of a few files to see where partitions end, however long a segment is.
+it must hold, and the newest segment alone tells where a partition ends. Files have small row groups, so a trigger reads the footers of a
+few files to see where partitions end, and then only the row groups that hold its offsets, however long a segment is.
 
 Options of the source (``format("millrace_log")``): ``path``; ``segmentRecords``, as published; ``startingOffsets``: ``earliest``,
 ``latest`` or JSON like ``{"0": 17}`` (other partitions from their beginning); ``maxOffsetsPerTrigger``: records a trigger takes at most,
@@ -25,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 SEGMENT_RECORDS = 10_000
 MAX_OFFSETS_PER_TRIGGER = 10_000
+#: Bytes of a row group before compression: some thousand records of a few hundred bytes.
+ROW_GROUP_BYTES = 1 << 20
 SCHEMA = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
 _COLUMNS = ["key", "value", "topic", "partition", "offset", "timestamp"]
 _TYPES = pa.schema([("key", pa.string()), ("value", pa.string()), ("topic", pa.string()), ("partition", pa.int32()), ("offset", pa.int64()),
@@ -35,7 +37,8 @@ def publish_log(messages: DataFrame, path: str, segment_records: int = SEGMENT_R
     """Append messages that carry ``partition`` and ``offset``. A segment is written by one task, in order."""
     placed = messages.select(*[F.col(c) for c in _COLUMNS], F.col("partition").alias("p"), F.floor(F.col("offset") / segment_records).alias("segment"))
     (placed.repartition("p", "segment").sortWithinPartitions("p", "segment", "offset")
-     .withColumnsRenamed({"partition": "partition_no", "p": "partition"}).write.mode("append").partitionBy("partition", "segment").parquet(path))
+     .withColumnsRenamed({"partition": "partition_no", "p": "partition"}).write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES)
+     .partitionBy("partition", "segment").parquet(path))
 
 
 def _numbers(files, path: str, name: str) -> list[int]:

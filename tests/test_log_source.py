@@ -94,3 +94,17 @@ def test_ends_without_statistics_and_with_foreign_offsets(tmp_path):
     path = str(tmp_path / "log")
     assert reader(path).initialOffset() == {"0": 11}
     assert reader(path, startingOffsets="latest").initialOffset() == {"0": 17}
+
+
+def test_long_segments_have_small_row_groups(spark, tmp_path):
+    """A trigger reads the row groups that hold its offsets, a few thousand records, not the whole segment."""
+    path = str(tmp_path / "log")
+    rows = spark.range(30_000).select(F.lit("k").alias("key"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("value"), F.lit("t").alias("topic"),
+                                      F.lit(0).alias("partition"), F.col("id").alias("offset"), F.lit(T0).alias("timestamp"))
+    log_source.publish_log(rows, path, 30_000)
+    [name] = (tmp_path / "log" / "partition=0" / "segment=0").glob("*.parquet")
+    meta = pq.ParquetFile(name).metadata
+    assert meta.num_row_groups >= 4 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) < 10_000
+    [whole] = reader(path, segmentRecords=30_000).partitions({"0": 12_345}, {"0": 22_345})
+    got = pa.Table.from_batches(list(reader(path, segmentRecords=30_000).read(whole)))
+    assert got.column("offset").to_pylist() == list(range(12_345, 22_345))
