@@ -31,6 +31,8 @@ TOP_K = 10
 # Cells of the approximate index and cells probed per query.
 NLIST = 128
 NPROBE = 10
+#: Rows that fit the cell centres, 512 for each of ``NLIST`` cells: tables up to this size are fitted whole. Every row is put into a cell.
+FIT_ROWS = 512 * NLIST
 
 
 def save_index(df: DataFrame, path: str, mode: str = "overwrite", model=None, metric: str = "cosine") -> None:
@@ -190,11 +192,16 @@ def centroids(index: DataFrame, group: str, vector: str = "embedding") -> DataFr
 
 # ---------------------------------------------------------------- approximate search
 
-def build_cells(index: DataFrame, nlist: int = NLIST, vector: str = "embedding", seed: int = 42):
-    """Index rows with their k-means cell, and the fitted model (its centres are ``nlist`` vectors)."""
+def build_cells(index: DataFrame, nlist: int = NLIST, vector: str = "embedding", seed: int = 42, fit_rows: int = FIT_ROWS):
+    """Index rows with their k-means cell, and the fitted model (its centres are ``nlist`` vectors).
+
+    Of more than ``fit_rows`` rows, a random sample of about that many fits the centres: the twenty passes of the fit are over bounded data.
+    """
+    rows = index.count()
     raw = index.withColumn("_raw", array_to_vector(vector))
     prepared = Normalizer(inputCol="_raw", outputCol="_v", p=2.0).transform(raw)
-    model = KMeans(k=nlist, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=20).fit(prepared)
+    model = KMeans(k=nlist, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=20).fit(
+        prepared.sample(fit_rows / rows, seed) if rows > fit_rows else prepared)
     return model.transform(prepared).drop("_raw", "_v"), model
 
 
@@ -317,6 +324,15 @@ def fit_lexical_embedder(texts: DataFrame, text: str = "content", dim: int = 384
     ]).fit(texts)
 
 
+def embed_corpus(texts: DataFrame, text: str = "content", dim: int = 384, vector: str = "embedding") -> DataFrame:
+    """The texts with the vectors that the default embedder gives when it is fitted on them; each text is cut into words once."""
+    words = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\W+", toLowercase=True).transform(texts)
+    counted = stored(HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim).transform(words).drop("_tokens"), "term-counts")
+    weights = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted.select("_tf"))
+    unit = Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0).transform(weights.transform(counted))
+    return unit.withColumn(vector, vector_to_array("_unit", "float32")).drop("_tf", "_tfidf", "_unit")
+
+
 def embed(texts: DataFrame, embedder, vector: str = "embedding") -> DataFrame:
     out = embedder.transform(texts)
     return out.withColumn(vector, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_tfidf", "_unit")

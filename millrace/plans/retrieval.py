@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import chunking, retrieval
-from ..session import checkpointed, scratch_dir, stored
+from ..session import scratch_dir, stored
 from .catalog import query
 from .retrieval_sql import CENTROIDS_SQL
 from .tables import table
@@ -149,9 +149,8 @@ def v6_filtered_search(spark, sf):
 def v7_document_ingest(spark, sf):
     """documents -> chunks -> embeddings -> cells -> stored index, read back."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), "source")
-    chunks = checkpointed(chunking.chunk_documents(docs, separator="\n"))
-    embedded = retrieval.embed(chunks, retrieval.fit_lexical_embedder(chunks))
-    celled, _ = retrieval.build_cells(embedded)
+    embedded = retrieval.embed_corpus(chunking.chunk_documents(docs, separator="\n"))
+    celled, _ = retrieval.build_cells(stored(embedded, "embedded"))
     path = scratch_dir(spark, "index")
     retrieval.save_index(celled, path)
     length = vectors.norm(F.col("embedding"))

@@ -158,3 +158,22 @@ def test_best_possible_score_bounds_every_member():
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     radius = np.arccos(unit(x) @ unit(centre)[0]).max()
     assert ((unit(q) @ unit(x).T).max(1) <= retrieval.best_possible(q, centre, np.array([radius]))[:, 0] + 1e-12).all()
+
+
+def test_cells_of_many_rows_are_fitted_on_a_bounded_sample(spark, monkeypatch):
+    """Every row gets a cell; only the fit is over a sample. Tables up to the bound are fitted whole."""
+    fitted = []
+    fit = retrieval.KMeans.fit
+    monkeypatch.setattr(retrieval.KMeans, "fit", lambda self, df, *a: (fitted.append(df.count()), fit(self, df, *a))[1])
+    index = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(*[F.cos(F.col("id") * k) for k in (1, 2, 3)]).alias("embedding"))
+    celled, _ = retrieval.build_cells(index, nlist=4, fit_rows=500)
+    assert 300 < fitted[0] < 700 and celled.count() == 4000 and celled.select("cell").distinct().count() == 4
+    retrieval.build_cells(index, nlist=4)
+    assert fitted[1] == 4000
+
+
+def test_corpus_vectors_are_those_of_the_fitted_embedder(spark):
+    texts = spark.createDataFrame([(1, "The cat sat"), (2, "the dog -- sat!"), (3, ""), (4, "cat cat dog"), (4, "the")], "doc_id long, content string")
+    got = retrieval.embed_corpus(texts)
+    want = retrieval.embed(texts, retrieval.fit_lexical_embedder(texts))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
