@@ -53,19 +53,25 @@ class Trees:
         self.feature, self.cut, self.value, self.base = feature, cut, value, base
 
     def score(self, codes: np.ndarray) -> np.ndarray:
-        """Probability of the positive class; all trees of a chunk of rows at a time."""
+        """Probability of the positive class; all trees of a chunk of rows at a time.
+
+        Nodes of all trees are one flat table. A leaf is its own child and no code is above its cut, so rows wait there.
+        """
         out = np.empty(len(codes))
         depth = (self.feature.shape[1] + 1).bit_length() - 2
-        trees = np.arange(len(self.feature))[None, :]
+        size, width = self.feature.shape[1], codes.shape[1]
+        roots = np.arange(len(self.feature), dtype=np.int32) * size
+        at_leaf = self.feature.ravel() < 0
+        place = np.arange(at_leaf.size, dtype=np.int32)
+        child = np.where(at_leaf, place, place - place % size + 2 * (place % size) + 1).astype(np.int32)
+        feature, cut, value = np.maximum(self.feature, 0).ravel().astype(np.int32), np.where(at_leaf, 255, self.cut.ravel()).astype(np.uint8), self.value.ravel()
         for at in range(0, len(codes), 4096):
             part = codes[at : at + 4096]
-            rows = np.arange(len(part))[:, None]
-            node = np.zeros((len(part), len(self.feature)), np.int64)
+            flat, first = part.ravel(), (np.arange(len(part), dtype=np.int32) * width)[:, None]
+            node = np.tile(roots, (len(part), 1))
             for _ in range(depth):
-                f = self.feature[trees, node]
-                right = part[rows, np.maximum(f, 0)] > self.cut[trees, node]
-                node = np.where(f < 0, node, 2 * node + 1 + right)
-            out[at : at + 4096] = self.base + self.value[trees, node].sum(1, dtype=np.float64)
+                node = child.take(node) + (flat.take(feature.take(node) + first) > cut.take(node))
+            out[at : at + 4096] = self.base + value.take(node).sum(1, dtype=np.float64)
         return 1 / (1 + np.exp(-out))
 
     def to_bytes(self) -> bytes:

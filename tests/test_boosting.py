@@ -1,5 +1,7 @@
 """Boosted trees against a brute-force split, against MLlib, and the whole search space."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
@@ -104,3 +106,37 @@ def test_searches_use_the_whole_space(spark, monkeypatch):
         with pytest.raises(InterruptedError):
             load_all()[name].run(spark, "/root/testdata/sf0.001")
     assert len(tasks[0]) > 2 and len(set(tasks[1])) == 100
+
+
+def _score_by_heaps(m, codes):
+    """The children of node i are 2 i + 1 and 2 i + 2; all trees at a time."""
+    out = np.empty(len(codes))
+    trees = np.arange(len(m.feature))[None, :]
+    for at in range(0, len(codes), 4096):
+        part = codes[at : at + 4096]
+        rows, node = np.arange(len(part))[:, None], np.zeros((len(part), len(m.feature)), np.int64)
+        for _ in range((m.feature.shape[1] + 1).bit_length() - 2):
+            f = m.feature[trees, node]
+            node = np.where(f < 0, node, 2 * node + 1 + (part[rows, np.maximum(f, 0)] > m.cut[trees, node]))
+        out[at : at + 4096] = m.base + m.value[trees, node].sum(1, dtype=np.float64)
+    return 1 / (1 + np.exp(-out))
+
+
+def test_scores_are_those_of_the_heaps_in_less_time():
+    """Scoring is the work that grows with the rows: it takes less time than steps by tree and node."""
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, 64, (20_000, 9)).astype(np.uint8)
+    y = ((codes[:, 0] > 30) ^ (codes[:, 1] + rng.integers(0, 20, len(codes)) > 40)).astype(float)
+    seconds = {}
+    for depth in (3, 7):
+        m = boosting.fit(codes[:3000], y[:3000], boosting.Params(60, depth, 0.1, 0.8, 0.8))
+        assert (m.score(codes) == _score_by_heaps(m, codes)).all() and m.score(codes[:0]).shape == (0,)
+        for name, run in (("flat", m.score), ("heaps", lambda c, m=m: _score_by_heaps(m, c))):
+            taken = []
+            for _ in range(3):
+                t = time.process_time()
+                run(codes)
+                taken.append(time.process_time() - t)
+            seconds[depth, name] = min(taken)
+    print(seconds)
+    assert all(seconds[d, "flat"] < 0.9 * seconds[d, "heaps"] for d in (3, 7))
