@@ -27,8 +27,13 @@ def with_prefix(value: Column, prefix: str) -> Column:
 
 
 def location_part(location: Column, index: int) -> Column:
-    """Comma part by position; NULL when the part is absent."""
-    return F.trim(F.get(F.split(location, ","), F.lit(index)))
+    """Comma part by position (0 or more); NULL when the part is absent. Cut without an array of all parts."""
+    head = F.substring_index(location, ",", index + 1)
+    if index == 0:
+        return F.trim(head)
+    # The part is there if what comes before it ends earlier than the text.
+    before = F.substring_index(location, ",", index)
+    return F.when(F.octet_length(before) < F.octet_length(location), F.trim(F.substring_index(head, ",", -1)))
 
 
 def region_of(location: Column) -> Column:

@@ -115,16 +115,20 @@ def is_loadable() -> Column:
     )
 
 
-def normalize(df: DataFrame, trim: bool = False) -> DataFrame:
+def with_time(df: DataFrame) -> DataFrame:
+    """The typed time of wire records."""
+    return df.withColumn("event_timestamp", S.iso_timestamp(F.col("timestamp")))
+
+
+def normalize(df: DataFrame, trim: bool = False, timed: bool = False) -> DataFrame:
     """Typed time, day, hour, prefixed ids, place, total, metadata fields and processing stamps, in one projection.
 
-    ``metadata`` may be a map or JSON text; ``location`` may be text or a JSON object.
+    ``metadata`` may be a map or JSON text; ``location`` may be text or a JSON object. ``timed`` records hold their typed time already.
     """
     text = (lambda c: F.trim(F.col(c))) if trim else F.col
-    ts = S.iso_timestamp(F.col("timestamp"))
     is_map = isinstance(df.schema["metadata"].dataType, T.MapType)
     metadata = F.col("metadata") if is_map else F.from_json("metadata", "map<string,string>")
-    parsed = df.withColumns({"event_timestamp": ts, "_place": S.location_struct(text("location")), "_meta": metadata})
+    parsed = (df if timed else with_time(df)).withColumns({"_place": S.location_struct(text("location")), "_meta": metadata})
     place, meta = F.col("_place"), F.col("_meta")
     return parsed.withColumns({
         "id": text("id"),

@@ -48,13 +48,18 @@ CITIES = {
 
 
 def region_by_city(city: Column, cities: dict[str, tuple] = CITIES, default: str = DEFAULT_REGION) -> Column:
-    """Case-insensitive; a NULL city gives the default, an unknown one gives NULL (fall through)."""
-    key = F.lower(F.trim(city))
-    chain = F.when(city.isNull(), F.lit(default))
+    """Case-insensitive; a NULL city gives the default, an unknown one gives NULL (fall through).
+
+    One look into a constant map: in a chain of conditions each of them would lower and trim the city again.
+    """
+    codes: dict[str, str] = {}
     for name, (code, *_rest) in cities.items():
         if name == name.title():
-            chain = chain.when(key == name.lower(), code)
-    return chain
+            codes.setdefault(name.lower(), code)
+    if not codes:
+        return F.when(city.isNull(), F.lit(default))
+    found = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.lower(F.trim(city))]
+    return F.when(city.isNull(), F.lit(default)).otherwise(found)
 
 
 def region_by_box(lat: Column, lon: Column, boxes: Sequence[Box] = BOXES, default: str = DEFAULT_REGION) -> Column:

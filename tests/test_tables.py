@@ -39,6 +39,28 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     assert sinks.read_messages(spark, mirror).count() == 12
 
 
+def test_stream_writes_few_files_a_day(spark, tmp_path):
+    """The batch is shuffled by day though a stream runs without adaptive execution, which is left as it was."""
+    topic, table, mirror, checkpoint = (str(tmp_path / n) for n in ("t", "table", "mirror", "ck"))
+    sinks.publish(records(spark, [*range(60), *range(60)]), topic)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    sinks.run_dual_sink(sinks.ingest(sinks.read_topic(spark, topic), "10 minutes", ["id"]), table, mirror, checkpoint)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    assert sorted(int(r.id) for r in spark.read.parquet(table).select("id").collect()) == list(range(60))
+    assert sinks.read_messages(spark, mirror).count() == 60
+    assert len(list((tmp_path / "table").glob("dt=*/batch_id=0/*.parquet"))) == 3
+
+
+def test_copies_go_before_records_are_normalised(spark):
+    """Keys that normalising changes are compared as they are after it: ``u`` and ``usr_u`` are one user."""
+    sent = records(spark, range(4)).unionByName(records(spark, [9]).withColumn("value", F.replace("value", F.lit('"u"'), F.lit('"usr_u"'))))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    by_id = plan(sinks.ingest(sent, "10 minutes", ["id"]))
+    assert by_id.index("city") < by_id.index("DeduplicateWithinWatermark")  # nodes are listed from the last to the first
+    by_user = plan(sinks.ingest(sent, "10 minutes", ["user_id"]))
+    assert by_user.index("DeduplicateWithinWatermark") < by_user.index("city") or by_user.startswith("DeduplicateWithinWatermark")
+
+
 def test_overwrite_touches_one_partition(spark, tmp_path):
     path = str(tmp_path / "lake")
     rows = spark.createDataFrame([(i, f"2024-01-0{1 + i % 3}") for i in range(30)], "x int, dt string")
