@@ -17,15 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with its order, customer and place. Small dimensions are broadcast by Catalyst on their measured size."""
+    """lineitem with its order, customer and place. Small dimensions are broadcast by Catalyst on their measured size.
+
+    Orders meet their customer and place first, so where customers are too many for a broadcast, orders are shuffled for them and not
+    the lines, which are shuffled once. Texts that depend on the order alone (``o_wire_time``, ``o_user``, ``o_place``) are made there as well.
+    """
     t = lambda n: table(spark, sf_dir, n)
-    return (
-        t("lineitem")
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    placed = (
+        t("orders")
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumns({
+            "o_wire_time": F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            "o_user": F.concat(F.lit("usr_"), F.col("o_custkey")),
+            "o_place": F.concat_ws(", ", "n_name", "r_name"),
+        })
     )
+    return t("lineitem").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 LINES_SQL = """lines AS (
@@ -38,12 +47,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"),
         F.col("o_orderdate").alias("event_timestamp"),
-        F.concat(F.lit("usr_"), F.col("o_custkey")).alias("user_id"),
+        F.col("o_user").alias("user_id"),
         F.concat(F.lit("prod_"), F.col("l_partkey")).alias("product_id"),
         F.col("l_extendedprice").alias("price"),
         quantity.alias("quantity"),
         (F.col("l_extendedprice") * quantity).alias("total_amount"),
-        F.concat_ws(", ", "n_name", "r_name").alias("location"),
+        F.col("o_place").alias("location"),
         F.col("r_name").alias("region"),
         F.col("o_orderpriority").alias("channel"),
         F.col("c_mktsegment").alias("device_type"),
@@ -65,13 +74,13 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
         F.when(fault(97), "not-a-timestamp")
-        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"),
+        .otherwise(F.col("o_wire_time")).alias("timestamp"),
         F.when(~fault(79), F.col("o_custkey").cast("string")).alias("user_id"),
         F.when(fault(67), F.concat(F.lit("prod_"), F.col("l_partkey")))
         .otherwise(F.col("l_partkey").cast("string")).alias("product_id"),
         F.when(fault(89), -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("price"),
         F.when(fault(83), 0).otherwise(F.col("l_quantity").cast("int")).alias("quantity"),
-        F.when(fault(73), F.col("n_name")).otherwise(F.concat_ws(", ", "n_name", "r_name")).alias("location"),
+        F.when(fault(73), F.col("n_name")).otherwise(F.col("o_place")).alias("location"),
         F.create_map(
             F.lit("channel"), F.col("o_orderpriority"),
             F.lit("device_type"), F.col("c_mktsegment"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import access, alerts, churn, features, forecast, metrics, ml, registry
 from millrace.operators import events as E
+from millrace.plans.tables import raw_transactions, transactions
 from millrace.session import scratch_root
 from millrace.sources import lake, snapshot
 from millrace.streaming import sinks
@@ -61,6 +62,37 @@ def test_copies_go_before_records_are_normalised(spark):
     assert by_user.index("DeduplicateWithinWatermark") < by_user.index("city") or by_user.startswith("DeduplicateWithinWatermark")
 
 
+def test_lines_are_shuffled_for_their_orders_only(spark):
+    """Where no dimension can be broadcast, lines meet orders that know their customer and place; the rows follow the keys."""
+    root = scratch_root(spark) + "/line-tables"
+    day = "timestamp_ntz'2024-01-02 03:04:05.678'"
+    tables = {
+        "lineitem": "select * from values (1L, 7L, 1, 2.0D, 10.0D), (1L, 8L, 2, 3.0D, 5.0D), (2L, 7L, 1, 1.0D, 4.0D), (9L, 7L, 1, 1.0D, 4.0D) "
+                    "as t(l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice)",
+        "orders": f"select * from values (1L, 5L, {day}, 'URGENT'), (2L, 6L, {day}, null), (3L, 5L, {day}, 'LOW') "
+                  "as t(o_orderkey, o_custkey, o_orderdate, o_orderpriority)",
+        "customer": "select * from values (5L, 3, 'BUILDING'), (6L, 4, 'MACHINERY') as t(c_custkey, c_nationkey, c_mktsegment)",
+        "nation": "select * from values (3, 'Peru', 1), (4, 'Oman', 2) as t(n_nationkey, n_name, n_regionkey)",
+        "region": "select * from values (1, 'AMERICA') as t(r_regionkey, r_name)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.mode("overwrite").parquet(f"{root}/{name}.parquet")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        tx = transactions(spark, root)
+        plan = tx._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    line_side = plan[: plan.index("lineitem.parquet")]
+    assert line_side.count("SortMergeJoin") == 1  # the plan lists the lines' side first, so one join stands above them
+    rows = sorted((r.event_id, r.user_id, r.location, r.total_amount, r.channel) for r in tx.collect())
+    assert rows == [("1-1", "usr_5", "Peru, AMERICA", 20.0, "URGENT"), ("1-2", "usr_5", "Peru, AMERICA", 15.0, "URGENT")]
+    assert {r.timestamp for r in raw_transactions(spark, root).collect()} == {"2024-01-02T03:04:05Z"}
+
+
 def test_overwrite_touches_one_partition(spark, tmp_path):
     path = str(tmp_path / "lake")
     rows = spark.createDataFrame([(i, f"2024-01-0{1 + i % 3}") for i in range(30)], "x int, dt string")
