@@ -11,7 +11,7 @@ windows with one anchor form a stretch; equal stretches (symbol and fingerprint
 whose class starts in a smaller document is covered as a whole. Where a symbol has several classes, the documents that own a class
 compare their single windows, which verifies the repeats at the borders of shared passages. Windows are judged on the input.
 
-Counts per symbol are partial aggregates, and a symbol or class with many rows is joined in parts, so a passage in a third of all
+Counts per symbol are partial aggregates, and a symbol or class with many rows is broadcast to them, so a passage in a third of all
 documents is never gathered in one task.
 
 Edge cases: a null or empty text has no words and keeps nothing; documents shorter than a window lose nothing; null doc_ids give and
@@ -34,9 +34,9 @@ WINDOW = 50
 LEVELS = 3
 #: Words a symbol may span; the limit is local, so it keeps names consistent.
 LONGEST = 8
-#: Groups with more than one ``HOT_GROUPS``-th of the rows are joined in ``PARTS`` parts. There are fewer than ``HOT_GROUPS`` of them in a
-#: table of any size, so their list is broadcast.
-HOT_GROUPS, PARTS = 2048, 64
+#: Groups with more than one ``HOT_GROUPS``-th of the rows are hot. There are fewer than ``HOT_GROUPS`` of them in a table of any size, so
+#: their list is broadcast and their rows are not shuffled.
+HOT_GROUPS = 2048
 _U = np.uint64
 
 
@@ -218,17 +218,16 @@ def window_prints(docs: DataFrame, wanted: DataFrame, window: int, broadcast_byt
     return listed.mapInArrow(run, "symbol long, print long, doc_id long, at int")
 
 
-def joined_in_parts(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, spread: str) -> DataFrame:
-    """Inner join of ``rows`` with stored ``groups``, one row per key with its number of rows ``n``; ``total`` is no less than the sum of ``n``.
+def joined_in_parts(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, spread: str | None = None) -> DataFrame:
+    """Inner join of stored ``rows`` with stored ``groups``, one row per key with its number of rows ``n``; ``total`` is no less than the sum of ``n``.
 
-    Rows of a hot group go to parts by the column ``spread``, and the group's row goes to each of its parts.
+    Rows of hot groups meet the broadcast list of these groups where they are read; only the others are shuffled. So nothing has to be
+    spread, and ``spread``, the column for it, is not read any more.
     """
     is_hot = F.col("n") * HOT_GROUPS > total
-    hot = groups.filter(is_hot).select(*keys, F.lit(True).alias("hot"))
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", spread), F.lit(PARTS))).otherwise(F.lit(0))
-    parted = rows.join(F.broadcast(hot), keys, "left").withColumn("part", part.cast("int"))
-    dealt = groups.withColumn("part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
-    return parted.drop("hot").join(dealt, [*keys, "part"]).drop("part")
+    hot, others = groups.filter(is_hot).drop("n"), groups.filter(~is_hot).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(others, keys))
 
 
 def shared_by(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -241,18 +240,18 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW, broadcast_bytes: int =
     """(doc_id, begin, end): disjoint ranges of words of a document that lie in windows which also start in a smaller doc_id."""
     every = stored(stretches(docs, window), "stretches")
     shared = stored(shared_by(every, ["symbol"]).drop("low"), "shared-symbols")
-    some = stored(joined_in_parts(every, shared, ["symbol"], every.count(), "first_window"), "shared-stretches")
+    some = stored(joined_in_parts(every, shared, ["symbol"], every.count()), "shared-stretches")
 
     classes = stored(some.groupBy("symbol", "print").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")), "classes")
-    owned = stored(joined_in_parts(some, classes, ["symbol", "print"], some.count(), "first_window"), "owned-stretches")
+    owned = stored(joined_in_parts(some, classes, ["symbol", "print"], some.count()), "owned-stretches")
     whole = owned.filter("owner < doc_id").select("doc_id", F.col("first_window").alias("begin"), (F.col("first_window") + F.col("windows") - 1 + window).alias("end"))
 
     heads = owned.filter("owner = doc_id").select("doc_id", "symbol", "first_window", "windows")
     mixed = stored(shared_by(heads, ["symbol"]).drop("low"), "mixed-symbols")
-    wanted = stored(joined_in_parts(heads, mixed, ["symbol"], owned.count(), "first_window"), "border-stretches")
+    wanted = stored(joined_in_parts(heads, mixed, ["symbol"], owned.count()), "border-stretches")
     prints = stored(window_prints(docs, wanted, window, broadcast_bytes), "border-windows")
     least = stored(shared_by(prints, ["symbol", "print"]), "border-classes")
-    single = (joined_in_parts(prints, least, ["symbol", "print"], prints.count(), "at").filter("low < doc_id")
+    single = (joined_in_parts(prints, least, ["symbol", "print"], prints.count()).filter("low < doc_id")
               .select("doc_id", F.col("at").alias("begin"), (F.col("at") + window).alias("end")))
 
     # Join what overlaps, so a document keeps few ranges.

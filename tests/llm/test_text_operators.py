@@ -182,6 +182,33 @@ def test_hot_groups_are_joined_in_parts(spark, tmp_path):
     assert hot == 0 and recompression.joined_in_parts(rows, groups, ["symbol"], 5_000_000, "first_window").count() == got.count()
 
 
+def shuffled_rows(plan):
+    """Rows that the exchanges of a plan without adaptive execution wrote when it ran."""
+    own, below = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_rows_of_hot_groups_are_not_shuffled(spark, tmp_path):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for hot in (1000, 4000):
+            at = str(tmp_path / str(hot))
+            spark.range(3000 + hot).select(F.when(F.col("id") >= 3000, F.lit(-1)).otherwise(F.col("id") % 600).alias("symbol"), F.col("id").alias("doc_id"),
+                                           F.lit(0).alias("first_window")).write.parquet(f"{at}/rows")
+            rows = spark.read.parquet(f"{at}/rows")
+            recompression.shared_by(rows, ["symbol"]).write.parquet(f"{at}/groups")
+            got = recompression.joined_in_parts(rows, spark.read.parquet(f"{at}/groups"), ["symbol"], 10 * recompression.HOT_GROUPS, "first_window")
+            assert sorted((r.doc_id, r.low) for r in got.collect()) == [(i, 3000 if i >= 3000 else i % 600) for i in range(3000 + hot)]
+            plan = got._jdf.queryExecution().executedPlan()
+            assert shuffled_rows(plan) == 3000 + 600 and "LeftOuter" not in plan.toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("levels", [1, 2, 4])
 def test_equal_windows_have_equal_anchors(levels):
     rng = random.Random(levels)
