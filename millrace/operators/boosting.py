@@ -1,8 +1,9 @@
 """Gradient boosting on binned features, where trials, folds and classes are the parallel tasks.
 
-Features are cut into ``BINS`` bins once, at quantiles taken over all rows. A model is fitted by one task, on a sample of at most
-``SAMPLE_ROWS`` labelled rows chosen by a hash of their id: the sample is small, the number of models is not. All held-out rows are
-scored, by every model that did not see their fold. So a search of draws by folds is two Spark jobs, whatever the number of trees.
+Features are cut into ``BINS`` bins once, at quantiles taken over all rows. A model is fitted by one task. In a search every model is
+fitted on all labelled rows outside its fold: rows are packed, a byte per feature, and each task is sent a copy of the blocks. All
+held-out rows are scored, by every model that did not see their fold. So the number of Spark jobs does not depend on that of the trees.
+The models of ``one_vs_rest`` are fitted on a sample of at most ``SAMPLE_ROWS`` labelled rows chosen by a hash of their id.
 
 Rows with a null label take no part in fitting; a null or NaN feature falls into the lowest bin.
 """
@@ -11,11 +12,13 @@ from __future__ import annotations
 
 import io
 import itertools
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ from ..session import stored
 from .evaluate import roc_auc
 
 SAMPLE_ROWS, BINS = 20_000, 64
+#: Rows of a packed block, and rows that a fit takes at a time; neither changes a result.
+BLOCK_ROWS, PART_ROWS = 4096, 1 << 17
+#: Arrays of a fit beyond this size are in mapped files.
+ROOM_BYTES = 32 << 20
 #: Greatest total size of the models that one scoring job carries to the workers.
 MODEL_BYTES = 256 << 20
 # The search space of boosted trees, its draws and folds.
@@ -85,8 +92,20 @@ class Trees:
             return Trees(z["feature"], z["cut"], z["value"], float(z["base"]))
 
 
+def _room(shape: int | tuple[int, ...], kind: type) -> np.ndarray:
+    """Zeros; large ones are in a mapped file without a name, whose pages the system can write out, so a model's rows may exceed the memory."""
+    size = int(np.prod(shape)) * np.dtype(kind).itemsize
+    if size <= ROOM_BYTES:
+        return np.zeros(shape, kind)
+    with tempfile.TemporaryFile() as f:
+        return np.asarray(np.memmap(f, kind, "w+", shape=shape))
+
+
 def fit(codes: np.ndarray, y: np.ndarray, p: Params, seed: int = 42, bins: int = BINS) -> Trees:
-    """Trees of depth ``p.depth`` for the log loss: histograms of first and second derivatives per node, feature and bin."""
+    """Trees of depth ``p.depth`` for the log loss: histograms of first and second derivatives per node, feature and bin.
+
+    Rows are taken ``PART_ROWS`` at a time. The two derivatives are one complex number and are added up in the order of the rows.
+    """
     n, width = codes.shape
     rng = np.random.default_rng(seed)
     rate = min(max(float(y.mean()) if n else 0.5, 1e-6), 1 - 1e-6)
@@ -94,45 +113,61 @@ def fit(codes: np.ndarray, y: np.ndarray, p: Params, seed: int = 42, bins: int =
     nodes = (2 << p.depth) - 1
     feature, cut = np.full((p.rounds, nodes), -1, np.int16), np.zeros((p.rounds, nodes), np.uint8)
     value = np.zeros((p.rounds, nodes), np.float32)
-    total = np.full(n, base)
     used = max(1, round(p.column_share * width))
+    parts = [slice(i, min(i + PART_ROWS, n)) for i in range(0, n, PART_ROWS)]
+    by_column = np.ascontiguousarray(codes.T)
+    flat_codes, within = by_column.ravel(), np.arange(min(n, PART_ROWS))
+    total, both = _room(n, np.float64), _room(n, np.complex128)
+    at, live = _room(n, np.int32), _room(n, np.bool_)  # place in the heap
+    total[:] = base
     for t in range(p.rounds):
-        prob = 1 / (1 + np.exp(-total))
-        g, h = prob - y, np.maximum(prob * (1 - prob), 1e-12)
-        if p.row_share < 1:
-            seen = rng.random(n) < p.row_share
-            g, h = g * seen, h * seen
+        for s in parts:
+            prob = 1 / (1 + np.exp(-total[s]))
+            g, h = prob - y[s], np.maximum(prob * (1 - prob), 1e-12)
+            if p.row_share < 1:
+                seen = rng.random(len(prob)) < p.row_share
+                g, h = g * seen, h * seen
+            both.real[s], both.imag[s] = g, h
         columns = np.sort(rng.permutation(width)[:used])
-        mine = codes[:, columns].astype(np.int64)
-        wide_g, wide_h = np.repeat(g, used), np.repeat(h, used)
-        at = np.zeros(n, np.int64)  # place in the heap
-        live = np.ones(n, bool)
+        at[:], live[:] = 0, True
         for level in range(p.depth + 1):
             first, count = (1 << level) - 1, 1 << level
-            place = np.where(live, at - first, 0)
-            sums_g = np.bincount(place, weights=g * live, minlength=count)
-            sums_h = np.bincount(place, weights=h * live, minlength=count)
+            sums, left = np.zeros(count, np.complex128), np.zeros((used, count * bins), np.complex128)
+            for s in parts:
+                mine, place, rows = both[s], at[s].astype(np.intp) - first, None
+                if not live[s].all():
+                    rows = np.flatnonzero(live[s])
+                    mine, place = mine.take(rows), place.take(rows)
+                np.add.at(sums, place, mine)
+                if level < p.depth:
+                    place *= bins
+                    key = np.empty_like(place)
+                    for j, c in enumerate(columns):
+                        code = by_column[c, s]
+                        np.add(place, code if rows is None else code.take(rows), out=key)
+                        np.add.at(left[j], key, mine)
+            sums_g, sums_h = sums.real, sums.imag
             value[t, first : first + count] = -p.step * sums_g / (sums_h + _L2)
             if level == p.depth or not live.any():
                 break
-            key = ((place[:, None] * used + np.arange(used)) * bins + mine).ravel()
-            mask = np.repeat(live, used)
-            size = count * used * bins
-            left_g = np.bincount(key, weights=wide_g * mask, minlength=size).reshape(count, used, bins).cumsum(2)
-            left_h = np.bincount(key, weights=wide_h * mask, minlength=size).reshape(count, used, bins).cumsum(2)
+            left = left.reshape(used, count, bins).transpose(1, 0, 2).cumsum(2)
+            left_g, left_h = left.real, left.imag
             right_g, right_h = sums_g[:, None, None] - left_g, sums_h[:, None, None] - left_h
             gain = left_g**2 / (left_h + _L2) + right_g**2 / (right_h + _L2) - (sums_g**2 / (sums_h + _L2))[:, None, None]
             gain[(left_h < _LEAST_WEIGHT) | (right_h < _LEAST_WEIGHT)] = -np.inf
             flat = gain.reshape(count, -1)
             best = flat.argmax(1)
             split = flat[np.arange(count), best] > 1e-9
-            column, code = best // bins, best % bins
-            feature[t, first : first + count] = np.where(split, columns[column], -1)
+            column, code = columns[best // bins], (best % bins).astype(np.uint8)
+            feature[t, first : first + count] = np.where(split, column, -1)
             cut[t, first : first + count] = code
-            live &= split[place]
-            right = mine[np.arange(n), column[place]] > code[place]
-            at = np.where(live, 2 * at + 1 + right, at)
-        total += value[t, at]
+            for s in parts:
+                place = np.where(live[s], at[s].astype(np.intp) - first, 0)
+                live[s] &= split.take(place)
+                right = flat_codes.take((column * n).take(place) + (within[: len(place)] + s.start)) > code.take(place)
+                at[s] = np.where(live[s], 2 * at[s] + 1 + right, at[s])
+        for s in parts:
+            total[s] += value[t].take(at[s])
     return Trees(feature, cut, value, base)
 
 
@@ -164,39 +199,70 @@ def _sample(rows: DataFrame, row_id: str, label: str, size: int) -> pd.DataFrame
     return rows.filter(F.col(label).isNotNull()).orderBy(F.xxhash64(row_id), row_id).limit(size).toPandas()
 
 
-def _fit_all(rows: DataFrame, tasks: list, sample: pd.DataFrame, pick, seed: int) -> dict[int, bytes]:
-    """A model per task, each fitted by a Spark task of its own; ``pick(sample, task)`` gives (codes, labels, params)."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(sample)
+def _packed(coded: DataFrame, row_id: str) -> DataFrame:
+    """All labelled rows in the order of a hash of their id: blocks (part, place) of bytes, in the order of these numbers."""
+
+    def pack(batches):
+        place = itertools.count()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                b = batch.slice(at, BLOCK_ROWS)
+                raw = {c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int32).tobytes() for c in ("fold", "label")}
+                codes = b.column("codes").flatten().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_pydict({"part": b.column("part").slice(0, 1), "place": pa.array([next(place)], pa.int64()),
+                                                  "fold": [raw["fold"]], "label": [raw["label"]], "codes": [codes]})
+
+    ordered = coded.filter("label is not null").orderBy(F.xxhash64(row_id), row_id, "label", "codes")
+    rows = ordered.select(F.spark_partition_id().alias("part"), "fold", "label", "codes")
+    return stored(rows.mapInArrow(pack, "part int, place long, fold binary, label binary, codes binary"), "boosted-rows")
 
-    def run(frames):
-        for frame in frames:
-            for i in frame["id"].tolist():
-                codes, y, params = pick(shared.value, tasks[i])
-                yield pd.DataFrame({"task": [i], "model": [fit(codes, y, params, seed + i).to_bytes()]})
+
+def _fit_all(feed: DataFrame, tasks: list, prepare: Callable[..., Iterator[tuple]], seed: int) -> dict[int, bytes]:
+    """A model per task. A partition of ``feed`` is what one model needs, and ``prepare(batches)`` makes (task, codes, labels, params) of it."""
+
+    def run(batches):
+        for i, codes, y, params in prepare(batches):
+            yield pa.RecordBatch.from_pydict({"task": pa.array([i], pa.int64()), "model": [fit(codes, y, params, seed + i).to_bytes()]})
 
     # As many partitions as models: a lost executor costs the models it was fitting.
-    models = stored(spark.range(0, len(tasks), 1, len(tasks)).mapInPandas(run, "task long, model binary"), "boosted-models")
+    models = stored(feed.mapInArrow(run, "task long, model binary"), "boosted-models")
     size = models.agg(F.sum(F.octet_length("model"))).first()[0] or 0
     if size > MODEL_BYTES:
         raise ValueError(f"models of {size} bytes exceed {MODEL_BYTES}")
     return {r["task"]: bytes(r["model"]) for r in models.collect()}
 
 
-def cross_validate(rows: DataFrame, row_id: str, features: Sequence[str], label: str, trials: Sequence[Params], folds: int = FOLDS, seed: int = 42,
-                   sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(trial, auc, the trial's parameters): the mean over folds of the area under ROC on all rows of the fold that was held out."""
+def cross_validate(rows: DataFrame, row_id: str, features: Sequence[str], label: str, trials: Sequence[Params], folds: int = FOLDS, seed: int = 42) -> DataFrame:
+    """(trial, auc, the trial's parameters): the mean over folds of the area under ROC on all rows of the fold that was held out.
+
+    A model is fitted on all labelled rows of the other folds.
+    """
     spark, features = rows.sparkSession, list(features)
     fold = F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(folds)).cast("int").alias("fold")
     coded = stored(rows.select(row_id, F.col(label).cast("int").alias("label"), fold, binned(features, feature_cuts(rows, features)).alias("codes")), "binned")
-    sample = _sample(coded, row_id, "label", sample_rows)
     tasks = [(t, k) for t in range(len(trials)) for k in range(folds)]
-
-    def pick(data, task):
-        train = data[data["fold"] != task[1]]
-        return _codes(train["codes"], len(features)), train["label"].to_numpy(float), trials[task[0]]
-
-    models = spark.sparkContext.broadcast(_fit_all(coded, tasks, sample, pick, seed))
+    blocks = _packed(coded, row_id)
+    sizes = {r["fold"]: r["n"] for r in coded.filter("label is not null").groupBy("fold").agg(F.count("*").alias("n")).collect()}  # a row per fold
+
+    def prepare(batches):
+        given = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("task", "fold", "label", "codes"))))
+        for i, mine in itertools.groupby(given, lambda row: row[0]):
+            trial, held = tasks[i]
+            n, at = sum(v for k, v in sizes.items() if k != held), 0
+            by_column, y = _room((len(features), n), np.uint8), _room(n, np.float64)
+            for _, fold, label, codes in mine:
+                train = np.frombuffer(fold, np.int32) != held
+                to = at + int(train.sum())
+                by_column[:, at:to] = np.frombuffer(codes, np.uint8).reshape(len(train), -1)[train].T
+                y[at:to] = np.frombuffer(label, np.int32)[train]
+                at = to
+            if at != n:
+                raise ValueError(f"task {i} has {at} rows of {n}")
+            yield i, by_column.T, y, trials[trial]
+
+    copies = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(len(tasks) - 1))).alias("task"), "*")
+    feed = copies.repartitionById(len(tasks), F.col("task")).sortWithinPartitions("task", "part", "place")
+    models = spark.sparkContext.broadcast(_fit_all(feed, tasks, prepare, seed))
 
     def score(frames):
         loaded: dict[int, Trees] = {}
@@ -224,12 +290,15 @@ def one_vs_rest(train: DataFrame, test: DataFrame, row_id: str, features: Sequen
     spark, features = train.sparkSession, list(features)
     classes = sorted(r[0] for r in train.filter(F.col(target).isNotNull()).select(target).distinct().collect())  # a row per class
     cuts = feature_cuts(train, features)
-    sample = _sample(train.select(row_id, F.col(target).alias("label"), binned(features, cuts).alias("codes")), row_id, "label", sample_rows)
+    sample = spark.sparkContext.broadcast(
+        _sample(train.select(row_id, F.col(target).alias("label"), binned(features, cuts).alias("codes")), row_id, "label", sample_rows))
 
-    def pick(data, name):
-        return _codes(data["codes"], len(features)), (data["label"] == name).to_numpy(float), params
+    def prepare(batches):
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                yield i, _codes(sample.value["codes"], len(features)), (sample.value["label"] == classes[i]).to_numpy(float), params
 
-    models = spark.sparkContext.broadcast(_fit_all(train, classes, sample, pick, seed))
+    models = spark.sparkContext.broadcast(_fit_all(spark.range(0, len(classes), 1, len(classes)), classes, prepare, seed))
     names = [f.name for f in test.schema.fields]
 
     def score(frames):

@@ -140,3 +140,58 @@ def test_scores_are_those_of_the_heaps_in_less_time():
             seconds[depth, name] = min(taken)
     print(seconds)
     assert all(seconds[d, "flat"] < 0.9 * seconds[d, "heaps"] for d in (3, 7))
+
+
+def test_search_fits_on_all_labelled_rows(spark):
+    """What the label follows is seen only in rows beyond the first 20,000 in the order of the hash."""
+    ids = [r.id for r in spark.range(26_000).filter("id % 13 <> 0").orderBy(F.xxhash64("id"), "id").collect()]
+    rng = np.random.default_rng(5)
+    late, b, noise = np.arange(len(ids)) >= 20_000, rng.integers(-20, 21, len(ids)), rng.integers(0, 2, len(ids))
+    y = np.where(late, b > 0, noise).astype(int)
+    df = spark.createDataFrame([(i, float(x), float(v), int(t)) for i, x, v, t in zip(ids, late, b, y)] + [(-1, 1.0, 1.0, None)], "id long, a double, b double, y int")
+    trials = [Params(5, 2, 0.5), Params(4, 3, 0.3, 0.8, 0.5)]
+    got = {r.trial: r for r in boosting.cross_validate(df.repartition(7), "id", ["a", "b"], "y", trials, folds=2).collect()}
+    assert got[0].folds == got[1].folds == 2 and got[0].auc > 0.56  # the sixth part of the rows; 0.5 from the others alone
+
+    cuts = boosting.feature_cuts(df, ["a", "b"])
+    read = df.filter("y is not null").select("y", boosting.binned(["a", "b"], cuts).alias("codes"), F.pmod(F.xxhash64("id", F.lit(42)), F.lit(2)).alias("fold"))
+    all_rows = read.orderBy(F.xxhash64("id"), "id").toPandas()
+    codes, labels, fold = np.stack(all_rows["codes"].to_numpy()).astype(np.uint8), all_rows["y"].to_numpy(float), all_rows["fold"].to_numpy()
+    for t, p in enumerate(trials):
+        areas = []
+        for k in range(2):
+            score = boosting.fit(codes[fold != k], labels[fold != k], p, 42 + 2 * t + k).score(codes[fold == k])
+            one, none = score[labels[fold == k] == 1], np.sort(score[labels[fold == k] == 0])
+            areas.append((np.searchsorted(none, one) + np.searchsorted(none, one, "right")).sum() / 2 / len(one) / len(none))
+        assert got[t].auc == pytest.approx(np.mean(areas), abs=1e-9)
+
+
+def test_blocks_hold_the_labelled_rows_in_order(spark):
+    df = spark.range(10_000).selectExpr("id", "if(id % 5 = 0, null, cast(id % 2 as int)) as label", "cast(id % 3 as int) as fold", "array(cast(id % 64 as int), 1) as codes")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    keep = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        blocks = boosting._packed(df.repartition(5), "id").orderBy("part", "place").collect()
+    finally:
+        spark.conf.set(key, keep)
+    assert len({r.part for r in blocks}) > 1
+    packed = {c: np.concatenate([np.frombuffer(r[c], kind) for r in blocks]) for c, kind in (("label", np.int32), ("fold", np.int32), ("codes", np.uint8))}
+    want = df.filter("label is not null").orderBy(F.xxhash64("id"), "id").toPandas()
+    assert all((packed[c] == want[c].to_numpy()).all() for c in ("label", "fold")) and len(packed["label"]) == 8000
+    assert (packed["codes"].reshape(-1, 2) == np.stack(want["codes"].to_numpy())).all()
+    none = boosting.cross_validate(spark.range(9).selectExpr("id", "1.0D as a", "cast(null as int) as y"), "id", ["a"], "y", [Params(3, 2)], folds=2).collect()
+    assert [(r.trial, r.auc) for r in none] == [(0, None)]
+
+
+def test_trees_do_not_depend_on_parts_or_mapped_files(monkeypatch):
+    x, y = noisy(700, 4)
+    codes = np.clip((x * 8 + 32).astype(int), 0, 63).astype(np.uint8)
+    for p in (Params(9, 4, 0.3, 0.8, 0.7), Params(6, 6, 0.1)):
+        whole = boosting.fit(codes, y.astype(float), p)
+        with monkeypatch.context() as m:
+            m.setattr(boosting, "PART_ROWS", 64)
+            m.setattr(boosting, "ROOM_BYTES", 0)
+            cut = boosting.fit(codes, y.astype(float), p)
+        assert all((getattr(whole, f) == getattr(cut, f)).all() for f in ("feature", "cut", "value"))
+    assert boosting.fit(codes[:0], np.zeros(0), Params(3, 2)).score(codes[:2]).tolist() == [0.5, 0.5]
